@@ -1,4 +1,4 @@
 """All registered queries."""
 
 from checks.registry import ORACLES, QUERIES  # noqa: F401
-from checks.queries import expressions, scoring, dashboard  # noqa: F401
+from checks.queries import expressions, scoring, dashboard, detection  # noqa: F401

@@ -37,7 +37,7 @@ def empty_text_if_absent(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit("")
 
 
-def finding(detector: str, **values: Column) -> list[Column]:
+def finding(default_detector: str, **values: Column) -> list[Column]:
     """The columns of a raw finding; whatever is not given is empty."""
     defaults = {
         "description": F.lit(""),
@@ -49,7 +49,7 @@ def finding(detector: str, **values: Column) -> list[Column]:
         "is_transitive": F.lit(None).cast("boolean"),
         "context_keyword": F.lit(False),
         "metadata": F.create_map().cast("map<string,string>"),
-        "detector": F.lit(DETECTORS[detector]),
+        "detector": F.lit(DETECTORS[default_detector]),
         "position": F.lit(0).cast("bigint"),
     }
     order = [

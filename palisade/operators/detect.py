@@ -1,4 +1,8 @@
-"""Rules, secrets and baselines against the texts of files. No shuffle in here."""
+"""Rules, secrets and baselines against the texts of files.
+
+All three are expressions over one text that give an array of matches, so a corpus is read once
+for all of them and nothing is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,49 @@ from pyspark.sql import functions as F
 
 from palisade.functions import config_type, glob_match, has_excluded_dir, is_config_file, mask_secret, shannon_entropy
 from palisade.functions.base import any_of
-from palisade.operators.common import finding, java_pattern, literal_table, small_rows, source_lines
+from palisade.operators.common import DETECTORS, finding, java_pattern, literal_table, small_rows, source_lines
 from palisade.operators.scoring import KEYWORD_PATTERN
-from palisade.schemas import CHECK, RULE, SECRET_PATTERN
+from palisade.schemas import SECRET_PATTERN
 
 # Marks a match start while lines are counted; if a text holds the character, it is swapped first.
 MARK, STAND_IN = "\uf8ff", "\uf8fe"
 CONTEXT_RADIUS = 2
+SECRET_REMEDIATION = "Rotate the credential and load it from a secret store."
+MATCH = "struct<entry:int,match_no:bigint,line_number:int,evidence:string,detail:string>"
+# What a match is about: one entry per rule, pattern or check.
+ENTRY = """detector string, rule_id string, title string, description string, severity string,
+       category string, remediation string, references array<string>, tags array<string>,
+       kind string, check_type string"""
+# Tests that look beyond the matched text; such patterns are not tested on the whole text first.
+LOOKS_AROUND = ("(?=", "(?!", "(?<", "\\A", "\\Z", "\\z", "\\G")
 
 
-def config_files(files: DataFrame) -> DataFrame:
-    """Files that the rule scan reads: configuration files outside the skipped folders."""
+def _match(entry: int, line: Column, evidence: Column, match_no=None, detail=None) -> Column:
+    return F.struct(
+        F.lit(entry).alias("entry"),
+        (F.lit(0) if match_no is None else match_no).cast("bigint").alias("match_no"),
+        line.cast("int").alias("line_number"),
+        evidence.alias("evidence"),
+        (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
+    )
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{MATCH}>")
+
+
+def _where(condition: Column, matches: Column) -> Column:
+    return F.when(condition, matches).otherwise(_none())
+
+
+def config_file(files: DataFrame) -> Column:
+    """True for files that the rule scan reads: configuration files outside the skipped folders."""
     column = "relative_path" if "relative_path" in files.columns else "path"
-    return files.filter(is_config_file(F.col("path")) & ~has_excluded_dir(F.col(column), "config"))
+    return is_config_file(F.col("path")) & ~has_excluded_dir(F.col(column), "config")
+
+
+def config_files(files: DataFrame) -> DataFrame:
+    return files.filter(config_file(files))
 
 
 def match_lines(content: Column, pattern: str) -> Column:
@@ -38,85 +72,226 @@ def match_lines(content: Column, pattern: str) -> Column:
     return F.flatten(per_line)
 
 
-def _rule_matches(no: int, rule, content: Column, path: Column) -> Column:
-    """All matches of one rule in a text, or null. The cheap test comes first."""
-    pattern = java_pattern(rule["pattern"])
+def rule_matches(rule, entry: int) -> Column:
+    """All matches of one rule in a text. The cheap test comes first."""
+    content, pattern = F.col("content"), java_pattern(rule["pattern"])
     texts = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
     rows = F.transform(
         F.arrays_zip(texts.alias("text"), match_lines(content, pattern).alias("line")),
-        lambda m, i: F.struct(
-            F.lit(no).alias("rule_no"),
-            i.cast("bigint").alias("match_no"),
-            m["line"].alias("line_number"),
-            F.left(m["text"], F.lit(200)).alias("evidence"),
-        ),
+        lambda m, i: _match(entry, m["line"], F.left(m["text"], F.lit(200)), i),
     )
-    return F.when(glob_match(path, rule["file_types"]) & content.rlike(pattern), rows)
+    return _where(glob_match(F.col("path"), rule["file_types"]) & content.rlike(pattern), rows)
 
 
-def rule_scan(files: DataFrame, rules: DataFrame, keep_context_text: bool = False) -> DataFrame:
-    """Every match of every rule whose globs fit the file.
-
-    The patterns go into the plan as constants, so each is compiled once per task; a file is read
-    once for all rules. `context_keyword` tells whether the two lines either side hold a banking
-    word, which is all that scoring needs of the context; the text itself is attached on request.
-    """
-    table = small_rows(rules)
-    found = F.flatten(
-        F.filter(
-            F.array(*[_rule_matches(no, r, F.col("content"), F.col("path")) for no, r in enumerate(table)]),
-            lambda rows: rows.isNotNull(),
-        )
-    )
-    scanned = files.select("scan_id", "path", "content", found.alias("_found"))
-    has_word = F.when(
-        F.size("_found") > 0,
-        F.transform(F.split("content", "\n"), lambda line: F.lower(line).rlike(KEYWORD_PATTERN)),
+def secret_matches(patterns: list, first_entry: int, min_entropy: float | None) -> Column:
+    """First match of every pattern in every line, masked."""
+    content = F.col("content")
+    combined = "|".join(f"(?:{java_pattern(p['pattern'])})" for p in patterns)
+    candidates = F.filter(
+        F.transform(F.split(content, "\n"), lambda text, i: F.struct(text.alias("text"), (i + 1).alias("n"))),
+        lambda line: line["text"].rlike(combined),
     )
+
+    def hits(line: Column) -> Column:
+        found = []
+        for no, p in enumerate(patterns):
+            pattern = java_pattern(p["pattern"])
+            value = F.regexp_extract(line["text"], pattern, 0)
+            counts = line["text"].rlike(pattern)
+            if min_entropy is not None:
+                counts = counts & (shannon_entropy(value) >= min_entropy)
+            order = line["n"].cast("bigint") * F.lit(1 << 16) + no
+            found.append(F.when(counts, _match(first_entry + no, line["n"], mask_secret(value), order)))
+        return F.array_compact(F.array(*found))
+
+    rows = F.flatten(F.transform(candidates, hits))
+    if any(mark in p["pattern"] for p in patterns for mark in LOOKS_AROUND):
+        return rows
+    # whatever matches within a line also matches within the text
+    return _where(any_of([content.rlike(java_pattern(p["pattern"])) for p in patterns]), rows)
+
+
+def drift_match(check, entry: int) -> Column:
+    """What one check has against a text, or null."""
+    content, pattern = F.col("content"), java_pattern(check["pattern"])
+    hit = content.rlike(pattern)
+    matched = F.regexp_extract(content, pattern, 0)
+    start = F.regexp_instr(content, F.lit(pattern))
+    line = F.size(F.split(F.left(content, start - 1), "\n"))
+    absence = {
+        "must_exist": ("Expected pattern not found: ", "Pattern not present in file"),
+        "must_match": ("Required pattern not matched: ", "Pattern not matched"),
+    }
+    presence = {
+        "must_not_exist": "Forbidden pattern found: ",
+        "must_not_match": "Insecure pattern matched: ",
+    }
+    of_kind = F.col("_kind") == check["config_type"]
+    if check["check_type"] in absence:
+        detail, evidence = absence[check["check_type"]]
+        missing = _match(entry, F.lit(0), F.lit(evidence), detail=F.lit(detail + check["pattern"]))
+        return F.when(of_kind & ~hit, missing)
+    if check["check_type"] in presence:
+        detail = F.concat(F.lit(presence[check["check_type"]]), matched)
+        return F.when(of_kind & hit, _match(entry, line, F.left(matched, F.lit(200)), detail=detail))
+    return F.lit(None).cast(MATCH)
+
+
+def _rule_entry(r) -> dict:
+    return {
+        "detector": "misconfig", "rule_id": r["rule_id"], "title": r["name"], "description": r["description"],
+        "severity": r["severity"], "category": "misconfig", "remediation": r["remediation"],
+        "references": r["references"], "tags": r["tags"], "kind": r["category"], "check_type": None,
+    }
+
+
+def _secret_entry(p) -> dict:
+    slug = "".join(ch if ch.isascii() and ch.isalnum() else "-" for ch in p["name"]).upper()
+    return {
+        "detector": "secret", "rule_id": f"SECRET-{slug}", "title": p["name"], "description": p["description"],
+        "severity": p["severity"], "category": "secret", "remediation": SECRET_REMEDIATION,
+        "references": [], "tags": p["tags"], "kind": p["name"], "check_type": None,
+    }
+
+
+def _check_entry(c) -> dict:
+    return {
+        "detector": "drift", "rule_id": c["check_id"], "title": c["name"], "description": c["description"],
+        "severity": c["severity"], "category": "drift", "remediation": c["remediation"],
+        "references": [], "tags": c["tags"], "kind": c["config_type"], "check_type": c["check_type"],
+    }
+
+
+def _context_flags(n_rules: int) -> Column:
+    """Matches with `context_keyword`: whether a banking word is within two lines of a rule match."""
     first = lambda m: F.greatest(m["line_number"] - CONTEXT_RADIUS, F.lit(1))
-    flagged = F.transform(
+    around = lambda m: F.slice(
+        F.col("_words"), first(m), m["line_number"] + CONTEXT_RADIUS - first(m) + 1
+    )
+    return F.transform(
         "_found",
         lambda m: m.withField(
             "context_keyword",
-            F.exists(
-                F.slice("_words", first(m), m["line_number"] + CONTEXT_RADIUS - first(m) + 1), lambda hit: hit
-            ),
+            F.when(m["entry"] < n_rules, F.exists(around(m), lambda hit: hit)).otherwise(F.lit(False)),
         ),
     )
+
+
+def scan_files(
+    files: DataFrame,
+    rules: DataFrame | None = None,
+    patterns: DataFrame | None = None,
+    checks: DataFrame | None = None,
+    min_entropy: float | None = None,
+    only_config: bool = False,
+    routes: dict[str, list[str]] | None = None,
+    keep_context_text: bool = False,
+) -> DataFrame:
+    """Findings of the given rules, secret patterns and baseline checks, from one pass over the files.
+
+    Patterns go into the plan as constants, so each is compiled once per task. `only_config` lets
+    rules see configuration files only. `routes` (detector to scan types) needs a `scan_type`
+    column. `context_keyword` is all that scoring needs of the lines around a match; their text is
+    added on request.
+    """
+    rule_rows = small_rows(rules) if rules is not None else []
+    pattern_rows = small_rows(patterns) if patterns is not None else []
+    check_rows = small_rows(checks) if checks is not None else []
+    entries = (
+        [_rule_entry(r) for r in rule_rows]
+        + [_secret_entry(p) for p in pattern_rows]
+        + [_check_entry(c) for c in check_rows]
+    )
+    on = lambda name: F.col("scan_type").isin(routes[name]) if routes else F.lit(True)
+    parts = []
+    if rule_rows:
+        wanted = on("misconfig") & config_file(files) if only_config else on("misconfig")
+        found = F.flatten(F.array(*[rule_matches(r, no) for no, r in enumerate(rule_rows)]))
+        parts.append(_where(wanted, found))
+    if pattern_rows:
+        parts.append(_where(on("secret"), secret_matches(pattern_rows, len(rule_rows), min_entropy)))
+    if check_rows:
+        first = len(rule_rows) + len(pattern_rows)
+        found = F.array_compact(F.array(*[drift_match(c, first + no) for no, c in enumerate(check_rows)]))
+        kinds = sorted({c["config_type"] for c in check_rows})
+        parts.append(_where(on("drift") & F.col("_kind").isin(kinds), found))
+    if not parts:
+        raise ValueError("nothing to look for")
+    scanned = files.withColumn("_kind", config_type(F.col("path"))).select(
+        "scan_id", "path", "content", F.concat(*parts).alias("_found")
+    )
+    words = F.when(
+        F.exists("_found", lambda m: m["entry"] < len(rule_rows)),
+        F.transform(F.split("content", "\n"), lambda line: F.lower(line).rlike(KEYWORD_PATTERN)),
+    )
     rows = (
-        scanned.select("scan_id", "path", "_found", has_word.alias("_words"))
-        .select("scan_id", "path", F.inline(flagged))
-        .withColumn("_rule", F.get(literal_table([r.asDict() for r in table], RULE), F.col("rule_no")))
+        scanned.select("scan_id", "path", "_found", words.alias("_words"))
+        .select("scan_id", "path", F.inline(_context_flags(len(rule_rows))))
+        .withColumn("_e", F.get(literal_table(entries, ENTRY), F.col("entry")))
     )
+    about_rule = [F.lit("rule_category"), F.col("_e.kind")]
     if keep_context_text:
         rows = attach_context(rows, files)
-        metadata = F.create_map(
-            F.lit("rule_category"), F.col("_rule.category"), F.lit("context"), F.col("context")
+        about_rule += [F.lit("context"), F.col("context")]
+    detector = F.col("_e.detector")
+    metadata = (
+        F.when(detector == "misconfig", F.create_map(*about_rule))
+        .when(
+            detector == "secret",
+            F.create_map(F.lit("pattern_name"), F.col("_e.kind"), F.lit("masked_value"), F.col("evidence")),
         )
-    else:
-        metadata = F.create_map(F.lit("rule_category"), F.col("_rule.category"))
+        .otherwise(
+            F.create_map(
+                F.lit("config_type"), F.col("_e.kind"), F.lit("check_type"), F.col("_e.check_type"),
+                F.lit("drift_detail"), F.col("detail"),
+            )
+        )
+    )
+    # rules report rule by rule, secrets line by line, checks in their order
+    position = F.when(detector == "misconfig", F.col("entry").cast("bigint") * F.lit(1 << 32)).when(
+        detector == "drift", F.col("entry").cast("bigint")
+    ).otherwise(0) + F.col("match_no")
+    number = F.when(detector == "misconfig", DETECTORS["misconfig"]).when(
+        detector == "secret", DETECTORS["secret"]
+    ).otherwise(DETECTORS["drift"])
     return rows.select(
         finding(
             "misconfig",
             scan_id=F.col("scan_id"),
-            rule_id=F.col("_rule.rule_id"),
-            title=F.col("_rule.name"),
-            description=F.col("_rule.description"),
-            severity=F.col("_rule.severity"),
-            category=F.lit("misconfig"),
             file_path=F.col("path"),
             line_number=F.col("line_number"),
             evidence=F.col("evidence"),
-            remediation=F.col("_rule.remediation"),
-            references=F.col("_rule.references"),
-            tags=F.col("_rule.tags"),
             context_keyword=F.col("context_keyword"),
             metadata=metadata,
-            position=F.col("rule_no").cast("bigint") * F.lit(1 << 32) + F.col("match_no"),
+            position=position,
+            detector=number,
+            **{
+                name: F.col(f"_e.{name}")
+                for name in ("rule_id", "title", "description", "severity", "category", "remediation",
+                             "references", "tags")
+            },
         )
     )
 
 
+def rule_scan(files: DataFrame, rules: DataFrame, keep_context_text: bool = False) -> DataFrame:
+    """Every match of every rule whose globs fit the file."""
+    return scan_files(files, rules=rules, keep_context_text=keep_context_text)
+
+
+def secret_scan(files: DataFrame, patterns: DataFrame, min_entropy: float | None = None) -> DataFrame:
+    """First match of every pattern in every line, masked; matches below `min_entropy` are left out."""
+    return scan_files(files, patterns=patterns, min_entropy=min_entropy)
+
+
+def drift_scan(files: DataFrame, checks: DataFrame) -> DataFrame:
+    """Deviations of configuration files from the baseline of their type.
+
+    A forbidden match counts once, at its first place; a missing one gets line 0.
+    """
+    return scan_files(files, checks=checks)
+
+
 def attach_context(matches: DataFrame, files: DataFrame, radius: int = CONTEXT_RADIUS) -> DataFrame:
     """Add the text of the lines around each match as `context`."""
     lines = source_lines(files, matches, radius).select(
@@ -128,144 +303,26 @@ def attach_context(matches: DataFrame, files: DataFrame, radius: int = CONTEXT_R
     return matches.join(lines, ["scan_id", "path", "line_number"], "left")
 
 
-_LOOKS_AROUND = ("(?=", "(?!", "(?<", "\\A", "\\Z", "\\z", "\\G")
-
-
 def pattern_hits(lines: DataFrame, patterns: list, text: str = "line") -> DataFrame:
-    """First match of every pattern in every line: adds `pattern` (struct) and `matched`.
+    """First match of every pattern in every line of a table of lines: adds `pattern` and `matched`.
 
     Lines are first tested against all patterns at once; few pass.
     """
     combined = "|".join(f"(?:{java_pattern(p['pattern'])})" for p in patterns)
-    hits = F.array(
-        *[
-            F.when(
-                F.col(text).rlike(java_pattern(p["pattern"])),
-                F.struct(
-                    F.lit(no).alias("pattern_no"),
-                    F.regexp_extract(text, java_pattern(p["pattern"]), 0).alias("matched"),
-                ),
-            )
-            for no, p in enumerate(patterns)
-        ]
-    )
+    hits = [
+        F.when(
+            F.col(text).rlike(java_pattern(p["pattern"])),
+            F.struct(
+                F.lit(no).alias("pattern_no"),
+                F.regexp_extract(text, java_pattern(p["pattern"]), 0).alias("matched"),
+            ),
+        )
+        for no, p in enumerate(patterns)
+    ]
     table = literal_table([p.asDict() for p in patterns], SECRET_PATTERN)
-    kept = [c for c in lines.columns]
+    kept = lines.columns
     return (
         lines.filter(F.col(text).rlike(combined))
-        .select(*kept, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_hit"))
+        .select(*kept, F.explode(F.array_compact(F.array(*hits))).alias("_hit"))
         .select(*kept, F.get(table, F.col("_hit.pattern_no")).alias("pattern"), "_hit.pattern_no", "_hit.matched")
     )
-
-
-def secret_scan(files: DataFrame, patterns: DataFrame, min_entropy: float | None = None) -> DataFrame:
-    """First match of every pattern in every line, masked; matches below `min_entropy` are left out."""
-    table = small_rows(patterns)
-    candidates = files
-    if not any(mark in p["pattern"] for p in table for mark in _LOOKS_AROUND):
-        # whatever matches within a line also matches within the text
-        candidates = files.filter(
-            any_of([F.col("content").rlike(java_pattern(p["pattern"])) for p in table])
-        )
-    lines = candidates.select(
-        "scan_id", "path", F.posexplode(F.split("content", "\n")).alias("_no", "line")
-    ).select("scan_id", "path", (F.col("_no") + 1).alias("line_number"), "line")
-    hits = pattern_hits(lines, table)
-    if min_entropy is not None:
-        hits = hits.filter(shannon_entropy(F.col("matched")) >= min_entropy)
-    masked = mask_secret(F.col("matched"))
-    return hits.select(
-        finding(
-            "secret",
-            scan_id=F.col("scan_id"),
-            rule_id=F.concat(
-                F.lit("SECRET-"), F.upper(F.regexp_replace("pattern.name", "[^a-zA-Z0-9]", "-"))
-            ),
-            title=F.col("pattern.name"),
-            description=F.col("pattern.description"),
-            severity=F.col("pattern.severity"),
-            category=F.lit("secret"),
-            file_path=F.col("path"),
-            line_number=F.col("line_number"),
-            evidence=masked,
-            remediation=F.lit("Rotate the credential and load it from a secret store."),
-            tags=F.col("pattern.tags"),
-            metadata=F.create_map(
-                F.lit("pattern_name"), F.col("pattern.name"), F.lit("masked_value"), masked
-            ),
-            position=F.col("line_number").cast("bigint") * F.lit(1 << 16) + F.col("pattern_no"),
-        )
-    )
-
-
-def _drift(no: int, check, content: Column, kind: Column) -> Column:
-    """What one check has against a text, or null."""
-    pattern = java_pattern(check["pattern"])
-    hit = content.rlike(pattern)
-    matched = F.regexp_extract(content, pattern, 0)
-    start = F.regexp_instr(content, F.lit(pattern))
-    line = F.size(F.split(F.left(content, start - 1), "\n"))
-    row = lambda line_number, evidence, detail: F.struct(
-        F.lit(no).alias("check_no"),
-        line_number.alias("line_number"),
-        evidence.alias("evidence"),
-        detail.alias("detail"),
-    )
-    absence = {
-        "must_exist": ("Expected pattern not found: ", "Pattern not present in file"),
-        "must_match": ("Required pattern not matched: ", "Pattern not matched"),
-    }
-    presence = {
-        "must_not_exist": "Forbidden pattern found: ",
-        "must_not_match": "Insecure pattern matched: ",
-    }
-    of_kind = kind == check["config_type"]
-    if check["check_type"] in absence:
-        detail, evidence = absence[check["check_type"]]
-        return F.when(of_kind & ~hit, row(F.lit(0), F.lit(evidence), F.lit(detail + check["pattern"])))
-    if check["check_type"] in presence:
-        detail = F.concat(F.lit(presence[check["check_type"]]), matched)
-        return F.when(of_kind & hit, row(line, F.left(matched, F.lit(200)), detail))
-    return F.lit(None).cast("struct<check_no:int,line_number:int,evidence:string,detail:string>")
-
-
-def drift_scan(files: DataFrame, checks: DataFrame) -> DataFrame:
-    """Deviations of configuration files from the baseline of their type.
-
-    A forbidden match counts once, at its first place; a missing one gets line 0.
-    """
-    table = small_rows(checks)
-    kinds = sorted({c["config_type"] for c in table})
-    kind = config_type(F.col("path"))
-    drifts = F.filter(
-        F.array(*[_drift(no, c, F.col("content"), F.col("_kind")) for no, c in enumerate(table)]),
-        lambda row: row.isNotNull(),
-    )
-    rows = (
-        files.select("scan_id", "path", "content", kind.alias("_kind"))
-        .filter(F.col("_kind").isin(kinds))
-        .select("scan_id", "path", "_kind", F.inline(drifts))
-        .withColumn("_check", F.get(literal_table([c.asDict() for c in table], CHECK), F.col("check_no")))
-    )
-    return rows.select(
-        finding(
-            "drift",
-            scan_id=F.col("scan_id"),
-            rule_id=F.col("_check.check_id"),
-            title=F.col("_check.name"),
-            description=F.col("_check.description"),
-            severity=F.col("_check.severity"),
-            category=F.lit("drift"),
-            file_path=F.col("path"),
-            line_number=F.col("line_number"),
-            evidence=F.col("evidence"),
-            remediation=F.col("_check.remediation"),
-            tags=F.col("_check.tags"),
-            metadata=F.create_map(
-                F.lit("config_type"), F.col("_kind"),
-                F.lit("check_type"), F.col("_check.check_type"),
-                F.lit("drift_detail"), F.col("detail"),
-            ),
-            position=F.col("check_no").cast("bigint"),
-        )
-    )

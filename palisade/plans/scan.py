@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,32 +23,33 @@ FIRST = ["detector", "file_path", "position"]
 
 
 def routed(rows: DataFrame, scans: DataFrame, detector: str) -> DataFrame:
-    """Input rows of the scans whose type runs this detector."""
+    """Rows of the scans whose type runs this detector."""
     wanted = scans.filter(F.col("scan_type").isin(ROUTES[detector])).select("scan_id")
     return rows.join(wanted, "scan_id", "left_semi")
 
 
-def all_detectors(inputs: dict[str, DataFrame], scans: DataFrame, run: dict[str, Callable]) -> DataFrame:
-    """Findings of all detectors over the inputs they are routed to, in detector order.
+def all_detectors(
+    files: DataFrame,
+    scans: DataFrame,
+    rules: DataFrame,
+    patterns: DataFrame,
+    checks: DataFrame,
+    others: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Findings of all detectors, each for the scans whose type asks for it.
 
-    `inputs` and `run` are keyed by detector; a detector without input is left out.
+    The three text detectors share one pass over the files. If the files carry `scan_type` they are
+    not joined at all, which is how a large corpus should come. `others` holds findings of
+    dependencies (cve), analysers (sast) and history (git-history).
     """
-    parts = [run[name](routed(inputs[name], scans, name)) for name in ROUTES if name in inputs]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part, allowMissingColumns=True)
+    if "scan_type" not in files.columns:
+        files = files.join(scans.select("scan_id", "scan_type"), "scan_id")
+    found = detect.scan_files(files, rules, patterns, checks, only_config=True, routes=ROUTES)
+    for name, rows in (others or {}).items():
+        found = found.unionByName(routed(rows, scans, name), allowMissingColumns=True)
     return found
 
 
-def default_run(rules: DataFrame, checks: DataFrame, patterns: DataFrame) -> dict[str, Callable]:
-    """Detectors over files with the given configuration tables."""
-    return {
-        "misconfig": lambda files: detect.rule_scan(detect.config_files(files), rules),
-        "secret": lambda files: detect.secret_scan(files, patterns),
-        "drift": lambda files: detect.drift_scan(files, checks),
-    }
-
-
 def with_finding_id(df: DataFrame) -> DataFrame:
     """A stable id from what makes a finding unique, so that a repeated run gives the same ids."""
     parts = [

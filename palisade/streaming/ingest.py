@@ -30,10 +30,10 @@ def incremental_ingest(
     root: str,
     findings_path: str,
     checkpoint: str,
-    run: dict[str, Callable],
+    detect: Callable[[DataFrame], DataFrame],
     files_per_trigger: int = 1000,
 ) -> StreamingQuery:
-    """Scan the files that arrived since the last run, then stop.
+    """Scan the files that arrived since the last run with `detect` (files to findings), then stop.
 
     Findings go to `findings_path/batch=<n>`. A batch that is run again writes the same rows to the
     same folder, and a finding that an earlier batch stored is not stored twice: ids are made from
@@ -49,11 +49,7 @@ def incremental_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         files = corpus_rows(batch, root)
-        parts = [detect(files) for detect in run.values()]
-        raw = parts[0]
-        for part in parts[1:]:
-            raw = raw.unionByName(part)
-        rows = stored_findings(raw, files)
+        rows = stored_findings(detect(files))
         known = _stored_ids(batch.sparkSession, findings_path, batch_id)
         if known is not None:
             rows = rows.join(known, "finding_id", "left_anti")
