@@ -1,4 +1,7 @@
 """All registered queries."""
 
 from checks.registry import ORACLES, QUERIES  # noqa: F401
-from checks.queries import expressions, scoring, dashboard, detection  # noqa: F401
+from checks.queries import (  # noqa: F401
+    compliance, dashboard, detection, expressions, intel, manifests, remediation, reports, scoring, storage,
+    streams,
+)

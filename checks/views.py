@@ -237,8 +237,8 @@ VIEWS["v_poms"] = """
 SELECT s_suppkey AS id, CAST(s_nationkey AS STRING) AS scan_id, '/srv/m' || CAST(s_suppkey AS STRING) || '/pom.xml' AS path,
        '<project xmlns="http://maven.apache.org/POM/4.0.0"><properties><lib.version>1.' || CAST(s_nationkey AS STRING)
        || '</lib.version></properties><dependencies><dependency><groupId>org.g' || CAST(s_nationkey AS STRING)
-       || '</groupId><artifactId>lib' || CAST(s_suppkey AS STRING) || '</artifactId><version>${lib.version}</version></dependency>'
-       || '<dependency><artifactId>t</artifactId><version>${missing}</version><scope>test</scope></dependency></dependencies>'
+       || '</groupId><artifactId>lib' || CAST(s_suppkey AS STRING) || '</artifactId><version>' || chr(36) || '{lib.version}</version></dependency>'
+       || '<dependency><artifactId>t</artifactId><version>' || chr(36) || '{missing}</version><scope>test</scope></dependency></dependencies>'
        || '<dependencyManagement><dependencies><dependency><groupId>m</groupId><artifactId>bom</artifactId></dependency></dependencies>'
        || '</dependencyManagement></project>' AS content
 FROM supplier
@@ -317,3 +317,9 @@ SELECT event_id, ts, scan_id, type, percent,
        CASE WHEN percent < 10 THEN 'critical' WHEN percent < 20 THEN 'high' WHEN percent < 40 THEN 'medium' ELSE 'info' END AS severity
 FROM v_progress
 """
+
+VIEWS["v_counted_scans"] = """
+SELECT scan_id, status, created_at, CAST(length(target) % 5 AS INT) AS critical_count, CAST(length(target) % 7 AS INT) AS high_count,
+       CAST(length(scan_id) AS INT) AS medium_count, CAST(length(scan_type) AS INT) AS low_count
+FROM v_scans
+"""

@@ -212,8 +212,8 @@ def pipfile_lock(files: DataFrame) -> DataFrame:
 
 _POM_DEPENDENCY = "dependency:array<struct<groupId:string,artifactId:string,version:string,scope:string>>"
 _POM = (
-    f"struct<properties:map<string,string>,dependencies:struct<{_POM_DEPENDENCY}>,"
-    f"dependencyManagement:struct<dependencies:struct<{_POM_DEPENDENCY}>>>"
+    f"properties map<string,string>, dependencies struct<{_POM_DEPENDENCY}>, "
+    f"dependencyManagement struct<dependencies:struct<{_POM_DEPENDENCY}>>"
 )
 
 
@@ -225,7 +225,7 @@ def maven_pom(files: DataFrame) -> DataFrame:
         lambda d: d.withField("managed", F.lit(managed)),
     )
     rows = (
-        files.select("scan_id", "path", F.from_xml("content", _POM[7:-1]).alias("_pom"))
+        files.select("scan_id", "path", F.from_xml("content", _POM).alias("_pom"))
         .select(
             "scan_id",
             "path",

@@ -26,10 +26,13 @@ def last_per_id(rows: DataFrame, id_column: str = "cve_id", position: str = "pos
     )
 
 
-def kev_rows(feed: DataFrame) -> DataFrame:
-    """Known-exploited feed documents as rows: cve_id, product, short_description."""
-    rows = feed.select(F.posexplode("vulnerabilities").alias("position", "v")).select(
-        "position",
+def kev_rows(feed: DataFrame, *order: str) -> DataFrame:
+    """Known-exploited feed documents as rows: cve_id, product, short_description.
+
+    `order` names the columns that put several documents in order, the last one winning.
+    """
+    rows = feed.select(*order, F.posexplode("vulnerabilities").alias("_i", "v")).select(
+        F.struct(*order, "_i").alias("position"),
         F.col("v.cveID").alias("cve_id"),
         F.col("v.product").alias("product"),
         F.col("v.shortDescription").alias("short_description"),
@@ -37,10 +40,10 @@ def kev_rows(feed: DataFrame) -> DataFrame:
     return last_per_id(rows)
 
 
-def epss_rows(feed: DataFrame) -> DataFrame:
+def epss_rows(feed: DataFrame, *order: str) -> DataFrame:
     """Exploit-probability documents as rows; a number that does not parse gives null."""
-    rows = feed.select(F.posexplode("data").alias("position", "d")).select(
-        "position",
+    rows = feed.select(*order, F.posexplode("data").alias("_i", "d")).select(
+        F.struct(*order, "_i").alias("position"),
         F.col("d.cve").alias("cve_id"),
         F.col("d.epss").try_cast("double").alias("epss"),
         F.col("d.percentile").try_cast("double").alias("percentile"),
