@@ -232,3 +232,22 @@ def stored_corpus(t: Inputs):
     """Files to stored findings with the demo rules: scan, score, deduplicate, map."""
     raw = detect.rule_scan(spread(t.v_files, "path"), demo_rules(t))
     return plan.stored_findings(raw)
+
+
+_SEVERITY_SQL = "(VALUES " + ", ".join(
+    f"('{r['id']}', '{r['name']}', '{' '.join(r.get('tags', []))}', "
+    f"{ {'critical': 9.5, 'high': 7.5, 'medium': 5.0, 'low': 2.5, 'info': 0.5}[r['severity']] }::DOUBLE)"
+    for r in DEMO_RULES
+) + ") AS r(rule_id, title, tags, base)"
+
+
+@query(MATCHES + f""", words AS (SELECT path, list(regexp_matches(lower(line), '{detect.KEYWORD_PATTERN}') ORDER BY line_number) AS hits FROM lines GROUP BY path),
+one AS (SELECT DISTINCT scan_id, path, m.rule_id, line_number, left(evidence, 120) AS start, base,
+   regexp_matches(lower(path || ' ' || evidence || ' ' || title || ' ' || tags), '{detect.KEYWORD_PATTERN}') OR list_contains(list_slice(hits, greatest(line_number - 2, 1), line_number + 2), true) AS banking
+  FROM matches m JOIN {_SEVERITY_SQL} ON r.rule_id = m.rule_id JOIN words w USING (path)),
+s AS (SELECT *, greatest(0, least(10, base + 2 * regexp_matches(path, '/(payments|auth|wallet)/')::INT + 2 * regexp_matches(path, '(?i)(prod|live|release|deploy)')::INT
+   + 1.5::DOUBLE * banking::INT - regexp_matches(path, '/tests/')::INT - 0.5::DOUBLE * regexp_matches(path, '/examples/')::INT)) AS f FROM one)
+SELECT scan_id, path AS file_path, rule_id, line_number::INT AS line_number, round(f, 1) AS final_score,
+ CASE WHEN f >= 9 THEN 'critical' WHEN f >= 7 THEN 'high' WHEN f >= 4 THEN 'medium' WHEN f >= 1 THEN 'low' ELSE 'info' END AS severity FROM s""")
+def corpus_findings(t: Inputs):
+    return stored_corpus(t).select("scan_id", "file_path", "rule_id", "line_number", "final_score", "severity")
