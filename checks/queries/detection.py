@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from checks.registry import Inputs, query
 from palisade.operators import analysers, detect, directives, history
+from palisade.operators.scoring import BANKING_WORDS
 from palisade.plans import scan as plan
-from palisade.session import spread
 from palisade.sources import rules as rule_source
 from palisade.sources.gitlog import latest_commits
 
 c = F.col
+KEYWORDS = "|".join(BANKING_WORDS)
 
 # Rules for what is planted in the given texts. Patterns stay within a line.
 DEMO_RULES = [
@@ -61,15 +62,15 @@ MATCHES = f"WITH {LINES}, matches AS ({_rules_sql()})"
 
 @query(MATCHES + "SELECT scan_id, path AS file_path, rule_id, line_number::INT AS line_number, left(evidence, 200) AS evidence FROM matches")
 def rule_scan(t: Inputs):
-    found = detect.rule_scan(spread(t.v_files, "path"), demo_rules(t))
+    found = detect.rule_scan(t.busy.v_files, demo_rules(t))
     return found.select("scan_id", "file_path", "rule_id", "line_number", "evidence")
 
 
-@query(MATCHES + f""", words AS (SELECT path, list(regexp_matches(lower(line), '{detect.KEYWORD_PATTERN}') ORDER BY line_number) AS hits FROM lines GROUP BY path)
+@query(MATCHES + f""", words AS (SELECT path, list(regexp_matches(lower(line), '{KEYWORDS}') ORDER BY line_number) AS hits FROM lines GROUP BY path)
 SELECT m.path AS file_path, rule_id, line_number::INT AS line_number, list_contains(list_slice(hits, greatest(line_number - 2, 1), line_number + 2), true) AS context_keyword
 FROM matches m JOIN words w ON w.path = m.path""")
 def rule_context_words(t: Inputs):
-    found = detect.rule_scan(spread(t.v_files, "path"), demo_rules(t))
+    found = detect.rule_scan(t.busy.v_files, demo_rules(t))
     return found.select("file_path", "rule_id", "line_number", "context_keyword")
 
 
@@ -77,7 +78,7 @@ def rule_context_words(t: Inputs):
 SELECT m.path AS file_path, rule_id, line_number::INT AS line_number, array_to_string(list_slice(all_lines, greatest(line_number - 2, 1), line_number + 2), chr(10)) AS context
 FROM matches m JOIN whole w ON w.path = m.path""")
 def rule_context_text(t: Inputs):
-    found = detect.rule_scan(spread(t.v_files, "path"), demo_rules(t), keep_context_text=True)
+    found = detect.rule_scan(t.busy.v_files, demo_rules(t), keep_context_text=True)
     return found.select("file_path", "rule_id", "line_number", F.element_at("metadata", "context").alias("context"))
 
 
@@ -96,7 +97,7 @@ hits AS (SELECT scan_id, path, line_number, name, CASE name WHEN 'Hex Token' THE
    ELSE regexp_extract(line, '(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----') END AS m FROM lines, p)
 SELECT scan_id, path AS file_path, line_number::INT AS line_number, name AS title, left(m,4) || repeat('*', length(m) - 8) || right(m,4) AS evidence FROM hits WHERE m <> ''""")
 def secret_scan(t: Inputs):
-    found = detect.secret_scan(spread(t.v_files, "path"), rule_source.builtin_secret_patterns(t.spark))
+    found = detect.secret_scan(t.busy.v_files, rule_source.builtin_secret_patterns(t.spark))
     return found.select("scan_id", "file_path", "line_number", "title", "evidence")
 
 
@@ -106,7 +107,7 @@ e AS (SELECT scan_id, path, line_number, m, -sum(n / length(m)::DOUBLE * log2(n
 SELECT scan_id, path AS file_path, line_number::INT AS line_number, left(m,4) || repeat('*', length(m) - 8) || right(m,4) AS evidence FROM e WHERE bits >= 2.9""")
 def secret_scan_entropy(t: Inputs):
     patterns = rule_source.builtin_secret_patterns(t.spark).filter("name = 'Card Number'")
-    found = detect.secret_scan(spread(t.v_files, "path"), patterns, min_entropy=2.9)
+    found = detect.secret_scan(t.busy.v_files, patterns, min_entropy=2.9)
     return found.select("scan_id", "file_path", "line_number", "evidence")
 
 
@@ -118,7 +119,7 @@ UNION ALL SELECT path, 'PAGE-3', len(string_split(regexp_extract(content, '(?is)
 UNION ALL SELECT path, 'PAGE-4', len(string_split(regexp_extract(content, '(?is)^(.*?)class="ad"', 1), chr(10)))::INT, regexp_extract(content, '(?i)class="ad"'), 'Forbidden pattern found: ' || regexp_extract(content, '(?i)class="ad"')
   FROM v_page_files WHERE regexp_matches(content, '(?i)class="ad"')""")
 def drift_scan(t: Inputs):
-    found = detect.drift_scan(spread(t.v_page_files, "path"), demo_checks(t))
+    found = detect.drift_scan(t.busy.v_page_files, demo_checks(t))
     return found.select(
         "file_path", "rule_id", "line_number", "evidence", F.element_at("metadata", "drift_detail").alias("detail")
     )
@@ -159,7 +160,7 @@ ADDED = """added AS (SELECT repo, doc_id, short_hash, author, date, path || '/f'
 
 
 def _commits(t: Inputs):
-    return t.v_git_records.select("repo", F.struct("doc_id").alias("commit_order"), "record")
+    return t.busy.v_git_records.select("repo", F.struct("doc_id").alias("commit_order"), "record")
 
 
 @query(f"WITH {ADDED} SELECT repo, short_hash, author, path, line_number::INT AS line_number, line FROM added WHERE NOT starts_with(line, '++')")
@@ -178,7 +179,7 @@ k AS (SELECT *, left(m,4) || repeat('*', length(m) - 8) || right(m,4) AS masked,
 SELECT repo AS scan_id, 'GIT-SECRET-' || upper(replace(name, ' ', '-')) || '-' || short_hash || '-' || left(sha256(path), 6) AS rule_id, path AS file_path, line_number::INT AS line_number,
  'Commit: ' || short_hash || ' | Author: ' || author || ' | Date: ' || date || ' | Secret: ' || masked AS evidence FROM k WHERE n = 1""")
 def history_scan(t: Inputs):
-    lines = t.v_commits.select(
+    lines = t.busy.v_commits.select(
         "repo", F.struct("doc_id").alias("commit_order"), "hash", "short_hash", "author", "date", "message", "path",
         F.posexplode(F.split("text", "\n")).alias("_i", "line"),
     ).withColumn("line_number", c("_i") + 1)
@@ -216,7 +217,7 @@ secrets AS (SELECT l.scan_id, 'secret' AS category FROM lines l JOIN types t ON
    (VALUES ('token\\s*=\\s*["''][0-9a-f]{{40}}["'']'), ('\\b[0-9]{{13,19}}\\b')) AS p(pattern) WHERE regexp_matches(line, '(?i)' || pattern))
 SELECT scan_id, category, count(*) AS n FROM (SELECT * FROM rules UNION ALL SELECT * FROM secrets) GROUP BY ALL""")
 def all_detectors(t: Inputs):
-    files = spread(t.v_files, "path")
+    files = t.busy.v_files
     last = F.right("scan_id", F.lit(1))
     scans = t.v_files.select("scan_id").distinct().withColumn(
         "scan_type",
@@ -230,7 +231,7 @@ def all_detectors(t: Inputs):
 
 def stored_corpus(t: Inputs):
     """Files to stored findings with the demo rules: scan, score, deduplicate, map."""
-    raw = detect.rule_scan(spread(t.v_files, "path"), demo_rules(t))
+    raw = detect.rule_scan(t.busy.v_files, demo_rules(t))
     return plan.stored_findings(raw)
 
 
@@ -241,9 +242,9 @@ _SEVERITY_SQL = "(VALUES " + ", ".join(
 ) + ") AS r(rule_id, title, tags, base)"
 
 
-@query(MATCHES + f""", words AS (SELECT path, list(regexp_matches(lower(line), '{detect.KEYWORD_PATTERN}') ORDER BY line_number) AS hits FROM lines GROUP BY path),
+@query(MATCHES + f""", words AS (SELECT path, list(regexp_matches(lower(line), '{KEYWORDS}') ORDER BY line_number) AS hits FROM lines GROUP BY path),
 one AS (SELECT DISTINCT scan_id, path, m.rule_id, line_number, left(evidence, 120) AS start, base,
-   regexp_matches(lower(path || ' ' || evidence || ' ' || title || ' ' || tags), '{detect.KEYWORD_PATTERN}') OR list_contains(list_slice(hits, greatest(line_number - 2, 1), line_number + 2), true) AS banking
+   regexp_matches(lower(path || ' ' || evidence || ' ' || title || ' ' || tags), '{KEYWORDS}') OR list_contains(list_slice(hits, greatest(line_number - 2, 1), line_number + 2), true) AS banking
   FROM matches m JOIN {_SEVERITY_SQL} ON r.rule_id = m.rule_id JOIN words w USING (path)),
 s AS (SELECT *, greatest(0, least(10, base + 2 * regexp_matches(path, '/(payments|auth|wallet)/')::INT + 2 * regexp_matches(path, '(?i)(prod|live|release|deploy)')::INT
    + 1.5::DOUBLE * banking::INT - regexp_matches(path, '/tests/')::INT - 0.5::DOUBLE * regexp_matches(path, '/examples/')::INT)) AS f FROM one)

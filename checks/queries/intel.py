@@ -25,7 +25,7 @@ def cve_mentions(t: Inputs):
     text = F.concat(
         F.lit("see cve-2020-"), F.lpad(c("line_number").cast("string"), 4, "0"), F.lit(" and CVE-1999-12")
     )
-    return intel.cve_mentions(t.v_findings.withColumn("description", text))
+    return intel.cve_mentions(t.busy.v_findings.withColumn("description", text))
 
 
 @query(f"""WITH m AS (SELECT cve_id, max(cvss_score) AS cvss FROM v_findings WHERE cve_id IS NOT NULL GROUP BY 1)

@@ -42,7 +42,7 @@ def _modifier_names(df):
     CASE WHEN m4 THEN 'secret_non_test1.0' END, CASE WHEN m5 THEN 'banking_context1.5' END, CASE WHEN m6 THEN 'test_directory-1.0' END, CASE WHEN m7 THEN 'example_directory-0.5' END) AS modifiers
 FROM scored""")
 def contextual_score(t: Inputs):
-    scored = scoring.score(t.v_findings.withColumn("description", F.lit("")))
+    scored = scoring.score(t.busy.v_findings.withColumn("description", F.lit("")))
     return scored.select(
         "finding_id", "base_score", "final_score", "severity", "original_severity",
         _modifier_names(scored).alias("modifiers"),
@@ -51,7 +51,7 @@ def contextual_score(t: Inputs):
 
 @query(SCORED + "SELECT scored_severity AS severity, final_score, count(*) AS n FROM scored GROUP BY 1, 2")
 def score_distribution(t: Inputs):
-    scored = scoring.score_all(t.v_findings)
+    scored = scoring.score_all(t.busy.v_findings)
     return scored.groupBy("severity", "final_score").agg(F.count("*").alias("n"))
 
 

@@ -8,34 +8,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from checks.views import TABLES, VIEWS
+from palisade.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 class Inputs:
-    """The given tables and the views over them, as DataFrames: `t.v_findings`, `t.lineitem`."""
+    """The given tables and the views over them, as DataFrames: `t.v_findings`, `t.lineitem`.
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    `t.busy` gives the same tables spread over all cores where a file has fewer splits than that,
+    for queries that work hard on every row.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self.spread_rows = spread_rows
+
+    @property
+    def busy(self) -> Inputs:
+        return Inputs(self.spark, self.sf_dir, spread_rows=True)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(df) if self.spread_rows else df
+        if name not in VIEWS:
+            raise AttributeError(name)
         return self.sql(VIEWS[name])
 
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over table and view names."""
-        return self.spark.sql(_on_files(with_views(text), self.sf_dir))
 
+        def on_file(match: re.Match) -> str:
+            word, table = match.groups()
+            if not self.spread_rows:
+                return f"{word} parquet.`{self.sf_dir}/{table}.parquet`"
+            getattr(self, table).createOrReplaceTempView(f"busy_{table}")
+            return f"{word} busy_{table}"
 
-def _on_files(text: str, sf_dir: str) -> str:
-    return re.sub(
-        rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b",
-        lambda m: f"{m.group(1)} parquet.`{sf_dir}/{m.group(2)}.parquet`",
-        text,
-    )
+        return self.spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", on_file, with_views(text)))
 
 
 def _used_views(text: str) -> list[str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from palisade.functions import config_type, glob_match, has_excluded_dir, is_config_file, mask_secret, shannon_entropy
 from palisade.functions.base import any_of
 from palisade.operators.common import DETECTORS, finding, java_pattern, literal_table, small_rows, source_lines
-from palisade.operators.scoring import KEYWORD_PATTERN
+from palisade.operators.scoring import BANKING_WORDS, holds_any
 from palisade.schemas import SECRET_PATTERN
 
 # Marks a match start while lines are counted; if a text holds the character, it is swapped first.
@@ -163,20 +163,29 @@ def _check_entry(c) -> dict:
 
 
 def _context_flags(n_rules: int) -> Column:
-    """Matches with `context_keyword`: whether a banking word is within two lines of a rule match."""
+    """Matches with `context_keyword`: whether a banking word is within two lines of a rule match.
+
+    Where there are many matches all lines are tested once (`_words`), else only those around a match.
+    """
     first = lambda m: F.greatest(m["line_number"] - CONTEXT_RADIUS, F.lit(1))
-    around = lambda m: F.slice(
-        F.col("_words"), first(m), m["line_number"] + CONTEXT_RADIUS - first(m) + 1
+    around = lambda m, lines: F.slice(
+        F.col(lines), first(m), m["line_number"] + CONTEXT_RADIUS - first(m) + 1
     )
+    near = lambda m: F.when(
+        F.col("_words").isNotNull(), F.exists(around(m, "_words"), lambda hit: hit)
+    ).otherwise(F.exists(around(m, "_lines"), _holds_word))
     return F.transform(
         "_found",
         lambda m: m.withField(
-            "context_keyword",
-            F.when(m["entry"] < n_rules, F.exists(around(m), lambda hit: hit)).otherwise(F.lit(False)),
+            "context_keyword", F.when(m["entry"] < n_rules, near(m)).otherwise(F.lit(False))
         ),
     )
 
 
+def _holds_word(line: Column) -> Column:
+    return holds_any(F.lower(line), BANKING_WORDS)
+
+
 def scan_files(
     files: DataFrame,
     rules: DataFrame | None = None,
@@ -220,12 +229,11 @@ def scan_files(
     scanned = files.withColumn("_kind", config_type(F.col("path"))).select(
         "scan_id", "path", "content", F.concat(*parts).alias("_found")
     )
-    words = F.when(
-        F.exists("_found", lambda m: m["entry"] < len(rule_rows)),
-        F.transform(F.split("content", "\n"), lambda line: F.lower(line).rlike(KEYWORD_PATTERN)),
-    )
+    lines = F.when(F.exists("_found", lambda m: m["entry"] < len(rule_rows)), F.split("content", "\n"))
+    many = F.size("_found") * (2 * CONTEXT_RADIUS + 1) > F.size("_lines")
     rows = (
-        scanned.select("scan_id", "path", "_found", words.alias("_words"))
+        scanned.select("scan_id", "path", "_found", lines.alias("_lines"))
+        .select("*", F.when(many, F.transform("_lines", _holds_word)).alias("_words"))
         .select("scan_id", "path", F.inline(_context_flags(len(rule_rows))))
         .withColumn("_e", F.get(literal_table(entries, ENTRY), F.col("entry")))
     )
