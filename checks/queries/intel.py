@@ -139,7 +139,7 @@ def cve_findings(t: Inputs):
         .otherwise(F.array().cast("array<string>")).alias("fixed_versions"),
         F.array().cast("array<string>").alias("references"),
     )
-    found = adv.cve_findings(adv.match_advisories(deps, _ranges(t)), flat)
+    found = adv.cve_findings(deps, _ranges(t), flat)
     return found.select("rule_id", "title", "evidence", "remediation", "severity")
 
 

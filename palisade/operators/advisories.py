@@ -111,12 +111,11 @@ def lookup_dedupe(deps: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def match_advisories(deps: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Dependencies that an advisory affects, with `osv_id` and `match_kind` (exact or range).
+def advisory_hits(deps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Distinct package versions that an advisory affects: ecosystem, name, version, osv_id, match_kind.
 
-    Distinct versions are matched first and the answer is joined back, so a package that a third of
-    all projects use is looked up once per version. Ranges compare numeric dotted versions; any
-    other version can only match an exact list.
+    `match_kind` is exact or range. Ranges compare numeric dotted versions; any other version can only
+    match an exact list.
     """
     lookups = deps.select("ecosystem", "name", "version").distinct().withColumn(
         "_key", version_key(F.col("version"))
@@ -128,18 +127,32 @@ def match_advisories(deps: DataFrame, ranges: DataFrame) -> DataFrame:
     )
     in_range = (F.col("_low") <= F.col("_key")) & (F.col("_open") | (F.col("_key") < F.col("_high")))
     listed = F.coalesce(F.col("exact") == F.col("version"), F.lit(False))
-    hits = (
+    return (
         lookups.join(spans, ["ecosystem", "name"])
         .filter(listed | F.coalesce(in_range, F.lit(False)))
         .groupBy("ecosystem", "name", "version", "osv_id")
         .agg(F.when(F.bool_or(listed), "exact").otherwise("range").alias("match_kind"))
     )
-    return deps.join(hits, ["ecosystem", "name", "version"])
 
 
-def cve_findings(matched: DataFrame, flat: DataFrame) -> DataFrame:
-    """Findings of matched dependencies; `flat` comes from `advisory_flatten`."""
-    rows = matched.join(flat, "osv_id")
+VERSION = ["ecosystem", "name", "version"]
+
+
+def match_advisories(deps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Dependencies that an advisory affects, with `osv_id` and `match_kind`.
+
+    Distinct versions are matched and the answer is joined back, so a package that a third of all
+    projects use is looked up once per version.
+    """
+    return deps.join(advisory_hits(deps, ranges), VERSION)
+
+
+def cve_findings(deps: DataFrame, ranges: DataFrame, flat: DataFrame) -> DataFrame:
+    """Findings of affected dependencies; `ranges` and `flat` come from the same advisories.
+
+    Advisory texts are joined to distinct versions; dependencies fan out once, at the end.
+    """
+    rows = deps.join(advisory_hits(deps, ranges).join(flat, "osv_id"), VERSION)
     name, version, fixed = F.col("name"), F.col("version"), F.col("fixed_versions")
     others = F.when(
         F.size(fixed) > 1,

@@ -107,9 +107,16 @@ def compliance_controls(
 ) -> DataFrame:
     """One row per control: status and number of findings. The findings: `control_findings`.
 
-    The findings are counted once by category; controls are unfolded over that single row.
+    Findings are counted per scan and category first, so only counts meet the scans; controls are
+    unfolded over the one row that is left.
     """
-    counts = violations(findings, scans, scan_id).agg(*_count_columns())
+    open_ones = findings.filter(~F.col("is_fixed") & F.col("severity").isin(VIOLATING))
+    if scan_id is not None:
+        return _control_rows(open_ones.filter(F.col("scan_id") == scan_id).agg(*_count_columns()), framework)
+    per_scan = open_ones.groupBy("scan_id").agg(*_count_columns())
+    completed = scans.filter("status = 'completed'").select("scan_id")
+    names = [f"_{c}" for c in CATEGORIES]
+    counts = per_scan.join(completed, "scan_id", "left_semi").agg(*[F.sum(n).alias(n) for n in names])
     return _control_rows(counts, framework)
 
 

@@ -27,8 +27,10 @@ def clear_history(scans: DataFrame, findings: DataFrame, active: DataFrame) -> t
     kept_scans = scans.join(gone, "scan_id", "left_anti")
     kept_findings = findings.join(gone, "scan_id", "left_anti")
     per_kind = gone.agg(F.count("*").alias("n")).withColumn("what", F.lit("deleted_scans")).unionByName(
-        findings.join(gone, "scan_id", "left_semi")
+        findings.groupBy("scan_id")
         .agg(F.count("*").alias("n"))
+        .join(gone, "scan_id", "left_semi")
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         .withColumn("what", F.lit("deleted_findings"))
     )
     report = per_kind.agg(

@@ -267,8 +267,16 @@ PARSERS = {
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """Packages of all manifests among the files, each read by the parser of its kind."""
-    kinds = files.withColumn("_kind", manifest_kind(F.col("path")))
+    """Packages of all manifests among the files, each read by the parser of its kind.
+
+    Manifests are a small part of a corpus: they are written out first, in one pass, and the parsers
+    read only them.
+    """
+    kinds = cut_lineage(
+        files.select("scan_id", "path", "content", manifest_kind(F.col("path")).alias("_kind")).filter(
+            "_kind <> 'unsupported'"
+        )
+    )
     parts = [parse(kinds.filter(F.col("_kind") == kind)) for kind, parse in PARSERS.items()]
     rows = parts[0]
     for part in parts[1:]:

@@ -284,26 +284,27 @@ def apply_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> tupl
     touched = files.join(fixes.select("scan_id", "path").distinct(), ["scan_id", "path"], "left_semi")
     lines = _lines(touched)
     place = ["scan_id", "path", "line_number"]
-    applied = fixes.join(lines.filter("is_line").select(*place), place, "left_semi")
     last = W.partitionBy(*place).orderBy(F.col("_order").desc())
     winners = (
-        applied.withColumn("_n", F.row_number().over(last))
+        fixes.withColumn("_n", F.row_number().over(last))
         .filter("_n = 1")
         .select(*place, "rule_id", "category", "cve_id", "package", "fixed_version")
     )
-    new_text = F.when(F.col("category").isNull(), F.col("text")).when(
+    hit = F.col("category").isNotNull() & F.col("is_line")
+    new_text = F.when(~hit, F.col("text")).when(
         F.col("category") == "cve",
         upgrade_line(F.col("package"), F.col("fixed_version"), F.col("cve_id")),
     ).otherwise(replacement_line(F.col("category"), F.col("rule_id"), F.col("path"), F.col("text")))
     changed = (
         lines.join(winners, place, "left")
         .select("scan_id", "path", F.struct("line_number", new_text.alias("text")).alias("_line"),
-                F.col("category").isNotNull().alias("_hit"))
+                hit.alias("_hit"))
         .groupBy("scan_id", "path")
         .agg(F.array_sort(F.collect_list("_line")).alias("_all"), F.bool_or("_hit").alias("_hit"))
         .filter("_hit")
         .select("scan_id", "path", F.array_join(F.transform("_all", lambda x: x["text"]), "\n").alias("content"))
     )
+    applied = fixes.join(lines.filter("is_line").select(*place), place, "left_semi")
     return changed, applied.select("finding_id").distinct()
 
 

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # no call-site capture for every column expression: plans with many expressions build faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # session_window merges per map task before the shuffle, so that a busy scan is not one big group
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }

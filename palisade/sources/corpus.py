@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from palisade.functions import has_excluded_dir, is_uploadable
 
+# The largest file that fits into a row; larger ones are listed by `oversized_files`.
+MAX_BYTES = 2**31 - 1024
+
 
 def repaired_text(content: Column) -> Column:
     """Bytes as text, bad sequences replaced."""
@@ -18,11 +21,21 @@ def read_corpus(spark: SparkSession, root: str, scan_id: str | None = None, glob
 
     Without `scan_id` the first folder below the root names the scan. `glob` is applied while
     listing, so that files it leaves out are never opened. Bytes that are no UTF-8 are replaced.
+    Files above MAX_BYTES are left out and listed by `oversized_files`.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return corpus_rows(reader.load(root), root, scan_id)
+    return corpus_rows(reader.load(root).filter(F.col("length") <= MAX_BYTES), root, scan_id)
+
+
+def oversized_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path, size_bytes of files that do not fit into a row and that `read_corpus` leaves out.
+
+    Only sizes are read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.filter(F.col("length") > max_bytes).select("path", F.col("length").alias("size_bytes"))
 
 
 def corpus_rows(files: DataFrame, root: str, scan_id: str | None = None) -> DataFrame:
