@@ -101,9 +101,13 @@ def running_count_history(events: DataFrame, unit: str = "day") -> DataFrame:
 
 
 def sessions(events: DataFrame, seconds: int = KEEP_ALIVE_SECONDS) -> DataFrame:
-    """Stretches of a scan without a silence of `seconds`: scan_id, first_ts, last_ts, n."""
+    """Stretches of a scan without a silence of `seconds`: scan_id, first_ts, last_ts, n.
+
+    Windows that touch are merged, so the gap is one microsecond short of the silence.
+    """
+    gap = f"{seconds - 1} seconds 999999 microseconds"
     return (
-        events.groupBy("scan_id", F.session_window("ts", f"{seconds} seconds").alias("_w"))
+        events.groupBy("scan_id", F.session_window("ts", gap).alias("_w"))
         .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
         .select("scan_id", "first_ts", "last_ts", "n")
     )
