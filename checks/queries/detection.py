@@ -192,7 +192,7 @@ SELECT scan_id, rule_id, title, CASE severity WHEN 'critical' THEN 'high' WHEN '
   CASE WHEN line_number % 2 = 0 THEN 'use ' || category ELSE 'Review and remediate per Semgrep rule guidance.' END AS remediation,
   CASE WHEN line_number % 2 = 0 THEN '' ELSE 'https://r/' || rule_id END AS links FROM v_findings""")
 def semgrep_findings(t: Inputs):
-    found = analysers.semgrep_findings(t.v_semgrep_documents)
+    found = analysers.semgrep_findings(t.busy.v_semgrep_documents)
     return found.select(
         "scan_id", "rule_id", "title", "severity", "file_path", "line_number", "evidence", "remediation",
         F.array_join("references", ",").alias("links"),
@@ -203,7 +203,7 @@ def semgrep_findings(t: Inputs):
 SELECT scan_id, rule_id, 'about ' || title AS description, CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' ELSE 'low' END AS severity, line_number,
   'See Bandit docs for ' || rule_id || ': https://b/' || rule_id AS remediation, CASE WHEN line_number % 2 = 0 THEN 'CWE-' || line_number * 10 END AS cwe FROM v_findings""")
 def bandit_findings(t: Inputs):
-    found = analysers.bandit_findings(t.v_bandit_documents)
+    found = analysers.bandit_findings(t.busy.v_bandit_documents)
     return found.select(
         "scan_id", "rule_id", "description", "severity", "line_number", "remediation",
         F.element_at("metadata", "cwe").alias("cwe"),

@@ -152,7 +152,7 @@ def paths_for_people(t: Inputs):
 SELECT finding_id, CASE WHEN length(evidence) <= 8 THEN repeat('*', length(evidence))
   ELSE left(evidence,4) || repeat('*', length(evidence)-8) || right(evidence,4) END AS masked, left(title || ' ' || file_path, 20) AS short FROM v_findings""")
 def mask_secret(t: Inputs):
-    return t.v_findings.select(
+    return t.busy.v_findings.select(
         "finding_id",
         P.mask_secret(c("evidence")).alias("masked"),
         P.truncate_evidence(F.concat_ws(" ", "title", "file_path"), 20).alias("short"),
@@ -179,7 +179,7 @@ def mask_db_url(t: Inputs):
 SELECT finding_id, 'GIT-SECRET-' || regexp_replace(upper(regexp_replace(title,'[^a-zA-Z0-9]','-','g')), '^-+|-+$', '', 'g') || '-' || scan_id || '-' || left(sha256(file_path),6) AS secret_id,
   left(sha256(category || ':' || title || ':' || rule_id), 16) AS dep_key FROM v_findings""")
 def hashed_ids(t: Inputs):
-    return t.v_findings.select(
+    return t.busy.v_findings.select(
         "finding_id",
         P.git_secret_id(c("title"), c("scan_id"), c("file_path")).alias("secret_id"),
         P.dep_key(c("category"), c("title"), c("rule_id")).alias("dep_key"),
@@ -248,7 +248,7 @@ def git_evidence_parts(t: Inputs):
         F.when(c("severity") == "low", " | nothing ").otherwise(" | Secret: a:b"),
     )
     parts = P.parse_git_evidence(evidence)
-    return t.v_findings.select("finding_id", parts.alias("m")).select(
+    return t.busy.v_findings.select("finding_id", parts.alias("m")).select(
         "finding_id",
         F.try_element_at("m", F.lit("commit")).alias("commit_hash"),
         F.try_element_at("m", F.lit("author")).alias("author"),
@@ -261,7 +261,7 @@ def added_by_patch(t: Inputs):
     patch = F.concat(
         F.lit("--- a/x\n+++ b/x\n@@ -1,1 +1,2 @@\n-"), "evidence", F.lit("\n+"), "title", F.lit("\n+"), "rule_id"
     )
-    return t.v_findings.select("finding_id", P.patch_added_lines(patch).alias("added"))
+    return t.busy.v_findings.select("finding_id", P.patch_added_lines(patch).alias("added"))
 
 
 @query("""SELECT scan_id, regexp_matches(target, '^https?://') AND NOT contains(target, ' ') AS allowed FROM v_scans""")
@@ -274,7 +274,7 @@ SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS bits FROM (
   SELECT doc_id, ch, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY doc_id)::DOUBLE AS total
   FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY doc_id, ch) GROUP BY doc_id""")
 def shannon_entropy(t: Inputs):
-    return t.documents.select("doc_id", F.round(P.shannon_entropy(c("text")), 6).alias("bits"))
+    return t.busy.documents.select("doc_id", F.round(P.shannon_entropy(c("text")), 6).alias("bits"))
 
 
 @query(r"""
@@ -296,7 +296,7 @@ def explained_findings(t: Inputs):
     )
     why = F.split(P.why_it_matters(c("category")), " ")[0]
     words = F.split(P.impact(c("category"), F.lit("X-1"), title, c("cve_id")), " ")
-    return t.v_findings.select(
+    return t.busy.v_findings.select(
         "finding_id",
         why.alias("why"),
         F.when(c("category") == "cve", words[1]).otherwise(words[0]).alias("impact"),

@@ -46,7 +46,7 @@ def enrich_cves(t: Inputs):
 SELECT s.scan_id, count(r.cve_id) AS total_cves, count(*) FILTER (known) AS known_exploited, count(*) FILTER (priority IN ('immediate','high')) AS high_priority, coalesce(max(epss), 0) AS max_epss
 FROM v_scans s LEFT JOIN r ON r.scan_id = s.scan_id GROUP BY 1""")
 def intel_summary(t: Inputs):
-    records = intel.scan_records(intel.cve_mentions(t.v_findings), t.v_kev, t.v_epss)
+    records = intel.scan_records(intel.cve_mentions(t.busy.v_findings), t.v_kev, t.v_epss)
     return intel.intel_summary(t.v_scans, records)
 
 
@@ -64,9 +64,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY points DESC, fi
 SELECT scan_id, finding_id, points, place FROM k WHERE place <= 5""")
 def top_risks(t: Inputs):
     records = intel.enrich_cves(
-        t.v_findings.select("cve_id", c("cvss_score").alias("cvss")), t.v_kev, t.v_epss
+        t.busy.v_findings.select("cve_id", c("cvss_score").alias("cvss")), t.v_kev, t.v_epss
     )
-    return dashboard.top_risks(t.v_findings, records).select("scan_id", "finding_id", "points", "place")
+    return dashboard.top_risks(t.busy.v_findings, records).select("scan_id", "finding_id", "points", "place")
 
 
 @query("""SELECT cve_id, product, short_description FROM (SELECT upper(cve_id) AS cve_id, product, short_description, row_number() OVER (PARTITION BY cve_id ORDER BY ord DESC) AS n

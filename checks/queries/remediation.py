@@ -43,7 +43,7 @@ def _forms(t: Inputs):
         .when(c("line_number") % 3 == 1, F.concat(F.lit("key: "), "scan_id"))
         .otherwise("bare")
     )
-    return t.v_findings.withColumns({"rule_id": rule, "file_path": path, "evidence": old})
+    return t.busy.v_findings.withColumns({"rule_id": rule, "file_path": path, "evidence": old})
 
 
 @query(f"""WITH {FORMS} SELECT finding_id, CASE category WHEN 'secret' THEN {SECRET} WHEN 'misconfig' THEN CASE rule_id WHEN 'INFRA-001' THEN old || chr(10) || 'USER appuser' WHEN 'ACME-WEB-003' THEN {CORS} ELSE {DEBUG} END END AS new_line FROM y""")

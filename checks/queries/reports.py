@@ -12,7 +12,7 @@ c = F.col
 
 
 def _described(t: Inputs):
-    return t.v_findings.withColumns(
+    return t.busy.v_findings.withColumns(
         {
             "description": F.concat(F.lit("about "), "title"),
             "remediation": F.when(c("category") == "drift", "").otherwise(F.concat(F.lit("fix "), "title")),
@@ -30,13 +30,13 @@ def _shape(lines):
 @query("""SELECT s.scan_id, section, CASE WHEN section = 1 THEN n ELSE 1 END AS n, CASE WHEN section = 1 THEN n - 1 ELSE 0 END AS n_commas
 FROM v_scans s CROSS JOIN (VALUES (0), (1), (2)) AS p(section) LEFT JOIN (SELECT scan_id, count(*) AS n FROM v_findings GROUP BY 1) f ON f.scan_id = s.scan_id WHERE section <> 1 OR n > 0""")
 def json_report_lines(t: Inputs):
-    return _shape(exports.to_json_report(t.v_findings, t.v_scans))
+    return _shape(exports.to_json_report(t.busy.v_findings, t.v_scans))
 
 
 @query("""SELECT scan_id, count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (category = 'cve') AS cve
 FROM v_findings GROUP BY 1""")
 def json_report_summary(t: Inputs):
-    head = exports.to_json_report(t.v_findings, t.v_scans).filter("section = 0")
+    head = exports.to_json_report(t.busy.v_findings, t.v_scans).filter("section = 0")
     doc = F.from_json(
         F.concat("line", F.lit("]}")),
         "summary struct<total:bigint,by_severity:struct<critical:bigint,info:bigint>,by_category:map<string,bigint>>",
@@ -52,7 +52,7 @@ FIRST = "o AS (SELECT *, row_number() OVER (PARTITION BY scan_id, rule_id ORDER
 
 @query(f"WITH {FIRST} SELECT scan_id, rule_id, rule_index, title, finding_id, severity FROM r")
 def sarif_rules(t: Inputs):
-    rules = exports.sarif_rules(t.v_findings, ["finding_id"])
+    rules = exports.sarif_rules(t.busy.v_findings, ["finding_id"])
     return rules.select("scan_id", "rule_id", "rule_index", "title", "finding_id", "severity")
 
 
@@ -86,7 +86,7 @@ def cyclonedx_lines(t: Inputs):
 p AS (SELECT s.scan_id, section, CASE section WHEN 1 THEN f.n WHEN 3 THEN m.n ELSE 1 END AS n FROM v_scans s CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS x(section) LEFT JOIN f ON f.scan_id = s.scan_id LEFT JOIN m ON m.scan_id = s.scan_id)
 SELECT scan_id, section, n, CASE WHEN section IN (1, 3) THEN n - 1 ELSE 0 END AS n_commas FROM p WHERE n IS NOT NULL""")
 def report_payload_lines(t: Inputs):
-    findings, scans = t.v_findings, t.v_scans
+    findings, scans = t.busy.v_findings, t.v_scans
     mentions = intel.cve_mentions(findings)
     records = intel.scan_records(mentions, t.v_kev, t.v_epss)
     top = dashboard.top_risks(findings, intel.enrich_cves(mentions.select("cve_id", "cvss"), t.v_kev, t.v_epss))

@@ -60,7 +60,7 @@ SELECT finding_id, CASE WHEN title IS NULL OR severity IS NULL THEN 5.0::DOUBLE
   CASE WHEN title IS NULL OR severity IS NULL THEN coalesce(severity, 'medium') END AS fallback_severity
 FROM (SELECT finding_id, CASE WHEN line_number % 3 = 0 THEN NULL ELSE title END AS title, CASE WHEN line_number % 4 = 0 AND category <> 'cve' THEN NULL ELSE severity END AS severity FROM v_findings)""")
 def score_fallback(t: Inputs):
-    broken = t.v_findings.withColumns(
+    broken = t.busy.v_findings.withColumns(
         {
             "title": F.when(c("line_number") % 3 != 0, c("title")),
             "severity": F.when((c("line_number") % 4 != 0) | (c("category") == "cve"), c("severity")),
@@ -87,7 +87,7 @@ def fill_evidence(t: Inputs):
 SELECT min(finding_id) AS finding_id, rule_id, file_path, line_number, left(evidence, 120) AS evidence_start
 FROM v_findings GROUP BY rule_id, file_path, line_number, left(evidence, 120)""")
 def dedupe_across_scans(t: Inputs):
-    one = t.v_findings.withColumn("scan_id", F.lit("all"))
+    one = t.busy.v_findings.withColumn("scan_id", F.lit("all"))
     return ops.dedupe_findings(one, ["finding_id"]).select(
         "finding_id", "rule_id", "file_path", "line_number", F.left("evidence", F.lit(120)).alias("evidence_start")
     )
@@ -96,7 +96,7 @@ def dedupe_across_scans(t: Inputs):
 @query("""
 SELECT min(finding_id) AS finding_id, scan_id, rule_id FROM v_findings GROUP BY scan_id, rule_id, file_path, line_number, left(evidence, 120)""")
 def dedupe_findings(t: Inputs):
-    return ops.dedupe_findings(t.v_findings, ["finding_id"]).select("finding_id", "scan_id", "rule_id")
+    return ops.dedupe_findings(t.busy.v_findings, ["finding_id"]).select("finding_id", "scan_id", "rule_id")
 
 
 @query("""

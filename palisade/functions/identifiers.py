@@ -78,11 +78,8 @@ def shannon_entropy(text: Column) -> Column:
     n = F.length(text).cast("double")
     chars = F.array_distinct(F.split(text, ""))
     share = lambda ch: (n - F.length(F.replace(text, ch, F.lit("")))) / n
-    bits = F.aggregate(
-        F.filter(chars, lambda ch: ch != ""),
-        F.lit(0.0),
-        lambda acc, ch: acc - share(ch) * F.log2(share(ch)),
-    )
+    shares = F.transform(F.filter(chars, lambda ch: ch != ""), share)
+    bits = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(n > 0, bits).otherwise(0.0)
 
 

@@ -73,13 +73,14 @@ def parse_git_evidence(evidence: Column) -> Column:
             F.lower(strip(text_before(s, ":"))).alias("key"), strip(text_after(s, ":")).alias("value")
         ),
     )
-    last = F.filter(
+    nothing = F.create_map().cast("map<string,string>")
+    return F.aggregate(
         pairs,
-        lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"]
+        nothing,
+        lambda found, p: F.map_concat(
+            F.map_filter(found, lambda key, _: key != p["key"]), F.create_map(p["key"], p["value"])
         ),
     )
-    return F.map_from_entries(last)
 
 
 def patch_added_lines(patch: Column) -> Column:

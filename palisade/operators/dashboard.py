@@ -184,7 +184,7 @@ def remediation_buckets(findings: DataFrame) -> DataFrame:
     of = lambda b, c: F.when(F.col("bucket") == b, F.col(c))
     wide = counted.groupBy("scan_id").agg(
         *[F.coalesce(F.sum(of(b, "n")), F.lit(0)).alias(f"_{b}") for b in names],
-        *[F.array_sort(F.collect_set(of(b, "category"))).alias(f"_{b}_categories") for b in names],
+        *[F.sort_array(F.collect_set(of(b, "category"))).alias(f"_{b}_categories") for b in names],
     )
     rows = [
         F.struct(

@@ -14,6 +14,7 @@ from palisade.functions.base import any_of
 from palisade.operators.common import DETECTORS, finding, java_pattern, literal_table, small_rows, source_lines
 from palisade.operators.scoring import BANKING_WORDS, holds_any
 from palisade.schemas import SECRET_PATTERN
+from palisade.session import cut_lineage
 
 # Marks a match start while lines are counted; if a text holds the character, it is swapped first.
 MARK, STAND_IN = "\uf8ff", "\uf8fe"
@@ -201,7 +202,7 @@ def scan_files(
     Patterns go into the plan as constants, so each is compiled once per task. `only_config` lets
     rules see configuration files only. `routes` (detector to scan types) needs a `scan_type`
     column. `context_keyword` is all that scoring needs of the lines around a match; their text is
-    added on request.
+    added on request (the matches are then written out, so that the scan is not run twice).
     """
     rule_rows = small_rows(rules) if rules is not None else []
     pattern_rows = small_rows(patterns) if patterns is not None else []
@@ -239,7 +240,7 @@ def scan_files(
     )
     about_rule = [F.lit("rule_category"), F.col("_e.kind")]
     if keep_context_text:
-        rows = attach_context(rows, files)
+        rows = attach_context(cut_lineage(rows), files)
         about_rule += [F.lit("context"), F.col("context")]
     detector = F.col("_e.detector")
     metadata = (

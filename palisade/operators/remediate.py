@@ -10,6 +10,7 @@ from palisade.functions import suffix
 from palisade.functions.base import strip, text_before
 from palisade.operators.common import source_lines
 from palisade.operators.findings import fixable
+from palisade.session import cut_lineage
 
 # Suffix groups and texts of the replacements.
 CONFIG_SUFFIXES = [".json", ".yml", ".yaml", ".conf", ".ini", ".properties"]
@@ -277,11 +278,14 @@ def apply_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> tupl
     """New versions of the files that change, and the ids of the findings applied.
 
     Line numbers refer to the file as it was. Of several fixes for one line the last by `order`
-    stands. Lines and fixes meet on (scan, path, line), so no file is a bottleneck until its lines
-    are put together again.
+    stands. The files in question are picked out of the corpus in one pass and written out. Lines and
+    fixes meet on (scan, path, line), so no file is a bottleneck until its lines are put together again.
     """
-    fixes = planned_fixes(files, findings, order)
-    touched = files.join(fixes.select("scan_id", "path").distinct(), ["scan_id", "path"], "left_semi")
+    in_question = fixable(findings).select("scan_id", F.col("file_path").alias("path")).distinct()
+    touched = cut_lineage(
+        files.select("scan_id", "path", "content").join(in_question, ["scan_id", "path"], "left_semi")
+    )
+    fixes = planned_fixes(touched, findings, order)
     lines = _lines(touched)
     place = ["scan_id", "path", "line_number"]
     last = W.partitionBy(*place).orderBy(F.col("_order").desc())
@@ -300,7 +304,7 @@ def apply_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> tupl
         .select("scan_id", "path", F.struct("line_number", new_text.alias("text")).alias("_line"),
                 hit.alias("_hit"))
         .groupBy("scan_id", "path")
-        .agg(F.array_sort(F.collect_list("_line")).alias("_all"), F.bool_or("_hit").alias("_hit"))
+        .agg(F.sort_array(F.collect_list("_line")).alias("_all"), F.bool_or("_hit").alias("_hit"))
         .filter("_hit")
         .select("scan_id", "path", F.array_join(F.transform("_all", lambda x: x["text"]), "\n").alias("content"))
     )

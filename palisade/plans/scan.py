@@ -9,6 +9,7 @@ from palisade.functions import clean_path
 from palisade.operators import detect
 from palisade.operators.findings import dedupe_findings, fill_evidence, persist_mapping
 from palisade.operators.scoring import score
+from palisade.session import cut_lineage
 
 # Which scan types run which detector. History also runs in a full scan.
 ROUTES = {
@@ -66,12 +67,13 @@ def stored_findings(raw: DataFrame, files: DataFrame | None = None, roots: DataF
     """Score (on the full path), fill evidence, shorten paths, keep the first of each, map to stored values.
 
     The order matters: folder patterns need the full path, the deduplication key the short one.
-    `roots` (scan_id, root) gives the folder that paths are relative to. Up to the deduplication
-    nothing is shuffled unless evidence is missing.
+    `roots` (scan_id, root) gives the folder that paths are relative to. With `files`, missing
+    evidence is filled in; the findings are then written out first, because they are needed twice and
+    must not cost a second pass over the corpus.
     """
     df = score(raw)
     if files is not None:
-        df = fill_evidence(df, files)
+        df = fill_evidence(cut_lineage(df), files)
     if roots is not None:
         df = (
             df.join(roots.select("scan_id", "root"), "scan_id", "left")

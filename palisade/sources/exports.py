@@ -63,18 +63,16 @@ def scan_summary(scans: DataFrame, findings: DataFrame) -> DataFrame:
     """scan_id, total, by_severity (struct of five), by_category (map)."""
     known = F.lower("severity")
     level = F.when(known.isin(SEVERITIES), known).otherwise("info")
-    counted = findings.groupBy("scan_id", "category", level.alias("level")).agg(F.count("*").alias("n"))
-    by_category = (
-        counted.groupBy("scan_id", "category")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("scan_id")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("by_category"))
+    per_category = findings.groupBy("scan_id", "category").agg(
+        F.count("*").alias("n"), *[F.count_if(level == s).alias(s) for s in SEVERITIES]
     )
-    by_severity = counted.groupBy("scan_id").agg(
+    # what meets per scan is one row per category
+    per_scan = per_category.groupBy("scan_id").agg(
         F.sum("n").alias("total"),
-        *[F.coalesce(F.sum(F.when(F.col("level") == s, F.col("n"))), F.lit(0)).alias(s) for s in SEVERITIES],
+        *[F.sum(s).alias(s) for s in SEVERITIES],
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("by_category"),
     )
-    rows = scans.select("scan_id").join(by_severity, "scan_id", "left").join(by_category, "scan_id", "left")
+    rows = scans.select("scan_id").join(per_scan, "scan_id", "left")
     return rows.fillna(0, ["total", *SEVERITIES]).select(
         "scan_id",
         "total",
@@ -269,7 +267,7 @@ def export_report_payload(
     shown = ["title", "severity", "category", "file_path", "line_number", "evidence"]
     best = top.groupBy("scan_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("place", *shown))),
+            F.sort_array(F.collect_list(F.struct("place", *shown))),
             lambda x: F.struct(*[x[c].alias(c) for c in shown]),
         ).alias("_top")
     )
@@ -278,7 +276,7 @@ def export_report_payload(
         .groupBy("scan_id")
         .agg(
             F.map_from_entries(
-                F.array_sort(F.collect_list(F.struct("framework", F.struct("score", "passed", "failed"))))
+                F.sort_array(F.collect_list(F.struct("framework", F.struct("score", "passed", "failed"))))
             ).alias("_scores")
         )
     )
@@ -287,7 +285,7 @@ def export_report_payload(
         packages.withColumn("_n", F.row_number().over(first_packages))
         .filter(F.col("_n") <= PREVIEW_PACKAGES)
         .groupBy("scan_id")
-        .agg(F.array_sort(F.collect_list(F.struct("name", "version", "ecosystem", "purl"))).alias("_packages"))
+        .agg(F.sort_array(F.collect_list(F.struct("name", "version", "ecosystem", "purl"))).alias("_packages"))
     )
     rows = (
         scans.join(counts, "scan_id", "left")

@@ -1,17 +1,18 @@
 """Rules, baselines and secret patterns as small tables, built in or read from files.
 
-Rule files are configuration: a few hundred entries, read on the driver like any job parameter.
+Rule files are configuration: a few hundred entries, parsed on the driver like any job parameter.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palisade import schemas
+from palisade.operators.common import small_rows
 from palisade.sources import builtin
 
 
@@ -24,20 +25,24 @@ def _usable(pattern: str) -> bool:
     return True
 
 
-def _yaml_files(path: str) -> list[Path]:
-    root = Path(path)
-    if root.is_file():
-        return [root]
-    return sorted(p for p in root.rglob("*") if p.suffix in (".yaml", ".yml", ".json"))
+def _documents(spark: SparkSession, path: str) -> list[tuple[str, object]]:
+    """Name without suffix and content of the YAML or JSON files below a path, in path order.
 
-
-def _load(path: Path):
+    Read through Spark, so that any file system works. Files that do not parse are left out.
+    """
     import yaml
 
-    try:
-        return yaml.safe_load(path.read_text(encoding="utf-8"))
-    except yaml.YAMLError:
-        return None
+    texts = spark.read.text(
+        path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yaml,yml,json}"
+    ).select(F.col("_metadata.file_path").alias("path"), "value")
+    documents = []
+    for row in sorted(small_rows(texts), key=lambda r: r.path):
+        stem = re.sub(r"\.[^.]*$", "", row.path.rsplit("/", 1)[-1])
+        try:
+            documents.append((stem, yaml.safe_load(row.value)))
+        except yaml.YAMLError:
+            continue
+    return documents
 
 
 def _entries(document) -> Iterable[dict]:
@@ -74,7 +79,7 @@ def rule_rows(entries: Iterable[dict]) -> list[dict]:
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rules of a file or folder of YAML or JSON files; incomplete and disabled ones are left out."""
-    rows = [r for f in _yaml_files(path) for r in rule_rows(_entries(_load(f)))]
+    rows = [r for _, document in _documents(spark, path) for r in rule_rows(_entries(document))]
     return spark.createDataFrame(rows, schemas.RULE)
 
 
@@ -106,12 +111,11 @@ def builtin_baselines(spark: SparkSession) -> DataFrame:
 def read_baselines(spark: SparkSession, path: str) -> DataFrame:
     """Shipped checks plus those of `{config_type, checks: [...]}` files, which extend or add a type."""
     rows = []
-    for f in _yaml_files(path):
-        document = _load(f)
+    for stem, document in _documents(spark, path):
         if not isinstance(document, dict):
             continue
-        kind = document.get("config_type", f.stem)
-        rows += [_check_row(kind, f.stem, e) for e in document.get("checks", [])]
+        kind = document.get("config_type", stem)
+        rows += [_check_row(kind, stem, e) for e in document.get("checks", [])]
     return builtin_baselines(spark).unionByName(spark.createDataFrame(rows, schemas.CHECK))
 
 
@@ -130,8 +134,8 @@ def read_secret_patterns(spark: SparkSession, path: str) -> DataFrame:
             "description": e.get("description", ""),
             "tags": list(e.get("tags", [])),
         }
-        for f in _yaml_files(path)
-        for e in _entries(_load(f))
+        for _, document in _documents(spark, path)
+        for e in _entries(document)
         if {"name", "pattern"} <= e.keys() and _usable(e["pattern"])
     ]
     return builtin_secret_patterns(spark).unionByName(spark.createDataFrame(rows, schemas.SECRET_PATTERN))

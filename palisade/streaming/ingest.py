@@ -11,18 +11,24 @@ from pyspark.sql.utils import AnalysisException
 
 from palisade.operators.findings import bucket_counts
 from palisade.plans.scan import stored_findings
+from palisade.session import cut_lineage
 from palisade.sources.corpus import corpus_rows
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _stored_ids(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Ids written by earlier batches, or None before the first."""
+BUCKETS = 64
+
+
+def _stored_ids(rows: DataFrame, path: str, batch_id: int) -> DataFrame | None:
+    """Ids that earlier batches wrote into the buckets of these rows, or None before the first batch."""
     try:
-        stored = spark.read.parquet(path)
+        stored = rows.sparkSession.read.parquet(path)
     except AnalysisException:
         return None
-    return stored.filter(F.col("batch") < batch_id).select("finding_id")
+    buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+    earlier = (F.col("batch") < batch_id) & F.col("bucket").isin(buckets)
+    return stored.filter(earlier).select("finding_id")
 
 
 def incremental_ingest(
@@ -35,9 +41,10 @@ def incremental_ingest(
 ) -> StreamingQuery:
     """Scan the files that arrived since the last run with `detect` (files to findings), then stop.
 
-    Findings go to `findings_path/batch=<n>`. A batch that is run again writes the same rows to the
-    same folder, and a finding that an earlier batch stored is not stored twice: ids are made from
-    the content of a finding.
+    Findings go to `findings_path/batch=<n>/bucket=<b>`, the bucket being a hash of the scan. A batch
+    that is run again writes the same rows to the same folder, and a finding that an earlier batch
+    stored is not stored twice: ids are made from the content of a finding, and only the buckets that
+    a batch touches are looked up.
     """
     stream = (
         spark.readStream.format("binaryFile")
@@ -49,11 +56,13 @@ def incremental_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         files = corpus_rows(batch, root)
-        rows = stored_findings(detect(files))
-        known = _stored_ids(batch.sparkSession, findings_path, batch_id)
+        bucket = F.pmod(F.hash("scan_id"), F.lit(BUCKETS))
+        rows = cut_lineage(stored_findings(detect(files)).withColumn("bucket", bucket))
+        known = _stored_ids(rows, findings_path, batch_id)
         if known is not None:
             rows = rows.join(known, "finding_id", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{findings_path.rstrip('/')}/batch={batch_id}")
+        folder = f"{findings_path.rstrip('/')}/batch={batch_id}"
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
     return (
         stream.writeStream.foreachBatch(write)
