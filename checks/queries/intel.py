@@ -61,7 +61,7 @@ r AS (SELECT m.cve_id, k.cve_id IS NOT NULL AS known, e.epss, {PRIORITY} AS prio
 p AS (SELECT f.scan_id, f.finding_id, 10 * CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END + CASE WHEN known THEN 100 ELSE 0 END
   + CASE priority WHEN 'immediate' THEN 80 WHEN 'high' THEN 50 ELSE 0 END + CASE WHEN epss >= 0.7 THEN 40 ELSE 0 END AS points FROM v_findings f LEFT JOIN r ON r.cve_id = f.cve_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY points DESC, finding_id) AS place FROM p)
-SELECT scan_id, finding_id, points, place FROM k WHERE place <= 5""")
+SELECT scan_id, finding_id, points, place::INT AS place FROM k WHERE place <= 5""")
 def top_risks(t: Inputs):
     records = intel.enrich_cves(
         t.busy.v_findings.select("cve_id", c("cvss_score").alias("cvss")), t.v_kev, t.v_epss

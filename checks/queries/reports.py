@@ -50,13 +50,13 @@ def json_report_summary(t: Inputs):
 FIRST = "o AS (SELECT *, row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY finding_id) AS n FROM v_findings), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY finding_id) - 1 AS rule_index FROM o WHERE n = 1)"
 
 
-@query(f"WITH {FIRST} SELECT scan_id, rule_id, rule_index, title, finding_id, severity FROM r")
+@query(f"WITH {FIRST} SELECT scan_id, rule_id, rule_index::INT AS rule_index, title, finding_id, severity FROM r")
 def sarif_rules(t: Inputs):
     rules = exports.sarif_rules(t.busy.v_findings, ["finding_id"])
     return rules.select("scan_id", "rule_id", "rule_index", "title", "finding_id", "severity")
 
 
-@query(f"""WITH {FIRST} SELECT f.finding_id, r.rule_index, CASE f.severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
+@query(f"""WITH {FIRST} SELECT f.finding_id, r.rule_index::INT AS rule_index, CASE f.severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
  f.file_path AS uri, greatest(1, f.line_number) AS start_line, f.rule_id || ':' || f.file_path || ':' || greatest(1, f.line_number) AS fingerprint, f.category <> 'drift' AS has_fix
 FROM v_findings f JOIN r ON r.scan_id = f.scan_id AND r.rule_id = f.rule_id""")
 def sarif_results(t: Inputs):

@@ -40,7 +40,8 @@ def latest_status(events: DataFrame) -> DataFrame:
     """Per scan: status, percent, time of the deciding event, number of events.
 
     The first terminal event decides; without one the latest event does. On a stream (update mode)
-    the state is one row per scan.
+    the state is one row per scan and stays; give the events a watermark and group by a window as
+    well if scans without end are too many to keep.
     """
     state = F.struct(event_status().alias("status"), "percent", "ts")
     when = F.struct("ts", "event_id")

@@ -198,3 +198,31 @@ def test_trend_of_one_point(spark):
     trend = spark.createDataFrame([("h", 1, 2, 3, 4)], "hour string, critical bigint, high bigint, medium bigint, low bigint")
     assert [r.hour for r in dashboard.pad_trend(trend).collect()] == ["Start", "h"]
     assert dashboard.pad_trend(trend.union(trend)).count() == 2
+
+
+def test_sql_over_results(spark):
+    rows(spark, {}, {"severity": "low"}).createOrReplaceTempView("user_findings")
+    got = spark.sql("SELECT severity, count(*) AS n FROM user_findings GROUP BY severity ORDER BY severity").collect()
+    assert [(r.severity, r.n) for r in got] == [("high", 1), ("low", 1)]
+
+
+def test_detectors_follow_scan_type(spark):
+    from palisade.plans.scan import all_detectors
+    from palisade.sources import rules as rule_source
+
+    files = spark.createDataFrame(
+        [(s, f"/{s}/nginx.conf", "debug = on\n4111111111111111\n") for s in ("full", "secrets", "misconfig", "drift", "sast")],
+        "scan_id string, path string, content string",
+    )
+    table = files.select("scan_id", F.col("scan_id").alias("scan_type"))
+    config = (rule_source.builtin_rules(spark), rule_source.builtin_secret_patterns(spark), rule_source.builtin_baselines(spark))
+    history = all_detectors(files, table, *config).filter("category = 'secret'")
+    found = all_detectors(files, table, *config, others={"sast": history.withColumn("scan_id", F.lit("sast")), "cve": history})
+    got = {}
+    for r in found.groupBy("scan_id", "category").count().collect():
+        got.setdefault(r.scan_id, {})[r.category] = r["count"]
+    assert got["secrets"] == {"secret": 1} and got["misconfig"] == {"misconfig": 1} and got["drift"] == {"drift": 4}
+    assert got["full"] == {"secret": 2, "misconfig": 1, "drift": 4}
+    assert got["sast"] == {"secret": 2}
+    carried = all_detectors(files.withColumn("scan_type", F.col("scan_id")), table, *config)
+    assert carried.count() == all_detectors(files, table, *config).count()
