@@ -47,12 +47,14 @@ def json_report_summary(t: Inputs):
     ).filter("total > 0")
 
 
-FIRST = "o AS (SELECT *, row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY finding_id) AS n FROM v_findings), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY finding_id) - 1 AS rule_index FROM o WHERE n = 1)"
+# finding ids repeat in the smallest table, so two more columns decide
+ORDER = ["finding_id", "severity", "created_at"]
+FIRST = "o AS (SELECT *, row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY finding_id, severity, created_at) AS n FROM v_findings), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY finding_id, severity, created_at) - 1 AS rule_index FROM o WHERE n = 1)"
 
 
 @query(f"WITH {FIRST} SELECT scan_id, rule_id, rule_index::INT AS rule_index, title, finding_id, severity FROM r")
 def sarif_rules(t: Inputs):
-    rules = exports.sarif_rules(t.busy.v_findings, ["finding_id"])
+    rules = exports.sarif_rules(t.busy.v_findings, ORDER)
     return rules.select("scan_id", "rule_id", "rule_index", "title", "finding_id", "severity")
 
 
@@ -61,7 +63,7 @@ def sarif_rules(t: Inputs):
 FROM v_findings f JOIN r ON r.scan_id = f.scan_id AND r.rule_id = f.rule_id""")
 def sarif_results(t: Inputs):
     found = _described(t)
-    rows = exports.sarif_results(found, exports.sarif_rules(found, ["finding_id"]))
+    rows = exports.sarif_results(found, exports.sarif_rules(found, ORDER))
     return rows.select("finding_id", "rule_index", "level", "uri", "start_line", "fingerprint", "has_fix")
 
 
@@ -69,7 +71,7 @@ def sarif_results(t: Inputs):
  FROM v_scans s CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS x(section) LEFT JOIN n ON n.scan_id = s.scan_id)
 SELECT scan_id, section, n, CASE WHEN section IN (1, 3) THEN n - 1 ELSE 0 END AS n_commas FROM p WHERE n IS NOT NULL""")
 def sarif_lines(t: Inputs):
-    return _shape(exports.to_sarif(_described(t), t.v_scans, ["finding_id"]))
+    return _shape(exports.to_sarif(_described(t), t.v_scans, ORDER))
 
 
 @query("""WITH n AS (SELECT scan_id, count(*) AS n FROM v_findings WHERE category = 'cve' GROUP BY 1)
