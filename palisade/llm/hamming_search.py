@@ -52,7 +52,8 @@ def nearest_codes(index: DataFrame, queries: DataFrame, k: int, segments: int =
             break
         probes = left.df.select("q", "most", F.explode(F.array(*(F.struct(F.lit(n).alias("s"), _segment(F.col("q"), n, width).alias("v")) for n in range(segments)))).alias("p"))
         probes = probes.select("q", "most", F.col("p.s").alias("s"), F.explode(F.transform(F.lit(flips(width, r)), lambda m: F.col("p.v").bitwiseXOR(m))).alias("v"))
-        hits = probes.join(table.df, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value")))
+        # the sizes of exploded probes are not known to the optimizer, which must not take them for small
+        hits = probes.join(table.df.hint("shuffle_hash"), (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value")))
         apart = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), n, width)) for n in range(segments)]
         first = F.lit(True)
         for n, d in enumerate(apart):
