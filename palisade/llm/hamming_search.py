@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import Stored, stored
+from palisade.llm.common import Stored, shuffle_parts, stored
 
 BITS = 64
 
@@ -50,7 +50,8 @@ def nearest_codes(index: DataFrame, queries: DataFrame, k: int, segments: int =
     for r in range(width + 1):
         if left.df.isEmpty():
             break
-        probes = left.df.select("q", "most", F.explode(F.array(*(F.struct(F.lit(n).alias("s"), _segment(F.col("q"), n, width).alias("v")) for n in range(segments)))).alias("p"))
+        dealt = left.df.repartition(shuffle_parts(left.df.sparkSession), "q")  # a query becomes thousands of probes
+        probes = dealt.select("q", "most", F.explode(F.array(*(F.struct(F.lit(n).alias("s"), _segment(F.col("q"), n, width).alias("v")) for n in range(segments)))).alias("p"))
         probes = probes.select("q", "most", F.col("p.s").alias("s"), F.explode(F.transform(F.lit(flips(width, r)), lambda m: F.col("p.v").bitwiseXOR(m))).alias("v"))
         # the sizes of exploded probes are not known to the optimizer, which must not take them for small
         hits = probes.join(table.df.hint("shuffle_hash"), (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value")))
