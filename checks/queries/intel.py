@@ -124,6 +124,27 @@ def match_advisories(t: Inputs):
     return adv.match_advisories(t.v_dependencies.select("name", "ecosystem", "version").distinct(), _ranges(t))
 
 
+@query("""SELECT 'Pkg_' || p_partkey AS name, 'OSV-' || p_partkey AS osv_id FROM part WHERE CASE p_size % 4
+   WHEN 0 THEN false WHEN 1 THEN p_partkey % 40 <= p_size WHEN 2 THEN p_partkey % 40 BETWEEN 1 AND 19 ELSE p_partkey % 40 < p_size END""")
+def match_advisories_events(t: Inputs):
+    """Ranges over commits, closed ends, limits and pre-releases; names that differ in case and dashes."""
+    docs = t.sql("""SELECT '{"id":"OSV-' || p_partkey || '","affected":[{"package":{"ecosystem":"PyPI","name":"pkg.' || p_partkey || '"},"ranges":[{"type":"' ||
+      CASE p_size % 4 WHEN 0 THEN 'GIT","events":[{"introduced":"0"}' WHEN 1 THEN 'ECOSYSTEM","events":[{"introduced":"0"},{"last_affected":"' || p_size || '.5.0"}'
+      WHEN 2 THEN 'SEMVER","events":[{"introduced":"1.0"},{"limit":"20.0"}' ELSE 'SEMVER","events":[{"introduced":"0"},{"fixed":"' || p_size || '.5.0-rc.1"}' END
+      || ']}]}]}' AS d FROM part""")
+    deps = t.sql("""SELECT 'Pkg_' || p_partkey AS name, 'pypi' AS ecosystem, p_partkey % 40 || '.5.0' || CASE WHEN p_partkey % 3 = 0 THEN '-rc.1' ELSE '' END AS version FROM part""")
+    return adv.match_advisories(deps, adv.advisory_ranges(docs.select(F.from_json("d", ADVISORY).alias("d")).select("d.*"))).select("name", "osv_id")
+
+
+@query("""SELECT 'lib' || p_partkey AS name, 'org.g' || p_size AS group_id, 'OSV-' || p_partkey AS osv_id FROM part WHERE p_size % 2 = 0""")
+def match_advisories_names(t: Inputs):
+    """Maven: the feed names group and artifact, the manifest gives them apart."""
+    docs = t.sql("""SELECT '{"id":"OSV-' || p_partkey || '","affected":[{"package":{"ecosystem":"Maven","name":"org.g' || CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END
+      || ':lib' || p_partkey || '"},"ranges":[{"events":[{"introduced":"1.0"},{"fixed":"1.0.20240101000001"}]}]}]}' AS d FROM part""")
+    deps = t.sql("""SELECT 'lib' || p_partkey AS name, 'org.g' || p_size AS group_id, 'maven' AS ecosystem, '1.0.20240101000000' AS version FROM part""")
+    return adv.match_advisories(deps, adv.advisory_ranges(docs.select(F.from_json("d", ADVISORY).alias("d")).select("d.*"))).select("name", "group_id", "osv_id")
+
+
 @query(f"""WITH {MATCHED} SELECT cve_id AS rule_id, cve_id || ': ' || name || '@' || version AS title, 'Vulnerable dependency: ' || CASE WHEN ecosystem = 'maven' THEN 'unknown:' || name || ':' || version ELSE name || '@' || version END AS evidence,
   CASE WHEN fixed_major > 10 THEN 'Upgrade ' || name || ' from ' || version || ' to ' || fixed_major || '.0.0 (other fixed versions: b, c, d)' ELSE 'No fixed version available for ' || name || '. Consider finding an alternative package.' END AS remediation,
   'medium' AS severity FROM matched""")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import Inputs, query
+from palisade.operators import advisories as adv
 from palisade.operators import remediate as ops
+from palisade.operators.manifests import requirements
+from palisade.schemas import ADVISORY
 
 c = F.col
 ENV = "upper(replace(rule_id, '-', '_'))"
@@ -90,22 +93,22 @@ def context_without_files(t: Inputs):
 FIX = f"""todo AS (SELECT f.*, content, {LINES} AS lines, string_split(content, chr(10)) AS pieces, CASE category WHEN 'cve' THEN 'en' END AS package
   FROM v_doc_findings f JOIN v_files x ON x.path = f.file_path AND x.scan_id = f.scan_id WHERE NOT is_fixed AND category <> 'sast'),
 placed AS (SELECT *, CASE WHEN category <> 'cve' THEN CASE WHEN line_number BETWEEN 1 AND len(lines) THEN line_number END
-   WHEN line_number BETWEEN 1 AND len(pieces) AND contains(pieces[line_number], package) THEN line_number ELSE list_position(list_transform(lines, lambda x: contains(x, package)), true) END AS target FROM todo)"""
+   WHEN line_number BETWEEN 1 AND len(pieces) AND contains(lower(pieces[line_number]), package) THEN line_number ELSE list_position(list_transform(lines, lambda x: contains(lower(x), package)), true) END AS target FROM todo)"""
 
 
-@query(f"""WITH {FIX}, texts AS (SELECT *, CASE category WHEN 'cve' THEN 'en>=2.31.0  # Fixes ' || cve_id WHEN 'misconfig' THEN {DEBUG}
+@query(f"""WITH {FIX}, texts AS (SELECT *, CASE category WHEN 'cve' THEN CASE WHEN file_path LIKE '%.json' THEN pieces[target] ELSE 'en>=2.31.0  # Fixes ' || cve_id END WHEN 'misconfig' THEN {DEBUG}
    ELSE CASE WHEN file_path LIKE '%.py' THEN CASE WHEN contains(pieces[target], '=') THEN split_part(pieces[target], '=', 1) || '= ' ELSE '' END || '__import__(''os'').environ.get(''SECRET_001'')'
     WHEN file_path LIKE '%.md' THEN 'SECRET-001_VALUE=${{{{ secrets.SECRET_001 }}}}' WHEN contains(pieces[target], ':') THEN split_part(pieces[target], ':', 1) || ': "PLACEHOLDER_SECRET_001"'
     WHEN contains(pieces[target], '=') THEN split_part(pieces[target], '=', 1) || '=PLACEHOLDER_SECRET_001' ELSE 'PLACEHOLDER_SECRET_001' END END AS new_text FROM placed WHERE target IS NOT NULL)
 SELECT file_path AS path, array_to_string(list_transform(pieces, lambda x, i: CASE WHEN i = target THEN new_text ELSE x END), chr(10)) AS content FROM texts""".replace("{{{{", "{{").replace("}}}}", "}}"))
 def apply_fixes(t: Inputs):
-    findings = t.v_doc_findings.withColumn("package", F.when(c("category") == "cve", "en"))
+    findings = t.v_doc_findings.withColumns({"package": F.when(c("category") == "cve", "en"), "fixed_version": F.lit("2.31.0")})
     return ops.apply_fixes(t.v_files, findings, ["finding_id"])[0].select("path", "content")
 
 
 @query(f"WITH {FIX} SELECT finding_id FROM placed WHERE target IS NOT NULL")
 def applied_fixes(t: Inputs):
-    findings = t.v_doc_findings.withColumn("package", F.when(c("category") == "cve", "en"))
+    findings = t.v_doc_findings.withColumns({"package": F.when(c("category") == "cve", "en"), "fixed_version": F.lit("2.31.0")})
     return ops.apply_fixes(t.v_files, findings, ["finding_id"])[1]
 
 
@@ -135,3 +138,16 @@ def mark_fixed(t: Inputs):
 def fix_audit_rows(t: Inputs):
     applied = t.v_findings.filter("category = 'secret'").select("finding_id")
     return ops.mark_fixed(t.v_findings, applied, revert=True)[1].select("action", "target", "justification", "status")
+
+
+@query("""SELECT p_partkey::VARCHAR AS scan_id, 'a==1' || chr(10) || 'pkg_' || p_partkey || '>=' || p_size || '.0  # Fixes OSV-' || p_partkey || chr(10) || 'z' AS content FROM part WHERE p_partkey % 40 < p_size""")
+def cve_fix_chain(t: Inputs):
+    """From the text of a manifest over its packages, advisories and findings to the text with the fixed version."""
+    files = t.sql("""SELECT CAST(p_partkey AS STRING) AS scan_id, '/r/requirements.txt' AS path,
+      'a==1\nPkg_' || p_partkey || '==' || p_partkey % 40 || '.5.0\nz' AS content FROM part""")
+    docs = t.sql("""SELECT '{"id":"OSV-' || p_partkey || '","affected":[{"package":{"ecosystem":"PyPI","name":"PKG-' || p_partkey
+      || '"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"},{"fixed":"' || p_size || '.0"}]}]}]}' AS d FROM part""")
+    advisories = docs.select(F.from_json("d", ADVISORY).alias("d")).select("d.*")
+    found = adv.cve_findings(requirements(files), adv.advisory_ranges(advisories), adv.advisory_flatten(advisories))
+    found = found.withColumns({"finding_id": F.col("rule_id"), "cve_id": F.col("rule_id"), "is_fixed": F.lit(False)})
+    return ops.apply_fixes(files, found, ["finding_id"])[0].select("scan_id", "content")

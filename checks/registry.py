@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from checks.views import TABLES, VIEWS
-from palisade.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +32,8 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            return spread(df) if self.spread_rows else df
+            cores = self.spark.sparkContext.defaultParallelism
+            return df.repartition(2 * cores) if self.spread_rows and len(df.inputFiles()) < cores else df
         if name not in VIEWS:
             raise AttributeError(name)
         return self.sql(VIEWS[name])

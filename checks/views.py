@@ -60,13 +60,13 @@ SELECT 'CVE-' || CAST(2015 + p_partkey % 10 AS STRING) || '-' || lpad(CAST(p_par
 FROM part WHERE p_partkey % 4 <> 3
 """
 
-VIEWS["v_files"] = r"""
-SELECT source AS scan_id,
-       '/srv/' || source || CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN '/payments/' WHEN 1 THEN '/tests/' WHEN 2 THEN '/auth/'
+DOC_PATH = """'/srv/' || source || CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN '/payments/' WHEN 1 THEN '/tests/' WHEN 2 THEN '/auth/'
             WHEN 3 THEN '/examples/' WHEN 4 THEN '/production/' WHEN 5 THEN '/node_modules/' WHEN 6 THEN '/wallet/' ELSE '/docs/' END
          || 'd' || CAST(doc_id AS STRING)
-         || CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '.py' WHEN 1 THEN '.yml' WHEN 2 THEN '.json' WHEN 3 THEN '.conf' ELSE '.md' END AS path,
-       text AS content, n_chars AS size_bytes
+         || CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '.py' WHEN 1 THEN '.yml' WHEN 2 THEN '.json' WHEN 3 THEN '.conf' ELSE '.md' END"""
+
+VIEWS["v_files"] = f"""
+SELECT source AS scan_id, {DOC_PATH} AS path, text AS content, n_chars AS size_bytes
 FROM documents
 """
 
@@ -195,15 +195,14 @@ VIEWS["v_branches"] = " UNION ALL ".join(
     for b in ["main", "release", "release/1.x", "feature/login"]
 )
 
-VIEWS["v_doc_findings"] = """
-SELECT 'F' || CAST(doc_id AS STRING) AS finding_id, scan_id, 'SECRET-001' AS rule_id, 'Token in text' AS title,
+VIEWS["v_doc_findings"] = f"""
+SELECT 'F' || CAST(doc_id AS STRING) AS finding_id, source AS scan_id, 'SECRET-001' AS rule_id, 'Token in text' AS title,
        CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'secret' WHEN 1 THEN 'misconfig' WHEN 2 THEN 'cve' ELSE 'sast' END AS category,
-       'high' AS severity, path AS file_path, CAST(doc_id % 23 AS INT) AS line_number,
+       'high' AS severity, {DOC_PATH} AS file_path, CAST(doc_id % 23 AS INT) AS line_number,
        CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'requires login' WHEN 2 THEN ' requires login '
             ELSE 'seen ' || CAST(doc_id AS STRING) END AS evidence, doc_id % 6 = 0 AS is_fixed,
        CASE WHEN doc_id % 4 = 2 THEN 'CVE-2020-' || lpad(CAST(doc_id AS STRING), 5, '0') END AS cve_id
-FROM documents JOIN (SELECT path, scan_id, size_bytes FROM v_files) AS f
-  ON f.path LIKE '%/d' || CAST(doc_id AS STRING) || '.%' AND f.size_bytes = n_chars
+FROM documents
 """
 
 VIEWS["v_requirement_files"] = """

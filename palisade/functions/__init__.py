@@ -2,7 +2,7 @@
 
 from palisade.functions.identifiers import (  # noqa: F401
     coordinate, dep_key, git_secret_id, mask_db_url, mask_secret, mask_webhook, purl,
-    clean_npm_version, shannon_entropy, truncate_evidence, version_key,
+    clean_npm_version, shannon_entropy, truncate_evidence, version_key, package_key,
 )
 from palisade.functions.paths import (  # noqa: F401
     base_name, clean_path, config_type, display_path, glob_match, has_excluded_dir,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.functions.base import strip
+from palisade.functions.base import pick, strip
 
 
 def mask_secret(value: Column) -> Column:
@@ -83,11 +83,38 @@ def shannon_entropy(text: Column) -> Column:
     return F.when(n > 0, bits).otherwise(0.0)
 
 
+# Words of versions that come before the release, at it, and after it.
+PRE_WORDS = {"a": "alpha", "b": "beta", "c": "rc", "pre": "rc", "preview": "rc", "cr": "rc", "dev": ""}
+RELEASE_WORDS = ["final", "ga", "release"]
+POST_WORDS = ["post", "rev", "r", "sp"]
+
+
 def version_key(version: Column) -> Column:
-    """Numeric dotted versions as an array that compares part by part; others give null.
+    """Versions as a value that orders them: numbers of any length part by part, then the words behind them.
 
-    Trailing zero parts are dropped, so that 1.0 and 1.0.0 are equal.
+    Trailing zero parts are dropped, so that 1.0 and 1.0.0 are equal. Pre-releases (1.0-beta.2, 1.0rc1, 1.0.dev3)
+    come before their release, post-releases after it; what follows a `+` does not count. Others give null.
     """
-    numeric = version.rlike(r"^[0-9]{1,9}(\.[0-9]{1,9})*$")
-    bare = F.regexp_replace(version, r"(\.0+)+$", "")
-    return F.when(numeric, F.transform(F.split(bare, r"\."), lambda p: p.cast("int")))
+    text = F.lower(F.regexp_replace(version, r"^[vV=]+|\+.*$", ""))
+    shape = r"^([0-9]{1,38}(?:\.[0-9]{1,38})*)(?:[-._]?([a-z][-._a-z0-9]*)|-([0-9][-._a-z0-9]*))?$"
+    bare = F.regexp_replace(F.regexp_extract(text, shape, 1), r"(\.0+)+$", "")
+    numbers = F.transform(F.split(bare, r"\."), lambda p: p.try_cast("decimal(38,0)"))
+    tail = F.concat(F.regexp_extract(text, shape, 2), F.regexp_extract(text, shape, 3))
+    words = F.regexp_extract_all(tail, F.lit("[a-z]+|[0-9]+"), F.lit(0))
+    first = F.get(words, F.lit(0))
+    phase = F.when((tail == "") | first.isin(RELEASE_WORDS), 1).when(first.isin(POST_WORDS), 2).otherwise(0)
+    named = lambda w: pick(w, PRE_WORDS, w)
+    rest = F.transform(
+        words,
+        lambda w: F.struct(
+            w.rlike("^[a-z]").alias("word"), F.coalesce(w.try_cast("decimal(38,0)"), F.lit(0)).alias("number"), named(w).alias("text")
+        ),
+    )
+    return F.when(text.rlike(shape), F.struct(numbers.alias("numbers"), phase.alias("phase"), F.when(phase != 1, rest).otherwise(F.slice(rest, 1, 0)).alias("rest")))
+
+
+def package_key(ecosystem: Column, name: Column, group: Column) -> Column:
+    """A name as its ecosystem compares it: PyPI ignores case and kinds of dashes, Maven names group and artifact."""
+    pypi = F.lower(F.regexp_replace(name, "[-_.]+", "-"))
+    maven = F.when(F.coalesce(group, F.lit("")) == "", name).otherwise(F.concat(group, F.lit(":"), name))
+    return F.when(ecosystem == "pypi", pypi).when((ecosystem == "maven") & ~F.contains(name, F.lit(":")), maven).otherwise(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions import coordinate, cvss_to_severity, cvss_vector_estimate, dep_key, version_key
+from palisade.functions import coordinate, cvss_to_severity, cvss_vector_estimate, dep_key, package_key, version_key
 from palisade.functions.base import pick
 from palisade.functions.severity import ADVISORY_SCORE
 from palisade.operators.common import finding
@@ -35,7 +35,7 @@ def advisory_flatten(advisories: DataFrame) -> DataFrame:
     )
     listed = F.flatten(
         F.transform(
-            affected, lambda a: F.concat(introduced(a), F.slice(F.coalesce(a["versions"], empty), 1, 10))
+            affected, lambda a: F.concat(introduced(a), F.coalesce(a["versions"], empty))
         )
     )
     links = F.filter(
@@ -56,8 +56,8 @@ def advisory_flatten(advisories: DataFrame) -> DataFrame:
         no_severity.alias("_no_severity"),
         F.coalesce("summary", "details", F.lit(NO_TEXT)).alias("summary"),
         F.coalesce(F.array_compact(fixed), empty).alias("fixed_versions"),
-        F.slice(F.coalesce(listed, empty), 1, 20).alias("affected_versions"),
-        F.slice(F.coalesce(links, empty), 1, 10).alias("references"),
+        F.coalesce(listed, empty).alias("affected_versions"),
+        F.coalesce(links, empty).alias("references"),
         aliases.alias("aliases"),
     ).withColumn(
         "severity", F.when(~F.col("_no_severity") & F.col("_no_vector"), "medium").otherwise(F.col("_severity"))
@@ -65,41 +65,42 @@ def advisory_flatten(advisories: DataFrame) -> DataFrame:
 
 
 def advisory_ranges(advisories: DataFrame) -> DataFrame:
-    """Affected ranges and exact versions: osv_id, ecosystem, name, introduced, fixed, exact.
+    """Affected ranges and exact versions: osv_id, ecosystem, name, introduced, fixed, last_affected, exact.
 
-    A range event list is read in pairs: every `introduced` runs to the next `fixed`.
+    Every `introduced` event runs to the next event that ends it: `fixed` and `limit` are the first version not
+    affected, `last_affected` is the last that is. Ranges over commits (type GIT) say nothing about versions.
     """
     each = advisories.select(F.col("id").alias("osv_id"), F.explode("affected").alias("a"))
+    none = F.lit(None).cast("string")
     package = [
         "osv_id",
         pick(F.col("a.package.ecosystem"), ECOSYSTEMS, None).alias("_eco"),
         F.col("a.package.ecosystem").alias("_raw_eco"),
         F.col("a.package.name").alias("name"),
     ]
+    ends = lambda x: F.coalesce(x["fixed"], x["last_affected"], x["limit"]).isNotNull()
     spans = (
         each.select(*package, F.explode("a.ranges").alias("r"))
+        .filter(F.coalesce("r.type", F.lit("ECOSYSTEM")) != "GIT")
         .select("*", F.posexplode("r.events").alias("_i", "e"))
         .filter(F.col("e.introduced").isNotNull())
+        .withColumn("_end", F.get(F.filter(F.slice(F.col("r.events"), F.col("_i") + 1, F.size("r.events")), ends), F.lit(0)))
         .select(
             "osv_id", "_eco", "_raw_eco", "name",
             F.col("e.introduced").alias("introduced"),
-            F.get(
-                F.filter(F.slice(F.col("r.events"), F.col("_i") + 1, F.size("r.events")), lambda x: x["fixed"].isNotNull()),
-                F.lit(0),
-            )["fixed"].alias("fixed"),
-            F.lit(None).cast("string").alias("exact"),
+            F.coalesce("_end.fixed", F.when(F.col("_end.last_affected").isNull(), F.col("_end.limit"))).alias("fixed"),
+            F.col("_end.last_affected").alias("last_affected"),
+            none.alias("exact"),
         )
     )
     exact = each.select(*package, F.explode("a.versions").alias("exact")).select(
         "osv_id", "_eco", "_raw_eco", "name",
-        F.lit(None).cast("string").alias("introduced"),
-        F.lit(None).cast("string").alias("fixed"),
-        "exact",
+        none.alias("introduced"), none.alias("fixed"), none.alias("last_affected"), "exact",
     )
     return spans.unionByName(exact).select(
         "osv_id",
         F.coalesce("_eco", F.lower("_raw_eco")).alias("ecosystem"),
-        "name", "introduced", "fixed", "exact",
+        "name", "introduced", "fixed", "last_affected", "exact",
     )
 
 
@@ -111,31 +112,43 @@ def lookup_dedupe(deps: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _optional(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
+def _keyed(deps: DataFrame) -> DataFrame:
+    return deps.withColumn("_package", package_key(F.col("ecosystem"), F.col("name"), _optional(deps, "group_id")))
+
+
 def advisory_hits(deps: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Distinct package versions that an advisory affects: ecosystem, name, version, osv_id, match_kind.
+    """Distinct package versions that an advisory affects: ecosystem, _package, version, osv_id, match_kind.
 
-    `match_kind` is exact or range. Ranges compare numeric dotted versions; any other version can only
-    match an exact list.
+    `_package` is the name as the ecosystem compares it. `match_kind` is exact or range; a version without an order
+    can only match an exact list.
     """
-    lookups = deps.select("ecosystem", "name", "version").distinct().withColumn(
-        "_key", version_key(F.col("version"))
-    )
-    low = F.when(F.col("introduced") == "0", F.array(F.lit(0))).otherwise(version_key(F.col("introduced")))
+    lookups = _keyed(deps).select(*VERSION).distinct().withColumn("_key", version_key(F.col("version")))
+    low = F.when(F.col("introduced") != "0", version_key(F.col("introduced")))
     spans = ranges.select(
-        "osv_id", "ecosystem", "name", "exact", low.alias("_low"),
-        F.col("fixed").isNull().alias("_open"), version_key(F.col("fixed")).alias("_high"),
+        "osv_id", "ecosystem", "exact",
+        package_key(F.col("ecosystem"), F.col("name"), F.lit(None).cast("string")).alias("_package"),
+        (F.col("introduced") == "0").alias("_from_start"), low.alias("_low"),
+        F.col("fixed").alias("_fixed"), version_key(F.col("fixed")).alias("_high"),
+        _optional(ranges, "last_affected").alias("_last"), version_key(_optional(ranges, "last_affected")).alias("_top"),
     )
-    in_range = (F.col("_low") <= F.col("_key")) & (F.col("_open") | (F.col("_key") < F.col("_high")))
+    below = F.when(F.col("_fixed").isNotNull(), F.col("_key") < F.col("_high")).when(
+        F.col("_last").isNotNull(), F.col("_key") <= F.col("_top")
+    ).otherwise(F.lit(True))
+    in_range = F.col("_key").isNotNull() & (F.col("_from_start") | (F.col("_low") <= F.col("_key"))) & below
     listed = F.coalesce(F.col("exact") == F.col("version"), F.lit(False))
     return (
-        lookups.join(spans, ["ecosystem", "name"])
+        lookups.join(spans, ["ecosystem", "_package"])
         .filter(listed | F.coalesce(in_range, F.lit(False)))
-        .groupBy("ecosystem", "name", "version", "osv_id")
+        .groupBy(*VERSION, "osv_id")
         .agg(F.when(F.bool_or(listed), "exact").otherwise("range").alias("match_kind"))
     )
 
 
-VERSION = ["ecosystem", "name", "version"]
+VERSION = ["ecosystem", "_package", "version"]
 
 
 def match_advisories(deps: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -144,7 +157,7 @@ def match_advisories(deps: DataFrame, ranges: DataFrame) -> DataFrame:
     Distinct versions are matched and the answer is joined back, so a package that a third of all
     projects use is looked up once per version.
     """
-    return deps.join(advisory_hits(deps, ranges), VERSION)
+    return _keyed(deps).join(advisory_hits(deps, ranges), VERSION).drop("_package")
 
 
 def cve_findings(deps: DataFrame, ranges: DataFrame, flat: DataFrame) -> DataFrame:
@@ -152,7 +165,7 @@ def cve_findings(deps: DataFrame, ranges: DataFrame, flat: DataFrame) -> DataFra
 
     Advisory texts are joined to distinct versions; dependencies fan out once, at the end.
     """
-    rows = deps.join(advisory_hits(deps, ranges).join(flat, "osv_id"), VERSION)
+    rows = _keyed(deps).join(advisory_hits(deps, ranges).join(flat, "osv_id"), VERSION)
     name, version, fixed = F.col("name"), F.col("version"), F.col("fixed_versions")
     others = F.when(
         F.size(fixed) > 1,

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Order in which detectors report; "first" in deduplication means this order.
@@ -28,11 +30,36 @@ def literal_table(rows: list[dict], columns: str) -> Column:
 
 
 def java_pattern(pattern: str) -> str:
-    """A Python pattern for the JVM: ignore case, multi-line, only \\n ends a line."""
-    pattern = re.sub(r"\(\?P<\w+>", "(", pattern).replace(r"\Z", r"\z")
+    """A Python pattern for the JVM: ignore case, multi-line, only \\n ends a line, named groups in its spelling."""
+    plain = lambda name: "g" + re.sub(r"[^A-Za-z0-9]", lambda m: f"{ord(m.group()):x}", name)
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{plain(m[1])}>", pattern)
+    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{plain(m[1])}>", pattern).replace(r"\Z", r"\z")
     return "(?imd)" + pattern
 
 
+def refusal(spark: SparkSession, pattern: str | None) -> str | None:
+    """Why the JVM, which runs the patterns, does not take a pattern; None if it does."""
+    if pattern is None:
+        return "no pattern"
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+    except (Py4JJavaError, IllegalArgumentException) as error:
+        return str(error).strip().splitlines()[0]
+    return None
+
+
+def usable_rows(df: DataFrame) -> list:
+    """Rows of a configuration table whose pattern the JVM takes; a pattern that it refuses never matches."""
+    return [r for r in small_rows(df) if refusal(df.sparkSession, r["pattern"]) is None]
+
+
+def refused_patterns(df: DataFrame) -> DataFrame:
+    """Rows of a table of rules, checks or secret patterns that are left out: name, pattern, reason."""
+    spark = df.sparkSession
+    rows = [(r["name"], r["pattern"], why) for r in small_rows(df) if (why := refusal(spark, r["pattern"]))]
+    return spark.createDataFrame(rows, "name string, pattern string, reason string")
+
+
 def empty_text_if_absent(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit("")
 

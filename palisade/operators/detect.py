@@ -6,12 +6,14 @@ for all of them and nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import config_type, glob_match, has_excluded_dir, is_config_file, mask_secret, shannon_entropy
 from palisade.functions.base import any_of
-from palisade.operators.common import DETECTORS, finding, java_pattern, literal_table, small_rows, source_lines
+from palisade.operators.common import DETECTORS, finding, java_pattern, literal_table, source_lines, usable_rows
 from palisade.operators.scoring import BANKING_WORDS, holds_any
 from palisade.schemas import SECRET_PATTERN
 from palisade.session import cut_lineage
@@ -25,8 +27,8 @@ MATCH = "struct<entry:int,match_no:bigint,line_number:int,evidence:string,detail
 ENTRY = """detector string, rule_id string, title string, description string, severity string,
        category string, remediation string, references array<string>, tags array<string>,
        kind string, check_type string"""
-# Tests that look beyond the matched text; such patterns are not tested on the whole text first.
-LOOKS_AROUND = ("(?=", "(?!", "(?<", "\\A", "\\Z", "\\z", "\\G")
+# Look-around, atomic groups, possessive repeats, ends of the text, conditions on earlier matches.
+OUTSIDE = re.compile(r"\(\?(?:[=!>]|<[=!])|[*+?}]\+|\\[AZzGbB]")
 
 
 def _match(entry: int, line: Column, evidence: Column, match_no=None, detail=None) -> Column:
@@ -73,24 +75,37 @@ def match_lines(content: Column, pattern: str) -> Column:
     return F.flatten(per_line)
 
 
+def _whole(text: Column) -> Column:
+    """Hash of a match that is longer than its evidence, so that matches with one start stay apart."""
+    return F.when(F.length(text) > 200, F.sha2(text.cast("binary"), 256))
+
+
 def rule_matches(rule, entry: int) -> Column:
     """All matches of one rule in a text. The cheap test comes first."""
     content, pattern = F.col("content"), java_pattern(rule["pattern"])
     texts = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
     rows = F.transform(
         F.arrays_zip(texts.alias("text"), match_lines(content, pattern).alias("line")),
-        lambda m, i: _match(entry, m["line"], F.left(m["text"], F.lit(200)), i),
+        lambda m, i: _match(entry, m["line"], F.left(m["text"], F.lit(200)), i, _whole(m["text"])),
     )
     return _where(glob_match(F.col("path"), rule["file_types"]) & content.rlike(pattern), rows)
 
 
+def in_text(content: Column, pattern: str) -> Column:
+    """False only if the pattern matches in no line of the text.
+
+    What matches within a line also matches within the text, unless the pattern sees what lies outside of its match
+    or keeps what it has taken; such a pattern says nothing about the text.
+    """
+    return F.lit(True) if OUTSIDE.search(pattern) else content.rlike(java_pattern(pattern))
+
+
 def secret_matches(patterns: list, first_entry: int, min_entropy: float | None) -> Column:
     """First match of every pattern in every line, masked."""
     content = F.col("content")
-    combined = "|".join(f"(?:{java_pattern(p['pattern'])})" for p in patterns)
     candidates = F.filter(
         F.transform(F.split(content, "\n"), lambda text, i: F.struct(text.alias("text"), (i + 1).alias("n"))),
-        lambda line: line["text"].rlike(combined),
+        lambda line: any_of([line["text"].rlike(java_pattern(p["pattern"])) for p in patterns]),
     )
 
     def hits(line: Column) -> Column:
@@ -106,10 +121,7 @@ def secret_matches(patterns: list, first_entry: int, min_entropy: float | None)
         return F.array_compact(F.array(*found))
 
     rows = F.flatten(F.transform(candidates, hits))
-    if any(mark in p["pattern"] for p in patterns for mark in LOOKS_AROUND):
-        return rows
-    # whatever matches within a line also matches within the text
-    return _where(any_of([content.rlike(java_pattern(p["pattern"])) for p in patterns]), rows)
+    return _where(any_of([in_text(content, p["pattern"]) for p in patterns]), rows)
 
 
 def drift_match(check, entry: int) -> Column:
@@ -204,9 +216,9 @@ def scan_files(
     column. `context_keyword` is all that scoring needs of the lines around a match; their text is
     added on request (the matches are then written out, so that the scan is not run twice).
     """
-    rule_rows = small_rows(rules) if rules is not None else []
-    pattern_rows = small_rows(patterns) if patterns is not None else []
-    check_rows = small_rows(checks) if checks is not None else []
+    rule_rows = usable_rows(rules) if rules is not None else []
+    pattern_rows = usable_rows(patterns) if patterns is not None else []
+    check_rows = usable_rows(checks) if checks is not None else []
     entries = (
         [_rule_entry(r) for r in rule_rows]
         + [_secret_entry(p) for p in pattern_rows]
@@ -225,8 +237,9 @@ def scan_files(
         found = F.array_compact(F.array(*[drift_match(c, first + no) for no, c in enumerate(check_rows)]))
         kinds = sorted({c["config_type"] for c in check_rows})
         parts.append(_where(on("drift") & F.col("_kind").isin(kinds), found))
-    if not parts:
+    if rules is None and patterns is None and checks is None:
         raise ValueError("nothing to look for")
+    parts.append(F.array().cast(f"array<{MATCH}>"))
     scanned = files.withColumn("_kind", config_type(F.col("path"))).select(
         "scan_id", "path", "content", F.concat(*parts).alias("_found")
     )
@@ -244,7 +257,8 @@ def scan_files(
         about_rule += [F.lit("context"), F.col("context")]
     detector = F.col("_e.detector")
     metadata = (
-        F.when(detector == "misconfig", F.create_map(*about_rule))
+        F.when((detector == "misconfig") & F.col("detail").isNotNull(), F.create_map(*about_rule, F.lit("match_hash"), F.col("detail")))
+        .when(detector == "misconfig", F.create_map(*about_rule))
         .when(
             detector == "secret",
             F.create_map(F.lit("pattern_name"), F.col("_e.kind"), F.lit("masked_value"), F.col("evidence")),
@@ -315,9 +329,8 @@ def attach_context(matches: DataFrame, files: DataFrame, radius: int = CONTEXT_R
 def pattern_hits(lines: DataFrame, patterns: list, text: str = "line") -> DataFrame:
     """First match of every pattern in every line of a table of lines: adds `pattern` and `matched`.
 
-    Lines are first tested against all patterns at once; few pass.
+    Lines are first tested against every pattern by itself; few pass.
     """
-    combined = "|".join(f"(?:{java_pattern(p['pattern'])})" for p in patterns)
     hits = [
         F.when(
             F.col(text).rlike(java_pattern(p["pattern"])),
@@ -331,7 +344,7 @@ def pattern_hits(lines: DataFrame, patterns: list, text: str = "line") -> DataFr
     table = literal_table([p.asDict() for p in patterns], SECRET_PATTERN)
     kept = lines.columns
     return (
-        lines.filter(F.col(text).rlike(combined))
+        lines.filter(any_of([F.col(text).rlike(java_pattern(p["pattern"])) for p in patterns]))
         .select(*kept, F.explode(F.array_compact(F.array(*hits))).alias("_hit"))
         .select(*kept, F.get(table, F.col("_hit.pattern_no")).alias("pattern"), "_hit.pattern_no", "_hit.matched")
     )

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.base import strip
@@ -51,38 +48,40 @@ def dockerfile_directives(files: DataFrame) -> DataFrame:
     )
 
 
-def _nginx_rows(content: str) -> Iterator[tuple[str, str, int, str]]:
-    blocks: list[str] = []
-    for number, raw in enumerate(content.split("\n"), 1):
-        text = raw.strip()
-        if not text or text[0] == "#":
-            continue
-        if "{" in text:
-            blocks.append(text.replace("{", "").strip())
-        elif "}" in text:
-            del blocks[-1:]
-        elif ";" in text:
-            words = text.rstrip(";").split(None, 1)
-            if words:
-                yield words[0], words[1].strip() if len(words) > 1 else "", number, "/".join(blocks)
-
-
 def nginx_directives(files: DataFrame) -> DataFrame:
     """scan_id, path, directive, value, line, block (path of the open blocks).
 
-    A stack per file has no counterpart among the built-in functions; batches go through Arrow and
-    no rows are moved.
+    A line with a brace opens or closes a block; a fold over these lines gives the path after each of them. A
+    directive takes the path after the last brace above it. Rows stay where they are.
     """
+    said = F.filter(
+        F.transform(F.split("content", "\n"), lambda x, i: F.struct(strip(x).alias("text"), (i + 1).alias("line"))),
+        lambda x: ~x["text"].rlike("^(#|$)"),
+    )
+    strings = F.array().cast("array<string>")
 
-    def parse(batches):
-        for batch in batches:
-            rows = [
-                (scan, path, *row)
-                for scan, path, content in zip(batch["scan_id"], batch["path"], batch["content"])
-                for row in _nginx_rows(content)
-            ]
-            yield pd.DataFrame(rows, columns=["scan_id", "path", "directive", "value", "line", "block"])
+    def step(state: Column, brace: Column) -> Column:
+        name = strip(F.replace(brace["text"], F.lit("{"), F.lit("")))
+        up = F.slice(state["open"], 1, F.greatest(F.size(state["open"]) - 1, F.lit(0)))
+        now = F.when(F.contains(brace["text"], F.lit("{")), F.concat(state["open"], F.array(name))).otherwise(up)
+        return F.struct(now.alias("open"), F.concat(state["paths"], F.array(F.array_join(now, "/"))).alias("paths"))
 
-    return files.select("scan_id", "path", "content").mapInPandas(
-        parse, "scan_id string, path string, directive string, value string, line int, block string"
+    paths = F.aggregate("_braces", F.struct(strings.alias("open"), strings.alias("paths")), step, lambda x: x["paths"])
+    is_brace = lambda x: x["text"].rlike("[{}]")
+    parts = (
+        files.select("scan_id", "path", said.alias("_said"))
+        .withColumn("_braces", F.filter("_said", is_brace))
+        .withColumn("_paths", paths)
+        .withColumn("_at", F.transform("_braces", lambda x: x["line"]))
+        .select("scan_id", "path", "_paths", "_at", F.inline(F.filter("_said", lambda x: ~is_brace(x) & F.contains(x["text"], F.lit(";")))))
+    )
+    above = F.size(F.filter("_at", lambda n: n < F.col("line")))
+    text = strip(F.regexp_replace("text", ";+$", ""))
+    return parts.withColumn("_t", text).filter("_t <> ''").select(
+        "scan_id",
+        "path",
+        F.regexp_extract("_t", r"^(\S+)", 1).alias("directive"),
+        strip(F.regexp_replace("_t", r"^\S+", "")).alias("value"),
+        "line",
+        F.coalesce(F.get("_paths", above - 1), F.lit("")).alias("block"),
     )

@@ -11,7 +11,6 @@ from palisade.operators.common import source_lines
 from palisade.schemas import SEVERITIES
 
 FIXABLE = ["secret", "cve", "misconfig", "misconfiguration"]
-EVIDENCE_KEY_CHARS = 120
 NO_EVIDENCE = "requires login"
 
 
@@ -107,23 +106,29 @@ def fill_evidence(findings: DataFrame, files: DataFrame) -> DataFrame:
     return findings.filter(~(lacks & F.coalesce(F.col("line_number") >= 1, F.lit(False)))).unionByName(filled)
 
 
-def dedupe_key() -> list[Column]:
+def match_hash(df: DataFrame) -> Column:
+    """Hash of the whole match, which a detector leaves in the metadata if the evidence shows only its start."""
+    return F.coalesce(F.try_element_at("metadata", F.lit("match_hash")), F.lit("")) if "metadata" in df.columns else F.lit("")
+
+
+def dedupe_key(df: DataFrame) -> list[Column]:
     return [
         F.col("scan_id"),
         F.col("rule_id"),
         F.col("file_path"),
         F.coalesce("line_number", F.lit(0)),
-        F.left(F.coalesce("evidence", F.lit("")), F.lit(EVIDENCE_KEY_CHARS)),
+        F.coalesce("evidence", F.lit("")),
+        match_hash(df),
     ]
 
 
 def dedupe_findings(df: DataFrame, order: list[str]) -> DataFrame:
-    """The first row (by `order`) of each scan, rule, path, line and evidence start.
+    """The first row (by `order`) of each scan, rule, path, line and match.
 
     Map tasks keep one row per key before the shuffle, so copies of one finding, however many,
     reach a reducer as one row per task.
     """
-    first = W.partitionBy(*dedupe_key()).orderBy(*order)
+    first = W.partitionBy(*dedupe_key(df)).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import git_secret_id, mask_secret
 from palisade.functions.base import any_of
-from palisade.operators.common import finding, small_rows
+from palisade.operators.common import finding, usable_rows
 from palisade.operators.detect import pattern_hits
 
 # Files of the history that are not searched.
@@ -83,7 +83,7 @@ def history_scan(added: DataFrame, patterns: DataFrame) -> DataFrame:
     before the shuffle, so a secret copied everywhere does not fill one reducer.
     """
     lines = added.filter(searched_path(F.col("path")))
-    hits = pattern_hits(lines, small_rows(patterns)).withColumn("masked", mask_secret(F.col("matched")))
+    hits = pattern_hits(lines, usable_rows(patterns)).withColumn("masked", mask_secret(F.col("matched")))
     order = [F.col(c) for c in ("commit_order", "file_no", "line_number") if c in added.columns]
     first = W.partitionBy("repo", "pattern.name", "path", "masked").orderBy(*order)
     rows = hits.withColumn("_n", F.row_number().over(first)).filter("_n = 1")

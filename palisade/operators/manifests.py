@@ -6,7 +6,6 @@ All operators take files (scan_id, path, content) and give `DEPENDENCY_COLUMNS`.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,10 +56,19 @@ def npm_manifest(files: DataFrame) -> DataFrame:
     )
 
 
-def _nested_rows(packages: dict, nested: bool) -> Iterator[tuple[str, str, bool, bool]]:
-    for name, info in packages.items():
-        yield name, info.get("version", NO_VERSION), bool(info.get("dev", False)), nested
-        yield from _nested_rows(info.get("dependencies") or {}, True)
+def _tree_packages(content: str) -> list[tuple[str, str, bool, bool]]:
+    """Packages of a nested lock file: name, version, dev, below another one. Text that is no such file has none."""
+    try:
+        document = json.loads(content)
+    except ValueError:
+        return []
+    top = document.get("dependencies") if isinstance(document, dict) else None
+    level, found, below = [top] if isinstance(top, dict) else [], [], False
+    while level:
+        entries = [(name, info) for packages in level for name, info in packages.items() if isinstance(info, dict)]
+        found += [(name, str(info.get("version", NO_VERSION)), bool(info.get("dev")), below) for name, info in entries]
+        level, below = [x for _, info in entries if isinstance(x := info.get("dependencies"), dict)], True
+    return found
 
 
 def npm_lock(files: DataFrame) -> DataFrame:
@@ -85,7 +93,7 @@ def npm_lock(files: DataFrame) -> DataFrame:
             rows = [
                 (scan, path, *row)
                 for scan, path, content in zip(batch["scan_id"], batch["path"], batch["content"])
-                for row in _nested_rows(json.loads(content).get("dependencies") or {}, False)
+                for row in _tree_packages(content)
             ]
             yield pd.DataFrame(rows, columns=["scan_id", "path", "name", "version", "dev", "nested"])
 
@@ -170,17 +178,17 @@ def include_edges(files: DataFrame) -> DataFrame:
     return rows.select("scan_id", "path", resolve_path(folder, target).alias("included")).distinct()
 
 
-def requirements_includes(files: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
+def requirements_includes(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Files reached from the root files over includes, each once: scan_id, root, path.
 
-    One join per level of inclusion, on the newly found files only.
+    One join per level of inclusion, on the newly found files only; a circle ends as it finds nothing new.
     """
     edges = include_edges(files).withColumnRenamed("path", "from_path")
     known = files.select("scan_id", F.col("path").alias("included"))
     edges = edges.join(known, ["scan_id", "included"], "left_semi")
     reached = roots.select("scan_id", F.col("path").alias("root"), "path").distinct()
     frontier = reached
-    for _ in range(max_depth):
+    while True:
         nxt = (
             frontier.withColumnRenamed("path", "from_path")
             .join(edges, ["scan_id", "from_path"])
@@ -191,8 +199,20 @@ def requirements_includes(files: DataFrame, roots: DataFrame, max_depth: int = 1
         frontier = cut_lineage(nxt)
         if frontier.isEmpty():
             return reached
-        reached = cut_lineage(reached.unionByName(frontier))
-    raise ValueError(f"includes nested deeper than {max_depth}")
+        reached = reached.unionByName(frontier)
+
+
+def included_requirements(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Requirement files that `manifests` include, directly or over others, which are not among them: scan_id, path,
+    content. Each level reads only the files that the level before names."""
+    seen, level, found = manifests.select("scan_id", "path"), manifests, None
+    while True:
+        named = include_edges(level).select("scan_id", F.col("included").alias("path")).distinct().join(seen, ["scan_id", "path"], "left_anti")
+        level = cut_lineage(files.select("scan_id", "path", "content").join(named, ["scan_id", "path"], "left_semi"))
+        if level.isEmpty():
+            return level if found is None else found
+        found = level if found is None else found.unionByName(level)
+        seen = seen.unionByName(level.select("scan_id", "path"))
 
 
 def pipfile_lock(files: DataFrame) -> DataFrame:
@@ -270,15 +290,24 @@ def dependencies(files: DataFrame) -> DataFrame:
     """Packages of all manifests among the files, each read by the parser of its kind.
 
     Manifests are a small part of a corpus: they are written out first, in one pass, and the parsers
-    read only them.
+    read only them and the requirement files that they include. `unreadable_manifests` lists those that do not parse.
     """
     kinds = cut_lineage(
         files.select("scan_id", "path", "content", manifest_kind(F.col("path")).alias("_kind")).filter(
             "_kind <> 'unsupported'"
         )
     )
-    parts = [parse(kinds.filter(F.col("_kind") == kind)) for kind, parse in PARSERS.items()]
+    of = {kind: kinds.filter(F.col("_kind") == kind).drop("_kind") for kind in PARSERS}
+    of["requirements"] = of["requirements"].unionByName(included_requirements(files, of["requirements"]))
+    parts = [parse(of[kind]) for kind, parse in PARSERS.items()]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
     return rows
+
+
+def unreadable_manifests(files: DataFrame) -> DataFrame:
+    """Manifests that give no packages because they do not parse: scan_id, path, reason."""
+    kind = manifest_kind(F.col("path"))
+    is_json = kind.isin("npm_manifest", "npm_lock", "pipfile_lock")
+    return files.filter(is_json & F.try_parse_json("content").isNull()).select("scan_id", "path", F.lit("no JSON").alias("reason"))

@@ -20,7 +20,6 @@ OWN_DOMAIN = "https://yourdomain.com"
 CORS_HEADER = f"    add_header 'Access-Control-Allow-Origin' '{OWN_DOMAIN}';"
 DEBUG_OFF = "DEBUG = False  # Fixed: debug mode disabled for production"
 USER_LINE = "USER appuser"
-FALLBACK_VERSION = "2.31.0"
 MISCONFIG = ["misconfig", "misconfiguration"]
 CONTEXT_RADIUS = 7
 
@@ -80,7 +79,7 @@ def cors_replacement(path: Column, old: Column) -> Column:
 
 def upgrade_line(package: Column, version: Column, cve_id: Column) -> Column:
     known = F.when(F.coalesce(cve_id, F.lit("")) == "", "known vulnerability").otherwise(cve_id)
-    return _cat(package, ">=", F.coalesce(version, F.lit(FALLBACK_VERSION)), "  # Fixes ", known)
+    return _cat(package, ">=", version, "  # Fixes ", known)
 
 
 def replacement_line(category: Column, rule_id: Column, path: Column, old: Column) -> Column:
@@ -93,14 +92,34 @@ def replacement_line(category: Column, rule_id: Column, path: Column, old: Colum
     )
 
 
+def _from_metadata(df: DataFrame, key: str) -> Column:
+    return F.try_element_at("metadata", F.lit(key)) if "metadata" in df.columns else F.lit(None).cast("string")
+
+
 def _package(df: DataFrame) -> Column:
-    """Package a dependency finding is about: its own column, else the evidence up to `==`."""
+    """Package a dependency finding is about: its own column, its metadata, else the evidence up to `==`."""
     guessed = strip(text_before(F.coalesce("evidence", F.lit("")), "=="))
-    return F.coalesce("package", guessed) if "package" in df.columns else guessed
+    own = F.col("package") if "package" in df.columns else F.lit(None).cast("string")
+    return F.coalesce(own, _from_metadata(df, "package"), guessed)
 
 
 def _fixed_version(df: DataFrame) -> Column:
-    return F.col("fixed_version") if "fixed_version" in df.columns else F.lit(None).cast("string")
+    """First version without the fault: a column, or the first that the metadata names; null if none is known."""
+    own = F.col("fixed_version") if "fixed_version" in df.columns else F.lit(None).cast("string")
+    named = F.get(F.split(_from_metadata(df, "fixed_versions"), ","), F.lit(0))
+    return F.coalesce(F.when(own != "", own), F.when(named != "", named))
+
+
+def upgraded(path: Column, package: Column, version: Column, cve_id: Column, old: Column) -> Column:
+    """The line of a manifest with the fixed version, in the form of its kind."""
+    quoted = F.concat(F.lit('(?i)("\\Q'), package, F.lit('\\E"\\s*:\\s*")[^"]*"'))
+    in_json = F.regexp_replace(old, quoted, F.concat(F.lit("$1^"), version, F.lit('"')))
+    return F.when(suffix(path) == ".json", in_json).otherwise(upgrade_line(package, version, cve_id))
+
+
+def _upgradable(path: Column) -> Column:
+    """Manifests whose lines can be rewritten one by one; lock and XML files can't."""
+    return ~F.lower(path).rlike(r"(\.lock|lock\.json|\.xml)$")
 
 
 def finding_context(findings: DataFrame, files: DataFrame, radius: int = CONTEXT_RADIUS) -> DataFrame:
@@ -165,7 +184,7 @@ def suggest_patch(findings: DataFrame, files: DataFrame | None = None, custom: s
     line = F.when(F.coalesce("line_number", F.lit(0)) == 0, 1).otherwise(F.col("line_number")).cast("string")
     head = lambda n: _cat("--- a/", path, "\n+++ b/", path, "\n@@ -", line, ",1 +", line, f",{n} @@\n")
     cve = F.coalesce("cve_id", F.lit(""))
-    pinned = F.contains(evidence, F.lit("=="))
+    pinned = F.contains(evidence, F.lit("==")) & _fixed_version(findings).isNotNull()
     upgrade = upgrade_line(_package(findings), _fixed_version(findings), F.col("cve_id"))
     infra, cors = _rule_is(rule, "INFRA-001"), _rule_is(rule, "WEB-003")
     misconfig = category.isin(MISCONFIG)
@@ -241,9 +260,9 @@ def _package_places(fixes: DataFrame, files: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("given", "package")).alias("_asked"))
     )
     pieces = F.split("content", "\n")
-    start = lambda p: F.instr(F.col("content"), p)
+    start = lambda p: F.instr(F.lower("content"), F.lower(p))
     place = lambda a: F.when(
-        F.contains(F.get(F.col("_pieces"), a["given"] - 1), a["package"]), a["given"]
+        F.contains(F.lower(F.get(F.col("_pieces"), a["given"] - 1)), F.lower(a["package"])), a["given"]
     ).when(
         start(a["package"]) > 0, F.size(F.split(F.left(F.col("content"), start(a["package"]) - 1), "\n"))
     )
@@ -269,7 +288,7 @@ def planned_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> Da
         F.struct(*order).alias("_order"),
     )
     by_line = todo.filter("category <> 'cve' and given >= 1").withColumn("line_number", F.col("given"))
-    by_package = todo.filter("category = 'cve' and package <> ''")
+    by_package = todo.filter("category = 'cve' and package <> '' and fixed_version is not null").filter(_upgradable(F.col("path")))
     places = _package_places(by_package, files)
     return by_line.unionByName(by_package.join(places, ["scan_id", "path", "given", "package"]))
 
@@ -297,7 +316,7 @@ def apply_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> tupl
     hit = F.col("category").isNotNull() & F.col("is_line")
     new_text = F.when(~hit, F.col("text")).when(
         F.col("category") == "cve",
-        upgrade_line(F.col("package"), F.col("fixed_version"), F.col("cve_id")),
+        upgraded(F.col("path"), F.col("package"), F.col("fixed_version"), F.col("cve_id"), F.col("text")),
     ).otherwise(replacement_line(F.col("category"), F.col("rule_id"), F.col("path"), F.col("text")))
     changed = (
         lines.join(winners, place, "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import clean_path
 from palisade.operators import detect
-from palisade.operators.findings import dedupe_findings, fill_evidence, persist_mapping
+from palisade.operators.findings import dedupe_findings, fill_evidence, match_hash, persist_mapping
 from palisade.operators.scoring import score
 from palisade.session import cut_lineage
 
@@ -57,7 +57,7 @@ def with_finding_id(df: DataFrame) -> DataFrame:
         F.coalesce(c, F.lit(""))
         for c in (
             F.col("scan_id"), F.col("rule_id"), F.col("file_path"),
-            F.col("line_number").cast("string"), F.left("evidence", F.lit(120)),
+            F.col("line_number").cast("string"), F.col("evidence"), match_hash(df),
         )
     ]
     return df.withColumn("finding_id", F.left(F.sha2(F.concat_ws("\x1f", *parts), 256), F.lit(32)))

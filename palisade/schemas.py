@@ -24,7 +24,8 @@ ADVISORY = """id string, summary string, details string, aliases array<string>,
        database_specific struct<severity:string>,
        affected array<struct<
          package:struct<ecosystem:string,name:string>,
-         ranges:array<struct<events:array<struct<introduced:string,fixed:string>>>>,
+         ranges:array<struct<type:string,
+           events:array<struct<introduced:string,fixed:string,last_affected:string,`limit`:string>>>>,
          versions:array<string>>>,
        references array<struct<url:string>>"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,11 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="palisade-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only if it names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,7 +42,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="palisade-")
+    return _local_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -45,15 +51,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint()
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores when the input has fewer splits than there are cores.
-
-    For stages that do much work per row (regular expressions over texts). A large input has
-    more splits than cores and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * 2, *keys)

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_COMMITS = 500
-
 
 def read_git_log(spark: SparkSession, path: str) -> DataFrame:
     """One row per commit: repo, commit_order, record (the text after `COMMIT:`).
@@ -28,9 +26,11 @@ def read_git_log(spark: SparkSession, path: str) -> DataFrame:
     ).filter(F.size(F.split(F.substring_index("record", "\n", 1), r"\|")) >= 5)
 
 
-def latest_commits(commits: DataFrame, limit: int = MAX_COMMITS) -> DataFrame:
-    """The first `limit` commits of each repository in log order (the log starts with the newest)."""
+def latest_commits(commits: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` commits of each repository in log order (the log starts with the newest).
+
+    Only the keys are ranked; the texts of the commits that stay are joined.
+    """
     in_log_order = W.partitionBy("repo").orderBy("commit_order")
-    return (
-        commits.withColumn("_n", F.row_number().over(in_log_order)).filter(F.col("_n") <= limit).drop("_n")
-    )
+    ranked = commits.select("repo", "commit_order").withColumn("_n", F.row_number().over(in_log_order))
+    return commits.join(ranked.filter(F.col("_n") <= limit), ["repo", "commit_order"], "left_semi").select(*commits.columns)

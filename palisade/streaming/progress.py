@@ -58,9 +58,9 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 def stream_dedupe(findings: DataFrame, time_column: str, delay: str) -> DataFrame:
     """Each finding of a stream once, among those no further apart than the watermark delay."""
-    keys = [f"_k{i}" for i in range(len(dedupe_key()))]
+    keys = [f"_k{i}" for i in range(len(dedupe_key(findings)))]
     return (
-        findings.withColumns(dict(zip(keys, dedupe_key())))
+        findings.withColumns(dict(zip(keys, dedupe_key(findings))))
         .withWatermark(time_column, delay)
         .dropDuplicatesWithinWatermark(keys)
         .drop(*keys)

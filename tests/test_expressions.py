@@ -172,7 +172,10 @@ def test_version_order(spark):
         return one(spark, P.version_key(F.lit(a)) < P.version_key(F.lit(b)))
 
     assert less("1.9", "1.10") and less("1.0", "1.0.1") and not less("1.0.0", "1.0") and not less("1.0", "1.0.0")
-    assert one(spark, P.version_key(F.lit("1.0rc1"))) is None
+    assert less("1.0.20240101000000", "1.0.20240101000001") and less("1.9.0-beta.1", "1.9.0") and less("1.8.9", "1.9.0-beta.1")
+    assert less("1.0.dev1", "1.0a1") and less("1.0a2", "1.0b1") and less("1.0b1", "1.0rc1") and less("1.0rc1", "1.0") and less("1.0", "1.0.post1")
+    assert less("1.0-alpha", "1.0-alpha.1") and less("1.0-beta.2", "1.0-beta.11") and less("1.0-SNAPSHOT", "1.0") and not less("1.0.Final", "1.0")
+    assert one(spark, P.version_key(F.lit("weird"))) is None
 
 
 def test_git_evidence_last_key_wins(spark):

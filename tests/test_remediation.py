@@ -81,9 +81,10 @@ def test_package_lines(spark):
         files(spark, requirements_txt="a==1\nreq==1\nlib==2\nreq-x==1\n"),
         found(
             spark,
-            {"file_path": "requirements.txt", "line_number": 3, "evidence": "req==1", **cve},
+            {"file_path": "requirements.txt", "line_number": 3, "evidence": "req==1", "fixed_version": "2.31.0", **cve},
             {"file_path": "requirements.txt", "line_number": 3, "evidence": "lib==2", "fixed_version": "2.5", **cve},
-            {"file_path": "requirements.txt", "line_number": 0, "evidence": "gone==2", **cve},
+            {"file_path": "requirements.txt", "line_number": 0, "evidence": "gone==2", "fixed_version": "3", **cve},
+            {"file_path": "requirements.txt", "line_number": 1, "evidence": "a==1", **cve},
         ),
     )
     assert out == {"requirements.txt": "a==1\nreq>=2.31.0  # Fixes CVE-1\nlib>=2.5  # Fixes CVE-1\nreq-x==1\n"}
@@ -131,7 +132,7 @@ def test_revert_gives_the_file_back(spark):
 def test_suggest_patch(spark):
     rows = found(
         spark,
-        {"file_path": "a.conf", "evidence": "DEBUG = True"}, {"file_path": "r.txt", "category": "cve", "evidence": "req==1"},
+        {"file_path": "a.conf", "evidence": "DEBUG = True"}, {"file_path": "r.txt", "category": "cve", "evidence": "req==1", "fixed_version": "2.31.0"},
         {"file_path": "x", "category": "sast", "rule_id": "B1"}, {"file_path": "a.conf", "category": "secret", "rule_id": "S-1", "evidence": "old"},
     )
     table = files(spark, a_conf="key = 1  \n")
