@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from palisade.operators.findings import bucket_counts
 from palisade.plans.scan import stored_findings
@@ -17,18 +17,25 @@ from palisade.sources.corpus import corpus_rows
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-BUCKETS = 64
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def _stored_ids(rows: DataFrame, path: str, batch_id: int) -> DataFrame | None:
-    """Ids that earlier batches wrote into the buckets of these rows, or None before the first batch."""
-    try:
-        stored = rows.sparkSession.read.parquet(path)
-    except AnalysisException:
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in the checkpoint: the same after a restart, another with a new checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first().value)["id"]
+
+
+def _stored_ids(rows: DataFrame, path: str, run: str, batch_id: int, buckets: int) -> DataFrame | None:
+    """Ids that other batches wrote into the buckets of these rows, or None before the first batch."""
+    spark = rows.sparkSession
+    if not _exists(spark, path):
         return None
-    buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
-    earlier = (F.col("batch") < batch_id) & F.col("bucket").isin(buckets)
-    return stored.filter(earlier).select("finding_id")
+    touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+    other = ~((F.col("run") == run) & (F.col("batch") >= batch_id)) & F.col("bucket").isin(touched)
+    schema = "finding_id string, run string, batch long, bucket int"
+    return spark.read.schema(schema).parquet(path).filter(other).select("finding_id")
 
 
 def incremental_ingest(
@@ -38,12 +45,13 @@ def incremental_ingest(
     checkpoint: str,
     detect: Callable[[DataFrame], DataFrame],
     files_per_trigger: int = 1000,
+    buckets: int = 64,
 ) -> StreamingQuery:
     """Scan the files that arrived since the last run with `detect` (files to findings), then stop.
 
-    Findings go to `findings_path/batch=<n>/bucket=<b>`, the bucket being a hash of the scan. A batch
-    that is run again writes the same rows to the same folder, and a finding that an earlier batch
-    stored is not stored twice: ids are made from the content of a finding, and only the buckets that
+    Findings go to `findings_path/run=<id>/batch=<n>/bucket=<b>`, the bucket being a hash of the scan. A batch
+    that is run again writes the same rows to the same folder, a new checkpoint writes to folders of its own, and a
+    finding that another batch stored is not stored twice: ids are made from the content of a finding, and only the buckets that
     a batch touches are looked up.
     """
     stream = (
@@ -56,12 +64,13 @@ def incremental_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         files = corpus_rows(batch, root)
-        bucket = F.pmod(F.hash("scan_id"), F.lit(BUCKETS))
+        bucket = F.pmod(F.hash("scan_id"), F.lit(buckets))
         rows = cut_lineage(stored_findings(detect(files)).withColumn("bucket", bucket))
-        known = _stored_ids(rows, findings_path, batch_id)
+        run = _run_id(spark, checkpoint)
+        known = _stored_ids(rows, findings_path, run, batch_id, buckets)
         if known is not None:
             rows = rows.join(known, "finding_id", "left_anti")
-        folder = f"{findings_path.rstrip('/')}/batch={batch_id}"
+        folder = f"{findings_path.rstrip('/')}/run={run}/batch={batch_id}"
         rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
     return (

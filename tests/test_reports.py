@@ -142,8 +142,8 @@ def test_dedupe_keeps_first_and_is_idempotent(spark):
     found = rows(spark, {"evidence": "AKIA" + "x" * 130, "title": "b"}, {"evidence": "AKIA" + "x" * 200, "title": "a"},
                  {"line_number": None}, {"line_number": 0}, {"scan_id": "2"})
     once = stored.dedupe_findings(found, ["finding_id"])
-    assert sorted(r.finding_id for r in once.collect()) == ["f000", "f002", "f004"]
-    assert stored.dedupe_findings(once, ["finding_id"]).count() == 3
+    assert sorted(r.finding_id for r in once.collect()) == ["f000", "f001", "f002", "f004"]
+    assert stored.dedupe_findings(once, ["finding_id"]).count() == 4
 
 
 def test_stored_findings_score_before_paths_are_cut(spark):
