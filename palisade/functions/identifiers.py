@@ -89,28 +89,41 @@ RELEASE_WORDS = ["final", "ga", "release"]
 POST_WORDS = ["post", "rev", "r", "sp"]
 
 
+DIGITS = 24
+
+
+def _numbers(dotted: Column) -> Column:
+    """Parts as digits of one width, which compare as the numbers do."""
+    bare = F.regexp_replace(dotted, r"(\.0+)+$", "")
+    return F.transform(F.split(bare, r"\."), lambda p: F.lpad(p, DIGITS, "0"))
+
+
+def _version(numbers: Column, phase: Column, rest: Column) -> Column:
+    """One text that orders as the three do one after the other: `!` comes before digits and letters."""
+    return F.concat(F.array_join(numbers, ""), F.lit("!"), phase.cast("string"), F.lit("!"), F.array_join(rest, "!"))
+
+
 def version_key(version: Column) -> Column:
-    """Versions as a value that orders them: numbers of any length part by part, then the words behind them.
+    """Versions as a text that orders them: numbers (up to 24 digits) part by part, then the words behind them.
 
     Trailing zero parts are dropped, so that 1.0 and 1.0.0 are equal. Pre-releases (1.0-beta.2, 1.0rc1, 1.0.dev3)
     come before their release, post-releases after it; what follows a `+` does not count. Others give null.
     """
+    number = rf"[0-9]{{1,{DIGITS}}}"
     text = F.lower(F.regexp_replace(version, r"^[vV=]+|\+.*$", ""))
-    shape = r"^([0-9]{1,38}(?:\.[0-9]{1,38})*)(?:[-._]?([a-z][-._a-z0-9]*)|-([0-9][-._a-z0-9]*))?$"
-    bare = F.regexp_replace(F.regexp_extract(text, shape, 1), r"(\.0+)+$", "")
-    numbers = F.transform(F.split(bare, r"\."), lambda p: p.try_cast("decimal(38,0)"))
+    shape = rf"^({number}(?:\.{number})*)(?:[-._]?([a-z][-._a-z0-9]*)|-([0-9][-._a-z0-9]*))?$"
     tail = F.concat(F.regexp_extract(text, shape, 2), F.regexp_extract(text, shape, 3))
     words = F.regexp_extract_all(tail, F.lit("[a-z]+|[0-9]+"), F.lit(0))
     first = F.get(words, F.lit(0))
     phase = F.when((tail == "") | first.isin(RELEASE_WORDS), 1).when(first.isin(POST_WORDS), 2).otherwise(0)
-    named = lambda w: pick(w, PRE_WORDS, w)
     rest = F.transform(
         words,
-        lambda w: F.struct(
-            w.rlike("^[a-z]").alias("word"), F.coalesce(w.try_cast("decimal(38,0)"), F.lit(0)).alias("number"), named(w).alias("text")
-        ),
+        lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.lit("w"), pick(w, PRE_WORDS, w))).otherwise(F.concat(F.lit("n"), F.lpad(w, DIGITS, "0"))),
     )
-    return F.when(text.rlike(shape), F.struct(numbers.alias("numbers"), phase.alias("phase"), F.when(phase != 1, rest).otherwise(F.slice(rest, 1, 0)).alias("rest")))
+    none = F.array().cast("array<string>")
+    full = _version(_numbers(F.regexp_extract(text, shape, 1)), phase, F.when(phase != 1, rest).otherwise(none))
+    plain = _version(_numbers(version), F.lit(1), none)
+    return F.when(version.rlike(rf"^{number}(\.{number})*$"), plain).when(text.rlike(shape), full)
 
 
 def package_key(ecosystem: Column, name: Column, group: Column) -> Column:
