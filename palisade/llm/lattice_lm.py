@@ -1,20 +1,30 @@
 """Probability of whole documents under a subword lattice.
 
-The vocabulary is an existing one; the weight of each of its strings is learned: the training words, counted over all
-training documents, are segmented once by the library, and a string's weight is its smoothed share of all tokens (with
-one symbol for the end of a document). A word's probability is the sum over *all* its segmentations, by the forward
-recursion in log space over the lattice of vocabulary strings; characters without a string go through their bytes.
-No vocabulary string goes on past a space, so a document is the product of its words and its end.
-
-Words are counted and scored once each: chunks of documents ask hash buckets about their distinct words (`exchange`).
+The vocabulary is an existing one; its strings are weighted by what the distinct training words are made of (the
+library segments each once), so that they say how a *new* word looks. A word's lattice holds all vocabulary strings
+(characters without a string go through their bytes) and one arc more, the whole word, if training texts have it:
+the counts, less a discount, weigh that arc, and what the discounts leave weighs the rest. The forward recursion in
+log space sums over all segmentations. No vocabulary string goes on past a space, so a document is the product of its
+words and its end.
+
+Languages and topics share few words. So a document belongs to a class, which only its text decides: the commonest
+word of the corpus that it has most often. Words of a class back off to all words, its strings to all strings.
+A document's score has its class's probability as a factor, so it is one term of the sum over classes: the scores of
+all possible texts add up to one at most.
+
+Words are counted and scored once for each class: chunks of documents ask hash buckets about their distinct words
+(`exchange`). Classes and vocabulary bound what comes to the driver; counts of words stay in their buckets.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from math import log, log10
+from math import log, log10, log1p
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +39,34 @@ from palisade.llm.token_counts import SPACE, processor
 LN10 = log(10)
 #: Words longer than this many characters go through the lattice one at a time.
 WIDE = 48
+#: A question's first byte is its class, counted from this letter.
+FIRST_CLASS = 64
+
 
+def _class_words(text: bytes, anchors: dict[bytes, int]) -> tuple[int, dict[bytes, int]]:
+    """Class of a text (the place of the anchor that it has most often, from 1; 0 without one), and its words with
+    their class in front, counted in the order of their first place."""
+    words = Counter(text.translate(ASCII_LOWER).split())
+    _, _, kind = min(((-words[a], k, k + 1) for a, k in anchors.items() if a in words), default=(0, 0, 0))
+    mark = bytes([FIRST_CLASS + kind])
+    return kind, {mark + word: n for word, n in words.items()}
 
-def _shared(texts: list[bytes], train: list[bool]) -> dict[bytes, int]:
-    """Distinct words in the order of their first place, with their count in the training texts."""
+
+def _shared(texts: list[bytes], train: list[bool], anchors: dict[bytes, int]) -> dict[bytes, int]:
+    """Distinct words by class, with their count in the training texts; the word without letters is the end."""
     counts: dict[bytes, int] = {}
     for text, learns in zip(texts, train, strict=True):
-        for word in text.translate(ASCII_LOWER).split():
-            counts[word] = counts.get(word, 0) + learns
+        kind, words = _class_words(text, anchors)
+        for word, n in words.items():
+            counts[word] = counts.get(word, 0) + n * learns
+        end = bytes([FIRST_CLASS + kind])
+        counts[end] = counts.get(end, 0) + learns
     return counts
 
 
 def _by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the words by bucket, and the sorted buckets."""
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    """Order of the words by bucket, whatever their class, and the sorted buckets."""
+    bucket = np.fromiter((zlib.crc32(w[1:]) % buckets for w in words), np.int64, len(words))
     order = np.argsort(bucket, kind="stable")
     return order, bucket[order]
 
@@ -82,18 +106,17 @@ def _strings(path: str) -> tuple[list[str], list[int]]:
 
 
 class Lattice:
-    """Log probability (natural) of words from the weights of vocabulary strings."""
+    """Log probability (natural) of words, each under the row of `weights` (class, string id) that its class names."""
 
     def __init__(self, path: str, weights: np.ndarray) -> None:
-        strings, of_byte = _strings(path)
-        self.weight = {s: float(w) for s, w in zip(strings, weights, strict=False) if s}
-        self.of_byte = [float(weights[i]) for i in of_byte]
-        self.longest = max(map(len, self.weight))
-        self.single: dict[str, float] = {}
-        several = [s for s in self.weight if len(s) > 1]
+        strings, self.of_byte = _strings(path)
+        self.weights = weights
+        self.id = {s: i for i, s in enumerate(strings) if s}
+        self.longest = max(map(len, self.id))
+        several = [s for s in self.id if len(s) > 1]
         keys = np.array([self._key(s) for s in several], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.array([self.weight[s] for s in several])[order]
+        self.keys, self.ids = keys[order], np.array([self.id[s] for s in several])[order]
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two vocabulary strings with one hash")
         self.marks = np.zeros(1 << 20, bool)
@@ -108,27 +131,25 @@ class Lattice:
             x ^= x >> 29
         return x
 
-    def char(self, c: str) -> float:
-        """A string of its own, or else its bytes."""
-        if c not in self.single:
-            self.single[c] = self.weight.get(c) if c in self.weight else sum(self.of_byte[b] for b in c.encode())
-        return self.single[c]
+    def char(self, c: str) -> np.ndarray:
+        """For each class: a string of its own, or else its bytes."""
+        return self.weights[:, self.id[c]] if c in self.id else sum(self.weights[:, self.of_byte[b]] for b in c.encode())
 
-    def one(self, word: str) -> float:
-        s = SPACE + word
-        alpha = [0.0]
+    def one(self, word: str, kind: int) -> float:
+        s, weights = SPACE + word, self.weights[kind]
+        alpha, single = [0.0], {c: float(self.char(c)[kind]) for c in set(s)}
         for j in range(1, len(s) + 1):
-            arcs = [alpha[j - 1] + self.char(s[j - 1])]
-            arcs += [alpha[i] + self.weight[s[i:j]] for i in range(max(0, j - self.longest), j - 1) if s[i:j] in self.weight]
+            arcs = [alpha[j - 1] + single[s[j - 1]]]
+            arcs += [alpha[i] + weights[self.id[s[i:j]]] for i in range(max(0, j - self.longest), j - 1) if s[i:j] in self.id]
             alpha.append(float(np.logaddexp.reduce(arcs)))
         return alpha[-1]
 
-    def same_length(self, words: list[str], n: int) -> np.ndarray:
+    def same_length(self, words: list[str], kinds: np.ndarray, n: int) -> np.ndarray:
         """The forward recursion for words of `n` characters side by side."""
         chars = np.full((len(words), n + 1), ord(SPACE), np.uint64)
         chars[:, 1:] = np.array(words, f"<U{n}").view("<u4").reshape(len(words), n)
-        kinds, where = np.unique(chars, return_inverse=True)
-        single = np.array([self.char(chr(int(k))) for k in kinds])[where.reshape(chars.shape)]
+        letters, where = np.unique(chars, return_inverse=True)
+        single = np.stack([self.char(chr(int(k))) for k in letters])[where.reshape(chars.shape), kinds[:, None]]
         alpha = np.full((len(words), n + 2), -np.inf)
         alpha[:, 0] = 0.0
         for i in range(n + 1):
@@ -143,55 +164,112 @@ class Lattice:
                 at = np.minimum(np.searchsorted(self.keys, key[rows]), len(self.keys) - 1)
                 same = self.keys[at] == key[rows]
                 rows, at = rows[same], at[same]
-                alpha[rows, j + 1] = np.logaddexp(alpha[rows, j + 1], alpha[rows, i] + self.values[at])
+                alpha[rows, j + 1] = np.logaddexp(alpha[rows, j + 1], alpha[rows, i] + self.weights[kinds[rows], self.ids[at]])
         return alpha[:, -1]
 
-    def score(self, words: list[str]) -> np.ndarray:
+    def score(self, words: list[str], kinds: np.ndarray) -> np.ndarray:
         out = np.empty(len(words))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(lengths):
             rows = np.flatnonzero(lengths == n)
             for part in np.array_split(rows, -(-len(rows) // 20_000)):
                 some = [words[i] for i in part]
-                plain = n <= WIDE and not any("\0" in w for w in some)
-                out[part] = self.same_length(some, int(n)) if plain else [self.one(w) for w in some]
+                plain = 0 < n <= WIDE and not any("\0" in w for w in some)
+                out[part] = self.same_length(some, kinds[part], int(n)) if plain else [self.one(w, k) for w, k in zip(some, kinds[part], strict=True)]
         return out
 
 
-def learned(questions: DataFrame, path: str, ends: int, smooth: float) -> tuple[np.ndarray, float, int, int]:
-    """Log weights of all vocabulary strings, that of the end, and the number of training words and of distinct ones.
+class Learned(NamedTuple):
+    """What the driver holds of the training texts. Last row of `words`, `distinct`, `ends`: all classes."""
 
-    Only sums for each vocabulary string come to the driver."""
-    kinds = processor(path).get_piece_size()
+    weights: np.ndarray  # log weight of each string, by class
+    words: np.ndarray
+    distinct: np.ndarray
+    ends: np.ndarray
 
-    def count(table: pa.Table) -> pa.Table:
-        total = {w: n for w, n in _totals(table["blob"].to_pylist())[0].items() if n}
-        words, model = list(total), processor(path)
-        sums = np.zeros(kinds + 2, np.int64)
-        for part in range(0, len(words), 50_000):
-            some = words[part : part + 50_000]
-            ids = model.encode([w.decode() for w in some], num_threads=1)
-            n = np.repeat([total[w] for w in some], [len(x) for x in ids])
-            np.add.at(sums, np.fromiter((i for x in ids for i in x), np.int64, len(n)), n)
-        sums[kinds], sums[kinds + 1] = sum(total.values()), len(total)
-        at = np.flatnonzero(sums)
-        return pa.table({"piece": pa.array(at), "n": pa.array(sums[at])})
 
-    sums = np.zeros(kinds + 2)
-    for row in questions.groupBy("bucket").applyInArrow(count, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        sums[row.piece] = row.n  # at most a row for each vocabulary string
-    counts, words, distinct = sums[:kinds] + smooth, int(sums[kinds]), int(sums[kinds + 1])
-    whole = counts.sum() + ends + smooth
-    return np.log(counts / whole), log((ends + smooth) / whole), words, distinct
+def common_words(questions: DataFrame, most: int) -> dict[bytes, int]:
+    """Places of the `most` commonest training words; of equal ones, those that sort first."""
+
+    def top(table: pa.Table) -> pa.Table:
+        total = _totals(table["blob"].to_pylist())[0]
+        best = heapq.nsmallest(most, ((-n, w[1:]) for w, n in total.items() if n and len(w) > 1))
+        return pa.table({"word": pa.array([w for _, w in best], pa.binary()), "n": pa.array([-n for n, _ in best], pa.int64())})
+
+    found = questions.groupBy("bucket").applyInArrow(top, "word binary, n long").orderBy(F.desc("n"), "word").limit(most)
+    return {bytes(row.word): k for k, row in enumerate(found.collect())}
 
 
-def score_documents(docs: DataFrame, path: str, train: Column, doc_id: str = "doc_id", text: str = "text", smooth: float = 0.5, chunk_bytes: int = 8 << 20, bucket_words: int = 2 << 20) -> DataFrame:
+def learned(questions: DataFrame, path: str, classes: int, smooth: float, backing: float) -> Learned:
+    """Weights of all vocabulary strings in each class, and its numbers of training words, distinct words and texts.
+
+    Only sums for each class and vocabulary string come to the driver."""
+    size = processor(path).get_piece_size()
+    width = size + 3
+
+    def count(table: pa.Table) -> pa.Table:
+        total = {w: n for w, n in _totals(table["blob"].to_pylist())[0].items() if n}
+        keys = [w for w in total if len(w) > 1]
+        place = {w: k for k, w in enumerate(dict.fromkeys(w[1:] for w in keys))}
+        names, model, lengths, flat = list(place), processor(path), [], [np.empty(0, np.int64)]
+        for part in range(0, len(names), 50_000):
+            ids = model.encode([w.decode() for w in names[part : part + 50_000]], num_threads=1)
+            lengths += map(len, ids)
+            flat.append(np.fromiter((i for x in ids for i in x), np.int64))
+        pieces, long = np.concatenate(flat), np.array(lengths, np.int64)
+        kind = np.fromiter((w[0] - FIRST_CLASS for w in keys), np.int64, len(keys))
+        which = np.fromiter((place[w[1:]] for w in keys), np.int64, len(keys))
+        n = np.fromiter((total[w] for w in keys), np.int64, len(keys))
+        sums = np.zeros((classes + 1, width), np.int64)
+        sums[classes] = np.bincount(pieces, minlength=width)
+        begins = np.cumsum(long) - long
+        for k in np.unique(kind):
+            here = which[kind == k]
+            at = np.repeat(begins[here] - (np.cumsum(long[here]) - long[here]), long[here]) + np.arange(long[here].sum())
+            sums[k] = np.bincount(pieces[at], minlength=width)
+            sums[k, size : size + 2] = n[kind == k].sum(), len(here)
+        sums[classes, size : size + 2] = n.sum(), len(names)
+        for w, ends in total.items():
+            if len(w) == 1:
+                sums[[w[0] - FIRST_CLASS, classes], size + 2] += ends
+        at = np.flatnonzero(sums)
+        return pa.table({"at": pa.array(at), "n": pa.array(sums.reshape(-1)[at])})
+
+    found = questions.groupBy("bucket").applyInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros((classes + 1) * width)
+    sums[found["at"].to_numpy()] = found["n"].to_numpy()
+    sums = sums.reshape(classes + 1, width)
+    whole = sums[classes, :size] + smooth
+    each = sums[:classes, :size] + backing * whole / whole.sum()
+    return Learned(np.log(each / each.sum(1, keepdims=True)), *sums[:, size:].T)
+
+
+def word_scores(model: Learned, path: str, words: list[bytes], counts: np.ndarray, everywhere: np.ndarray, discount: float) -> np.ndarray:
+    """Natural log probability of words (their class in front) from their training counts in the class and in all."""
+    kinds = np.fromiter((w[0] - FIRST_CLASS for w in words), np.int64, len(words))
+    out = Lattice(path, model.weights).score([w[1:].decode() for w in words], kinds)
+    last = np.full(len(words), len(model.words) - 1)
+    with np.errstate(divide="ignore"):
+        for n, of in ((everywhere, last), (counts, kinds)):
+            all_, types = model.words[of], model.distinct[of]
+            some = np.maximum(all_, 1)
+            mixed = np.logaddexp(np.log(np.maximum(n - discount, 0) / some), np.log(discount * types / some) + out)
+            out = np.where(all_ > 0, mixed, out)
+    return out
+
+
+def score_documents(docs: DataFrame, path: str, train: Column, doc_id: str = "doc_id", text: str = "text", smooth: float = 0.5, anchors: int = 32, backing: float = 300.0, discount: float = 0.75, chunk_bytes: int = 8 << 20, bucket_words: int = 2 << 20) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of every text.
 
     `train` marks the rows to learn from. Tokens are words of the text with A-Z lowered, and one end, which is known
     if any row is learned from. `base_score` is the unigram of whole words with 0.5 added, as a measure to compare
-    with. A null or empty text is its end alone; repeated rows count and are scored each; a null id or mark stays null
-    (a null mark does not teach); other columns of `docs` are not read; an empty table gives an empty one."""
+    with. `anchors` (at most 100) common words make the classes. A class's strings count as often as its distinct
+    words have them, plus `backing` shared out as all classes have them, each with `smooth` added; `discount` comes
+    off the count of each distinct word. A null or empty text is its end alone; repeated rows count and are scored
+    each; a null id or mark stays null (a null mark does not teach); other columns of `docs` are not read; an empty
+    table gives an empty one."""
+    if not 0 <= anchors <= 100:
+        raise ValueError("a class must fit into one byte")
     learns = F.coalesce(train, F.lit(False))
     # chunks hold an integer beside each text: the mark travels in its lowest bit, the id is looked up by row number
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -199,23 +277,37 @@ def score_documents(docs: DataFrame, path: str, train: Column, doc_id: str = "do
     with_null = keyed.select((F.coalesce("i", F.lit(0)) * 4 + F.col("i").isNull().cast("int") * 2 + F.col("train").cast("int")).alias("i"), "t")
     chunks = chunked(with_null, "i", "t", chunk_bytes)
     buckets = bucket_count(chunks, bucket_words)
-    ends = docs.agg(F.sum(learns.cast("long"))).first()[0] or 0
-    questions = stored(asked(chunks, lambda ids, texts: _questions(_shared(texts, [i & 1 == 1 for i in ids]), buckets)))
-    weights, end, words, distinct = learned(questions, path, ends, smooth)
+
+    def ask(places: dict[bytes, int]) -> DataFrame:
+        return asked(chunks, lambda ids, texts: _questions(_shared(texts, [i & 1 == 1 for i in ids], places), buckets))
+
+    places = common_words(ask({}), anchors)
+    questions = stored(ask(places))
+    classes = len(places) + 1
+    model = learned(questions, path, classes, smooth, backing)
+    words, distinct, ends = int(model.words[-1]), int(model.distinct[-1]), int(model.ends[-1])
     n, v = words + ends, distinct + bool(ends)
+    # by class: its share of the texts, and the share of ends among its tokens, drawn towards that of all
+    share = np.log((model.ends[:-1] + smooth) / (ends + smooth * classes))
+    stops = (model.ends[:-1] + (ends + smooth) / (n + 1)) / (model.words[:-1] + model.ends[:-1] + 1)
 
     def answer(blobs: list[bytes]) -> list[bytes]:
         total, parts = _totals(blobs)
-        names = list(total)
-        score = dict(zip(names, Lattice(path, weights).score([w.decode() for w in names]), strict=True))
+        everywhere: dict[bytes, int] = {}
+        for w, c in total.items():
+            everywhere[w[1:]] = everywhere.get(w[1:], 0) + c
+        names = [w for w in total if len(w) > 1]
+        counts = np.fromiter((total[w] for w in names), np.int64, len(names))
+        whole = np.fromiter((everywhere[w[1:]] for w in names), np.int64, len(names))
+        score = dict(zip(names, word_scores(model, path, names, counts, whole, discount).tolist(), strict=True))
         out = []
         for asked_words, _ in parts:
-            a = pack(np.fromiter((total[w] for w in asked_words), np.int64, len(asked_words)))
-            out.append(len(a).to_bytes(8, "little") + a + pack(np.fromiter((score[w] for w in asked_words), np.float64, len(asked_words))))
+            a = pack(np.fromiter((everywhere[w[1:]] for w in asked_words), np.int64, len(asked_words)))
+            out.append(len(a).to_bytes(8, "little") + a + pack(np.fromiter((score.get(w, 0.0) for w in asked_words), np.float64, len(asked_words))))
         return out
 
     def score(chunk: str, ids: list, texts: list, found: list[dict[int, bytes]]) -> pa.Table:
-        shared = list(_shared(texts, [False] * len(texts)))
+        shared = list(_shared(texts, [False] * len(texts), places))
         order, bucket = _by_bucket(shared, buckets)
         count, weight = np.empty(len(shared), np.int64), np.empty(len(shared))
         for b, here in cuts(bucket):
@@ -226,9 +318,12 @@ def score_documents(docs: DataFrame, path: str, train: Column, doc_id: str = "do
         place = dict(zip(shared, range(len(shared)), strict=True))
         rows = []
         for text in texts:
-            words = text.translate(ASCII_LOWER).split()
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            rows.append((len(words) + 1, int((count[at] > 0).sum()) + bool(ends), base[at].sum() + log10((ends + 0.5) / (n + 0.5 * (v + 1))), (weight[at].sum() + end) / LN10))
+            k, words_ = _class_words(text, places)
+            at = np.fromiter(map(place.__getitem__, words_), np.int64, len(words_))
+            often = np.fromiter(words_.values(), np.int64, len(words_))
+            long = int(often.sum())
+            whole = share[k] + long * log1p(-stops[k]) + log(stops[k]) + (often * weight[at]).sum()
+            rows.append((long + 1, int(often[count[at] > 0].sum()) + bool(ends), (often * base[at]).sum() + log10((ends + 0.5) / (n + 0.5 * (v + 1))), whole / LN10))
         columns = list(zip(*rows, strict=True))
         null = [None if i & 2 else i >> 2 for i in ids]
         arrays = [pa.array(null, pa.int64()), pa.array([i & 1 == 1 for i in ids]), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())]

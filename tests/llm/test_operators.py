@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
+from itertools import product
 from math import log, log10
 
 import numpy as np
@@ -276,7 +278,7 @@ def test_fill_reaches_the_best_sum():
         assert sum(n * k for n, k in both.items()) <= budget and all(k <= dict(zip(lengths, counts))[n] for n, k in both.items())
 
 
-def brute_lm(rows, train):
+def brute_lm(rows, train, n_anchors):
     words = [re.sub("[A-Z]", lambda m: m.group().lower(), r[1] or "") for r in rows]
     words = [WORD.findall(w) for w in words]
     counts = Counter(w for r, ws in zip(rows, words) if train(r) for w in ws)
@@ -284,35 +286,61 @@ def brute_lm(rows, train):
     n, v = sum(counts.values()) + ends, len(counts) + bool(ends)
     base = lambda c: log10((c + 0.5) / (n + 0.5 * (v + 1)))
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    weights = np.full(model.get_piece_size(), 0.5)
-    for w, c in counts.items():
-        for i in model.encode(w):
-            weights[i] += c
-    whole = weights.sum() + ends + 0.5
-    logs = np.log(weights / whole)
     pieces = {model.id_to_piece(i): i for i in range(3, model.get_piece_size()) if not model.is_byte(i)}
-
-    def word(w):
+    anchors = sorted(counts, key=lambda w: (-counts[w], w.encode()))[:n_anchors]
+
+    def kind_of(ws):
+        most = max((ws.count(a) for a in anchors), default=0)
+        return next(a for a in anchors if ws.count(a) == most) if most else None
+
+    kinds = [kind_of(ws) for ws in words]
+    by_kind, ends_of = {k: Counter() for k in [None, *anchors]}, Counter(k for r, k in zip(rows, kinds) if train(r))
+    for r, ws, k in zip(rows, words, kinds):
+        if train(r):
+            by_kind[k].update(ws)
+
+    def of_types(types):
+        made = np.zeros(model.get_piece_size())
+        for w in types:
+            for i in model.encode(w):
+                made[i] += 1
+        return made
+
+    whole = of_types(counts) + 0.5
+    logs = {}
+    for k, c in by_kind.items():
+        each = of_types(c) + 300 * whole / whole.sum()
+        logs[k] = np.log(each / each.sum())
+
+    @lru_cache(None)
+    def word(w, k):
         s, alpha = "▁" + w, [0.0]
         for j in range(1, len(s) + 1):
-            arcs = [alpha[i] + logs[pieces[s[i:j]]] for i in range(j) if s[i:j] in pieces]
+            arcs = [alpha[i] + logs[k][pieces[s[i:j]]] for i in range(j) if s[i:j] in pieces]
             if s[j - 1] not in pieces:
-                arcs.append(alpha[j - 1] + sum(logs[model.piece_to_id(f"<0x{b:02X}>")] for b in s[j - 1].encode()))
+                arcs.append(alpha[j - 1] + sum(logs[k][model.piece_to_id(f"<0x{b:02X}>")] for b in s[j - 1].encode()))
             alpha.append(np.logaddexp.reduce(arcs))
-        return alpha[-1]
-
-    known = {w: word(w) for ws in words for w in ws}
-    for r, ws in zip(rows, words):
-        yield r[0], len(ws) + 1, sum(counts[w] > 0 for w in ws) + bool(ends), n, sum(base(counts[w]) for w in ws) + base(ends), (sum(known[w] for w in ws) + log((ends + 0.5) / whole)) / log(10)
-
-
-@pytest.mark.parametrize("chunk", [8 << 20, 3000])
-def test_lattice(docs, rows, nothing, chunk):
+        out = alpha[-1]
+        for c in (counts, by_kind[k]):
+            total = sum(c.values())
+            if total:
+                rest = log(0.75 * len(c) / total) + out
+                out = np.logaddexp(log((c[w] - 0.75) / total), rest) if c[w] else rest
+        return out
+
+    for r, ws, k in zip(rows, words, kinds):
+        stop = (ends_of[k] + (ends + 0.5) / (n + 1)) / (sum(by_kind[k].values()) + ends_of[k] + 1)
+        score = log((ends_of[k] + 0.5) / (ends + 0.5 * len(by_kind))) + sum(word(w, k) for w in ws) + len(ws) * log(1 - stop) + log(stop)
+        yield r[0], len(ws) + 1, sum(counts[w] > 0 for w in ws) + bool(ends), n, sum(base(counts[w]) for w in ws) + base(ends), score / log(10)
+
+
+@pytest.mark.parametrize("chunk, anchors", [(8 << 20, 32), (3000, 3), (3000, 0)])
+def test_lattice(docs, rows, nothing, chunk, anchors):
     rows = [r for r in rows if len(r[1] or "") < 2000]
     docs = docs.filter("length(coalesce(text, '')) < 2000")
     train = F.col("doc_id") % 3 != 1
-    found = lattice_lm.score_documents(docs, MODEL, train, chunk_bytes=chunk, bucket_words=300).collect()
-    want = sorted(brute_lm(rows, lambda r: r[0] is not None and r[0] % 3 != 1), key=str)
+    found = lattice_lm.score_documents(docs, MODEL, train, anchors=anchors, chunk_bytes=chunk, bucket_words=300).collect()
+    want = sorted(brute_lm(rows, lambda r: r[0] is not None and r[0] % 3 != 1, anchors), key=str)
     mine = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), key=str)
     assert [x[:4] for x in mine] == [x[:4] for x in want]
     for a, b in zip(mine, want):
@@ -322,9 +350,25 @@ def test_lattice(docs, rows, nothing, chunk):
 
 def test_lattice_of_long_words_and_side_by_side_agree():
     rng = np.random.default_rng(1)
-    lattice = lattice_lm.Lattice(MODEL, np.log(rng.dirichlet(np.ones(32000))))
+    lattice = lattice_lm.Lattice(MODEL, np.log(rng.dirichlet(np.ones(32000), 2)))
     words = ["the", "therefore", "ünïcödé", "🙂🙂", "x" * 40, "▁▁", "a", "<s>", "0x3f"]
-    assert lattice.score(words) == pytest.approx([lattice.one(w) for w in words], rel=1e-12)
+    kinds = np.arange(len(words)) % 2
+    assert lattice.score(words, kinds) == pytest.approx([lattice.one(w, k) for w, k in zip(words, kinds)], rel=1e-12)
+
+
+def test_words_of_a_class_share_one_probability():
+    """With one-letter strings alone, all words over two letters up to a length, and the rest, make one."""
+    size = sentencepiece.SentencePieceProcessor(model_file=MODEL).get_piece_size()
+    strings = lattice_lm._strings(MODEL)[0]
+    weights = np.full((1, size), -np.inf)
+    for piece in ("▁", "a", "b"):
+        weights[0, strings.index(piece)] = log(1 / 3)
+    model = lattice_lm.Learned(weights, np.array([6, 6]), np.array([2, 2]), np.array([1, 1]))
+    words = ["".join(x) for n in range(1, 9) for x in product("ab", repeat=n)]
+    counts = np.array([{"a": 4, "ab": 2}.get(w, 0) for w in words])
+    found = np.exp(lattice_lm.word_scores(model, MODEL, [b"@" + w.encode() for w in words], counts, counts, 0.75))
+    left = (1 / 3 + (2 / 3) ** 9) * (0.75 * 2 / 6) ** 2  # the empty word, and words of nine letters or more
+    assert found.sum() == pytest.approx(1 - left, rel=1e-9)
 
 
 @pytest.mark.parametrize("least", [0, 5])
