@@ -8,6 +8,11 @@ hang on the Hamming distance to their parent, and a search follows only edges wi
 larger than its distinct fingerprints, and gives at most a link for each of them (a spanning forest).
 
 The trees are built where the shard's rows are, not broadcast: they grow with the corpus.
+
+`dedup_similar` is for texts that share most of their shingles, which lie more bits apart than such a radius. It takes
+two fingerprints, of single words (`coarse`, moved little by an edit) and of short shingles (`fine`, which tells
+documents of one topic apart). A shard is a block of each, its BK-tree is over the fine one with a wide radius, and
+what the trees link is compared by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import ASCII_LOWER, shuffle_parts, slices, stored, utf8
 from palisade.llm.components import components
+from palisade.llm.words import Layout, rolling
 
 SEED = 42
 
@@ -94,17 +100,21 @@ class BKTree:
             n = self.parent[n]
         return n
 
-    def add(self, value: int) -> list[int]:
-        """Inserts a fingerprint; one linked fingerprint of each set that it joins."""
-        found, out = self.near(value), []
+    def join(self, value: int) -> list[int]:
+        """Inserts a fingerprint; the nearest linked node of each set that it joins."""
+        found, out = sorted(self.near(value), key=lambda n: (value ^ self.nodes[n]).bit_count()), []
         new = self.insert(value)
         for n in found:
             top = self.root(n)
             if top != self.root(new):
                 self.parent[top] = new
-                out.append(self.nodes[n])
+                out.append(n)
         return out
 
+    def add(self, value: int) -> list[int]:
+        """Inserts a fingerprint; one linked fingerprint of each set that it joins."""
+        return [self.nodes[n] for n in self.join(value)]
+
 
 def block_masks(blocks: int) -> list[int]:
     cuts = [64 * k // blocks for k in range(blocks + 1)]
@@ -154,3 +164,78 @@ def dedup_simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     named = of.join(smallest, F.col("component") == F.col("whole")).select(F.col("bits").alias("its_bits"), "component_id")
     out = made.join(named, F.col("bits") == F.col("its_bits"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _similar_candidates(classes: DataFrame, coarse_blocks: int, fine_blocks: int, radius: int) -> DataFrame:
+    """(a, b): ids that the trees of the shards link; `classes` are (id, coarse, fine)."""
+    cells = [(_signed(a), _signed(b)) for a in block_masks(coarse_blocks) for b in block_masks(fine_blocks)]
+    shards = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("coarse").bitwiseAND(F.lit(a)), F.col("fine").bitwiseAND(F.lit(b))) for k, (a, b) in enumerate(cells))))
+    dealt = classes.select("id", "fine", shards.alias("shard"))
+    dealt = dealt.repartition(shuffle_parts(classes.sparkSession), "shard").sortWithinPartitions("shard", "id", "fine")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, tree, ids = None, BKTree(radius), []
+        for batch in batches:
+            a, b = [], []
+            for own, value, key in zip(*(batch.column(n).to_pylist() for n in ("id", "fine", "shard")), strict=True):
+                if key != shard:
+                    shard, tree, ids = key, BKTree(radius), []
+                found = tree.join(value & ((1 << 64) - 1))
+                ids.append(own)
+                a += [own] * len(found)
+                b += [ids[n] for n in found]
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(make, "a long, b long").filter("a <> b").distinct()
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a text with A-Z lowered; fewer words are one shingle."""
+    hashes = Layout([text.translate(ASCII_LOWER)]).hashes
+    return np.unique(rolling(hashes, min(width, len(hashes)))) if len(hashes) else hashes
+
+
+def _verified(candidates: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The candidates whose texts have that Jaccard similarity of their shingles; `texts` are (id, t)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "ta"):
+                sets = ([shingle_set(x, width) for x in utf8(part.column(c))] for c in ("ta", "tb"))
+                keep = []
+                for x, y in zip(*sets, strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first, second = texts.toDF("a", "ta"), texts.toDF("b", "tb")
+    return candidates.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(make, "a long, b long").distinct()
+
+
+def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, fine_shingle: int = 3, radius: int = 11, coarse_blocks: int = 4, fine_blocks: int = 8) -> DataFrame:
+    """(doc_id, component_id) for every row: the smallest id reachable by links. `doc_id` is an integer.
+
+    Texts with both fingerprints equal are copies, so texts without words (null, empty, blank) are copies of each
+    other. Others are linked if the trees bring them together and their sets of shingles (of `shingle` words, A-Z
+    lowered) have a Jaccard similarity of at least `similarity`; nothing below it is linked. Repeated rows share
+    their component; a null id stays null and is never the smallest (copies with null ids only have a null one, and
+    are compared with no other text); other columns of `docs` are not read; an empty table gives an empty one."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "t"):
+                texts = utf8(part.column("t"))
+                both = (np.array([fingerprint(x, n) for x in texts], np.uint64).view(np.int64) for n in (1, fine_shingle))
+                yield pa.record_batch([part.column("id"), *map(pa.array, both)], ["id", "coarse", "fine"])
+
+    made = stored(plain.mapInArrow(make, "id long, coarse long, fine long"))
+    classes = stored(made.groupBy("coarse", "fine").agg(F.min("id").alias("least")))
+    found = stored(_similar_candidates(classes.filter("least is not null").select(F.col("least").alias("id"), "coarse", "fine"), coarse_blocks, fine_blocks, radius))
+    linked_ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+    texts = plain.join(linked_ids, "id", "left_semi")
+    linked = stored(components(stored(_verified(found, texts, shingle, similarity))))
+    named = classes.join(linked, F.col("least") == F.col("node"), "left").select(F.col("coarse").alias("c"), F.col("fine").alias("f"), F.coalesce("component", "least").alias("component_id"))
+    out = made.join(named, (F.col("coarse") == F.col("c")) & (F.col("fine") == F.col("f")))
+    return out.select(F.col("id").cast(kind).alias("doc_id"), F.col("component_id").cast(kind).alias("component_id"))

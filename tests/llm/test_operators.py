@@ -569,3 +569,57 @@ def test_pipeline_stages(spark, rows, nothing, tmp_path):
 def test_sha_of_kept_words(docs, rows):
     out = substring.dedup_substrings(docs).select("doc_id", F.sha2(F.col("kept").cast("binary"), 256).alias("h"))
     assert bag(out.collect()) == bag((d, hashlib.sha256(k.encode()).hexdigest()) for d, _, _, k in brute_substring(rows, 50))
+
+
+def brute_similar(rows, width, similarity):
+    """Texts whose shingle sets are that alike, and copies, as a map from text to the smallest id of its component."""
+    def shingles(t):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        n = min(width, len(w))
+        return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else frozenset()
+
+    sets = [shingles(r[1]) for r in rows]
+    component = list(range(len(rows)))
+
+    def top(k):
+        while component[k] != k:
+            k = component[k]
+        return k
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) >= similarity * len(x | y):
+                component[top(i)] = top(j)
+    least = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            least[top(k)] = min(least.get(top(k), r[0]), r[0])
+    return [(r[0], least.get(top(k))) for k, r in enumerate(rows)]
+
+
+def test_similar_texts(spark):
+    """Near copies with some words changed, copies, unlike texts of one topic, texts without words, null ids."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    rows, n = [], 0
+    for _ in range(60):
+        text = rng.choices(words, k=rng.randint(150, 600))
+        rows.append((n := n + 1, " ".join(text)))
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), len(copy) // 80):
+                copy[at] = rng.choice(words)
+            rows.append((n := n + 1, " ".join(copy)))
+        half = text[: len(text) // 2] + rng.choices(words, k=len(text) // 2)
+        rows.append((n := n + 1, " ".join(half)))
+    rows += [(n + 1, None), (n + 2, ""), (n + 3, " \t"), (n + 4, "one"), (n + 5, "ONE"), (n + 6, "one two"), (None, "null id"), (None, None)]
+    rows += rows[:5]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string").repartition(3)
+    want = brute_similar(rows, 5, 0.8)
+    found = [(r.doc_id, r.component_id) for r in simhash.dedup_similar(df).collect()]
+    assert len(found) == len(rows)
+    gone, should = {a for a, b in found if a != b}, {a for a, b in want if a != b}
+    assert gone <= should  # nothing is linked that is less alike
+    assert len(gone) >= 0.9 * len(should) > 30
+    assert dict(found)[n + 3] == n + 1 and dict(found)[n + 5] == n + 4 and dict(found)[n + 6] == n + 6
+    assert simhash.dedup_similar(df.limit(0)).count() == 0
