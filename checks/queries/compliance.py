@@ -13,41 +13,36 @@ CONTROLS_SQL = "ctl(framework, control_id, category, match_cat) AS (VALUES " + "
     f"('{x['framework']}', '{x['control_id']}', '{x['category']}', '{x['match_cat']}')" for x in ops.CONTROLS
 ) + ")"
 BAD = """bad AS (SELECT f.* FROM v_findings f JOIN v_scans s ON s.scan_id = f.scan_id AND s.status = 'completed'
-  WHERE NOT is_fixed AND severity IN ('critical','high','medium') AND category <> 'sast')"""
-# one category is left out so that some controls pass
+  WHERE NOT is_fixed AND severity IN ('critical','high','medium'))"""
 GLOBAL = f"WITH {CONTROLS_SQL}, {BAD}, st AS (SELECT framework, control_id, ctl.category, count(finding_id) AS n FROM ctl LEFT JOIN bad ON bad.category = match_cat GROUP BY 1, 2, 3)"
 
 
-def _without_sast(t: Inputs):
-    return t.v_findings.filter("category <> 'sast'")
-
-
 @query(GLOBAL + "SELECT framework, control_id, category, n AS n_findings, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS status FROM st")
 def compliance_controls(t: Inputs):
-    return ops.compliance_controls(_without_sast(t), t.v_scans).drop("name", "description")
+    return ops.compliance_controls(t.v_findings, t.v_scans).drop("name", "description")
 
 
 @query(GLOBAL + """SELECT framework, count(*) AS total_controls, count(*) FILTER (n = 0) AS passed, count(*) FILTER (n > 0) AS failed,
   round(100 * count(*) FILTER (n = 0) / count(*)::DOUBLE, 1) AS score,
   CASE WHEN round(100 * count(*) FILTER (n = 0) / count(*)::DOUBLE, 1) >= 85 THEN 'Strong' WHEN round(100 * count(*) FILTER (n = 0) / count(*)::DOUBLE, 1) >= 65 THEN 'Needs Review' ELSE 'High Risk' END AS label FROM st GROUP BY 1""")
 def compliance_score(t: Inputs):
-    scores = ops.compliance_score(ops.compliance_controls(_without_sast(t), t.v_scans))
+    scores = ops.compliance_score(ops.compliance_controls(t.v_findings, t.v_scans))
     return scores.withColumn("label", compliance_label(c("score")))
 
 
 @query(GLOBAL + "SELECT framework, category, floor(100 * count(*) FILTER (n = 0) / count(*)::DOUBLE + 0.5)::BIGINT AS percent FROM st GROUP BY 1, 2")
 def control_category_coverage(t: Inputs):
-    return ops.control_category_coverage(ops.compliance_controls(_without_sast(t), t.v_scans))
+    return ops.control_category_coverage(ops.compliance_controls(t.v_findings, t.v_scans))
 
 
 @query(f"WITH {CONTROLS_SQL}, {BAD} SELECT framework, control_id, scan_id, finding_id FROM bad JOIN ctl ON match_cat = bad.category")
 def control_findings(t: Inputs):
-    return ops.control_findings(_without_sast(t), t.v_scans)
+    return ops.control_findings(t.v_findings, t.v_scans)
 
 
 @query(f"WITH {CONTROLS_SQL}, {BAD} SELECT finding_id FROM bad WHERE category IN (SELECT match_cat FROM ctl WHERE framework = 'soc-2')")
 def compliance_findings(t: Inputs):
-    return ops.compliance_findings(_without_sast(t), t.v_scans, "soc2").select("finding_id")
+    return ops.compliance_findings(t.v_findings, t.v_scans, "soc2").select("finding_id")
 
 
 @query(f"""WITH {CONTROLS_SQL}, f AS (SELECT scan_id, category, count(*) AS n FROM v_findings WHERE NOT is_fixed AND severity IN ('critical','high','medium') GROUP BY 1, 2),

@@ -95,8 +95,11 @@ def source_lines(files: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
     """
     places = wanted.select("scan_id", "path", "line_number").distinct()
     per_file = places.groupBy("scan_id", "path").agg(F.collect_list("line_number").alias("_wanted"))
-    split_files = files.select("scan_id", "path", F.split("content", "\r\n|\n|\r").alias("_raw")).join(
-        per_file, ["scan_id", "path"]
+    # whole texts meet the places and are split behind the join: unwanted files are never split
+    split_files = (
+        files.select("scan_id", "path", "content")
+        .join(per_file, ["scan_id", "path"])
+        .select("scan_id", "path", "_wanted", F.split("content", "\r\n|\n|\r").alias("_raw"))
     )
     # a trailing line end does not start another line
     tidy = F.when(

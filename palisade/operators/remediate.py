@@ -237,17 +237,6 @@ def suggest_patch(findings: DataFrame, files: DataFrame | None = None, custom: s
     return rows.select("finding_id", patch.alias("patch"), description.alias("description"))
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """scan_id, path, line_number, text, is_line: pieces between line feeds; the last may be no line."""
-    pieces = F.split("content", "\n")
-    return files.select(
-        "scan_id", "path", F.size(pieces).alias("_n"), F.posexplode(pieces).alias("_i", "text")
-    ).select(
-        "scan_id", "path", (F.col("_i") + 1).alias("line_number"), "text",
-        ((F.col("_i") + 1 < F.col("_n")) | (F.col("text") != "")).alias("is_line"),
-    )
-
-
 def _package_places(fixes: DataFrame, files: DataFrame) -> DataFrame:
     """Where each package of a dependency fix stands: the given line if it names it, else the first that does.
 
@@ -297,37 +286,52 @@ def apply_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> tupl
     """New versions of the files that change, and the ids of the findings applied.
 
     Line numbers refer to the file as it was. Of several fixes for one line the last by `order`
-    stands. The files in question are picked out of the corpus in one pass and written out. Lines and
-    fixes meet on (scan, path, line), so no file is a bottleneck until its lines are put together again.
+    stands. The files in question are picked out of the corpus in one pass and written out; the fixes
+    of a file, one for a line at most, meet it as one array, and only the lines they name are computed.
     """
     in_question = fixable(findings).select("scan_id", F.col("file_path").alias("path")).distinct()
     touched = cut_lineage(
         files.select("scan_id", "path", "content").join(in_question, ["scan_id", "path"], "left_semi")
     )
     fixes = planned_fixes(touched, findings, order)
-    lines = _lines(touched)
     place = ["scan_id", "path", "line_number"]
     last = W.partitionBy(*place).orderBy(F.col("_order").desc())
-    winners = (
+    per_file = (
         fixes.withColumn("_n", F.row_number().over(last))
         .filter("_n = 1")
-        .select(*place, "rule_id", "category", "cve_id", "package", "fixed_version")
-    )
-    hit = F.col("category").isNotNull() & F.col("is_line")
-    new_text = F.when(~hit, F.col("text")).when(
-        F.col("category") == "cve",
-        upgraded(F.col("path"), F.col("package"), F.col("fixed_version"), F.col("cve_id"), F.col("text")),
-    ).otherwise(replacement_line(F.col("category"), F.col("rule_id"), F.col("path"), F.col("text")))
-    changed = (
-        lines.join(winners, place, "left")
-        .select("scan_id", "path", F.struct("line_number", new_text.alias("text")).alias("_line"),
-                hit.alias("_hit"))
         .groupBy("scan_id", "path")
-        .agg(F.sort_array(F.collect_list("_line")).alias("_all"), F.bool_or("_hit").alias("_hit"))
-        .filter("_hit")
-        .select("scan_id", "path", F.array_join(F.transform("_all", lambda x: x["text"]), "\n").alias("content"))
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("line_number", "rule_id", "category", "cve_id", "package", "fixed_version"))
+            ).alias("_fixes")
+        )
     )
-    applied = fixes.join(lines.filter("is_line").select(*place), place, "left_semi")
+    pieces = F.split("content", "\n")
+    # a trailing line end does not start another line
+    n_lines = F.size(pieces) - F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
+    sized = touched.select("scan_id", "path", "content", n_lines.alias("_n_lines"))
+    split_files = (
+        sized.join(per_file, ["scan_id", "path"])
+        .withColumn("_fixes", F.filter("_fixes", lambda f: f["line_number"] <= F.col("_n_lines")))
+        .filter(F.size("_fixes") > 0)
+        .select("scan_id", "path", "_fixes", pieces.alias("_p"))
+    )
+
+    def with_lines_before(fix: Column, i: Column) -> Column:
+        """The fixed line behind those between it and the fix before."""
+        done = F.when(i == 0, 0).otherwise(F.get(F.col("_fixes"), i - 1)["line_number"])
+        old = F.get(F.col("_p"), fix["line_number"] - 1)
+        new = F.when(
+            fix["category"] == "cve",
+            upgraded(F.col("path"), fix["package"], fix["fixed_version"], fix["cve_id"], old),
+        ).otherwise(replacement_line(fix["category"], fix["rule_id"], F.col("path"), old))
+        return F.concat(F.slice("_p", done + 1, fix["line_number"] - done - 1), F.array(new))
+
+    end = F.element_at("_fixes", -1)["line_number"]
+    text = F.concat(F.flatten(F.transform("_fixes", with_lines_before)), F.slice("_p", end + 1, F.size("_p")))
+    changed = split_files.select("scan_id", "path", F.array_join(text, "\n").alias("content"))
+    ends = sized.select("scan_id", "path", "_n_lines")
+    applied = fixes.join(ends, ["scan_id", "path"]).filter("line_number <= _n_lines")
     return changed, applied.select("finding_id").distinct()
 
 
