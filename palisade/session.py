@@ -1,8 +1,10 @@
-"""Session settings and the one place that decides where checkpoints go."""
+"""Session settings and the one place that decides where intermediate tables go."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +44,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return _local_folder()
+    return "file://" + _local_folder()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and read it back from there."""
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@lru_cache(maxsize=8)
+def _removed_at_exit(folder: str) -> None:
+    def clear() -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            remove(spark, folder)
+
+    atexit.register(clear)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` as Parquet below the checkpoint folder, and its path, in a folder of this application that is removed when
+    the driver ends. What is asked of it later reads only its own columns."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/palisade-{spark.sparkContext.applicationId}"
+    _removed_at_exit(folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    return written(df)[0]

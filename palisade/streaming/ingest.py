@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from palisade.operators.findings import bucket_counts
 from palisade.plans.scan import stored_findings
-from palisade.session import cut_lineage
+from palisade.session import remove, written
 from palisade.sources.corpus import corpus_rows
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -65,13 +65,14 @@ def incremental_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         files = corpus_rows(batch, root)
         bucket = F.pmod(F.hash("scan_id"), F.lit(buckets))
-        rows = cut_lineage(stored_findings(detect(files)).withColumn("bucket", bucket))
+        rows, path = written(stored_findings(detect(files)).withColumn("bucket", bucket))
         run = _run_id(spark, checkpoint)
         known = _stored_ids(rows, findings_path, run, batch_id, buckets)
         if known is not None:
             rows = rows.join(known, "finding_id", "left_anti")
         folder = f"{findings_path.rstrip('/')}/run={run}/batch={batch_id}"
         rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        remove(spark, path)
 
     return (
         stream.writeStream.foreachBatch(write)
