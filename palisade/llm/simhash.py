@@ -11,8 +11,8 @@ The trees are built where the shard's rows are, not broadcast: they grow with th
 
 `dedup_similar` is for texts that share most of their shingles, which lie more bits apart than such a radius. It takes
 two fingerprints, of single words (`coarse`, moved little by an edit) and of short shingles (`fine`, which tells
-documents of one topic apart). A shard is a block of each, its BK-tree is over the fine one with a wide radius, and
-what the trees link is compared by the shingles themselves.
+documents of one topic apart). A shard is a block of each, and the members of a shard are compared by the shingles
+themselves; only what a comparison has linked is one component.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import ASCII_LOWER, shuffle_parts, slices, stored, utf8
+from palisade.llm.common import ASCII_LOWER, Stored, shuffle_parts, slices, stored, utf8
 from palisade.llm.components import components
 from palisade.llm.words import Layout, rolling
 
@@ -166,27 +166,11 @@ def dedup_simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return out.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _similar_candidates(classes: DataFrame, coarse_blocks: int, fine_blocks: int, radius: int) -> DataFrame:
-    """(a, b): ids that the trees of the shards link; `classes` are (id, coarse, fine)."""
+def _similar_shards(classes: DataFrame, coarse_blocks: int, fine_blocks: int) -> DataFrame:
+    """(shard, id): a shard is a block of each fingerprint; `classes` are (id, coarse, fine)."""
     cells = [(_signed(a), _signed(b)) for a in block_masks(coarse_blocks) for b in block_masks(fine_blocks)]
     shards = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("coarse").bitwiseAND(F.lit(a)), F.col("fine").bitwiseAND(F.lit(b))) for k, (a, b) in enumerate(cells))))
-    dealt = classes.select("id", "fine", shards.alias("shard"))
-    dealt = dealt.repartition(shuffle_parts(classes.sparkSession), "shard").sortWithinPartitions("shard", "id", "fine")
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tree, ids = None, BKTree(radius), []
-        for batch in batches:
-            a, b = [], []
-            for own, value, key in zip(*(batch.column(n).to_pylist() for n in ("id", "fine", "shard")), strict=True):
-                if key != shard:
-                    shard, tree, ids = key, BKTree(radius), []
-                found = tree.join(value & ((1 << 64) - 1))
-                ids.append(own)
-                a += [own] * len(found)
-                b += [ids[n] for n in found]
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return dealt.mapInArrow(make, "a long, b long").filter("a <> b").distinct()
+    return classes.select(shards.alias("shard"), "id")
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -212,11 +196,105 @@ def _verified(candidates: DataFrame, texts: DataFrame, width: int, similarity: f
     return candidates.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(make, "a long, b long").distinct()
 
 
-def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, fine_shingle: int = 3, radius: int = 11, coarse_blocks: int = 4, fine_blocks: int = 8) -> DataFrame:
+def _cell(width: int, similarity: float):
+    """Links from the left texts of a cell to the right ones: one for each two components that have any."""
+
+    def work(table: pa.Table) -> pa.Table:
+        left = table["left"].to_numpy()
+        ids, whole = table["id"].to_numpy(), table["whole"].to_numpy()
+        sets = [shingle_set(x, width) for x in utf8(table["t"].combine_chunks())]
+        right = np.flatnonzero(~left)
+        sizes = np.array([len(sets[r]) for r in right], np.int64)
+        keys, owner = np.concatenate([sets[r] for r in right]), np.repeat(np.arange(len(right)), sizes)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        parent = {int(w): int(w) for w in whole}
+
+        def root(w: int) -> int:
+            while parent[w] != w:
+                parent[w] = w = parent[parent[w]]
+            return w
+
+        a, b = [], []
+        for n in np.flatnonzero(left):
+            first, last = (np.searchsorted(keys, sets[n], side) for side in ("left", "right"))
+            runs = last - first
+            at = np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            hit = (both > 0) & (both >= similarity * (len(sets[n]) + sizes - both)) & (whole[right] != whole[n])
+            for r in right[hit]:
+                x, y = root(int(whole[n])), root(int(whole[r]))
+                if x != y:
+                    parent[x] = y
+                    a.append(ids[n])
+                    b.append(ids[r])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return work
+
+
+def _links_of_the_rest(live: DataFrame, texts: DataFrame, width: int, similarity: float, most: int, most_bytes: int) -> DataFrame:
+    """(a, b): links between different components of a shard; `live` are (shard, id, whole). The members outside the
+    largest component of a shard (left) meet all members (right), in cells of about `most` texts a side."""
+    largest = live.groupBy("shard", "whole").agg(F.count("*").alias("n")).groupBy(F.col("shard").alias("s")).agg(F.max(F.struct("n", "whole"))["whole"].alias("major"))
+    rows = live.join(largest, F.col("shard") == F.col("s")).withColumn("minor", F.col("whole") != F.col("major")).drop("s", "major")
+    rows = rows.join(texts.select(F.col("id").alias("ti"), F.octet_length("t").alias("bytes")), F.col("id") == F.col("ti")).drop("ti")
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / most, size / most_bytes, F.lit(1.0)))
+
+    minors, its_bytes = F.sum(F.col("minor").cast("long")), F.sum(F.when(F.col("minor"), F.col("bytes")).otherwise(0))
+    cells = rows.groupBy(F.col("shard").alias("s")).agg(blocks(minors, its_bytes).alias("ni"), blocks(F.count("*"), F.sum("bytes")).alias("nj"))
+    rows = rows.join(cells, F.col("shard") == F.col("s")).withColumn("h", F.xxhash64("id"))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    left = rows.filter("minor").select("shard", "id", "whole", F.lit(True).alias("left"), F.pmod("h", "ni").alias("i"), every("nj").alias("j"))
+    right = rows.select("shard", "id", "whole", F.lit(False).alias("left"), every("ni").alias("i"), F.pmod("h", "nj").alias("j"))
+    dealt = left.unionByName(right).join(texts.toDF("ti", "t"), F.col("id") == F.col("ti")).drop("ti")
+    return dealt.groupBy("shard", "i", "j").applyInArrow(_cell(width, similarity), "a long, b long").distinct()
+
+
+def linked_in_shards(shards: DataFrame, texts: DataFrame, width: int, similarity: float, rounds: int = 3, most: int = 256, most_bytes: int = 8 << 20) -> DataFrame:
+    """(node, component) of all pairs of texts that share a shard and have that similarity: every such pair is either
+    compared or joined by other compared pairs. `shards` are distinct (shard, id), `texts` are (id, t).
+
+    In a round the hub of each shard, the member with most company in all its shards, is compared with the other members
+    and leaves the shard; a shard whose other members are one component is done. That settles the copies of one text.
+    What is left after the rounds is compared whole. Shards with the same members are one."""
+    n, x, y = F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64(F.lit(1), "id"))
+    kept = shards.groupBy("shard").agg(n.alias("n"), x.alias("x"), y.alias("y")).filter("n > 1").groupBy("n", "x", "y").agg(F.min("shard").alias("s"))
+    live = Stored(shards.join(kept, F.col("shard") == F.col("s")).select("shard", "id", F.col("id").alias("whole")))
+    wanted = live.df.select(F.col("id").alias("wanted")).distinct()
+    texts = stored(texts.join(wanted, F.col("id") == F.col("wanted"), "left_semi"))
+    links, linked = texts.sparkSession.createDataFrame([], "a long, b long"), None
+    for turn in range(rounds + 1):
+        if live.df.isEmpty():
+            break
+        if turn == rounds:
+            found = _links_of_the_rest(live.df, texts, width, similarity, most, most_bytes)
+            return components(links.unionByName(stored(found)))
+        sizes = live.df.groupBy(F.col("shard").alias("s")).agg(F.count("*").alias("n"))
+        company = live.df.join(sizes, F.col("shard") == F.col("s")).groupBy(F.col("id").alias("i")).agg(F.sum("n").alias("company"))
+        hubs = live.df.join(company, F.col("id") == F.col("i")).groupBy(F.col("shard").alias("s")).agg(F.max(F.struct("company", "id", "whole")).alias("hub"))
+        met = Stored(live.df.join(hubs, F.col("shard") == F.col("s")).filter("id <> hub.id").select("shard", "id", "whole", F.col("hub.id").alias("hub"), F.col("hub.whole").alias("hub_whole")))
+        candidates = met.df.filter("whole <> hub_whole").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+        links = links.unionByName(stored(_verified(candidates, texts, width, similarity)))
+        linked = stored(components(links))
+        now = met.df.select("shard", "id").join(linked, F.col("id") == F.col("node"), "left").select("shard", "id", F.coalesce("component", "id").alias("whole"))
+        open_shards = now.groupBy(F.col("shard").alias("s")).agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low < high").select("s")
+        live.drop()
+        live = Stored(now.join(open_shards, F.col("shard") == F.col("s")).select("shard", "id", "whole"))
+        met.drop()
+    return linked if linked is not None else components(links)
+
+
+def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, fine_shingle: int = 3, coarse_blocks: int = 4, fine_blocks: int = 8) -> DataFrame:
     """(doc_id, component_id) for every row: the smallest id reachable by links. `doc_id` is an integer.
 
     Texts with both fingerprints equal are copies, so texts without words (null, empty, blank) are copies of each
-    other. Others are linked if the trees bring them together and their sets of shingles (of `shingle` words, A-Z
+    other. Others are linked if they share a shard and their sets of shingles (of `shingle` words, A-Z
     lowered) have a Jaccard similarity of at least `similarity`; nothing below it is linked. Repeated rows share
     their component; a null id stays null and is never the smallest (copies with null ids only have a null one, and
     are compared with no other text); other columns of `docs` are not read; an empty table gives an empty one."""
@@ -232,10 +310,8 @@ def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     made = stored(plain.mapInArrow(make, "id long, coarse long, fine long"))
     classes = stored(made.groupBy("coarse", "fine").agg(F.min("id").alias("least")))
-    found = stored(_similar_candidates(classes.filter("least is not null").select(F.col("least").alias("id"), "coarse", "fine"), coarse_blocks, fine_blocks, radius))
-    linked_ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    texts = plain.join(linked_ids, "id", "left_semi")
-    linked = stored(components(stored(_verified(found, texts, shingle, similarity))))
+    shards = _similar_shards(classes.filter("least is not null").select(F.col("least").alias("id"), "coarse", "fine"), coarse_blocks, fine_blocks)
+    linked = stored(linked_in_shards(shards, plain, shingle, similarity))
     named = classes.join(linked, F.col("least") == F.col("node"), "left").select(F.col("coarse").alias("c"), F.col("fine").alias("f"), F.coalesce("component", "least").alias("component_id"))
     out = made.join(named, (F.col("coarse") == F.col("c")) & (F.col("fine") == F.col("f")))
     return out.select(F.col("id").cast(kind).alias("doc_id"), F.col("component_id").cast(kind).alias("component_id"))
