@@ -258,7 +258,8 @@ def _links_of_the_rest(live: DataFrame, texts: DataFrame, width: int, similarity
 
 def linked_in_shards(shards: DataFrame, texts: DataFrame, width: int, similarity: float, rounds: int = 3, most: int = 256, most_bytes: int = 8 << 20) -> DataFrame:
     """(node, component) of all pairs of texts that share a shard and have that similarity: every such pair is either
-    compared or joined by other compared pairs. `shards` are distinct (shard, id), `texts` are (id, t).
+    compared or joined by other compared pairs. `shards` are distinct (shard, id), `texts` are (id, t); texts with
+    one id are copies.
 
     In a round the hub of each shard, the member with most company in all its shards, is compared with the other members
     and leaves the shard; a shard whose other members are one component is done. That settles the copies of one text.
@@ -267,7 +268,7 @@ def linked_in_shards(shards: DataFrame, texts: DataFrame, width: int, similarity
     kept = shards.groupBy("shard").agg(n.alias("n"), x.alias("x"), y.alias("y")).filter("n > 1").groupBy("n", "x", "y").agg(F.min("shard").alias("s"))
     live = Stored(shards.join(kept, F.col("shard") == F.col("s")).select("shard", "id", F.col("id").alias("whole")))
     wanted = live.df.select(F.col("id").alias("wanted")).distinct()
-    texts = stored(texts.join(wanted, F.col("id") == F.col("wanted"), "left_semi"))
+    texts = stored(texts.join(wanted, F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("t").alias("t")))
     links, linked = texts.sparkSession.createDataFrame([], "a long, b long"), None
     for turn in range(rounds + 1):
         if live.df.isEmpty():
@@ -293,11 +294,11 @@ def linked_in_shards(shards: DataFrame, texts: DataFrame, width: int, similarity
 def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, fine_shingle: int = 3, coarse_blocks: int = 4, fine_blocks: int = 8) -> DataFrame:
     """(doc_id, component_id) for every row: the smallest id reachable by links. `doc_id` is an integer.
 
-    Texts with both fingerprints equal are copies, so texts without words (null, empty, blank) are copies of each
-    other. Others are linked if they share a shard and their sets of shingles (of `shingle` words, A-Z
-    lowered) have a Jaccard similarity of at least `similarity`; nothing below it is linked. Repeated rows share
-    their component; a null id stays null and is never the smallest (copies with null ids only have a null one, and
-    are compared with no other text); other columns of `docs` are not read; an empty table gives an empty one."""
+    Texts with the same set of shingles (of `shingle` words, A-Z lowered; by 64 bits of hash) are copies, so texts
+    without words (null, empty, blank) are copies of each other. Others are linked if they share a shard and their sets
+    have a Jaccard similarity of at least `similarity`; nothing below it is linked. Every row counts by its text, also
+    if it repeats an id; a null id stays null and is never the smallest (a component of null ids only has a null one);
+    other columns of `docs` are not read; an empty table gives an empty one."""
     kind = docs.schema[doc_id].dataType.simpleString()
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
 
@@ -306,12 +307,15 @@ def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
             for part in slices([batch], "t"):
                 texts = utf8(part.column("t"))
                 both = (np.array([fingerprint(x, n) for x in texts], np.uint64).view(np.int64) for n in (1, fine_shingle))
-                yield pa.record_batch([part.column("id"), *map(pa.array, both)], ["id", "coarse", "fine"])
-
-    made = stored(plain.mapInArrow(make, "id long, coarse long, fine long"))
-    classes = stored(made.groupBy("coarse", "fine").agg(F.min("id").alias("least")))
-    shards = _similar_shards(classes.filter("least is not null").select(F.col("least").alias("id"), "coarse", "fine"), coarse_blocks, fine_blocks)
-    linked = stored(linked_in_shards(shards, plain, shingle, similarity))
-    named = classes.join(linked, F.col("least") == F.col("node"), "left").select(F.col("coarse").alias("c"), F.col("fine").alias("f"), F.coalesce("component", "least").alias("component_id"))
-    out = made.join(named, (F.col("coarse") == F.col("c")) & (F.col("fine") == F.col("f")))
+                copies = np.array([xxhash.xxh64_intdigest(shingle_set(x, shingle).tobytes(), SEED) for x in texts], np.uint64).view(np.int64)
+                yield pa.record_batch([part.column("id"), part.column("t"), pa.array(copies), *map(pa.array, both)], ["id", "t", "copies", "coarse", "fine"])
+
+    made = stored(plain.mapInArrow(make, "id long, t string, copies long, coarse long, fine long"))
+    classes = stored(made.groupBy("copies").agg(F.min("id").alias("least"), F.min("coarse").alias("coarse"), F.min("fine").alias("fine")))
+    shards = _similar_shards(classes.select(F.col("copies").alias("id"), "coarse", "fine"), coarse_blocks, fine_blocks)
+    linked = stored(linked_in_shards(shards, made.select(F.col("copies").alias("id"), "t"), shingle, similarity))
+    whole = classes.join(linked, F.col("copies") == F.col("node"), "left").select("copies", "least", F.coalesce("component", "copies").alias("whole"))
+    smallest = whole.groupBy(F.col("whole").alias("w")).agg(F.min("least").alias("component_id"))
+    named = whole.join(smallest, F.col("whole") == F.col("w")).select(F.col("copies").alias("c"), "component_id")
+    out = made.join(named, F.col("copies") == F.col("c"))
     return out.select(F.col("id").cast(kind).alias("doc_id"), F.col("component_id").cast(kind).alias("component_id"))

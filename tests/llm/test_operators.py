@@ -656,3 +656,16 @@ def test_shards_are_compared_whole(spark):
     for rounds, most in ((0, 256), (0, 7), (2, 7)):
         found = simhash.linked_in_shards(shards, texts, 5, 0.8, rounds, most).collect()
         assert {r.node: r.component for r in found} == want
+
+
+def test_repeated_lines_make_no_copies(spark):
+    """Texts that share only an often repeated line have the same fingerprints, and nothing else in common."""
+    rng, rows = random.Random(9), []
+    for k in range(30):
+        line = " ".join(f"r{rng.randrange(1 << 30)}" for _ in range((1, 5, 7)[k % 3]))
+        rows += [(2 * k + side, " ".join([line] * 200 + [f"o{rng.randrange(1 << 40)}" for _ in range(80)])) for side in range(2)]
+    rows += [(60, rows[0][1].upper()), (None, rows[1][1])]
+    prints = {(simhash.fingerprint(t.encode(), 1), simhash.fingerprint(t.encode())) for _, t in rows}
+    assert len(prints) < 40
+    found = simhash.dedup_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert bag(found) == Counter([(n, n) for n in range(60)] + [(60, 0), (None, 1)])
