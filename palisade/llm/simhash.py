@@ -9,15 +9,17 @@ larger than its distinct fingerprints, and gives at most a link for each of them
 
 The trees are built where the shard's rows are, not broadcast: they grow with the corpus.
 
-`dedup_similar` is for texts that share most of their shingles, which lie more bits apart than such a radius. It takes
-two fingerprints, of single words (`coarse`, moved little by an edit) and of short shingles (`fine`, which tells
-documents of one topic apart). A shard is a block of each, and the members of a shard are compared by the shingles
-themselves; only what a comparison has linked is one component.
+`dedup_similar` is for texts that share most of their shingles, which lie more bits apart than such a radius, and
+shards of SimHash bits miss some of them at any length. Its shards are bands of MinHashes: two texts agree in one
+MinHash with a chance equal to the Jaccard similarity J of their sets of shingles, in a band of r with J^r, and share no
+band of b with (1 - J^r)^b, whatever their length. The members of a shard are compared by the shingles themselves; only
+what a comparison has linked is one component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -26,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import ASCII_LOWER, Stored, shuffle_parts, slices, stored, utf8
+from palisade.llm.common import ASCII_LOWER, Stored, mixed, shuffle_parts, slices, stored, utf8
 from palisade.llm.components import components
-from palisade.llm.words import Layout, rolling
+from palisade.llm.words import BASE, Layout, rolling
 
 SEED = 42
 
@@ -166,19 +168,29 @@ def dedup_simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return out.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _similar_shards(classes: DataFrame, coarse_blocks: int, fine_blocks: int) -> DataFrame:
-    """(shard, id): a shard is a block of each fingerprint; `classes` are (id, coarse, fine)."""
-    cells = [(_signed(a), _signed(b)) for a in block_masks(coarse_blocks) for b in block_masks(fine_blocks)]
-    shards = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("coarse").bitwiseAND(F.lit(a)), F.col("fine").bitwiseAND(F.lit(b))) for k, (a, b) in enumerate(cells))))
-    return classes.select(shards.alias("shard"), "id")
-
-
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Distinct hashes of the shingles of a text with A-Z lowered; fewer words are one shingle."""
     hashes = Layout([text.translate(ASCII_LOWER)]).hashes
     return np.unique(rolling(hashes, min(width, len(hashes)))) if len(hashes) else hashes
 
 
+@lru_cache(maxsize=4)
+def _factors(n: int) -> np.ndarray:
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray, bands: int, width: int) -> np.ndarray:
+    """One key for each band of `width` MinHashes of a set; none for an empty set."""
+    if not len(shingles):
+        return shingles
+    factors = _factors(bands * width)
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
+    for part in range(0, len(shingles), 1024):
+        np.minimum(least, (factors[:, None] * shingles[part : part + 1024]).min(1), out=least)
+    sums = (mixed(least).reshape(bands, width) * _factors(width)).sum(1, dtype=np.uint64)
+    return mixed(sums + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(BASE))
+
+
 def _verified(candidates: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The candidates whose texts have that Jaccard similarity of their shingles; `texts` are (id, t)."""
 
@@ -291,28 +303,29 @@ def linked_in_shards(shards: DataFrame, texts: DataFrame, width: int, similarity
     return linked if linked is not None else components(links)
 
 
-def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, fine_shingle: int = 3, coarse_blocks: int = 4, fine_blocks: int = 8) -> DataFrame:
+def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 44, width: int = 7) -> DataFrame:
     """(doc_id, component_id) for every row: the smallest id reachable by links. `doc_id` is an integer.
 
     Texts with the same set of shingles (of `shingle` words, A-Z lowered; by 64 bits of hash) are copies, so texts
-    without words (null, empty, blank) are copies of each other. Others are linked if they share a shard and their sets
-    have a Jaccard similarity of at least `similarity`; nothing below it is linked. Every row counts by its text, also
-    if it repeats an id; a null id stays null and is never the smallest (a component of null ids only has a null one);
-    other columns of `docs` are not read; an empty table gives an empty one."""
+    without words (null, empty, blank) are copies of each other. Others are linked if they share one of `bands` bands of
+    `width` MinHashes and their sets have a Jaccard similarity of at least `similarity`; nothing below it is linked. A
+    pair at exactly 0.8 shares no band with a chance of 3.2e-5 ((1 - 0.8^7)^44), one above it with a smaller one. Every
+    row counts by its text, also if it repeats an id; a null id stays null and is never the smallest (a component of
+    null ids only has a null one); other columns of `docs` are not read; an empty table gives an empty one."""
     kind = docs.schema[doc_id].dataType.simpleString()
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices([batch], "t"):
-                texts = utf8(part.column("t"))
-                both = (np.array([fingerprint(x, n) for x in texts], np.uint64).view(np.int64) for n in (1, fine_shingle))
-                copies = np.array([xxhash.xxh64_intdigest(shingle_set(x, shingle).tobytes(), SEED) for x in texts], np.uint64).view(np.int64)
-                yield pa.record_batch([part.column("id"), part.column("t"), pa.array(copies), *map(pa.array, both)], ["id", "t", "copies", "coarse", "fine"])
-
-    made = stored(plain.mapInArrow(make, "id long, t string, copies long, coarse long, fine long"))
-    classes = stored(made.groupBy("copies").agg(F.min("id").alias("least"), F.min("coarse").alias("coarse"), F.min("fine").alias("fine")))
-    shards = _similar_shards(classes.select(F.col("copies").alias("id"), "coarse", "fine"), coarse_blocks, fine_blocks)
+                sets = [shingle_set(x, shingle) for x in utf8(part.column("t"))]
+                copies = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                keys = pa.array([band_keys(x, bands, width).view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([part.column("id"), part.column("t"), pa.array(copies), keys], ["id", "t", "copies", "keys"])
+
+    made = stored(plain.mapInArrow(make, "id long, t string, copies long, keys array<long>"))
+    classes = stored(made.groupBy("copies").agg(F.min("id").alias("least"), F.min("keys").alias("keys")))
+    shards = classes.select(F.explode("keys").alias("shard"), F.col("copies").alias("id"))
     linked = stored(linked_in_shards(shards, made.select(F.col("copies").alias("id"), "t"), shingle, similarity))
     whole = classes.join(linked, F.col("copies") == F.col("node"), "left").select("copies", "least", F.coalesce("component", "copies").alias("whole"))
     smallest = whole.groupBy(F.col("whole").alias("w")).agg(F.min("least").alias("component_id"))

@@ -669,3 +669,22 @@ def test_repeated_lines_make_no_copies(spark):
     assert len(prints) < 40
     found = simhash.dedup_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert bag(found) == Counter([(n, n) for n in range(60)] + [(60, 0), (None, 1)])
+
+
+def test_pairs_just_above_the_similarity(spark):
+    """Pairs with as many scattered edits as 0.8 allows, texts of 30 to 600 words, and groups of such copies."""
+    rng, rows = random.Random(11), []
+
+    def shingles(w):
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    for n in [30] * 60 + [60] * 60 + [150] * 60 + [600] * 20:
+        text = [f"v{rng.randrange(1 << 40)}" for _ in range(n)]
+        copy, more = text, text
+        while len(shingles(text) & shingles(more)) >= 0.8 * len(shingles(text) | shingles(more)):
+            copy, more = more, list(more)
+            more[rng.randrange(n)] = f"e{rng.randrange(1 << 40)}"
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy))]
+    rows += [(10_000 + a, t) for a, t in edited_copies(rng, 300, 200, 6)]
+    found = simhash.dedup_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert bag(found) == Counter([(n, n - n % 2) for n in range(400)] + [(10_000 + n, 10_000) for n in range(201)])
