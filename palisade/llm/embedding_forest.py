@@ -2,8 +2,11 @@
 
 Each tree splits the vectors of one label by random directions, recursively and at the median, until a leaf holds few;
 vectors near a split go to both sides (spill), so close pairs part seldom, and many trees make up for those that do.
+The spill is at least `WIDTH` deviations wide of how far linked vectors may lie apart on a direction. A group that is
+about as tight as that is not split by a direction, since nearly all of it would go to both sides, but stays one leaf.
 Thresholds come from a sample of bounded size for each node; every vector is routed. Vectors within a leaf are compared
-exactly. A leaf that splitting could not make small (ties) is compared in blocks, so nothing is left out.
+exactly. A leaf that splitting could not make small (ties, tight groups) is compared in blocks, so nothing is left out.
+A label that a tree leaves whole needs no other tree.
 
 A pair that meets in several leaves is counted in the smallest of them only, so links are counted inside the leaves and
 no pair leaves them: a leaf gives a sum for each vector and a label for each of its components. Identical vectors are
@@ -26,6 +29,8 @@ from palisade.llm.components import components
 
 #: Splits that a round makes below each node that is too large, and rows that a node's thresholds are taken from.
 LEVELS, SAMPLE = 6, 2048
+#: Spill in standard deviations of the projected distance at the threshold, and the share of a node that a side may keep.
+WIDTH, SIDE = 2.5, 0.7
 
 
 def _projections(points: DataFrame, trees: int, seed: int, first: bool) -> DataFrame:
@@ -51,48 +56,51 @@ def _projections(points: DataFrame, trees: int, seed: int, first: bool) -> DataF
     return out.withColumn("node", F.xxhash64("tree", "node")) if first else out.drop("node")
 
 
-def _splits(leaf: int, spill: float):
+def _splits(leaf: int, spill: float, width: float):
     """Thresholds of a node's next levels, from its sample: by heap index, the upper end of the left side and the lower
-    end of the right one."""
+    end of the right one. A direction that parts little sends all to the left; depth 0 if all directions do."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         depth = int(min(LEVELS, np.ceil(np.log2(group.n.iloc[0] / leaf))))
         p = np.array(group.p.tolist())
-        upper, lower = np.zeros(1 << depth), np.zeros(1 << depth)
-        rows = {1: np.arange(len(p))}
+        upper, lower = np.full(1 << depth, np.inf), np.full(1 << depth, np.inf)
+        rows, parted = {1: np.arange(len(p))}, False
         for index in range(1, 1 << depth):
             here = p[rows[index], index.bit_length() - 1]
-            lower[index], middle, upper[index] = np.quantile(here, [0.5 - spill, 0.5, 0.5 + spill]) if len(here) else (0, 0, 0)
-            rows[2 * index], rows[2 * index + 1] = rows[index][here <= middle], rows[index][here > middle]
-        return pd.DataFrame({"s_tree": [group.tree.iloc[0]], "s_node": [group.node.iloc[0]], "depth": [depth], "upper": [upper.tolist()], "lower": [lower.tolist()]})
+            low, middle, high = np.quantile(here, [0.5 - spill, 0.5, 0.5 + spill]) if len(here) else (0, 0, 0)
+            low, high = min(low, middle - width / 2), max(high, middle + width / 2)
+            left, right = here <= high, here >= low
+            if len(here) and max(left.mean(), right.mean()) <= SIDE:
+                lower[index], upper[index], parted = low, high, True
+            else:
+                left, right = np.ones(len(here), bool), np.zeros(len(here), bool)
+            rows[2 * index], rows[2 * index + 1] = rows[index][left], rows[index][right]
+        return pd.DataFrame({"s_tree": [group.tree.iloc[0]], "s_node": [group.node.iloc[0]], "depth": [depth if parted else 0], "upper": [upper.tolist()], "lower": [lower.tolist()]})
 
     return fit
 
 
-def leaves(points: DataFrame, trees: int, leaf: int, spill: float, seed: int) -> DataFrame:
+def leaves(points: DataFrame, trees: int, leaf: int, spill: float, seed: int, width: float = 0.0) -> DataFrame:
     """(c, tree, node) for every point (c, root, v) and tree; a spilled point has several nodes."""
-    now = Stored(_projections(points, trees, seed, True))
-    most = None
+    now = Stored(_projections(points, trees, seed, True).withColumn("done", F.lit(False)))
     for turn in range(1, 64):
-        counts = now.df.groupBy("tree", "node").agg(F.count("*").alias("n")).filter(F.col("n") > leaf)
-        largest = counts.agg(F.max("n")).first()[0]
-        if largest is None or (most is not None and largest > 0.9 * most):
+        counts = now.df.filter("not done").groupBy("tree", "node").agg(F.count("*").alias("n")).filter(F.col("n") > leaf)
+        if counts.isEmpty():
             break
-        most = largest
         sized = now.df.join(counts.select(F.col("tree").alias("t"), F.col("node").alias("m"), "n"), (F.col("tree") == F.col("t")) & (F.col("node") == F.col("m")))
         draw = F.pmod(F.xxhash64(F.lit(seed + turn), "c", "tree"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n")
-        fits = sized.filter(draw).groupBy("tree", "node").applyInPandas(_splits(leaf, spill), "s_tree int, s_node long, depth int, upper array<double>, lower array<double>")
+        fits = sized.filter(draw).groupBy("tree", "node").applyInPandas(_splits(leaf, spill, width), "s_tree int, s_node long, depth int, upper array<double>, lower array<double>")
         routed = now.df.join(fits, (F.col("tree") == F.col("s_tree")) & (F.col("node") == F.col("s_node")), "left").withColumn("at", F.lit(1))
         for level in range(LEVELS):
             p = F.element_at("p", level + 1)
             left = F.when(p <= F.element_at("upper", F.col("at") + 1), F.array(F.col("at") * 2)).otherwise(F.array().cast("array<int>"))
             right = F.when(p >= F.element_at("lower", F.col("at") + 1), F.array(F.col("at") * 2 + 1)).otherwise(F.array().cast("array<int>"))
             routed = routed.withColumn("at", F.explode(F.when(F.coalesce("depth", F.lit(0)) > level, F.concat(left, right)).otherwise(F.array("at"))))
-        node = F.when(F.col("depth").isNull(), F.col("node")).otherwise(F.xxhash64("tree", "node", "at"))
-        placed = Stored(routed.select("c", "tree", node.alias("node")))
+        node = F.when(F.coalesce("depth", F.lit(0)) == 0, F.col("node")).otherwise(F.xxhash64("tree", "node", "at"))
+        placed = Stored(routed.select("c", "tree", node.alias("node"), (F.col("done") | F.coalesce(F.col("depth") == 0, F.lit(False))).alias("done")))
         now.drop()
         next_p = _projections(points, trees, seed + turn, False).withColumnRenamed("c", "pc").withColumnRenamed("tree", "pt")
-        now = Stored(placed.df.join(next_p, (F.col("c") == F.col("pc")) & (F.col("tree") == F.col("pt"))).select("c", "tree", "node", "p"))
+        now = Stored(placed.df.join(next_p, (F.col("c") == F.col("pc")) & (F.col("tree") == F.col("pt"))).select("c", "tree", "node", "done", "p"))
         placed.drop()
     return now.df.select("c", "tree", "node")
 
@@ -147,8 +155,11 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = 0.98, trees: int = 6
     good = rows.filter(usable)
     classes = good.groupBy("g", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     entries = stored(classes.withColumn("c", F.monotonically_increasing_id()).withColumn("root", F.xxhash64("g", F.size("v"))))
-    at = leaves(entries, trees, leaf, spill, seed).select("c", F.xxhash64("tree", "node").alias("leaf"))
-    at = stored(at)
+    width = WIDTH * max(0.0, 2 - 2 * threshold) ** 0.5
+    at = stored(leaves(entries, trees, leaf, spill, seed, width).join(entries.select(F.col("c").alias("rc"), "root"), F.col("c") == F.col("rc")))
+    undivided = at.filter(F.col("node") == F.xxhash64("tree", "root")).groupBy(F.col("root").alias("ur")).agg(F.min("tree").alias("only"))
+    at = at.join(undivided, F.col("root") == F.col("ur"), "left").filter("only is null or tree = only")
+    at = stored(at.select("c", F.xxhash64("tree", "node").alias("leaf")))
     sizes = at.groupBy(F.col("leaf").alias("l")).agg(F.ceil(F.count("*") / leaf).alias("blocks"))
     of = at.groupBy(F.col("c").alias("lc")).agg(F.collect_set("leaf").alias("leaves"))  # a few for each tree
     dealt = at.join(sizes, F.col("leaf") == F.col("l")).withColumn("block", F.pmod(F.xxhash64("c"), "blocks"))

@@ -688,3 +688,17 @@ def test_pairs_just_above_the_similarity(spark):
     rows += [(10_000 + a, t) for a, t in edited_copies(rng, 300, 200, 6)]
     found = simhash.dedup_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert bag(found) == Counter([(n, n - n % 2) for n in range(400)] + [(10_000 + n, 10_000) for n in range(201)])
+
+
+def test_embeddings_of_a_tight_group(spark):
+    """A group of near-copy vectors that is larger than a leaf, among others of its label, with the usual parameters."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    tight = centre + rng.standard_normal((2500, 64)) * 0.14
+    v = np.concatenate([tight, rng.standard_normal((1500, 64))])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert want.sum() > 2_000_000
+    table = spark.createDataFrame([(k, x, 1, "n") for k, x in enumerate(v.tolist())], VEC).repartition(4)
+    found = {r.vec_id: r.n_links for r in embedding_forest.dedup_embeddings(table).collect()}
+    assert sum(found.values()) >= 0.999 * want.sum() and all(found[k] <= want[k] for k in found)
