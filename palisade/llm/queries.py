@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import embedding_forest, hamming_search, lattice_lm, mixing, packing, simhash, substring, token_counts, toxicity, warc
+from palisade.llm import embedding_forest, hamming_search, hard_negatives, lattice_lm, mixing, packing, simhash, substring, token_counts, toxicity, warc
 
 END_ID = 2
 
@@ -70,6 +70,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embedding_dedup, op3_hamming_search, op4_substring_dedup, op5_best_fit_packing, op6_token_counts, op7_warc, op8_lattice_lm, op9_simhash_dedup, op10_source_mix, pipeline)
+    for f in (op1_toxicity, op2_embedding_dedup, op3_hamming_search, op4_substring_dedup, op5_best_fit_packing, op6_token_counts, op7_warc, op8_lattice_lm, op9_simhash_dedup, op10_source_mix, op13_hard_negatives, pipeline)
 }
 
 OP2_SQL = """
@@ -130,4 +136,26 @@ kept AS (
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
-ORACLES: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op3_hamming_search": OP3_SQL, "op4_substring_dedup": OP4_SQL}
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0
+),
+near AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM near JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op3_hamming_search": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op13_hard_negatives": OP13_SQL}
