@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import embedding_forest, hamming_search, hard_negatives, lattice_lm, mixing, packing, simhash, substring, token_counts, toxicity, warc
+from palisade.llm import conversation_trie, embedding_forest, hamming_search, hard_negatives, lattice_lm, mixing, packing, simhash, substring, token_counts, toxicity, warc
 
 END_ID = 2
 
@@ -70,6 +70,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embedding_dedup, op3_hamming_search, op4_substring_dedup, op5_best_fit_packing, op6_token_counts, op7_warc, op8_lattice_lm, op9_simhash_dedup, op10_source_mix, op13_hard_negatives, pipeline)
+    for f in (op1_toxicity, op2_embedding_dedup, op3_hamming_search, op4_substring_dedup, op5_best_fit_packing, op6_token_counts, op7_warc, op8_lattice_lm, op9_simhash_dedup, op10_source_mix, op12_conversation_trie, op13_hard_negatives, pipeline)
 }
 
 OP2_SQL = """
@@ -136,6 +140,42 @@ kept AS (
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
+OP12_SQL = r"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+h AS (
+  SELECT conv_id, t, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))
+  )) % 4 AS h
+  FROM c
+),
+rebuilt AS (
+  SELECT h.conv_id, list_concat(coalesce(c.t[1:h], []), h.t[h + 1:len(h.t)]) AS t
+  FROM h LEFT JOIN c ON c.conv_id = h.conv_id - h.conv_id % 20
+),
+members AS (SELECT conv_id, len(t) AS turns, d, t[1:d] AS k FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = d), '')) AS ends_sha256
+  FROM members GROUP BY d, k
+),
+children AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+valued AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children,
+         CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(k[d].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes LEFT JOIN children USING (d, k)
+),
+totals AS (
+  SELECT a AS d, k[1:a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT d, k, n_children, saved, unnest(range(0, d + 1)) AS a FROM valued) GROUP BY ALL
+)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM valued v JOIN totals USING (d, k) LEFT JOIN nodes p ON p.d = v.d - 1 AND p.k = v.k[1:v.d - 1]
+"""
+
 OP13_SQL = """
 WITH v AS (
   SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -158,4 +198,4 @@ WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * po
 QUALIFY rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op3_hamming_search": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op3_hamming_search": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op12_conversation_trie": OP12_SQL, "op13_hard_negatives": OP13_SQL}
