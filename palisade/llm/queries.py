@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import conversation_trie, embedding_forest, hamming_search, hard_negatives, lattice_lm, mixing, packing, simhash, substring, token_counts, toxicity, warc
+from palisade.llm import conversation_trie, embedding_forest, hamming_search, hard_negatives, lattice_lm, mixing, packing, secret_entropy, simhash, substring, token_counts, toxicity, warc
 
 END_ID = 2
 
@@ -70,6 +70,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_entropy.find_secrets(_table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["known"])
+    counts = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in secret_entropy.KNOWN]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
@@ -88,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embedding_dedup, op3_hamming_search, op4_substring_dedup, op5_best_fit_packing, op6_token_counts, op7_warc, op8_lattice_lm, op9_simhash_dedup, op10_source_mix, op12_conversation_trie, op13_hard_negatives, pipeline)
+    for f in (op1_toxicity, op2_embedding_dedup, op3_hamming_search, op4_substring_dedup, op5_best_fit_packing, op6_token_counts, op7_warc, op8_lattice_lm, op9_simhash_dedup, op10_source_mix, op11_secret_entropy, op12_conversation_trie, op13_hard_negatives, pipeline)
 }
 
 OP2_SQL = """
