@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import Inputs, query
-from palisade.operators import analysers, detect, directives, history
+from palisade.operators import analysers, detect, directives, history, log_walk
 from palisade.operators.scoring import BANKING_WORDS
 from palisade.plans import scan as plan
 from palisade.sources import rules as rule_source
-from palisade.sources.gitlog import latest_commits
+from palisade.session import new_path
+from palisade.sources.gitlog import latest_commits, read_git_lines, write_git_dumps
 
 c = F.col
 KEYWORDS = "|".join(BANKING_WORDS)
@@ -168,6 +169,31 @@ def git_log_lines(t: Inputs):
     return history.git_log_lines(_commits(t)).select("repo", "short_hash", "author", "path", "line_number", "line")
 
 
+def _dumps(t: Inputs):
+    """The commits as dumps on disk, read back line by line."""
+    path = new_path(t.spark)
+    write_git_dumps(t.busy.v_git_records, path, "doc_id")
+    return read_git_lines(t.spark, path)
+
+
+@query(f"""WITH {ADDED} SELECT repo, short_hash, author, path, 1 AS file_no, line_number::INT AS line_number, line FROM added WHERE NOT starts_with(line, '++')""")
+def git_dump_lines(t: Inputs):
+    return log_walk.added_lines(_dumps(t)).select("repo", "short_hash", "author", "path", "file_no", "line_number", "line")
+
+
+@query(f"""WITH {ADDED}, h AS (SELECT *, 'Hex Token' AS name, regexp_extract(line, '(?i)token\\s*=\\s*["''][0-9a-f]{{40}}["'']') AS m FROM added UNION ALL SELECT *, 'Card Number', regexp_extract(line, '\\b[0-9]{{13,19}}\\b') FROM added),
+k AS (SELECT *, left(m,4) || repeat('*', length(m) - 8) || right(m,4) AS masked, row_number() OVER (PARTITION BY repo, name, path, left(m,4) || repeat('*', length(m) - 8) || right(m,4) ORDER BY doc_id, line_number) AS n
+  FROM h JOIN (SELECT repo, doc_id FROM (SELECT repo, doc_id, row_number() OVER (PARTITION BY repo ORDER BY doc_id) AS n FROM v_commits) WHERE n <= 500) USING (repo, doc_id) WHERE m <> '' AND NOT starts_with(line, '++'))
+SELECT repo AS scan_id, 'GIT-SECRET-' || upper(replace(name, ' ', '-')) || '-' || short_hash || '-' || left(sha256(path), 6) AS rule_id, path AS file_path, line_number::INT AS line_number,
+ 'Commit: ' || short_hash || ' | Author: ' || author || ' | Date: ' || date || ' | Secret: ' || masked AS evidence FROM k WHERE n = 1""")
+def git_dump_findings(t: Inputs):
+    """Dumps to findings: the newest 500 commits of each repository, as the original traverses them."""
+    lines = _dumps(t)
+    newest = latest_commits(log_walk.commit_headers(lines), 500)
+    found = history.history_scan(log_walk.latest_lines(log_walk.added_lines(lines), newest), rule_source.builtin_secret_patterns(t.spark))
+    return found.select("scan_id", "rule_id", "file_path", "line_number", "evidence")
+
+
 @query("""SELECT repo, doc_id FROM (SELECT repo, doc_id, row_number() OVER (PARTITION BY repo ORDER BY doc_id) AS n FROM v_commits) WHERE n <= 30""")
 def latest_commits_per_repo(t: Inputs):
     return latest_commits(_commits(t), 30).select("repo", c("commit_order.doc_id").alias("doc_id"))

@@ -62,13 +62,17 @@ def _removed_at_exit(folder: str) -> None:
     atexit.register(clear)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """`df` as Parquet below the checkpoint folder, and its path, in a folder of this application that is removed when
-    the driver ends. What is asked of it later reads only its own columns."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """An unused path below the checkpoint folder, in a folder of this application that is removed when the driver ends."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/palisade-{spark.sparkContext.applicationId}"
     _removed_at_exit(folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` as Parquet at a `new_path`, and the path. What is asked of it later reads only its own columns."""
+    spark = df.sparkSession
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

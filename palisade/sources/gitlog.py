@@ -26,6 +26,33 @@ def read_git_log(spark: SparkSession, path: str) -> DataFrame:
     ).filter(F.size(F.split(F.substring_index("record", "\n", 1), r"\|")) >= 5)
 
 
+def read_git_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line of the dumps: repo, part (the file), block (start of the split), line; in the order of the log
+    within a split.
+
+    No commit and no file of a commit has to fit into a row: `operators.log_walk` carries headers from line to line and
+    from split to split. A dump is `<repo>.log`, or a folder `repo=<repo>` whose files in order are the dump.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    file = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file, "/repo=([^/]+)/[^/]*$", 1)
+    name = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
+    # names in a path are encoded, and those of folders once more by the writer
+    return raw.select(
+        F.when(folder == "", F.url_decode(name)).otherwise(F.url_decode(F.url_decode(folder))).alias("repo"),
+        file.alias("part"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"),
+    )
+
+
+def write_git_dumps(records: DataFrame, path: str, *order: str) -> None:
+    """Commit records (repo, record, and `order` within a repo) as dumps, in folders `repo=<repo>`. The rows are sorted
+    by range, so the parts of one dump can come from many tasks."""
+    lines = records.filter("repo is not null and record is not null").repartitionByRange("repo", *order).sortWithinPartitions("repo", *order)
+    lines.select("repo", F.concat(F.lit("COMMIT:"), "record")).write.partitionBy("repo").text(path)
+
+
 def latest_commits(commits: DataFrame, limit: int) -> DataFrame:
     """The first `limit` commits of each repository in log order (the log starts with the newest).
 
