@@ -97,8 +97,8 @@ def test_allow_list_is_a_parameter(spark):
 
 
 def test_query(spark):
-    got = {r.doc_id: r for r in QUERIES["op11_secret_entropy"](spark, "/root/testdata/sf0.001").collect()}
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.doc_id: r for r in QUERIES["op11_secret_entropy"](spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     for r in rows:
         known = base(r.text or "")
@@ -106,3 +106,4 @@ def test_query(spark):
         want = (r.doc_id, *(counts[k] for k in secret_entropy.KNOWN), hashlib.sha256(join(known).encode()).hexdigest(), join(brute(r.text or "")))
         assert tuple(got[r.doc_id]) == want
     assert len(got) == len(rows)
+    assert sum(r.n_assign for r in got.values()) > 0
