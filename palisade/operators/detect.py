@@ -7,6 +7,7 @@ for all of them and nothing is shuffled.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,7 +200,15 @@ def _holds_word(line: Column) -> Column:
     return holds_any(F.lower(line), BANKING_WORDS)
 
 
-def scan_files(
+@dataclass(frozen=True)
+class Entries:
+    """What matches are about: rules first, then secret patterns, then checks."""
+
+    rows: list[dict]
+    n_rules: int
+
+
+def matched_files(
     files: DataFrame,
     rules: DataFrame | None = None,
     patterns: DataFrame | None = None,
@@ -207,14 +216,11 @@ def scan_files(
     min_entropy: float | None = None,
     only_config: bool = False,
     routes: dict[str, list[str]] | None = None,
-    keep_context_text: bool = False,
-) -> DataFrame:
-    """Findings of the given rules, secret patterns and baseline checks, from one pass over the files.
+    also: dict[str, Column] | None = None,
+) -> tuple[DataFrame, Entries]:
+    """scan_id, path, _matches (all matches in the file) and the columns of `also`, from one pass over the files.
 
-    Patterns go into the plan as constants, so each is compiled once per task. `only_config` lets
-    rules see configuration files only. `routes` (detector to scan types) needs a `scan_type`
-    column. `context_keyword` is all that scoring needs of the lines around a match; their text is
-    added on request (the matches are then written out, so that the scan is not run twice).
+    Parameters as for `scan_files`; `findings_of` makes findings of the rows.
     """
     rule_rows = usable_rows(rules) if rules is not None else []
     pattern_rows = usable_rows(patterns) if patterns is not None else []
@@ -237,23 +243,52 @@ def scan_files(
         found = F.array_compact(F.array(*[drift_match(c, first + no) for no, c in enumerate(check_rows)]))
         kinds = sorted({c["config_type"] for c in check_rows})
         parts.append(_where(on("drift") & F.col("_kind").isin(kinds), found))
-    if rules is None and patterns is None and checks is None:
-        raise ValueError("nothing to look for")
     parts.append(F.array().cast(f"array<{MATCH}>"))
+    also = also or {}
     scanned = files.withColumn("_kind", config_type(F.col("path"))).select(
-        "scan_id", "path", "content", F.concat(*parts).alias("_found")
+        "scan_id", "path", "content", F.concat(*parts).alias("_found"), *(c.alias(n) for n, c in also.items())
     )
     lines = F.when(F.exists("_found", lambda m: m["entry"] < len(rule_rows)), F.split("content", "\n"))
     many = F.size("_found") * (2 * CONTEXT_RADIUS + 1) > F.size("_lines")
     rows = (
-        scanned.select("scan_id", "path", "_found", lines.alias("_lines"))
+        scanned.select("scan_id", "path", "_found", lines.alias("_lines"), *also)
         .select("*", F.when(many, F.transform("_lines", _holds_word)).alias("_words"))
-        .select("scan_id", "path", F.inline(_context_flags(len(rule_rows))))
-        .withColumn("_e", F.get(literal_table(entries, ENTRY), F.col("entry")))
+        .select("scan_id", "path", _context_flags(len(rule_rows)).alias("_matches"), *also)
+    )
+    return rows, Entries(entries, len(rule_rows))
+
+
+def scan_files(
+    files: DataFrame,
+    rules: DataFrame | None = None,
+    patterns: DataFrame | None = None,
+    checks: DataFrame | None = None,
+    min_entropy: float | None = None,
+    only_config: bool = False,
+    routes: dict[str, list[str]] | None = None,
+    keep_context_text: bool = False,
+) -> DataFrame:
+    """Findings of the given rules, secret patterns and baseline checks, from one pass over the files.
+
+    Patterns go into the plan as constants, so each is compiled once per task. `only_config` lets
+    rules see configuration files only. `routes` (detector to scan types) needs a `scan_type`
+    column. `context_keyword` is all that scoring needs of the lines around a match; their text is
+    added on request (the matches are then written out, so that the scan is not run twice).
+    """
+    if rules is None and patterns is None and checks is None:
+        raise ValueError("nothing to look for")
+    matched, entries = matched_files(files, rules, patterns, checks, min_entropy, only_config, routes)
+    return findings_of(matched, entries, files if keep_context_text else None)
+
+
+def findings_of(matched: DataFrame, entries: Entries, context_from: DataFrame | None = None) -> DataFrame:
+    """Findings of `matched_files`; with the files, the text around the matches of rules."""
+    rows = matched.select("scan_id", "path", F.inline("_matches")).withColumn(
+        "_e", F.get(literal_table(entries.rows, ENTRY), F.col("entry"))
     )
     about_rule = [F.lit("rule_category"), F.col("_e.kind")]
-    if keep_context_text:
-        rows = attach_context(cut_lineage(rows), files)
+    if context_from is not None:
+        rows = attach_context(cut_lineage(rows), context_from)
         about_rule += [F.lit("context"), F.col("context")]
     detector = F.col("_e.detector")
     metadata = (

@@ -5,13 +5,10 @@ All operators take files (scan_id, path, content) and give `DEPENDENCY_COLUMNS`.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions import base_name, clean_npm_version, manifest_kind
+from palisade.functions import base_name, clean_npm_version, has_excluded_dir, manifest_kind
 from palisade.functions.base import strip, text_after, text_before
 from palisade.session import cut_lineage
 
@@ -23,6 +20,8 @@ SKIPPED_OPTIONS = ["-e ", "-i ", "--index-url", "--extra-index-url", "-f ", "--f
 INCLUDE_OPTIONS = ["-r ", "--requirement "]
 VERSION_OPERATORS = ["~=", "==", "!=", "<=", ">=", "<", ">"]
 NO_VERSION = "0.0.0"
+# Levels of a nested lock file that are read in one round.
+LEVELS = 32
 
 
 def _dependency(rows: DataFrame, ecosystem: str, **values: Column) -> DataFrame:
@@ -56,60 +55,72 @@ def npm_manifest(files: DataFrame) -> DataFrame:
     )
 
 
-def _tree_packages(content: str) -> list[tuple[str, str, bool, bool]]:
-    """Packages of a nested lock file: name, version, dev, below another one. Text that is no such file has none."""
-    try:
-        document = json.loads(content)
-    except ValueError:
-        return []
-    top = document.get("dependencies") if isinstance(document, dict) else None
-    level, found, below = [top] if isinstance(top, dict) else [], [], False
-    while level:
-        entries = [(name, info) for packages in level for name, info in packages.items() if isinstance(info, dict)]
-        found += [(name, str(info.get("version", NO_VERSION)), bool(info.get("dev")), below) for name, info in entries]
-        level, below = [x for _, info in entries if isinstance(x := info.get("dependencies"), dict)], True
-    return found
+def _object(value: Column, place: str = "$") -> Column:
+    """The entries of an object within a VARIANT, null if there is none."""
+    return F.try_variant_get(value, place, "map<string,variant>")
 
 
-def npm_lock(files: DataFrame) -> DataFrame:
-    """package-lock.json: flat `packages` of version 2 and 3, nested tree of version 1."""
-    shape = "lockfileVersion int, packages map<string,struct<version:string,dev:boolean>>"
-    docs = files.withColumn("_doc", F.from_json("content", shape))
-    is_flat = (F.coalesce("_doc.lockfileVersion", F.lit(1)) >= 2) & F.col("_doc.packages").isNotNull()
-    flat = docs.filter(is_flat).select("scan_id", "path", F.explode("_doc.packages").alias("place", "info"))
-    depth = F.size(F.split("place", "node_modules/")) - 1
-    flat_rows = _dependency(
-        flat.filter("place <> ''"),
-        "npm",
-        name=F.element_at(F.split("place", "node_modules/"), -1),
-        version=F.coalesce("info.version", F.lit(NO_VERSION)),
-        is_dev=F.coalesce("info.dev", F.lit(False)),
-        is_transitive=depth > 1,
-    )
+def _entries(rows: DataFrame, section: Column) -> DataFrame:
+    """scan_id, path, name, info for each entry of a section."""
+    return rows.select("scan_id", "path", F.explode(section).alias("name", "info"))
 
-    def walk(batches):
-        # the nesting has no bound, so no schema can name it
-        for batch in batches:
-            rows = [
-                (scan, path, *row)
-                for scan, path, content in zip(batch["scan_id"], batch["path"], batch["content"])
-                for row in _tree_packages(content)
-            ]
-            yield pd.DataFrame(rows, columns=["scan_id", "path", "name", "version", "dev", "nested"])
-
-    tree = docs.filter(~is_flat & F.col("_doc").isNotNull()).select("scan_id", "path", "content")
-    tree_rows = tree.mapInPandas(
-        walk, "scan_id string, path string, name string, version string, dev boolean, nested boolean"
-    )
-    return flat_rows.unionByName(
-        _dependency(
-            tree_rows,
-            "npm",
-            name=F.col("name"),
-            version=F.col("version"),
-            is_dev=F.col("dev"),
-            is_transitive=F.col("nested"),
+
+def _is_object(value: Column) -> Column:
+    return _object(value).isNotNull()
+
+
+def lock_entries(files: DataFrame) -> DataFrame:
+    """Entries of package-lock.json files: scan_id, path, place, name, info, nested. `info` is what the file holds there,
+    an object or not.
+
+    Version 2 and 3 list packages by place. The tree of version 1 may nest to any depth: each round reads some levels
+    more, for the files that have them.
+    """
+    docs = files.select("scan_id", "path", F.try_parse_json("content").alias("_doc"))
+    version = F.coalesce(F.try_variant_get("_doc", "$.lockfileVersion", "int"), F.lit(1))
+    is_flat = (version >= 2) & _object(F.col("_doc"), "$.packages").isNotNull()
+    columns = ["scan_id", "path", "place", "name", "info", "nested"]
+    listed = _entries(docs.filter(is_flat), _object(F.col("_doc"), "$.packages")).filter("name <> ''")
+    parts = F.split("name", "node_modules/")
+    found = listed.withColumns({"place": F.col("name"), "name": F.element_at(parts, -1), "nested": F.size(parts) > 2}).select(columns)
+    level = docs.filter(~is_flat).select("scan_id", "path", _below(_object(F.col("_doc"), "$.dependencies")).alias("_level"))
+    while True:
+        # a fold over the tree of one file reads LEVELS levels; `_level` is what lies below them
+        steps = F.aggregate(
+            F.sequence(F.lit(1), F.lit(LEVELS)),
+            F.struct(F.expr("slice(_level, 1, 0)").alias("seen"), F.col("_level").alias("level")),
+            lambda acc, _: F.struct(
+                F.concat(acc["seen"], acc["level"]).alias("seen"),
+                F.flatten(F.transform(acc["level"], lambda e: _below(_object(e["info"], "$.dependencies"), e["place"]))).alias("level"),
+            ),
         )
+        walked = cut_lineage(level.filter(F.size("_level") > 0).select("scan_id", "path", steps.alias("_steps")))
+        if walked.isEmpty():
+            return found
+        found = found.unionByName(walked.select("scan_id", "path", F.inline("_steps.seen")).select(columns))
+        level = walked.select("scan_id", "path", F.col("_steps.level").alias("_level"))
+
+
+def _below(entries: Column, place: Column | None = None) -> Column:
+    """Entries as an array of place, name, info, nested; those within another one have its place in front."""
+    of = lambda e: e["key"] if place is None else F.concat(place, F.lit("/"), e["key"])
+    rows = F.transform(
+        F.map_entries(entries),
+        lambda e: F.struct(of(e).alias("place"), e["key"].alias("name"), e["value"].alias("info"), F.lit(place is not None).alias("nested")),
+    )
+    return F.coalesce(rows, F.array()).cast("array<struct<place:string,name:string,info:variant,nested:boolean>>")
+
+
+def npm_lock(files: DataFrame) -> DataFrame:
+    """package-lock.json: flat `packages` of version 2 and 3, nested tree of version 1. An entry that is no object is left
+    out and listed by `odd_entries`."""
+    return _dependency(
+        lock_entries(files).filter(_is_object(F.col("info"))),
+        "npm",
+        name=F.col("name"),
+        version=F.coalesce(F.try_variant_get("info", "$.version", "string"), F.lit(NO_VERSION)),
+        is_dev=F.coalesce(F.try_variant_get("info", "$.dev", "boolean"), F.lit(False)),
+        is_transitive=F.col("nested"),
     )
 
 
@@ -207,7 +218,9 @@ def included_requirements(files: DataFrame, manifests: DataFrame) -> DataFrame:
     content. Each level reads only the files that the level before names."""
     seen, level, found = manifests.select("scan_id", "path"), manifests, None
     while True:
-        named = include_edges(level).select("scan_id", F.col("included").alias("path")).distinct().join(seen, ["scan_id", "path"], "left_anti")
+        named = cut_lineage(include_edges(level).select("scan_id", F.col("included").alias("path")).distinct().join(seen, ["scan_id", "path"], "left_anti"))
+        if named.isEmpty():  # without includes the files are not read again
+            return level.limit(0) if found is None else found
         level = cut_lineage(files.select("scan_id", "path", "content").join(named, ["scan_id", "path"], "left_semi"))
         if level.isEmpty():
             return level if found is None else found
@@ -215,19 +228,21 @@ def included_requirements(files: DataFrame, manifests: DataFrame) -> DataFrame:
         seen = seen.unionByName(level.select("scan_id", "path"))
 
 
+def pipfile_entries(files: DataFrame) -> DataFrame:
+    """Entries of Pipfile.lock files: scan_id, path, place, name, info, is_dev."""
+    docs = files.select("scan_id", "path", F.try_parse_json("content").alias("_doc"))
+    sections = [
+        _entries(docs, _object(F.col("_doc"), f"$.{section}")).withColumns({"place": F.concat_ws("/", F.lit(section), "name"), "is_dev": F.lit(dev)})
+        for section, dev in (("default", False), ("develop", True))
+    ]
+    return sections[0].unionByName(sections[1])
+
+
 def pipfile_lock(files: DataFrame) -> DataFrame:
-    """Pipfile.lock: default and develop sections."""
-    shape = "default map<string,struct<version:string>>, develop map<string,struct<version:string>>"
-    empty = F.array().cast("array<struct<key:string,value:struct<version:string>>>")
-    section = lambda name, dev: F.transform(
-        F.coalesce(F.map_entries(f"_doc.{name}"), empty),
-        lambda e: F.struct(e["key"].alias("name"), e["value"]["version"].alias("version"), F.lit(dev).alias("dev")),
-    )
-    rows = files.select("scan_id", "path", F.from_json("content", shape).alias("_doc")).select(
-        "scan_id", "path", F.inline(F.concat(section("default", False), section("develop", True)))
-    )
-    version = F.regexp_replace(F.coalesce("version", F.lit(NO_VERSION)), "^=+", "")
-    return _dependency(rows, "pypi", name=F.lower("name"), version=version, is_dev=F.col("dev"))
+    """Pipfile.lock: default and develop sections. An entry that is no object is left out and listed by `odd_entries`."""
+    version = F.regexp_replace(F.coalesce(F.try_variant_get("info", "$.version", "string"), F.lit(NO_VERSION)), "^=+", "")
+    rows = pipfile_entries(files).filter(_is_object(F.col("info")))
+    return _dependency(rows, "pypi", name=F.lower("name"), version=version, is_dev=F.col("is_dev"))
 
 
 _POM_DEPENDENCY = "dependency:array<struct<groupId:string,artifactId:string,version:string,scope:string>>"
@@ -286,17 +301,24 @@ PARSERS = {
 }
 
 
+def manifests_of(files: DataFrame) -> DataFrame:
+    """Manifests among the files, outside the skipped folders: scan_id, path, content, _kind."""
+    column = "relative_path" if "relative_path" in files.columns else "path"
+    kind = manifest_kind(F.col("path")).alias("_kind")
+    return files.filter(~has_excluded_dir(F.col(column), "manifest")).select("scan_id", "path", "content", kind).filter("_kind <> 'unsupported'")
+
+
 def dependencies(files: DataFrame) -> DataFrame:
     """Packages of all manifests among the files, each read by the parser of its kind.
 
     Manifests are a small part of a corpus: they are written out first, in one pass, and the parsers
-    read only them and the requirement files that they include. `unreadable_manifests` lists those that do not parse.
+    read only them and the requirement files that they include. `manifest_faults` lists what gives no packages.
     """
-    kinds = cut_lineage(
-        files.select("scan_id", "path", "content", manifest_kind(F.col("path")).alias("_kind")).filter(
-            "_kind <> 'unsupported'"
-        )
-    )
+    return packages_of(cut_lineage(manifests_of(files)), files)
+
+
+def packages_of(kinds: DataFrame, files: DataFrame) -> DataFrame:
+    """Packages of `manifests_of` rows; `files` is read only if requirement files include others."""
     of = {kind: kinds.filter(F.col("_kind") == kind).drop("_kind") for kind in PARSERS}
     of["requirements"] = of["requirements"].unionByName(included_requirements(files, of["requirements"]))
     parts = [parse(of[kind]) for kind, parse in PARSERS.items()]
@@ -306,8 +328,50 @@ def dependencies(files: DataFrame) -> DataFrame:
     return rows
 
 
+# Sections that a manifest's JSON may have, by kind.
+_SECTIONS = {
+    "npm_manifest": ["dependencies", "devDependencies"],
+    "npm_lock": ["packages", "dependencies"],
+    "pipfile_lock": ["default", "develop"],
+}
+
+
 def unreadable_manifests(files: DataFrame) -> DataFrame:
-    """Manifests that give no packages because they do not parse: scan_id, path, reason."""
+    """Manifests that do not parse: scan_id, path, reason."""
     kind = manifest_kind(F.col("path"))
-    is_json = kind.isin("npm_manifest", "npm_lock", "pipfile_lock")
-    return files.filter(is_json & F.try_parse_json("content").isNull()).select("scan_id", "path", F.lit("no JSON").alias("reason"))
+    broken = F.from_xml("content", "_broken string", {"columnNameOfCorruptRecord": "_broken"})["_broken"].isNotNull()
+    reason = (
+        F.when(F.col("content").isNull(), "no text")
+        .when(kind.isin(list(_SECTIONS)) & F.try_parse_json("content").isNull(), "no JSON")
+        .when((kind == "maven_pom") & broken, "no XML")
+    )
+    return files.filter(kind != "unsupported").select("scan_id", "path", reason.alias("reason")).filter("reason is not null")
+
+
+def odd_sections(files: DataFrame) -> DataFrame:
+    """Manifests whose JSON has another shape than their kind: scan_id, path, place (null: the document)."""
+    kind, doc = manifest_kind(F.col("path")), F.try_parse_json("content")
+
+    def odd(place: str) -> Column:
+        there = F.try_variant_get(doc, place, "variant")
+        return there.isNotNull() & ~F.is_variant_null(there) & _object(there).isNull()
+
+    places = F.array_compact(F.array(*(F.when((kind == k) & odd(f"$.{name}"), name) for k, names in _SECTIONS.items() for name in names)))
+    whole = F.when(_object(doc).isNull(), F.array(F.lit(None).cast("string"))).otherwise(places)
+    rows = files.filter(kind.isin(list(_SECTIONS)) & doc.isNotNull())
+    return rows.select("scan_id", "path", F.explode(whole).alias("place"))
+
+
+def odd_entries(files: DataFrame) -> DataFrame:
+    """Entries of lock files that are no objects and so name no version: scan_id, path, place."""
+    kind = manifest_kind(F.col("path"))
+    locks, pipfiles = files.filter(kind == "npm_lock"), files.filter(kind == "pipfile_lock")
+    rows = lock_entries(locks).select("scan_id", "path", "place", "info").unionByName(pipfile_entries(pipfiles).select("scan_id", "path", "place", "info"))
+    return rows.filter(~_is_object(F.col("info"))).drop("info")
+
+
+def manifest_faults(files: DataFrame) -> DataFrame:
+    """What gives no packages: scan_id, path, place (null for the whole file), reason."""
+    whole = unreadable_manifests(files).withColumn("place", F.lit(None).cast("string"))
+    odd = odd_sections(files).unionByName(odd_entries(files)).withColumn("reason", F.lit("no object"))
+    return whole.unionByName(odd).select("scan_id", "path", "place", "reason")

@@ -55,7 +55,40 @@ def test_broken_lock_files_do_not_hide_the_others(spark):
     assert {(r.path, r.name) for r in found if r.path == "/b/package-lock.json"} == {("/b/package-lock.json", "y")}
     assert sum(r.path == "/d/package-lock.json" for r in found) == 401
     assert {r.path for r in manifests.unreadable_manifests(files).collect()} == {"/a/package-lock.json", "/e/package.json"}
-    assert manifests._tree_packages(json.dumps({"dependencies": None})) == []
+    assert sum(r.path == "/d/package-lock.json" and r.is_transitive for r in found) == 400
+    nothing = spark.createDataFrame([("s", "/n/package-lock.json", json.dumps({"dependencies": None}))], FILES)
+    assert manifests.npm_lock(nothing).count() == 0
+
+
+def test_an_odd_entry_costs_that_entry_only(spark):
+    rows = [
+        ("s", "/a/package-lock.json", '{"lockfileVersion":3,"packages":{"":{},"node_modules/good":{"version":"1"},"node_modules/bad":"str","node_modules/none":null}}'),
+        ("s", "/b/package-lock.json", '{"dependencies":{"x":{"version":"1","dependencies":{"y":7,"z":{"dev":true}}}}}'),
+        ("s", "/c/Pipfile.lock", '{"default":{"A":{"version":"==1.2"},"b":"*"},"develop":{"t":{}}}'), ("s", "/d/Pipfile.lock", '{"default":[1],"develop":{"u":{}}}'),
+        ("s", "/e/pom.xml", "<project><dependencies>"), ("s", "/f/package.json", '{"dependencies":"x"}'), ("s", "/g/package.json", None), ("s", "/h/Pipfile.lock", "[]"),
+        ("s", "/i/package.json", '{"dependencies":null}'), ("s", "/j/pom.xml", "<project/>"), ("s", "/k/readme.md", None),
+    ]
+    files = spark.createDataFrame(rows, FILES)
+    found = manifests.dependencies(files).collect()
+    assert {(r.path[1], r.name, r.version, r.is_dev, r.is_transitive) for r in found} == {
+        ("a", "good", "1", False, False), ("b", "x", "1", False, False), ("b", "z", "0.0.0", True, True),
+        ("c", "a", "1.2", False, False), ("c", "t", "0.0.0", True, False), ("d", "u", "0.0.0", True, False),
+    }
+    assert {(r.path[1], r.place, r.reason) for r in manifests.manifest_faults(files).collect()} == {
+        ("a", "node_modules/bad", "no object"), ("a", "node_modules/none", "no object"), ("b", "x/y", "no object"), ("c", "default/b", "no object"),
+        ("d", "default", "no object"), ("e", None, "no XML"), ("f", "dependencies", "no object"), ("g", None, "no text"), ("h", None, "no object"),
+    }
+
+
+def test_manifests_of_skipped_folders_are_not_read(spark):
+    rows = [("s", f"{folder}/package.json", '{"dependencies":{"a":"1"}}') for folder in ("/srv/x", "/srv/node_modules/y", "/srv/dist")]
+    assert [r.path for r in manifests.dependencies(spark.createDataFrame(rows, FILES)).collect()] == ["/srv/x/package.json"]
+
+
+def test_lock_plans_have_no_python(spark):
+    files = spark.createDataFrame([("s", "/b/package-lock.json", '{"dependencies":{"x":{}}}')], FILES)
+    plan = manifests.npm_lock(files)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "Python" not in plan
 
 
 def test_included_requirements_are_read(spark):
