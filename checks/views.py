@@ -322,3 +322,33 @@ SELECT scan_id, status, created_at, CAST(length(target) % 5 AS INT) AS critical_
        CAST(length(scan_id) AS INT) AS medium_count, CAST(length(scan_type) AS INT) AS low_count
 FROM v_scans
 """
+
+# One scan for each source; its number says which type it is.
+VIEWS["v_scan_types"] = """
+SELECT scan_id, CASE CAST(substr(scan_id, 4) AS INT) % 10 WHEN 0 THEN 'secrets' WHEN 1 THEN 'misconfig' WHEN 2 THEN 'dependencies' WHEN 3 THEN 'drift'
+       WHEN 4 THEN 'sast' WHEN 5 THEN 'git-history' WHEN 6 THEN 'everything' ELSE 'full' END AS scan_type
+FROM (SELECT DISTINCT source AS scan_id FROM documents) AS s
+"""
+
+VIEWS["v_scan_manifests"] = """
+SELECT 'src' || CAST(p_partkey % 20 AS STRING) AS scan_id, p_partkey AS id,
+       '/srv/src' || CAST(p_partkey % 20 AS STRING) || CASE WHEN p_size % 4 = 0 THEN '/node_modules/m' ELSE '/m' END || CAST(p_partkey AS STRING)
+         || CASE WHEN p_size % 5 = 0 THEN '/package.json' ELSE '/requirements.txt' END AS path,
+       CASE WHEN p_size % 10 = 0 THEN '{"dependencies":' WHEN p_size % 5 = 0 THEN '{"dependencies":{"package' || CAST(p_partkey AS STRING) || '":"0.1"}}'
+            ELSE 'package' || CAST(p_partkey AS STRING) || '==0.1' || chr(10) || 'unaffected==0.1' END AS content
+FROM part
+"""
+
+VIEWS["v_scan_reports"] = """
+SELECT source AS scan_id, doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'bandit' WHEN 1 THEN 'other' ELSE 'semgrep' END AS tool,
+       CASE WHEN doc_id % 12 = 2 THEN '{"results":[{' WHEN doc_id % 12 = 6 THEN '{"errors":[]}'
+            ELSE '{"results":[{"check_id":"C' || CAST(doc_id % 7 AS STRING) || '","path":"a' || CAST(doc_id AS STRING) || '.py","start":{"line":'
+              || CAST(doc_id % 90 AS STRING) || '},"extra":{"message":"m","severity":"ERROR"}},{"test_id":"B' || CAST(doc_id % 7 AS STRING) || '","filename":"b'
+              || CAST(doc_id AS STRING) || '.py","line_number":' || CAST(doc_id % 80 AS STRING) || ',"issue_severity":"HIGH"}]}' END AS document
+FROM documents
+"""
+
+VIEWS["v_scan_dockerfiles"] = """
+SELECT 'src' || CAST(c_custkey % 20 AS STRING) AS scan_id, c_custkey AS id, '/srv/c' || CAST(c_custkey AS STRING) || '/Dockerfile' AS path, content
+FROM v_dockerfiles JOIN customer ON c_custkey = id
+"""
