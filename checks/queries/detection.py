@@ -11,6 +11,7 @@ from palisade.plans import scan as plan
 from palisade.sources import rules as rule_source
 from palisade.session import new_path
 from palisade.sources.gitlog import latest_commits, read_git_lines, write_git_dumps
+from palisade.sources.large import read_chunks
 
 c = F.col
 KEYWORDS = "|".join(BANKING_WORDS)
@@ -255,6 +256,29 @@ def all_detectors(t: Inputs):
     return found.groupBy("scan_id", "category").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH sized AS (SELECT source, doc_id // 500 AS bucket, doc_id, text, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT *, sum(n) OVER (PARTITION BY source, bucket ORDER BY doc_id) - n AS above FROM sized),
+l AS (SELECT source, bucket, unnest(string_split(text, chr(10))) AS line, above + unnest(range(1, 1 + n)) AS line_number FROM placed),
+hits AS (SELECT *, 'misconfig' AS category, 'DEMO-TOKEN' AS rule_id, unnest(regexp_extract_all(line, '(?i){DEMO_RULES[0]["pattern"]}')) AS found FROM l
+ UNION ALL SELECT *, 'misconfig', 'DEMO-IP', unnest(regexp_extract_all(line, '(?i){DEMO_RULES[2]["pattern"]}')) FROM l
+ UNION ALL SELECT *, 'misconfig', 'DEMO-LICENSE', unnest(regexp_extract_all(line, '(?i){DEMO_RULES[3]["pattern"]}')) FROM l
+ UNION ALL SELECT *, 'secret', 'SECRET-HEX-TOKEN', regexp_extract(line, '(?i)token\\s*=\\s*["''][0-9a-f]{{40}}["'']') FROM l
+ UNION ALL SELECT *, 'secret', 'SECRET-CARD-NUMBER', regexp_extract(line, '\\b[0-9]{{13,19}}\\b') FROM l)
+SELECT source, bucket::INT AS bucket, category, rule_id, line_number::INT AS line_number,
+  CASE category WHEN 'secret' THEN left(found, 4) || repeat('*', length(found) - 8) || right(found, 4) ELSE left(found, 200) END AS evidence FROM hits WHERE found <> ''""")
+def large_file_scan(t: Inputs):
+    """Texts joined into large files, read back as chunks of lines that are far smaller than a file."""
+    path = new_path(t.spark)
+    bucket = F.floor(c("doc_id") / 500).alias("bucket")
+    texts = t.documents.filter("text is not null").select("source", bucket, "doc_id", "text")
+    texts.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id").drop("doc_id").write.partitionBy("source", "bucket").text(path)
+    chunks = read_chunks(t.spark, path, above=0, chunk_bytes=50_000, margin=5)
+    rules = demo_rules(t).filter("rule_id in ('DEMO-TOKEN', 'DEMO-IP', 'DEMO-LICENSE')")
+    found = detect.scan_chunks(chunks, rules, rule_source.builtin_secret_patterns(t.spark))
+    of = lambda name: F.regexp_extract("file_path", f"/{name}=([^/]*)/", 1)
+    return found.select(of("source").alias("source"), of("bucket").cast("int").alias("bucket"), "category", "rule_id", "line_number", "evidence")
+
+
 def stored_corpus(t: Inputs):
     """Files to stored findings with the demo rules: scan, score, deduplicate, map."""
     raw = detect.rule_scan(t.busy.v_files, demo_rules(t))

@@ -6,7 +6,7 @@ for all of them and nothing is shuffled.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from palisade.functions import config_type, glob_match, has_excluded_dir, is_config_file, mask_secret, shannon_entropy
 from palisade.functions.base import any_of
 from palisade.operators.common import DETECTORS, finding, java_pattern, literal_table, source_lines, usable_rows
+from palisade.operators.literals import matches_in_text, required_texts
 from palisade.operators.scoring import BANKING_WORDS, holds_any
 from palisade.schemas import SECRET_PATTERN
 from palisade.session import cut_lineage
@@ -28,8 +29,6 @@ MATCH = "struct<entry:int,match_no:bigint,line_number:int,evidence:string,detail
 ENTRY = """detector string, rule_id string, title string, description string, severity string,
        category string, remediation string, references array<string>, tags array<string>,
        kind string, check_type string"""
-# Look-around, atomic groups, possessive repeats, ends of the text, conditions on earlier matches.
-OUTSIDE = re.compile(r"\(\?(?:[=!>]|<[=!])|[*+?}]\+|\\[AZzGbB]")
 
 
 def _match(entry: int, line: Column, evidence: Column, match_no=None, detail=None) -> Column:
@@ -92,37 +91,46 @@ def rule_matches(rule, entry: int) -> Column:
     return _where(glob_match(F.col("path"), rule["file_types"]) & content.rlike(pattern), rows)
 
 
-def in_text(content: Column, pattern: str) -> Column:
-    """False only if the pattern matches in no line of the text.
-
-    What matches within a line also matches within the text, unless the pattern sees what lies outside of its match
-    or keeps what it has taken; such a pattern says nothing about the text.
-    """
-    return F.lit(True) if OUTSIDE.search(pattern) else content.rlike(java_pattern(pattern))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def secret_matches(patterns: list, first_entry: int, min_entropy: float | None) -> Column:
-    """First match of every pattern in every line, masked."""
+    """First match of every pattern in every line, masked.
+
+    A pattern is tried on the lines of a text only if the text holds one of the pattern's required texts or, if it has
+    none, matches as a whole; a pattern of which neither is proven is always tried.
+    """
     content = F.col("content")
-    candidates = F.filter(
-        F.transform(F.split(content, "\n"), lambda text, i: F.struct(text.alias("text"), (i + 1).alias("n"))),
-        lambda line: any_of([line["text"].rlike(java_pattern(p["pattern"])) for p in patterns]),
-    )
 
-    def hits(line: Column) -> Column:
+    def may_match(lower: Column, pattern: str) -> Column:
+        texts = required_texts(pattern)
+        if texts:
+            return any_of([lower.contains(x) for x in texts])
+        return content.rlike(pattern) if matches_in_text(pattern) else F.lit(True)
+
+    def tried(lower: Column) -> Column:
+        return F.array(*[may_match(lower, java_pattern(p["pattern"])) for p in patterns])
+
+    def hits(line: Column, possible: Column) -> Column:
         found = []
         for no, p in enumerate(patterns):
             pattern = java_pattern(p["pattern"])
             value = F.regexp_extract(line["text"], pattern, 0)
-            counts = line["text"].rlike(pattern)
+            counts = F.get(possible, F.lit(no)) & line["text"].rlike(pattern)
             if min_entropy is not None:
                 counts = counts & (shannon_entropy(value) >= min_entropy)
             order = line["n"].cast("bigint") * F.lit(1 << 16) + no
             found.append(F.when(counts, _match(first_entry + no, line["n"], mask_secret(value), order)))
         return F.array_compact(F.array(*found))
 
-    rows = F.flatten(F.transform(candidates, hits))
-    return _where(any_of([in_text(content, p["pattern"]) for p in patterns]), rows)
+    def rows(possible: Column) -> Column:
+        lines = F.transform(F.split(content, "\n"), lambda text, i: F.struct(text.alias("text"), (i + 1).alias("n")))
+        some = lambda line: any_of([F.get(possible, F.lit(no)) & line["text"].rlike(java_pattern(p["pattern"])) for no, p in enumerate(patterns)])
+        return _where(F.exists(possible, lambda x: x), F.flatten(F.transform(F.filter(lines, some), lambda line: hits(line, possible))))
+
+    return _bound(_bound(F.lower(content), tried), rows)
 
 
 def drift_match(check, entry: int) -> Column:
@@ -206,6 +214,7 @@ class Entries:
 
     rows: list[dict]
     n_rules: int
+    n_patterns: int
 
 
 def matched_files(
@@ -255,7 +264,7 @@ def matched_files(
         .select("*", F.when(many, F.transform("_lines", _holds_word)).alias("_words"))
         .select("scan_id", "path", _context_flags(len(rule_rows)).alias("_matches"), *also)
     )
-    return rows, Entries(entries, len(rule_rows))
+    return rows, Entries(entries, len(rule_rows), len(pattern_rows))
 
 
 def scan_files(
@@ -281,6 +290,56 @@ def scan_files(
     return findings_of(matched, entries, files if keep_context_text else None)
 
 
+def matched_chunks(
+    chunks: DataFrame,
+    rules: DataFrame | None = None,
+    patterns: DataFrame | None = None,
+    checks: DataFrame | None = None,
+    min_entropy: float | None = None,
+    only_config: bool = False,
+    routes: dict[str, list[str]] | None = None,
+) -> tuple[DataFrame, Entries]:
+    """As `matched_files`, for files that come as chunks of lines (`sources.large`), with the files' line numbers.
+
+    A match counts in the chunk in which its first line is an own one. What a check wants must be missing in every
+    chunk, and what it forbids counts at its first place in the file. As whole files give them, as long as a match and
+    what it looks at lie within the chunk's margins.
+    """
+    place = {n: F.col(n) for n in ("first_line", "n_lead", "n_lines")}
+    matched, entries = matched_files(chunks, rules, patterns, checks, min_entropy, only_config, routes, place)
+    matched = cut_lineage(matched)
+    n_texts = entries.n_rules + entries.n_patterns
+    each = matched.select("scan_id", "path", *place, F.inline("_matches"))
+    line = F.col("line_number").cast("bigint") - F.col("n_lead") + F.col("first_line") - 1
+    fields = ["entry", "match_no", "line_number", "evidence", "detail", "context_keyword"]
+    own = each.filter((F.col("entry") < n_texts) & (F.col("line_number") > F.col("n_lead")) & (F.col("line_number") <= F.col("n_lead") + F.col("n_lines")))
+    secret = F.col("entry") >= entries.n_rules
+    # rules report match by match, secrets line by line and pattern by pattern
+    number = F.when(secret, line * F.lit(1 << 16) + F.col("entry") - entries.n_rules).otherwise(line)
+    own = own.withColumns({"match_no": number, "line_number": line.cast("int")})
+    n_chunks = matched.groupBy(F.col("scan_id").alias("_scan"), F.col("path").alias("_path")).agg(F.count("*").alias("_chunks"))
+    judged = each.filter(F.col("entry") >= n_texts).withColumn("line_number", F.when(F.col("line_number") == 0, 0).otherwise(line).cast("int"))
+    first = F.min(F.struct("line_number", "evidence", "detail", "match_no", "context_keyword"))
+    drift = judged.groupBy("scan_id", "path", "entry").agg(first.alias("_first"), F.count("*").alias("_n"))
+    drift = drift.join(n_chunks, F.col("scan_id").eqNullSafe(F.col("_scan")) & F.col("path").eqNullSafe(F.col("_path")))
+    drift = drift.filter((F.col("_first.line_number") > 0) | (F.col("_n") == F.col("_chunks"))).select("scan_id", "path", "entry", "_first.*")
+    rows = own.select("scan_id", "path", *fields).unionByName(drift.select("scan_id", "path", *fields))
+    return rows.select("scan_id", "path", F.array(F.struct(*fields)).alias("_matches")), entries
+
+
+def scan_chunks(
+    chunks: DataFrame,
+    rules: DataFrame | None = None,
+    patterns: DataFrame | None = None,
+    checks: DataFrame | None = None,
+    min_entropy: float | None = None,
+    only_config: bool = False,
+    routes: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """Findings in files of any size, read as chunks."""
+    return findings_of(*matched_chunks(chunks, rules, patterns, checks, min_entropy, only_config, routes))
+
+
 def findings_of(matched: DataFrame, entries: Entries, context_from: DataFrame | None = None) -> DataFrame:
     """Findings of `matched_files`; with the files, the text around the matches of rules."""
     rows = matched.select("scan_id", "path", F.inline("_matches")).withColumn(

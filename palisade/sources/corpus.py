@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import has_excluded_dir, is_uploadable
 
-# The largest file that fits into a row; larger ones are listed by `oversized_files`.
+# The largest file that fits into a row; larger ones are read by `large.read_chunks`.
 MAX_BYTES = 2**31 - 1024
 
 
@@ -21,7 +21,7 @@ def read_corpus(spark: SparkSession, root: str, scan_id: str | None = None, glob
 
     Without `scan_id` the first folder below the root names the scan. `glob` is applied while
     listing, so that files it leaves out are never opened. Bytes that are no UTF-8 are replaced.
-    Files above MAX_BYTES are left out and listed by `oversized_files`.
+    Files above MAX_BYTES are left out: `large.read_chunks` reads them, `oversized_files` lists them.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -38,14 +38,19 @@ def oversized_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES)
     return files.filter(F.col("length") > max_bytes).select("path", F.col("length").alias("size_bytes"))
 
 
-def corpus_rows(files: DataFrame, root: str, scan_id: str | None = None) -> DataFrame:
-    """Shape binaryFile rows (batch or stream) as corpus rows."""
+def placed_path(file: Column, root: str, scan_id: str | None = None) -> tuple[Column, Column, Column]:
+    """Scan, path and path below `root` of a file; without `scan_id` the first folder names the scan."""
     base = root.rstrip("/") + "/"
-    plain = F.regexp_replace("path", "^file:/+", "/")
+    plain = F.regexp_replace(file, "^file:/+", "/")
     relative = F.substr(plain, F.instr(plain, base) + len(base))
-    first = F.substring_index(relative, "/", 1)
+    return (F.lit(scan_id) if scan_id else F.substring_index(relative, "/", 1)), plain, relative
+
+
+def corpus_rows(files: DataFrame, root: str, scan_id: str | None = None) -> DataFrame:
+    """Shape binaryFile rows (batch or stream) as corpus rows."""
+    scan, plain, relative = placed_path(F.col("path"), root, scan_id)
     return files.select(
-        (F.lit(scan_id) if scan_id else first).alias("scan_id"),
+        scan.alias("scan_id"),
         plain.alias("path"),
         relative.alias("relative_path"),
         repaired_text(F.col("content")).alias("content"),

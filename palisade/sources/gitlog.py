@@ -37,9 +37,10 @@ def read_git_lines(spark: SparkSession, path: str) -> DataFrame:
     file = F.col("_metadata.file_path")
     folder = F.regexp_extract(file, "/repo=([^/]+)/[^/]*$", 1)
     name = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
     # names in a path are encoded, and those of folders once more by the writer
     return raw.select(
-        F.when(folder == "", F.url_decode(name)).otherwise(F.url_decode(F.url_decode(folder))).alias("repo"),
+        F.when(folder == "", plain(name)).otherwise(plain(plain(folder))).alias("repo"),
         file.alias("part"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),

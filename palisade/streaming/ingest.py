@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from palisade.operators.findings import bucket_counts
 from palisade.plans.scan import stored_findings
 from palisade.session import remove, written
-from palisade.sources.corpus import corpus_rows
+from palisade.sources.corpus import MAX_BYTES, corpus_rows
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -60,6 +60,7 @@ def incremental_ingest(
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(root)
+        .filter(F.col("length") <= MAX_BYTES)  # larger ones: sources.large
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -74,7 +74,7 @@ def test_one_commit_is_read_by_several_tasks(spark, tmp_path):
 
 def test_dumps_in_parts(spark, tmp_path):
     """Written by many tasks, read back as one dump per repository; odd names come back."""
-    names = ["a b/ü%2F", "007", "x=y"]
+    names = ["a b/ü%2F", "007", "x=y+z"]
     rows = [(names[i % 3], i, f"h{i}|s{i}|a|d|m\ndiff --git a/f b/f\n@@ -0,0 +{i} @@\n+line {i}") for i in range(300)]
     path = str(tmp_path / "dumps")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
