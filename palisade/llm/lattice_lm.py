@@ -23,17 +23,19 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from math import log, log10, log1p
+from math import log, log10
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import ASCII_LOWER, cuts, pack, stored, unpack
-from palisade.llm.exchange import answered, asked, bucket_count, chunked, rejoined
+from palisade.llm.common import ASCII_LOWER, cuts, pack, slices, stored, unpack, utf8
+from palisade.llm.exchange import ASKED, CHUNKS, answered, bucket_count
+from palisade.llm.exchange import questions as packed
 from palisade.llm.token_counts import SPACE, processor
 
 LN10 = log(10)
@@ -43,25 +45,92 @@ WIDE = 48
 FIRST_CLASS = 64
 
 
-def _class_words(text: bytes, anchors: dict[bytes, int]) -> tuple[int, dict[bytes, int]]:
-    """Class of a text (the place of the anchor that it has most often, from 1; 0 without one), and its words with
-    their class in front, counted in the order of their first place."""
-    words = Counter(text.translate(ASCII_LOWER).split())
-    _, _, kind = min(((-words[a], k, k + 1) for a, k in anchors.items() if a in words), default=(0, 0, 0))
-    mark = bytes([FIRST_CLASS + kind])
-    return kind, {mark + word: n for word, n in words.items()}
-
-
-def _shared(texts: list[bytes], train: list[bool], anchors: dict[bytes, int]) -> dict[bytes, int]:
-    """Distinct words by class, with their count in the training texts; the word without letters is the end."""
-    counts: dict[bytes, int] = {}
-    for text, learns in zip(texts, train, strict=True):
-        kind, words = _class_words(text, anchors)
-        for word, n in words.items():
-            counts[word] = counts.get(word, 0) + n * learns
-        end = bytes([FIRST_CLASS + kind])
-        counts[end] = counts.get(end, 0) + learns
-    return counts
+class Counted(NamedTuple):
+    """The words of a chunk's texts, each text split and counted once: word `at[k]` of `words` comes `n[k]` times in text
+    `doc[k]`, in the order of first places."""
+
+    ids: list[int | None]
+    train: np.ndarray
+    words: list[bytes]
+    doc: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+
+
+COUNTED = pa.schema([("id", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("words", pa.large_binary()), ("size", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+
+
+def _counted_blob(ids: list, train: list[bool], texts: list[bytes]) -> bytes:
+    place: dict[bytes, int] = {}
+    sizes, at, n = [], [], []
+    for text in texts:
+        words = Counter(text.translate(ASCII_LOWER).split())
+        sizes.append(len(words))
+        at += [place.setdefault(w, len(place)) for w in words]
+        n += words.values()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, COUNTED) as writer:
+        writer.write_batch(pa.record_batch([[ids], [train], [b" ".join(place)], [sizes], [np.array(at, np.int32)], [np.array(n, np.int32)]], schema=COUNTED))
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+
+
+def _opened(blob: bytes) -> Counted:
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as reader:
+        row = reader.read_all()
+    of = lambda name: row[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = of("size")
+    words = row["words"][0].as_py()
+    return Counted(row["id"][0].as_py(), of("train"), words.split(b" ") if words else [], np.repeat(np.arange(len(sizes)), sizes), of("at").astype(np.int64), of("n").astype(np.int64))
+
+
+def counted(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Stored rows (chunk, words, blob) of `docs` (i, t, train): about `chunk_bytes` of text in each, a longer text has a
+    chunk of its own. Nothing is shuffled."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held, size = TaskContext.get().partitionId(), 0, ([], [], []), 0
+
+        def out() -> pa.RecordBatch:
+            words = sum(len(t) // 6 + 1 for t in held[2])
+            return pa.record_batch([[f"{part}-{n}"], [words], pa.array([_counted_blob(*held)], pa.binary())], ["chunk", "words", "blob"])
+
+        for batch in slices(batches, "t", chunk_bytes):
+            texts = utf8(batch.column("t"))
+            here = sum(map(len, texts))
+            if held[0] and size + here > chunk_bytes:
+                yield out()
+                n, held, size = n + 1, ([], [], []), 0
+            for old, new in zip(held, (batch.column("i").to_pylist(), batch.column("train").to_pylist(), texts), strict=True):
+                old += new
+            size += here
+        if held[0]:
+            yield out()
+
+    return stored(docs.select("i", "t", "train").mapInArrow(make, CHUNKS))
+
+
+def _classes(c: Counted, anchors: dict[bytes, int]) -> np.ndarray:
+    """Class of each text: the place of the anchor that it has most often, from 1; 0 without one."""
+    kind, rank = np.zeros(len(c.ids), np.int64), np.full(len(c.words), -1)
+    for k, word in enumerate(c.words):
+        rank[k] = anchors.get(word, -1)
+    has = np.flatnonzero(rank[c.at] >= 0)
+    order = has[np.lexsort((rank[c.at[has]], -c.n[has], c.doc[has]))]
+    docs, first = np.unique(c.doc[order], return_index=True)
+    kind[docs] = rank[c.at[order[first]]] + 1
+    return kind
+
+
+def _shared(c: Counted, kind: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words by class (the class in front), the ends of the classes behind them (no letters); which of them
+    each entry is; their count in the training texts."""
+    pairs, which = np.unique(kind[c.doc] * len(c.words) + c.at, return_inverse=True)
+    marks = [bytes([FIRST_CLASS + k]) for k in range(kind.max(initial=0) + 1)]
+    classes, words = np.divmod(pairs, max(len(c.words), 1))
+    names = [marks[k] + c.words[w] for k, w in zip(classes.tolist(), words.tolist(), strict=True)]
+    taught = np.bincount(which, c.n * c.train[c.doc], len(pairs)).astype(np.int64)
+    ends, of = np.unique(kind, return_inverse=True)
+    return names + [marks[k] for k in ends], which, np.concatenate([taught, np.bincount(of, c.train, len(ends)).astype(np.int64)])
 
 
 def _by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +140,7 @@ def _by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray
     return order, bucket[order]
 
 
-def _questions(counts: dict[bytes, int], buckets: int) -> Iterator[tuple[int, bytes]]:
-    words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+def _questions(words: list[bytes], n: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     order, bucket = _by_bucket(words, buckets)
     for b, here in cuts(bucket):
         a = zstandard.ZstdCompressor(level=1).compress(b" ".join(words[i] for i in order[here]))
@@ -258,6 +326,9 @@ def word_scores(model: Learned, path: str, words: list[bytes], counts: np.ndarra
     return out
 
 
+SCORED = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
 def score_documents(docs: DataFrame, path: str, train: Column, doc_id: str = "doc_id", text: str = "text", smooth: float = 0.5, anchors: int = 32, backing: float = 300.0, discount: float = 0.75, chunk_bytes: int = 8 << 20, bucket_words: int = 2 << 20) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of every text.
 
@@ -271,15 +342,19 @@ def score_documents(docs: DataFrame, path: str, train: Column, doc_id: str = "do
     if not 0 <= anchors <= 100:
         raise ValueError("a class must fit into one byte")
     learns = F.coalesce(train, F.lit(False))
-    # chunks hold an integer beside each text: the mark travels in its lowest bit, the id is looked up by row number
     kind = docs.schema[doc_id].dataType.simpleString()
-    keyed = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"), learns.alias("train"))
-    with_null = keyed.select((F.coalesce("i", F.lit(0)) * 4 + F.col("i").isNull().cast("int") * 2 + F.col("train").cast("int")).alias("i"), "t")
-    chunks = chunked(with_null, "i", "t", chunk_bytes)
+    chunks = counted(docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"), learns.alias("train")), chunk_bytes)
     buckets = bucket_count(chunks, bucket_words)
 
     def ask(places: dict[bytes, int]) -> DataFrame:
-        return asked(chunks, lambda ids, texts: _questions(_shared(texts, [i & 1 == 1 for i in ids], places), buckets))
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                    c = _opened(blob)
+                    words_, _, taught = _shared(c, _classes(c, places))
+                    yield packed(name, _questions(words_, taught, buckets))
+
+        return chunks.select("chunk", "blob").mapInArrow(make, ASKED)
 
     places = common_words(ask({}), anchors)
     questions = stored(ask(places))
@@ -306,29 +381,27 @@ def score_documents(docs: DataFrame, path: str, train: Column, doc_id: str = "do
             out.append(len(a).to_bytes(8, "little") + a + pack(np.fromiter((score.get(w, 0.0) for w in asked_words), np.float64, len(asked_words))))
         return out
 
-    def score(chunk: str, ids: list, texts: list, found: list[dict[int, bytes]]) -> pa.Table:
-        shared = list(_shared(texts, [False] * len(texts), places))
+    def score(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return SCORED.empty_table()
+        c = _opened(table["blob"][0].as_py())
+        k = _classes(c, places)
+        shared, which, _ = _shared(c, k)
+        found = dict(zip(replies["bucket"].to_pylist(), replies["blob"].to_pylist(), strict=True))
         order, bucket = _by_bucket(shared, buckets)
         count, weight = np.empty(len(shared), np.int64), np.empty(len(shared))
         for b, here in cuts(bucket):
-            size = int.from_bytes(found[0][b][:8], "little")
-            count[order[here]] = unpack(found[0][b][8 : 8 + size], "i8")
-            weight[order[here]] = unpack(found[0][b][8 + size :], "f8")
+            size = int.from_bytes(found[b][:8], "little")
+            count[order[here]] = unpack(found[b][8 : 8 + size], "i8")
+            weight[order[here]] = unpack(found[b][8 + size :], "f8")
         base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-        place = dict(zip(shared, range(len(shared)), strict=True))
-        rows = []
-        for text in texts:
-            k, words_ = _class_words(text, places)
-            at = np.fromiter(map(place.__getitem__, words_), np.int64, len(words_))
-            often = np.fromiter(words_.values(), np.int64, len(words_))
-            long = int(often.sum())
-            whole = share[k] + long * log1p(-stops[k]) + log(stops[k]) + (often * weight[at]).sum()
-            rows.append((long + 1, int(often[count[at] > 0].sum()) + bool(ends), (often * base[at]).sum() + log10((ends + 0.5) / (n + 0.5 * (v + 1))), whole / LN10))
-        columns = list(zip(*rows, strict=True))
-        null = [None if i & 2 else i >> 2 for i in ids]
-        arrays = [pa.array(null, pa.int64()), pa.array([i & 1 == 1 for i in ids]), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())]
-        return pa.table(arrays, ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
-
-    answers = answered(questions, answer).withColumn("kind", F.lit(0))
-    out = rejoined(chunks, answers, score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+        summed = lambda x: np.bincount(c.doc, c.n * x, len(c.ids))
+        long = summed(1.0)
+        whole = share[k] + long * np.log1p(-stops[k]) + np.log(stops[k]) + summed(weight[which])
+        known = summed(count[which] > 0) + bool(ends)
+        plain = summed(base[which]) + log10((ends + 0.5) / (n + 0.5 * (v + 1)))
+        return pa.table([pa.array(c.ids, pa.int64()), pa.array(c.train), pa.array(long.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(whole / LN10)], schema=SCORED)
+
+    answers = answered(questions, answer)
+    out = chunks.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
