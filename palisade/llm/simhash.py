@@ -295,7 +295,9 @@ def linked_in_shards(shards: DataFrame, texts: DataFrame, width: int, similarity
         candidates = met.df.filter("whole <> hub_whole").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         links = links.unionByName(stored(_verified(candidates, texts, width, similarity)))
         linked = stored(components(links))
-        now = met.df.select("shard", "id").join(linked, F.col("id") == F.col("node"), "left").select("shard", "id", F.coalesce("component", "id").alias("whole"))
+        # an id meets its component once, not in each of its shards (at most one for each band)
+        own = met.df.groupBy("id").agg(F.collect_list("shard").alias("shards"))
+        now = own.join(linked, F.col("id") == F.col("node"), "left").select(F.explode("shards").alias("shard"), "id", F.coalesce("component", "id").alias("whole"))
         open_shards = now.groupBy(F.col("shard").alias("s")).agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low < high").select("s")
         live.drop()
         live = Stored(now.join(open_shards, F.col("shard") == F.col("s")).select("shard", "id", "whole"))
