@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions import coordinate, cvss_to_severity, cvss_vector_estimate, dep_key, package_key, version_key
@@ -120,32 +121,89 @@ def _keyed(deps: DataFrame) -> DataFrame:
     return deps.withColumn("_package", package_key(F.col("ecosystem"), F.col("name"), _optional(deps, "group_id")))
 
 
+FIRST, LAST = "", "\uffff"  # before and behind all version keys
+BEFORE, AT, BEHIND = 0, 1, 2  # an end of a span lies before or behind the versions that are equal to it
+
+
+def _ends(spans: DataFrame) -> DataFrame:
+    """Two rows for each span: ecosystem, _package, _span, _key, _side, _from (whether it is the start). Spans whose ends
+    have no order are left out."""
+    fixed, last = F.col("fixed").isNotNull(), F.col("last_affected").isNotNull()
+    start = F.when(F.col("introduced") == "0", FIRST).otherwise(version_key(F.col("introduced")))
+    stop = F.when(fixed, version_key(F.col("fixed"))).when(last, version_key(F.col("last_affected"))).otherwise(LAST)
+    side = F.when(~fixed & last, BEHIND).otherwise(BEFORE)
+    rows = spans.select("ecosystem", "_package", "osv_id", start.alias("_start"), stop.alias("_stop"), side.alias("_side")).filter(
+        "_start is not null and _stop is not null"
+    )
+    ends = F.explode(F.array(
+        F.struct(F.col("_start").alias("_key"), F.lit(BEFORE).alias("_side"), F.lit(True).alias("_from")),
+        F.struct(F.col("_stop").alias("_key"), F.col("_side").alias("_side"), F.lit(False).alias("_from")),
+    ))
+    span = F.struct("osv_id", "_start", "_stop", "_side").alias("_span")
+    return rows.distinct().select("ecosystem", "_package", span, ends.alias("_end")).select("ecosystem", "_package", "_span", "_end.*")
+
+
+def _pieces(first: Column, behind: Column) -> Column:
+    """Places from `first` to before `behind` as pieces (level, block) of 2^level places each, two of a level at most."""
+
+    def step(acc: Column, level: Column) -> Column:
+        a, b = acc["a"], acc["b"]
+        odd_a, odd_b = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        piece = lambda block: F.struct(level.alias("level"), block.alias("block"))
+        found = F.array_compact(F.array(F.when(odd_a, piece(a)), F.when(odd_b, piece(b - 1))))
+        half = lambda x: F.shiftright(x, 1)
+        return F.struct(
+            half(F.when(odd_a, a + 1).otherwise(a)).alias("a"), half(F.when(odd_b, b - 1).otherwise(b)).alias("b"), F.concat(acc["found"], found).alias("found")
+        )
+
+    start = F.struct(first.alias("a"), behind.alias("b"), F.array().cast("array<struct<level:int,block:bigint>>").alias("found"))
+    levels = F.sequence(F.lit(0), F.length(F.bin(behind)))
+    return F.aggregate(levels, start, step, lambda acc: acc["found"])
+
+
+def ranged_hits(lookups: DataFrame, spans: DataFrame) -> DataFrame:
+    """Versions in spans: ecosystem, _package, version, osv_id.
+
+    Versions of a package are put in order together with the ends of its spans, so a span is a run of places. A run is
+    cut into pieces of 1, 2, 4, ... places, and a version asks for the pieces that hold its place: n versions and m
+    spans meet over equal keys in (n + m) log n rows and one for each hit, not in n x m.
+    """
+    none = F.lit(None)
+    versions = lookups.filter("_key is not null").select("ecosystem", "_package", none.cast("struct<osv_id:string,_start:string,_stop:string,_side:int>").alias("_span"), "_key", F.lit(AT).alias("_side"), none.cast("boolean").alias("_from"), "version")
+    both = versions.unionByName(_ends(spans), allowMissingColumns=True)
+    is_version = (F.col("_side") == AT).cast("int")
+    package = W.partitionBy("ecosystem", "_package")
+    placed = both.select(
+        "*", F.sum(is_version).over(package.orderBy("_key", "_side").rowsBetween(W.unboundedPreceding, 0)).alias("_seen"),
+        F.sum(is_version).over(package).alias("_versions"), F.max("_from").over(package).alias("_asked"),
+    ).filter("_asked is not null and _versions > 0")
+    runs = placed.filter("_from is not null").groupBy("ecosystem", "_package", "_span").agg(
+        F.max(F.when(F.col("_from"), F.col("_seen"))).alias("_first"), F.max(F.when(~F.col("_from"), F.col("_seen"))).alias("_behind")
+    )
+    pieces = runs.filter("_first < _behind").select("ecosystem", "_package", F.col("_span.osv_id").alias("osv_id"), F.inline(_pieces(F.col("_first"), F.col("_behind"))))
+    place = F.col("_seen") - 1
+    asked = F.transform(F.sequence(F.lit(0), F.length(F.bin("_versions"))), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place, k).alias("block")))
+    asks = placed.filter("version is not null").select("ecosystem", "_package", "version", F.inline(asked))
+    return asks.join(pieces, ["ecosystem", "_package", "level", "block"]).select(*VERSION, "osv_id")
+
+
 def advisory_hits(deps: DataFrame, ranges: DataFrame) -> DataFrame:
     """Distinct package versions that an advisory affects: ecosystem, _package, version, osv_id, match_kind.
 
     `_package` is the name as the ecosystem compares it. `match_kind` is exact or range; a version without an order
     can only match an exact list.
     """
-    lookups = _keyed(deps).select(*VERSION).distinct().withColumn("_key", version_key(F.col("version")))
-    low = F.when(F.col("introduced") != "0", version_key(F.col("introduced")))
+    lookups = _keyed(deps).select(*VERSION).distinct()
+    last = _optional(ranges, "last_affected").alias("last_affected")
     spans = ranges.select(
-        "osv_id", "ecosystem", "exact",
+        "osv_id", "ecosystem", "introduced", "fixed", last, "exact",
         package_key(F.col("ecosystem"), F.col("name"), F.lit(None).cast("string")).alias("_package"),
-        (F.col("introduced") == "0").alias("_from_start"), low.alias("_low"),
-        F.col("fixed").alias("_fixed"), version_key(F.col("fixed")).alias("_high"),
-        _optional(ranges, "last_affected").alias("_last"), version_key(_optional(ranges, "last_affected")).alias("_top"),
-    )
-    below = F.when(F.col("_fixed").isNotNull(), F.col("_key") < F.col("_high")).when(
-        F.col("_last").isNotNull(), F.col("_key") <= F.col("_top")
-    ).otherwise(F.lit(True))
-    in_range = F.col("_key").isNotNull() & (F.col("_from_start") | (F.col("_low") <= F.col("_key"))) & below
-    listed = F.coalesce(F.col("exact") == F.col("version"), F.lit(False))
-    return (
-        lookups.join(spans, ["ecosystem", "_package"])
-        .filter(listed | F.coalesce(in_range, F.lit(False)))
-        .groupBy(*VERSION, "osv_id")
-        .agg(F.when(F.bool_or(listed), "exact").otherwise("range").alias("match_kind"))
     )
+    listed = spans.filter("exact is not null").select("ecosystem", "_package", F.col("exact").alias("version"), "osv_id")
+    exact = lookups.join(listed, VERSION).select(*VERSION, "osv_id", F.lit(True).alias("_exact"))
+    ranged = ranged_hits(lookups.withColumn("_key", version_key(F.col("version"))), spans.filter("introduced is not null"))
+    hits = exact.unionByName(ranged.withColumn("_exact", F.lit(False)))
+    return hits.groupBy(*VERSION, "osv_id").agg(F.when(F.bool_or("_exact"), "exact").otherwise("range").alias("match_kind"))
 
 
 VERSION = ["ecosystem", "_package", "version"]
