@@ -352,3 +352,35 @@ VIEWS["v_scan_dockerfiles"] = """
 SELECT 'src' || CAST(c_custkey % 20 AS STRING) AS scan_id, c_custkey AS id, '/srv/c' || CAST(c_custkey AS STRING) || '/Dockerfile' AS path, content
 FROM v_dockerfiles JOIN customer ON c_custkey = id
 """
+
+# One finding per category, so that sums over all findings stay below their limits at any size.
+VIEWS["v_few_findings"] = """
+SELECT category, CASE CAST(count(*) % 5 AS INT) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END AS severity
+FROM v_findings GROUP BY category
+"""
+
+VIEWS["v_dated_audit"] = """
+SELECT audit_id, action, operator, status, justification, TIMESTAMP '2024-01-01 00:00:00' + (c_custkey % 5000) * INTERVAL '1' HOUR AS timestamp
+FROM v_audit JOIN customer ON CAST(c_custkey AS STRING) = audit_id
+"""
+
+# Lines that the shipped rules are about, and some that they are not.
+VIEWS["v_rule_lines"] = """
+SELECT 'scan' || CAST(s_nationkey AS STRING) AS scan_id, s_suppkey AS id, '/srv/r' || CAST(s_suppkey AS STRING)
+         || CASE s_suppkey % 3 WHEN 0 THEN '/settings.yml' WHEN 1 THEN '/Dockerfile' ELSE '/notes.txt' END AS path,
+       'FROM base' || CAST(s_suppkey AS STRING) || chr(10) || 'cvv = ' || CAST(100 + s_suppkey % 800 AS STRING) || chr(10) || 'cvvx = 12' || chr(10) || 'session_timeout: ' || CAST(s_suppkey * 40 AS STRING)
+         || chr(10) || 'bind_address = 0.0.0.0' || chr(10) || 'Password = "admin"' || chr(10) || 'password = other' || chr(10) || 'api-key: "abcdefgh-' || lpad(CAST(s_suppkey AS STRING), 9, '0') || '"'
+         || chr(10) || 'db_pwd = ' || chr(39) || 'p-' || CAST(s_suppkey AS STRING) || 'xx' || chr(39) || chr(10) || 'Access-Control-Allow-Origin: *' || chr(10) || 'DEBUG=on' || chr(10) || 'debug = off' AS content
+FROM supplier
+"""
+
+VIEWS["v_odd_manifests"] = """
+SELECT CAST(s_nationkey AS STRING) AS scan_id, s_suppkey AS id, '/srv/o' || CAST(s_suppkey AS STRING)
+         || CASE s_suppkey % 4 WHEN 0 THEN '/package-lock.json' WHEN 1 THEN '/Pipfile.lock' WHEN 2 THEN '/package.json' ELSE '/pom.xml' END AS path,
+       CASE s_suppkey % 4
+         WHEN 0 THEN '{"lockfileVersion":3,"packages":{"":{},"node_modules/good":{"version":"1.' || CAST(s_suppkey AS STRING) || '"},"node_modules/odd":"text"}}'
+         WHEN 1 THEN '{"default":{"good":{"version":"==2.' || CAST(s_suppkey AS STRING) || '"},"odd":"*"},"develop":[1]}'
+         WHEN 2 THEN CASE WHEN s_suppkey % 8 = 2 THEN '{"dependencies":' ELSE '["no object"]' END
+         ELSE CASE WHEN s_suppkey % 8 = 3 THEN '<project><dependencies>' ELSE '<project/>' END END AS content
+FROM supplier
+"""

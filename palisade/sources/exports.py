@@ -8,7 +8,7 @@ scan, read in name order, are that document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,12 +36,23 @@ def text_lines(scans: DataFrame, section: int, line: Column) -> DataFrame:
 
 
 def array_lines(items: DataFrame, section: int) -> DataFrame:
-    """Array elements (scan_id, sort_key unique within a scan, json), a comma before all but the first."""
-    first = items.groupBy("scan_id").agg(F.min("sort_key").alias("sort_key")).withColumn("_first", F.lit(True))
-    line = F.when(F.col("_first"), F.col("json")).otherwise(F.concat(F.lit(","), "json"))
-    return items.join(first, ["scan_id", "sort_key"], "left").select(
-        "scan_id", F.lit(section).alias("section"), "sort_key", line.alias("line")
-    )
+    """Array elements (scan_id, sort_key, json), a comma before all but the first.
+
+    Which key comes first, and how many elements have it, is found from the keys alone, one row per scan. Only
+    elements that share the first key are put in an order of their own.
+    """
+    equal = items.groupBy("scan_id", "sort_key").agg(F.count("*").alias("_n"))
+    first = equal.groupBy(F.col("scan_id").alias("_scan")).agg(F.min(F.struct("sort_key", "_n")).alias("_first"))
+    marked = items.join(first, F.col("scan_id").eqNullSafe(F.col("_scan")))
+    is_first = F.col("sort_key").eqNullSafe(F.col("_first.sort_key"))
+    comma = F.concat(F.lit(","), "json")
+    plain = marked.filter(~is_first | (F.col("_first._n") == 1)).withColumn("line", F.when(is_first, F.col("json")).otherwise(comma))
+    place = F.row_number().over(W.partitionBy("scan_id", "sort_key").orderBy("json"))
+    ties = marked.filter(is_first & (F.col("_first._n") > 1)).withColumn("_place", place)
+    # ties stay together behind the first of them: their keys go on with their place
+    ties = ties.withColumns({"line": F.when(F.col("_place") == 1, F.col("json")).otherwise(comma), "sort_key": F.concat("sort_key", F.format_string("\u0001%012d", "_place"))})
+    columns = ["scan_id", F.lit(section).alias("section"), "sort_key", "line"]
+    return plain.select(columns).unionByName(ties.select(columns))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -59,6 +70,22 @@ def write_documents(lines: DataFrame, path: str, mode: str = "overwrite") -> Non
     ordered.select("scan_id", "line").write.mode(mode).partitionBy("scan_id").text(path)
 
 
+def write_document_table(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """All documents as one table in the order of their lines: as many files as the writing has tasks, however many scans
+    there are. `read_document` opens only the files, and in them the row groups, that hold the scan."""
+    ordered = lines.repartitionByRange("scan_id", "section", "sort_key").sortWithinPartitions(
+        "scan_id", "section", "sort_key"
+    )
+    ordered.select(*LINE_COLUMNS).write.mode(mode).parquet(path)
+
+
+def read_document(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
+    """The lines of one scan's document, in order (column `line`). Write them as text for a file of any size."""
+    schema = "scan_id string, section int, sort_key string, line string"
+    found = spark.read.schema(schema).parquet(path).filter(F.col("scan_id") == scan_id)
+    return found.orderBy("section", "sort_key").select("line")
+
+
 def scan_summary(scans: DataFrame, findings: DataFrame) -> DataFrame:
     """scan_id, total, by_severity (struct of five), by_category (map)."""
     known = F.lower("severity")
@@ -264,7 +291,9 @@ def export_report_payload(
     counts = findings.groupBy("scan_id").agg(
         F.count("*").alias("total_findings"), *[F.count_if(F.col("severity") == s).alias(s) for s in levels]
     )
-    shown = ["title", "severity", "category", "file_path", "line_number", "evidence"]
+    shown = ["title", "severity", "category", "file_path", "line_number", "evidence", "remediation"]
+    if "remediation" not in top.columns:
+        top = top.withColumn("remediation", F.lit(""))
     best = top.groupBy("scan_id").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("place", *shown))),

@@ -9,9 +9,25 @@ from pyspark.sql import functions as F
 from palisade import schemas
 
 
-def read_advisories(spark: SparkSession, path: str) -> DataFrame:
-    """Advisory dump: one JSON document per line, or one per file."""
-    return spark.read.schema(schemas.ADVISORY).json(path, multiLine=False)
+def read_advisories(spark: SparkSession, path: str, per: str = "line") -> DataFrame:
+    """Advisory dump: one JSON document per line, or with `per` "file" one per file, however it is laid out.
+
+    Documents without an id, which includes text that does not parse, are left out; `nameless_advisories` lists them.
+    """
+    return _advisories(spark, path, per).filter(F.col("id").isNotNull()).drop("_broken", "_file")
+
+
+def nameless_advisories(spark: SparkSession, path: str, per: str = "line") -> DataFrame:
+    """What `read_advisories` leaves out: file, reason."""
+    rows = _advisories(spark, path, per).select("id", "_broken", F.col("_file").alias("file")).filter(F.col("id").isNull())
+    return rows.select("file", F.when(F.col("_broken").isNotNull(), "no JSON").otherwise("no id").alias("reason"))
+
+
+def _advisories(spark: SparkSession, path: str, per: str) -> DataFrame:
+    if per not in ("line", "file"):
+        raise ValueError(f"advisories per {per!r}: line or file")
+    reader = spark.read.schema(schemas.ADVISORY + ", _broken string").option("columnNameOfCorruptRecord", "_broken")
+    return reader.json(path, multiLine=per == "file").withColumn("_file", F.col("_metadata.file_path"))
 
 
 def last_per_id(rows: DataFrame, id_column: str = "cve_id", position: str = "position") -> DataFrame:
