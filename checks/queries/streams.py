@@ -16,8 +16,8 @@ from checks.queries.storage import ALERTS, LATEST, RUNNING, SESSIONS, TIME
 from checks.registry import Inputs, query, with_views
 from checks.views import TABLES, VIEWS
 from palisade.operators.findings import scan_rollup
-from palisade.session import checkpoint_dir
-from palisade.streaming import progress
+from palisade.session import checkpoint_dir, new_path
+from palisade.streaming import expiring, progress
 
 c = F.col
 
@@ -83,6 +83,36 @@ def stream_sessions(t: Inputs):
     return rows.filter(c("batch") == last).select("scan_id", F.date_format("first_ts", TIME).alias("first_ts"), "n")
 
 
+# Two in a hundred of the events of the first two fifths come with the last file, days late.
+ARRIVING = """a AS (SELECT *, CAST(floor(event_id * 5 / CAST((SELECT count(*) FROM events) AS DOUBLE)) AS INT) AS fifth, event_id % 50 = 0 AS odd FROM v_found_events),
+on_time AS (SELECT * FROM a WHERE NOT (odd AND fifth < 2))"""
+ENDED = f"""WITH {ARRIVING}, g AS (SELECT *, lag(ts) OVER (PARTITION BY scan_id ORDER BY ts) AS prev FROM on_time),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 2 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY scan_id ORDER BY ts) AS no FROM g),
+t AS (SELECT *, type IN ('scan_complete', 'scan_failed') AS final FROM s)
+SELECT scan_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts, count(*) AS n_events,
+ CASE coalesce(arg_min(type, ts) FILTER (final), 'none') WHEN 'scan_complete' THEN 'completed' WHEN 'scan_failed' THEN 'failed' ELSE 'running' END AS status,
+ count(*) FILTER (type = 'finding_discovered' AND severity = 'critical') AS critical, count(*) FILTER (type = 'finding_discovered' AND severity = 'high') AS high,
+ count(*) FILTER (type = 'finding_discovered' AND severity = 'medium') AS medium, count(*) FILTER (type = 'finding_discovered' AND severity NOT IN ('critical', 'high', 'medium')) AS low
+FROM t GROUP BY scan_id, no HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT max(ts) FROM a) - INTERVAL 2 HOURS"""
+
+
+def _arriving(t: Inputs) -> DataFrame:
+    """The events as a stream of six deliveries, the last of them late."""
+    path = new_path(t.spark)
+    rows = t.sql(f"WITH {ARRIVING} SELECT *, CASE WHEN odd AND fifth < 2 THEN 5 ELSE fifth END AS delivery FROM a").withColumn("ts", c("ts").cast("timestamp"))
+    for delivery in range(6):
+        rows.filter(c("delivery") == delivery).drop("delivery", "fifth", "odd").repartition(2).write.mode("append").parquet(path)
+    schema = t.spark.read.parquet(path).schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query(ENDED)
+def stream_ended_scans(t: Inputs):
+    """Closed stretches of activity from a stream with a watermark of two hours; what comes days late is left out."""
+    rows = _run(t, expiring.ended_scans(_arriving(t)), "append").drop("batch", "percent", "at")
+    return rows.withColumns({n: F.date_format(n, TIME) for n in ("first_ts", "last_ts")})
+
+
 TREND = """SELECT strftime(created_at, '%Y-%m-%d %H:00') AS hour, sum(critical_count)::BIGINT AS critical, sum(high_count)::BIGINT AS high, sum(medium_count)::BIGINT AS medium, sum(low_count)::BIGINT AS low
 FROM v_counted_scans WHERE status = 'completed' GROUP BY 1"""
 

@@ -36,22 +36,23 @@ def event_status() -> Column:
     return F.when(kind == "scan_complete", "completed").when(kind == "scan_failed", "failed").otherwise("running")
 
 
+def deciding_state() -> Column:
+    """Status, percent and time of the first terminal event of a group, else of its latest event."""
+    state = F.struct(event_status().alias("status"), "percent", "ts")
+    when = F.struct("ts", "event_id")
+    ended = F.col("type").isin(TERMINAL)
+    return F.coalesce(F.min_by(F.when(ended, state), F.when(ended, when)), F.max_by(state, when))
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Per scan: status, percent, time of the deciding event, number of events.
 
     The first terminal event decides; without one the latest event does. On a stream (update mode)
-    the state is one row per scan and stays; give the events a watermark and group by a window as
-    well if scans without end are too many to keep.
+    the state is one row per scan and stays; `expiring.ended_scans` keeps those that are active.
     """
-    state = F.struct(event_status().alias("status"), "percent", "ts")
-    when = F.struct("ts", "event_id")
-    ended = F.col("type").isin(TERMINAL)
-    deciding = F.coalesce(
-        F.min_by(F.when(ended, state), F.when(ended, when)), F.max_by(state, when)
-    )
     return (
         events.groupBy("scan_id")
-        .agg(deciding.alias("_s"), F.count("*").alias("n_events"))
+        .agg(deciding_state().alias("_s"), F.count("*").alias("n_events"))
         .select("scan_id", "_s.status", "_s.percent", F.col("_s.ts").alias("at"), "n_events")
     )
 
