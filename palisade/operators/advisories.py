@@ -143,48 +143,29 @@ def _ends(spans: DataFrame) -> DataFrame:
     return rows.distinct().select("ecosystem", "_package", span, ends.alias("_end")).select("ecosystem", "_package", "_span", "_end.*")
 
 
-def _pieces(first: Column, behind: Column) -> Column:
-    """Places from `first` to before `behind` as pieces (level, block) of 2^level places each, two of a level at most."""
-
-    def step(acc: Column, level: Column) -> Column:
-        a, b = acc["a"], acc["b"]
-        odd_a, odd_b = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
-        piece = lambda block: F.struct(level.alias("level"), block.alias("block"))
-        found = F.array_compact(F.array(F.when(odd_a, piece(a)), F.when(odd_b, piece(b - 1))))
-        half = lambda x: F.shiftright(x, 1)
-        return F.struct(
-            half(F.when(odd_a, a + 1).otherwise(a)).alias("a"), half(F.when(odd_b, b - 1).otherwise(b)).alias("b"), F.concat(acc["found"], found).alias("found")
-        )
-
-    start = F.struct(first.alias("a"), behind.alias("b"), F.array().cast("array<struct<level:int,block:bigint>>").alias("found"))
-    levels = F.sequence(F.lit(0), F.length(F.bin(behind)))
-    return F.aggregate(levels, start, step, lambda acc: acc["found"])
-
-
 def ranged_hits(lookups: DataFrame, spans: DataFrame) -> DataFrame:
     """Versions in spans: ecosystem, _package, version, osv_id.
 
-    Versions of a package are put in order together with the ends of its spans, so a span is a run of places. A run is
-    cut into pieces of 1, 2, 4, ... places, and a version asks for the pieces that hold its place: n versions and m
-    spans meet over equal keys in (n + m) log n rows and one for each hit, not in n x m.
+    Versions of a package are put in order together with the ends of its spans, so that a span is a run of places, and
+    the versions at the places of a run are its hits: n versions and m spans are sorted once and give a row for each
+    hit, not n x m. A package meets in one task as its distinct versions and spans.
     """
     none = F.lit(None)
-    versions = lookups.filter("_key is not null").select("ecosystem", "_package", none.cast("struct<osv_id:string,_start:string,_stop:string,_side:int>").alias("_span"), "_key", F.lit(AT).alias("_side"), none.cast("boolean").alias("_from"), "version")
-    both = versions.unionByName(_ends(spans), allowMissingColumns=True)
-    is_version = (F.col("_side") == AT).cast("int")
-    package = W.partitionBy("ecosystem", "_package")
-    placed = both.select(
-        "*", F.sum(is_version).over(package.orderBy("_key", "_side").rowsBetween(W.unboundedPreceding, 0)).alias("_seen"),
-        F.sum(is_version).over(package).alias("_versions"), F.max("_from").over(package).alias("_asked"),
-    ).filter("_asked is not null and _versions > 0")
-    runs = placed.filter("_from is not null").groupBy("ecosystem", "_package", "_span").agg(
-        F.max(F.when(F.col("_from"), F.col("_seen"))).alias("_first"), F.max(F.when(~F.col("_from"), F.col("_seen"))).alias("_behind")
-    )
-    pieces = runs.filter("_first < _behind").select("ecosystem", "_package", F.col("_span.osv_id").alias("osv_id"), F.inline(_pieces(F.col("_first"), F.col("_behind"))))
-    place = F.col("_seen") - 1
-    asked = F.transform(F.sequence(F.lit(0), F.length(F.bin("_versions"))), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place, k).alias("block")))
-    asks = placed.filter("version is not null").select("ecosystem", "_package", "version", F.inline(asked))
-    return asks.join(pieces, ["ecosystem", "_package", "level", "block"]).select(*VERSION, "osv_id")
+    span = "struct<osv_id:string,_start:string,_stop:string,_side:int>"
+    known = spans.select("ecosystem", "_package").distinct()
+    keyed = lookups.join(known, ["ecosystem", "_package"], "left_semi").withColumn("_key", version_key(F.col("version")))
+    versions = keyed.select("ecosystem", "_package", none.cast(span).alias("_span"), "_key", F.lit(AT).alias("_side"), none.cast("boolean").alias("_from"), "version")
+    in_order = W.partitionBy("ecosystem", "_package").orderBy("_key", "_side").rowsBetween(W.unboundedPreceding, 0)
+    ordered = F.when(F.col("_key").isNotNull(), F.col("version"))  # others come first and count as nothing
+    placed = versions.unionByName(_ends(spans), allowMissingColumns=True).withColumn("_seen", F.count(ordered).over(in_order))
+    listed = lambda condition, *fields: F.sort_array(F.collect_list(F.when(condition, F.struct(*fields))))
+    packages = placed.groupBy("ecosystem", "_package").agg(
+        listed(ordered.isNotNull(), "_seen", "version").alias("_versions"), listed(F.col("_from"), "_span", "_seen").alias("_starts"), listed(~F.col("_from"), "_span", "_seen").alias("_stops")
+    ).filter("size(_starts) > 0")
+    runs = packages.select("ecosystem", "_package", "_versions", F.explode(F.arrays_zip("_starts", "_stops")).alias("_run"))
+    first, behind = F.col("_run._starts._seen"), F.col("_run._stops._seen")
+    hits = F.slice("_versions", (first + 1).cast("int"), F.greatest(behind - first, F.lit(0)).cast("int"))
+    return runs.select("ecosystem", "_package", F.col("_run._starts._span.osv_id").alias("osv_id"), F.explode(hits["version"]).alias("version")).select(*VERSION, "osv_id")
 
 
 def advisory_hits(deps: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -201,7 +182,7 @@ def advisory_hits(deps: DataFrame, ranges: DataFrame) -> DataFrame:
     )
     listed = spans.filter("exact is not null").select("ecosystem", "_package", F.col("exact").alias("version"), "osv_id")
     exact = lookups.join(listed, VERSION).select(*VERSION, "osv_id", F.lit(True).alias("_exact"))
-    ranged = ranged_hits(lookups.withColumn("_key", version_key(F.col("version"))), spans.filter("introduced is not null"))
+    ranged = ranged_hits(lookups, spans.filter("introduced is not null"))
     hits = exact.unionByName(ranged.withColumn("_exact", F.lit(False)))
     return hits.groupBy(*VERSION, "osv_id").agg(F.when(F.bool_or("_exact"), "exact").otherwise("range").alias("match_kind"))
 

@@ -342,7 +342,8 @@ def scan_chunks(
 
 def findings_of(matched: DataFrame, entries: Entries, context_from: DataFrame | None = None) -> DataFrame:
     """Findings of `matched_files`; with the files, the text around the matches of rules."""
-    rows = matched.select("scan_id", "path", F.inline("_matches")).withColumn(
+    # unfolded as an expression: for a column the optimizer adds a test of its size, which would scan the texts twice
+    rows = matched.select("scan_id", "path", F.inline(F.transform("_matches", lambda m: m))).withColumn(
         "_e", F.get(literal_table(entries.rows, ENTRY), F.col("entry"))
     )
     about_rule = [F.lit("rule_category"), F.col("_e.kind")]

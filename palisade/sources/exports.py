@@ -35,24 +35,27 @@ def text_lines(scans: DataFrame, section: int, line: Column) -> DataFrame:
     )
 
 
-def array_lines(items: DataFrame, section: int) -> DataFrame:
-    """Array elements (scan_id, sort_key, json), a comma before all but the first.
+def array_lines(rows: DataFrame, section: int, sort_key: Column, json: Column) -> DataFrame:
+    """Array elements, one of each row (scan_id and what the columns `sort_key` and `json` need), a comma before all but
+    the first.
 
-    Which key comes first, and how many elements have it, is found from the keys alone, one row per scan. Only
-    elements that share the first key are put in an order of their own.
+    Which key comes first is found from the keys alone, one row per scan. Only elements that share the first key, as a
+    rule one per scan, are put in an order of their own. Rows are rendered behind that.
     """
-    equal = items.groupBy("scan_id", "sort_key").agg(F.count("*").alias("_n"))
-    first = equal.groupBy(F.col("scan_id").alias("_scan")).agg(F.min(F.struct("sort_key", "_n")).alias("_first"))
-    marked = items.join(first, F.col("scan_id").eqNullSafe(F.col("_scan")))
-    is_first = F.col("sort_key").eqNullSafe(F.col("_first.sort_key"))
-    comma = F.concat(F.lit(","), "json")
-    plain = marked.filter(~is_first | (F.col("_first._n") == 1)).withColumn("line", F.when(is_first, F.col("json")).otherwise(comma))
-    place = F.row_number().over(W.partitionBy("scan_id", "sort_key").orderBy("json"))
-    ties = marked.filter(is_first & (F.col("_first._n") > 1)).withColumn("_place", place)
-    # ties stay together behind the first of them: their keys go on with their place
-    ties = ties.withColumns({"line": F.when(F.col("_place") == 1, F.col("json")).otherwise(comma), "sort_key": F.concat("sort_key", F.format_string("\u0001%012d", "_place"))})
-    columns = ["scan_id", F.lit(section).alias("section"), "sort_key", "line"]
-    return plain.select(columns).unionByName(ties.select(columns))
+    first = rows.groupBy(F.col("scan_id").alias("_scan")).agg(F.min(sort_key).alias("_first"))
+    marked = rows.join(first, F.col("scan_id").eqNullSafe(F.col("_scan")))
+    is_first = sort_key.eqNullSafe(F.col("_first"))
+    comma = F.concat(F.lit(","), "_json")
+    number = F.lit(section).alias("section")
+    rest = marked.filter(~is_first).select("scan_id", number, sort_key.alias("sort_key"), json.alias("_json"))
+    place = F.row_number().over(W.partitionBy("scan_id").orderBy("_json"))
+    heads = marked.filter(is_first).select("scan_id", sort_key.alias("_key"), json.alias("_json")).withColumn("_place", place)
+    # elements with one key stay together behind the first of them: their keys go on with their place
+    key = F.when(F.col("_place") > 1, F.concat("_key", F.format_string("\u0001%012d", "_place"))).otherwise(F.col("_key"))
+    opening = F.when(F.col("_place") > 1, comma).otherwise(F.col("_json"))
+    return rest.select("scan_id", "section", "sort_key", comma.alias("line")).unionByName(
+        heads.select("scan_id", number, key.alias("sort_key"), opening.alias("line"))
+    )
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -133,12 +136,9 @@ def to_json_report(findings: DataFrame, scans: DataFrame, tool: dict = TOOL) ->
         F.lit('{"schema_version":"1.0.0","tool":'), "_tool", F.lit(',"metadata":'), "_meta",
         F.lit(',"summary":'), "_sum", F.lit(',"findings":['),
     )
-    items = findings.select(
-        "scan_id",
-        F.col("finding_id").alias("sort_key"),
-        F.to_json(F.struct(*[F.col(c) for c in findings.columns if c != "scan_id"]), KEEP_NULLS).alias("json"),
-    )
-    return _union([text_lines(described, 0, head), array_lines(items, 1), text_lines(scans, 2, F.lit("]}"))])
+    element = F.to_json(F.struct(*[F.col(c) for c in findings.columns if c != "scan_id"]), KEEP_NULLS)
+    items = array_lines(findings, 1, F.col("finding_id"), element)
+    return _union([text_lines(described, 0, head), items, text_lines(scans, 2, F.lit("]}"))])
 
 
 def sarif_rules(findings: DataFrame, order: list[str]) -> DataFrame:
@@ -176,9 +176,10 @@ def to_sarif(findings: DataFrame, scans: DataFrame, order: list[str], tool: dict
     text = lambda c: F.struct(c.alias("text"))
     tags = F.col("tags") if "tags" in findings.columns else F.array().cast("array<string>")
     points = F.col("final_score") if "final_score" in findings.columns else F.lit(0.0)
-    rule_items = rules.select(
-        "scan_id",
-        F.format_string("%012d", "rule_index").alias("sort_key"),
+    rule_items = array_lines(
+        rules,
+        1,
+        F.format_string("%012d", "rule_index"),
         json_of(
             id=F.col("rule_id"),
             name=F.col("title"),
@@ -190,7 +191,7 @@ def to_sarif(findings: DataFrame, scans: DataFrame, order: list[str], tool: dict
             ),
             defaultConfiguration=F.struct(sarif_level(F.col("severity")).alias("level")),
             properties=F.struct(tags.alias("tags"), F.col("category").alias("category")),
-        ).alias("json"),
+        ),
     )
     mark = tool["name"].lower() + "/v1"
     location = F.struct(
@@ -210,9 +211,7 @@ def to_sarif(findings: DataFrame, scans: DataFrame, order: list[str], tool: dict
     )
     fix = F.array(F.struct(text(F.col("remediation")).alias("description")))
     result = F.when(F.col("has_fix"), json_of(**fields, fixes=fix)).otherwise(json_of(**fields))
-    result_items = sarif_results(findings, rules).select(
-        "scan_id", F.col("finding_id").alias("sort_key"), result.alias("json")
-    )
+    result_items = array_lines(sarif_results(findings, rules), 3, F.col("finding_id"), result)
     driver = (
         f'"name":"{tool["name"]}","version":"{tool["version"]}","semanticVersion":"{tool["version"]}"'
     )
@@ -225,9 +224,9 @@ def to_sarif(findings: DataFrame, scans: DataFrame, order: list[str], tool: dict
     return _union(
         [
             text_lines(scans, 0, head),
-            array_lines(rule_items, 1),
+            rule_items,
             text_lines(scans, 2, F.lit(']}},"results":[')),
-            array_lines(result_items, 3),
+            result_items,
             text_lines(scans, 4, tail),
         ]
     )
@@ -267,8 +266,8 @@ def to_cyclonedx(packages: DataFrame, scans: DataFrame) -> DataFrame:
     key = F.concat_ws(
         "|", *[F.coalesce(c, F.lit("")) for c in cells[1:]], F.format_string("%012d", "_i")
     )
-    items = numbered.select("scan_id", key.alias("sort_key"), component.alias("json"))
-    return _union([text_lines(scans, 0, head), array_lines(items, 1), text_lines(scans, 2, F.lit("]}"))])
+    items = array_lines(numbered, 1, key, component)
+    return _union([text_lines(scans, 0, head), items, text_lines(scans, 2, F.lit("]}"))])
 
 
 def export_report_payload(
@@ -348,28 +347,16 @@ def export_report_payload(
         F.coalesce(F.to_json("_packages"), F.lit("[]")),
         F.lit(',"all_findings":['),
     )
-    listed = findings.select(
-        "scan_id",
-        F.col("finding_id").alias("sort_key"),
-        json_of(
-            id=F.col("finding_id"),
-            **{c: F.col(c) for c in ["title", "severity", "category", "file_path", "line_number", "is_fixed"]},
-        ).alias("json"),
-    )
-    intel = records.select(
-        "scan_id",
-        F.col("cve_id").alias("sort_key"),
-        json_of(
-            **{c: F.col(c) for c in ["cve_id", "known_exploited", "epss", "percentile", "priority", "summary",
-                                     "urgency", "sources"]}
-        ).alias("json"),
-    )
+    shown_fields = ["title", "severity", "category", "file_path", "line_number", "is_fixed"]
+    listed = array_lines(findings, 1, F.col("finding_id"), json_of(id=F.col("finding_id"), **{c: F.col(c) for c in shown_fields}))
+    known_fields = ["cve_id", "known_exploited", "epss", "percentile", "priority", "summary", "urgency", "sources"]
+    known = array_lines(records, 3, F.col("cve_id"), json_of(**{c: F.col(c) for c in known_fields}))
     return _union(
         [
             text_lines(rows, 0, head),
-            array_lines(listed, 1),
+            listed,
             text_lines(scans, 2, F.lit('],"threat_intelligence":[')),
-            array_lines(intel, 3),
+            known,
             text_lines(scans, 4, F.lit("]}")),
         ]
     )

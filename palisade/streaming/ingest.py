@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 from palisade.operators.findings import bucket_counts
 from palisade.plans.scan import stored_findings
@@ -83,6 +84,74 @@ def incremental_ingest(
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def incremental_scan(
+    spark: SparkSession,
+    root: str,
+    findings_path: str,
+    checkpoint: str,
+    detect: Callable[[DataFrame], DataFrame],
+    files_per_trigger: int = 1000,
+    buckets: int = 64,
+) -> list[StreamingQueryProgress]:
+    """Scan the files that arrived since the last run and store each finding once, without reading what is stored.
+
+    One stream turns files into findings below `findings_path/staged`, a folder for each batch, which a batch that is run
+    again overwrites. A second one passes those on whose id it has not seen, to `findings_path/findings`. The ids are
+    keyed state beside the findings, not in `checkpoint`: a batch looks up its own ids only, and a new checkpoint scans
+    all files again but stores nothing twice. Gives the progress of the second stream; read with `ingested`.
+    """
+    base = findings_path.rstrip("/")
+    stream = (
+        spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .load(root)
+        .filter(F.col("length") <= MAX_BYTES)  # larger ones: sources.large
+    )
+
+    def stage(batch: DataFrame, batch_id: int) -> None:
+        rows = stored_findings(detect(corpus_rows(batch, root)))
+        folder = f"{base}/staged/run={_run_id(spark, checkpoint)}/batch={batch_id}"
+        rows.withColumn("bucket", F.pmod(F.hash("scan_id"), F.lit(buckets))).write.mode("overwrite").parquet(folder)
+
+    stream.writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not _exists(spark, f"{base}/staged"):
+        return []
+    staged = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/staged")
+    arrived = spark.readStream.schema(staged.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).parquet(f"{base}/staged")
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        query = (
+            arrived.dropDuplicates(["finding_id"])
+            .writeStream.format("parquet")
+            .partitionBy("bucket")
+            .option("path", f"{base}/findings")
+            .option("checkpointLocation", f"{base}/seen")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return query.recentProgress
+
+
+def ingested(spark: SparkSession, findings_path: str) -> DataFrame:
+    """Findings that `incremental_scan` has stored."""
+    return spark.read.parquet(f"{findings_path.rstrip('/')}/findings")
+
+
 def stored_rollup(spark: SparkSession, findings_path: str) -> DataFrame:
     """Counters per scan over everything stored so far."""
     return spark.read.parquet(findings_path).groupBy("scan_id").agg(*bucket_counts())

@@ -4,8 +4,6 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
-
 from palisade.operators import advisories as adv
 
 DEPS = "name string, ecosystem string, version string"
@@ -47,14 +45,6 @@ def test_against_a_loop(spark, seed):
     assert len(rows) == len(set(rows)) and set(rows) == brute(deps, spans)
 
 
-@pytest.mark.parametrize(("first", "behind"), [(0, 0), (0, 1), (3, 4), (0, 1000), (17, 978), (511, 513), (2**30, 2**30 + 7), (5, 2)])
-def test_pieces_cover_a_run_once(spark, first, behind):
-    pieces = spark.range(1).select(F.inline(adv._pieces(F.lit(first).cast("long"), F.lit(behind).cast("long")))).collect()
-    covered = sorted(x for p in pieces for x in range(p.block << p.level, (p.block + 1) << p.level))
-    assert covered == list(range(first, behind))
-    assert len(pieces) <= 2 * max(behind - first, 1).bit_length()
-
-
 def test_a_hot_package(spark):
     """10,000 versions and 10,000 spans of one package: 10^8 pairs, of which few are hits."""
     n = 10_000
@@ -64,5 +54,4 @@ def test_a_hot_package(spark):
     hits = adv.match_advisories(deps, spans)
     assert hits.count() == 3 * n - 3
     assert time.time() - start < 60
-    joined = hits._jdf.queryExecution().optimizedPlan().toString()
-    assert "level" in joined and "Cartesian" not in joined
+    assert "Cartesian" not in hits._jdf.queryExecution().optimizedPlan().toString()

@@ -54,7 +54,7 @@ def test_documents_in_one_table(spark, scans, found, tmp_path):
 
 def test_null_scan(spark, scans):
     rows = spark.createDataFrame([(None, "a", "high", "x"), (None, "b", "high", "x")], FOUND)
-    lines = exports.array_lines(rows.select("scan_id", F.col("finding_id").alias("sort_key"), F.lit("{}").alias("json")), 1)
+    lines = exports.array_lines(rows, 1, F.col("finding_id"), F.lit("{}"))
     assert sorted(r.line for r in lines.collect()) == [",{}", "{}"]
 
 
