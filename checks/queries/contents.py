@@ -10,8 +10,10 @@ from checks.queries.remediation import LINES
 from checks.queries.reports import ORDER, _described
 from checks.registry import Inputs, query
 from palisade.functions import texts
-from palisade.operators import compliance, dashboard, detect, intel, manifests, remediate, sbom
+from palisade.functions.sql import register_sql
+from palisade.operators import compliance, dashboard, detect, intel, manifests, pages, remediate, sbom
 from palisade.schemas import SECRET_PATTERN
+from palisade.session import new_path
 from palisade.sources import exports
 from palisade.sources import rules as rule_source
 
@@ -197,3 +199,30 @@ def suggest_patch_with_files(t: Inputs):
     lines = F.split("patch", "\n")
     secrets = t.v_doc_findings.filter("category = 'secret'").select("finding_id")
     return patched.join(secrets, "finding_id").select("finding_id", lines[0].alias("old_file"), lines[2].alias("place"), lines[3].alias("removed"))
+
+
+@query("SELECT scan_id, status FROM v_scans ORDER BY created_at DESC, scan_id LIMIT 100 OFFSET 800")
+def page_by_place(t: Inputs):
+    """A deep page of a list stored in the order of its pages."""
+    path = new_path(t.spark)
+    pages.write_pages(t.v_scans.withColumn("created_at", c("created_at").cast("timestamp")), path, "scan_id")
+    return pages.read_page(t.spark, path, 9, 100).select("scan_id", "status")
+
+
+@query("SELECT scan_id, target FROM v_scans WHERE status = 'running' ORDER BY created_at DESC, scan_id LIMIT 40 OFFSET 80")
+def page_by_cursor(t: Inputs):
+    """The third page of those that pass a condition, each page from the cursor of the one before."""
+    path, cursor, page = new_path(t.spark), None, None
+    pages.write_pages(t.v_scans.withColumn("created_at", c("created_at").cast("timestamp")), path, "scan_id")
+    for _ in range(3):
+        page, cursor = pages.next_page(t.spark, path, c("status") == "running", cursor, 40)
+    return page.select("scan_id", "target")
+
+
+@query(r"""WITH l AS (SELECT scan_id, path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, 1 + len(string_split(content, chr(10))))) AS line_number FROM v_files)
+SELECT DISTINCT scan_id, rule_id, path AS file_path, line_number::INT AS line_number FROM l, (VALUES ('SECRET-HEX-TOKEN', '(?i)token\s*=\s*["''][0-9a-f]{40}["'']'), ('SECRET-CARD-NUMBER', '\b[0-9]{13,19}\b')) AS p(rule_id, pattern)
+WHERE regexp_matches(line, pattern)""")
+def scan_in_sql(t: Inputs):
+    """From files to findings in one SQL text."""
+    register_sql(t.spark, t.busy.v_files.select("scan_id", "path", "content"), patterns=rule_source.builtin_secret_patterns(t.spark))
+    return t.spark.sql("SELECT f.scan_id, f.rule_id, f.file_path, f.line_number FROM findings_above('info') f JOIN palisade_files p ON p.path = f.file_path")

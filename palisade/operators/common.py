@@ -87,6 +87,24 @@ def finding(default_detector: str, **values: Column) -> list[Column]:
     return [{**defaults, **values}[name].alias(name) for name in order]
 
 
+# Words of 64 bits in the filter of `likely_among`.
+FILTER_WORDS = 1 << 16
+
+
+def likely_among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose key may be one of `keys`: all that are, and few others while there are fewer keys than bits.
+
+    One bit stands for the hash of a key. The bits are at most FILTER_WORDS rows however many keys there are, so every
+    task gets them, and rows that are not wanted do not reach the shuffle of the join that follows.
+    """
+    hashed = F.xxhash64(*columns)
+    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+    bits = keys.select(hashed.alias("_h")).groupBy(word(F.col("_h")).alias("_word")).agg(F.bit_or(bit(F.col("_h"))).alias("_bits"))
+    marked = rows.withColumn("_h", hashed).join(F.broadcast(bits), word(F.col("_h")) == F.col("_word"))
+    return marked.filter(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0).select(*rows.columns)
+
+
 def source_lines(files: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
     """Lines around wanted places: scan_id, path, line_number, n_lines, lines[num, content].
 
@@ -95,9 +113,9 @@ def source_lines(files: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
     """
     places = wanted.select("scan_id", "path", "line_number").distinct()
     per_file = places.groupBy("scan_id", "path").agg(F.collect_list("line_number").alias("_wanted"))
-    # whole texts meet the places and are split behind the join: unwanted files are never split
+    # whole texts meet the places and are split behind the join: unwanted files are never split, and few are moved
     split_files = (
-        files.select("scan_id", "path", "content")
+        likely_among(files.select("scan_id", "path", "content"), per_file, ["scan_id", "path"])
         .join(per_file, ["scan_id", "path"])
         .select("scan_id", "path", "_wanted", F.split("content", "\r\n|\n|\r").alias("_raw"))
     )
