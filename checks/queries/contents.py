@@ -69,7 +69,7 @@ def _payload(t: Inputs) -> DataFrame:
     findings, scans = _described(t), t.v_scans
     mentions = intel.cve_mentions(findings)
     top = dashboard.top_risks(findings, intel.enrich_cves(mentions.select("cve_id", "cvss"), t.v_kev, t.v_epss))
-    packages = sbom.sbom_packages(t.v_dependencies.withColumn("scan_id", F.lit("none")))
+    packages = sbom.sbom_packages(t.v_dependencies.withColumn("scan_id", c("ecosystem")))
     scores = compliance.compliance_score(compliance.scan_controls(findings, scans))
     return exports.export_report_payload(scans, findings, dashboard.scan_risk(findings), dashboard.executive_summary(scans, findings), top, scores, packages, intel.scan_records(mentions, t.v_kev, t.v_epss))
 
