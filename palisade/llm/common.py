@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,15 +14,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.session import checkpoint_dir
+
 #: Lower-cases A-Z in UTF-8 bytes and leaves every other byte as it is.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="palisade-")
-
-
 @lru_cache(maxsize=8)
 def _remove_at_exit(folder: str) -> None:
     def remove() -> None:
@@ -36,9 +32,8 @@ def _remove_at_exit(folder: str) -> None:
 
 def work_folder(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, which all executors share; removed when the
-    driver ends. Only a session without that setting gets a folder of its own, as tests on one machine do."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + _own_folder()
-    folder = f"{base.rstrip('/')}/palisade-{spark.sparkContext.applicationId}"
+    driver ends. Only a local session may leave that setting out."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/palisade-{spark.sparkContext.applicationId}"
     _remove_at_exit(folder)
     return folder
 

@@ -170,8 +170,8 @@ def rebuilt_turns(conversations: DataFrame, group: int = 20, most_shared: int =
     rows = conversations.filter(F.col(conv_id).isNotNull()).select(
         F.col(conv_id).cast("long").alias("seq"), F.col(turn).alias("turn"), symbol.alias("sym"), F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("words")
     )
-    # equal turns are dealt by row, so that a task gets no more of them than of others
-    ranked = with_rank(rows.withColumn("row", F.monotonically_increasing_id()), F.col("seq"), F.col("turn").asc_nulls_first(), F.col("sym"), F.col("row")).select("seq", "rank", "sym", "words")
+    # texts are read once; equal turns are dealt by row, so that a task gets no more of them than of others
+    ranked = with_rank(stored(rows.withColumn("row", F.monotonically_increasing_id())), F.col("seq"), F.col("turn").asc_nulls_first(), F.col("sym"), F.col("row")).select("seq", "rank", "sym", "words")
     own = stored(ranked.groupBy("seq").agg(F.min("rank").alias("first"), F.count("*").alias("size")))
     shared = F.crc32(F.col("seq").cast("string").cast("binary")) % (most_shared + 1)
     heads = own.select(F.col("seq").alias("source"), F.col("size").alias("source_size"))

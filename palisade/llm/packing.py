@@ -1,10 +1,10 @@
 """Sequences of a fixed number of tokens, filled by best fit.
 
 Documents become pieces (only those longer than a sequence are cut). Pieces of one length are alike to best fit, so
-what meets are runs: the pieces range-sorted by length (each has a rank from that sort) and the gaps sorted by size. In
-each superstep the longest pieces that are left look up the smallest gap that holds them, pieces with a lower rank win
-it, the filled gaps are updated, and the losers go on with the next; where there is no gap, sequences are opened. The
-runs number as the lengths, not as the documents; ranks and places of the pieces are found on the cluster.
+best fit works on the histogram of lengths, at most as many rows as a sequence has tokens: one loop on the driver goes
+through the lengths, the longest first, and gives each the smallest gaps that hold it; where there is no gap, sequences
+are opened. Spark ranks the pieces by a range sort over their lengths and places each by its rank. Bulk-synchronous
+sweeps with conflicts are not needed for that, and there are none: a departure from the dealt method.
 """
 
 from __future__ import annotations
