@@ -1,6 +1,7 @@
 """Rules, baselines and secret patterns as small tables, built in or read from files.
 
-Rule files are configuration: a few hundred entries, parsed on the driver like any job parameter.
+Rule files are configuration: a few hundred entries, parsed on the driver like any job parameter. Whether a pattern
+can run is for the JVM to say, which runs it: readers leave out what it refuses, and `refused_entries` lists that.
 """
 
 from __future__ import annotations
@@ -12,19 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade import schemas
-from palisade.operators.common import small_rows
+from palisade.operators.common import refusal, small_rows
 from palisade.sources import builtin
 
 
-def _usable(pattern: str) -> bool:
-    """A pattern that does not compile never matches, so its rule is left out."""
-    try:
-        re.compile(pattern, re.IGNORECASE | re.MULTILINE)
-    except re.error:
-        return False
-    return True
-
-
 def _documents(spark: SparkSession, path: str) -> list[tuple[str, object]]:
     """Name without suffix and content of the YAML or JSON files below a path, in path order.
 
@@ -58,7 +50,7 @@ def rule_rows(entries: Iterable[dict]) -> list[dict]:
     for e in entries:
         if not {"id", "name", "pattern"} <= e.keys() or not e.get("enabled", True):
             continue
-        if not _usable(e["pattern"]):
+        if not isinstance(e["pattern"], str):
             continue
         rows.append(
             {
@@ -78,9 +70,21 @@ def rule_rows(entries: Iterable[dict]) -> list[dict]:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of a file or folder of YAML or JSON files; incomplete and disabled ones are left out."""
+    """Rules of a file or folder of YAML or JSON files; incomplete and disabled ones are left out, and those whose
+    pattern the JVM refuses."""
     rows = [r for _, document in _documents(spark, path) for r in rule_rows(_entries(document))]
-    return spark.createDataFrame(rows, schemas.RULE)
+    return spark.createDataFrame([r for r in rows if refusal(spark, r["pattern"]) is None], schemas.RULE)
+
+
+def refused_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of rule or pattern files whose pattern cannot run: file, name, pattern, reason."""
+    rows = []
+    for stem, document in _documents(spark, path):
+        for e in _entries(document):
+            if {"name", "pattern"} <= e.keys():
+                reason = refusal(spark, e["pattern"]) if isinstance(e["pattern"], str) else "no text"
+                rows += [(stem, str(e["name"]), str(e["pattern"]), reason)] if reason else []
+    return spark.createDataFrame(rows, "file string, name string, pattern string, reason string")
 
 
 def builtin_rules(spark: SparkSession, id_prefix: str = "") -> DataFrame:
@@ -136,6 +140,6 @@ def read_secret_patterns(spark: SparkSession, path: str) -> DataFrame:
         }
         for _, document in _documents(spark, path)
         for e in _entries(document)
-        if {"name", "pattern"} <= e.keys() and _usable(e["pattern"])
+        if {"name", "pattern"} <= e.keys() and isinstance(e["pattern"], str) and refusal(spark, e["pattern"]) is None
     ]
     return builtin_secret_patterns(spark).unionByName(spark.createDataFrame(rows, schemas.SECRET_PATTERN))

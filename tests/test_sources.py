@@ -207,3 +207,24 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="unknown scan status"):
         sinks.write_scans(scans, str(tmp_path / "s2"))
     assert back.select(F.count("*")).first()[0] == 2
+
+
+def test_patterns_are_judged_by_the_jvm(spark, tmp_path):
+    entries = [{"id": f"R{n}", "name": f"n{n}", "pattern": p} for n, p in enumerate(["[a&&[^b]]x", "\\p{Lu}x", "(", "(?P<n>a)(?P=n)", 7])]
+    put(tmp_path, "r.json", json.dumps(entries))
+    assert {r.rule_id for r in rules.read_rules(spark, str(tmp_path)).collect()} == {"R0", "R1", "R3"}
+    assert {(r["name"], r.reason == "no text") for r in rules.refused_entries(spark, str(tmp_path)).collect()} == {("n2", False), ("n4", True)}
+    names = {r["name"] for r in rules.read_secret_patterns(spark, str(tmp_path)).collect()}
+    assert {"n0", "n1", "n3"} <= names and not {"n2", "n4"} & names
+
+
+def test_many_rules(spark):
+    """Some hundred rules in one pass."""
+    from palisade.operators import detect
+    from palisade.schemas import RULE
+
+    n = 400
+    table = spark.createDataFrame([(f"R{i:03}", "n", "", "high", "c", f"word{i}\\b", ["*"], "", [], []) for i in range(n)], RULE)
+    files = spark.createDataFrame([("s", f"/f{k}.yml", "\n".join(f"word{i}" for i in range(k, n, 50))) for k in range(50)], "scan_id string, path string, content string")
+    found = detect.rule_scan(files, table).select("file_path", "rule_id", "line_number").collect()
+    assert {tuple(r) for r in found} == {(f"/f{k}.yml", f"R{i:03}", j + 1) for k in range(50) for j, i in enumerate(range(k, n, 50))}
