@@ -337,7 +337,7 @@ def score_documents(docs: DataFrame, path: str, train: Column, doc_id: str = "do
     with. `anchors` (at most 100) common words make the classes. A class's strings count as often as its distinct
     words have them, plus `backing` shared out as all classes have them, each with `smooth` added; `discount` comes
     off the count of each distinct word. A null or empty text is its end alone; repeated rows count and are scored
-    each; a null id or mark stays null (a null mark does not teach); other columns of `docs` are not read; an empty
+    each; a null id stays null, ids are integers, and a null mark does not teach; other columns of `docs` are not read; an empty
     table gives an empty one."""
     if not 0 <= anchors <= 100:
         raise ValueError("a class must fit into one byte")

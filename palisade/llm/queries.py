@@ -37,6 +37,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes are the signs of the first 64 components, which is all that the given vectors have."""
     return hamming_search.search_codes(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 

@@ -146,7 +146,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Windows are judged on the input. A null or empty text has no words and an empty `kept`; a text shorter than a
     window stays whole; rows with the same id cut nothing out of each other; a row without an id counts as the last
-    of all (and keeps a null id); other columns of `docs` are not read; an empty table gives an empty one."""
+    of all (and keeps a null id); ids are integers; other columns of `docs` are not read; an empty table gives an empty one."""
     chunks = chunked(docs, doc_id, text, chunk_bytes)
     buckets = bucket_count(chunks, bucket_words)
     asks = asked(chunks, lambda ids, texts: _Chunk(ids, texts, window, buckets).probe())
