@@ -142,6 +142,16 @@ def stream_alerts(t: Inputs):
     return t.spark.read.parquet(f"{folder}/out").drop("batch", "message").distinct()
 
 
+@query(ALERTS + " WHERE s.scan_id IN (SELECT scan_id FROM v_progress WHERE type = 'scan_complete') GROUP BY 1, 2")
+def stream_alerts_of_finished(t: Inputs):
+    """Alerts whose counters come from the findings of the finished scans alone."""
+    folder = _folder(t)
+    table = progress.finished_rollup(t.v_scans, t.v_findings)
+    writer = progress.alerts_stream(_stream(t, "events", "v_progress"), table, f"{folder}/out", f"{folder}/state", "https://x.example.org")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").drop("batch", "message").distinct()
+
+
 @query("""SELECT scan_id, 'failed' AS status, 'Scan cancelled by user' AS error FROM v_scans WHERE status = 'running' AND scan_id IN (SELECT CAST(user_id AS STRING) FROM events)""")
 def stream_cancellations(t: Inputs):
     folder = _folder(t)

@@ -5,6 +5,8 @@ Functions without `stream` in their name take batch or streaming DataFrames alik
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from palisade import schemas
 from palisade.functions import count_bucket
 from palisade.operators.dashboard import hour_label, trend_sums
-from palisade.operators.findings import dedupe_key
+from palisade.operators.findings import dedupe_key, scan_rollup
 from palisade.operators.housekeeping import cancel_transitions
 
 TERMINAL = ["scan_complete", "scan_failed"]
@@ -158,14 +160,25 @@ def _batch_folder(path: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/batch={batch_id}"
 
 
+def finished_rollup(scans: DataFrame, findings: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Counters of the scans of a batch, from their own findings only."""
+
+    def of(done: DataFrame) -> DataFrame:
+        return scan_rollup(scans.join(done, "scan_id", "left_semi"), findings.join(done, "scan_id", "left_semi"))
+
+    return of
+
+
 def alerts_stream(
-    events: DataFrame, scan_table: DataFrame, path: str, checkpoint: str, base_url: str, min_serious: int = 0
+    events: DataFrame, scan_table: DataFrame | Callable[[DataFrame], DataFrame], path: str, checkpoint: str, base_url: str, min_serious: int = 0
 ) -> DataStreamWriter:
-    """Write an alert for every scan_complete event. `scan_table` has target and counters."""
+    """Write an alert for every scan_complete event. `scan_table` has target and counters, or makes them for the scans of
+    a batch (scan_id), such as `finished_rollup`: then no other scan's findings are counted."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         done = batch.filter("type = 'scan_complete'").select("scan_id").distinct()
-        rows = alert_rows(scan_table.join(done, "scan_id", "left_semi"), base_url, min_serious)
+        table = scan_table if isinstance(scan_table, DataFrame) else scan_table(done)
+        rows = alert_rows(table.join(done, "scan_id", "left_semi"), base_url, min_serious)
         rows.write.mode("overwrite").parquet(_batch_folder(path, batch_id))
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
