@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checks.views import TABLES, VIEWS
 
@@ -13,6 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _busy_splits(df: DataFrame, cores: int) -> int:
+    """Splits of a table that have rows: a file may be one row group, which one task reads. They are counted, from the
+    files' footers, only if there are as many splits as cores."""
+    splits = df.rdd.getNumPartitions()
+    return splits if splits < cores else df.select(F.spark_partition_id()).distinct().count()
+
+
 class Inputs:
     """The given tables and the views over them, as DataFrames: `t.v_findings`, `t.lineitem`.
 
@@ -33,7 +41,7 @@ class Inputs:
         if name in TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             cores = self.spark.sparkContext.defaultParallelism
-            return df.repartition(2 * cores) if self.spread_rows and len(df.inputFiles()) < cores else df
+            return df.repartition(2 * cores) if self.spread_rows and _busy_splits(df, cores) < cores else df
         if name not in VIEWS:
             raise AttributeError(name)
         return self.sql(VIEWS[name])

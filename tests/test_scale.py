@@ -113,3 +113,46 @@ def test_many_fixes_in_one_file(spark):
     changed, ids = remediate.apply_fixes(table, found, ["finding_id"])
     text = changed.first().content
     assert text.count("environ.get") == 3000 and text.endswith("\n") and ids.count() == 6000
+
+
+def moved(spark, df, column):
+    """Shuffles of the last plan that carry the column, each counted once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return [x for x in re.findall(r"(?<!Reused)Exchange hashpartitioning\(([^)]*\)?[^)]*)\)[^\n]*\n[^\n]*Project \[([^\n]*)", text) if f"{column}#" in x[1] and "_json#" not in x[1]]
+
+
+def test_findings_are_moved_once_for_their_place_in_a_report(spark):
+    rows = spark.range(2000).select(
+        F.format_string("f%05d", "id").alias("finding_id"), (F.col("id") % 50).cast("string").alias("scan_id"), F.concat(F.lit("wide "), F.col("id").cast("string")).alias("evidence")
+    )
+    lines = exports.array_lines(rows, 1, F.col("finding_id"), F.to_json(F.struct("finding_id", "evidence")))
+    assert len(moved(spark, lines, "evidence")) == 1
+    assert lines.filter("line not like ',%'").count() == 50
+
+
+def test_sarif_findings_are_moved_once(spark):
+    rows = spark.range(2000).selectExpr(
+        "format_string('f%05d', id) AS finding_id", "string(id % 50) AS scan_id", "concat('R', id % 7) AS rule_id", "'t' AS title", "'sast' AS category", "'low' AS severity", "'a.py' AS file_path",
+        "int(id % 9) AS line_number", "concat('wide ', id) AS evidence", "'d' AS description", "'' AS remediation",
+    )
+    lines = exports.to_sarif(rows, rows.select("scan_id").distinct(), ["finding_id"]).filter("section = 3")
+    assert len(moved(spark, lines, "evidence")) == 1
+    assert lines.filter("line not like ',%'").count() == 50
+
+
+def test_tables_with_rows_in_enough_splits_are_not_dealt_again(spark, tmp_path):
+    from checks.registry import Inputs
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 40000 * cores, 1, 1).selectExpr("id AS c_custkey", "sha2(string(id), 512) AS c_name").write.option("parquet.block.size", 1 << 18).option("compression", "none").parquet(str(tmp_path / "customer.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+    try:
+        assert "RoundRobinPartitioning" not in plan(Inputs(spark, str(tmp_path)).busy.customer)
+        assert "RoundRobinPartitioning" in plan(Inputs(spark, SF_DIR).busy.lineitem)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
