@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.llm.common import ASCII_LOWER, Stored, mixed, shuffle_parts, slices, stored, utf8
@@ -245,19 +246,21 @@ def _cell(width: int, similarity: float):
     return work
 
 
-def _links_of_the_rest(live: DataFrame, texts: DataFrame, width: int, similarity: float, most: int, most_bytes: int) -> DataFrame:
-    """(a, b): links between different components of a shard; `live` are (shard, id, whole). The members outside the
-    largest component of a shard (left) meet all members (right), in cells of about `most` texts a side."""
-    largest = live.groupBy("shard", "whole").agg(F.count("*").alias("n")).groupBy(F.col("shard").alias("s")).agg(F.max(F.struct("n", "whole"))["whole"].alias("major"))
-    rows = live.join(largest, F.col("shard") == F.col("s")).withColumn("minor", F.col("whole") != F.col("major")).drop("s", "major")
-    rows = rows.join(texts.select(F.col("id").alias("ti"), F.octet_length("t").alias("bytes")), F.col("id") == F.col("ti")).drop("ti")
+def _links_of_the_rest(live: DataFrame, open_shards: DataFrame, texts: DataFrame, width: int, similarity: float, most: int, most_bytes: int) -> DataFrame:
+    """(a, b): links between different components of a shard; `live` are (shard, id, whole), `open_shards` are (s). The
+    members outside the largest component of a shard (left) meet all members (right), in cells of about `most` texts a
+    side."""
+    rows = live.join(texts.select(F.col("id").alias("ti"), F.octet_length("t").alias("bytes")), F.col("id") == F.col("ti")).drop("ti")
 
     def blocks(n, size):
         return F.ceil(F.greatest(n / most, size / most_bytes, F.lit(1.0)))
 
-    minors, its_bytes = F.sum(F.col("minor").cast("long")), F.sum(F.when(F.col("minor"), F.col("bytes")).otherwise(0))
-    cells = rows.groupBy(F.col("shard").alias("s")).agg(blocks(minors, its_bytes).alias("ni"), blocks(F.count("*"), F.sum("bytes")).alias("nj"))
-    rows = rows.join(cells, F.col("shard") == F.col("s")).withColumn("h", F.xxhash64("id"))
+    parts = rows.groupBy(F.col("shard").alias("of"), "whole").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    totals = parts.groupBy("of").agg(F.max(F.struct("n", "whole", "size")).alias("major"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    totals = totals.join(open_shards, F.col("of") == F.col("s")).filter("n > major.n")
+    cells = totals.select("s", "major.whole", blocks(F.col("n") - F.col("major.n"), F.col("size") - F.col("major.size")).alias("ni"), blocks(F.col("n"), F.col("size")).alias("nj"))
+    cells = cells.withColumnRenamed("whole", "major")
+    rows = rows.drop("bytes").join(cells, F.col("shard") == F.col("s")).withColumn("minor", F.col("whole") != F.col("major")).withColumn("h", F.xxhash64("id"))
 
     def every(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -273,36 +276,51 @@ def linked_in_shards(shards: DataFrame, texts: DataFrame, width: int, similarity
     compared or joined by other compared pairs. `shards` are distinct (shard, id), `texts` are (id, t); texts with
     one id are copies.
 
-    In a round the hub of each shard, the member with most company in all its shards, is compared with the other members
-    and leaves the shard; a shard whose other members are one component is done. That settles the copies of one text.
-    What is left after the rounds is compared whole. Shards with the same members are one."""
+    In a round the next hub of each shard, by the company that members have in all their shards, is compared with the
+    members that are not joined to it yet; earlier hubs have met it. That settles the copies of one text. What is left
+    after the rounds is compared whole. Shards with the same members are one. Only members that differ from the hub, and
+    in the end the members of shards that are still open, are rows of a join by shard; the others are counted."""
     n, x, y = F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64(F.lit(1), "id"))
     kept = shards.groupBy("shard").agg(n.alias("n"), x.alias("x"), y.alias("y")).filter("n > 1").groupBy("n", "x", "y").agg(F.min("shard").alias("s"))
-    live = Stored(shards.join(kept, F.col("shard") == F.col("s")).select("shard", "id", F.col("id").alias("whole")))
-    wanted = live.df.select(F.col("id").alias("wanted")).distinct()
-    texts = stored(texts.join(wanted, F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("t").alias("t")))
-    links, linked = texts.sparkSession.createDataFrame([], "a long, b long"), None
-    for turn in range(rounds + 1):
-        if live.df.isEmpty():
-            break
-        if turn == rounds:
-            found = _links_of_the_rest(live.df, texts, width, similarity, most, most_bytes)
-            return components(links.unionByName(stored(found)))
-        sizes = live.df.groupBy(F.col("shard").alias("s")).agg(F.count("*").alias("n"))
-        company = live.df.join(sizes, F.col("shard") == F.col("s")).groupBy(F.col("id").alias("i")).agg(F.sum("n").alias("company"))
-        hubs = live.df.join(company, F.col("id") == F.col("i")).groupBy(F.col("shard").alias("s")).agg(F.max(F.struct("company", "id", "whole")).alias("hub"))
-        met = Stored(live.df.join(hubs, F.col("shard") == F.col("s")).filter("id <> hub.id").select("shard", "id", "whole", F.col("hub.id").alias("hub"), F.col("hub.whole").alias("hub_whole")))
-        candidates = met.df.filter("whole <> hub_whole").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    own = stored(shards.join(kept.select("s", "n"), F.col("shard") == F.col("s")).groupBy("id").agg(F.collect_list(F.struct("shard", "n")).alias("shards"), F.sum("n").alias("company")))
+    if own.isEmpty():
+        return components(texts.sparkSession.createDataFrame([], "a long, b long"))
+    texts = stored(texts.join(own.select(F.col("id").alias("wanted")), F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("t").alias("t")))
+    members = own.select("id", "company", F.inline("shards"))
+    place = F.row_number().over(W.partitionBy("shard").orderBy(F.desc("company"), F.desc("id")))
+    ranked = members.withColumn("place", place).filter(F.col("place") <= max(rounds, 1))
+    hubs = stored(ranked.groupBy(F.col("shard").alias("s")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("place", "id")))["id"].alias("hubs")))
+    links = texts.sparkSession.createDataFrame([], "a long, b long")
+    linked = links.toDF("node", "component")
+
+    def with_whole(rows: DataFrame, of: str, name: str) -> DataFrame:
+        """The rows with the component of a text, which is itself if nothing is linked to it."""
+        return rows.join(linked, F.col(of) == F.col("node"), "left").withColumn(name, F.coalesce("component", of)).drop("node", "component")
+
+    def live() -> DataFrame:
+        # an id meets its component once, not in each of its shards (at most one for each band)
+        return with_whole(own, "id", "whole").select(F.explode("shards.shard").alias("shard"), "id", "whole")
+
+    def different(rows: DataFrame) -> DataFrame:
+        return with_whole(with_whole(rows, "id", "whole"), "hub", "hub_whole").filter("whole <> hub_whole")
+
+    open_shards = hubs.select("s", "n")
+    for turn in range(rounds):
+        hub = with_whole(hubs.filter(F.size("hubs") > turn).select("s", F.col("hubs")[turn].alias("hub"), F.slice("hubs", 1, turn).alias("met")), "hub", "hub_whole")
+        new = (F.col("whole") != F.col("hub_whole")) & ~F.array_contains("met", F.col("id"))
+        met = Stored(live().join(hub, (F.col("shard") == F.col("s")) & new).select("shard", "id", "hub"))
+        candidates = met.df.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         links = links.unionByName(stored(_verified(candidates, texts, width, similarity)))
         linked = stored(components(links))
-        # an id meets its component once, not in each of its shards (at most one for each band)
-        own = met.df.groupBy("id").agg(F.collect_list("shard").alias("shards"))
-        now = own.join(linked, F.col("id") == F.col("node"), "left").select(F.explode("shards").alias("shard"), "id", F.coalesce("component", "id").alias("whole"))
-        open_shards = now.groupBy(F.col("shard").alias("s")).agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low < high").select("s")
-        live.drop()
-        live = Stored(now.join(open_shards, F.col("shard") == F.col("s")).select("shard", "id", "whole"))
+        # of n members the first hubs have met all others: a pair that is left takes two more
+        left = different(met.df).select(F.col("shard").alias("s")).distinct()
+        open_shards = stored(left.join(hubs.select("s", "n"), "s").filter(F.col("n") > turn + 2))
         met.drop()
-    return linked if linked is not None else components(links)
+        if open_shards.isEmpty():
+            return linked
+        hubs = hubs.join(open_shards.select("s"), "s", "left_semi")
+    found = _links_of_the_rest(live(), open_shards.select("s"), texts, width, similarity, most, most_bytes)
+    return components(links.unionByName(stored(found)))
 
 
 def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 44, width: int = 7) -> DataFrame:

@@ -658,6 +658,24 @@ def test_shards_are_compared_whole(spark):
         assert {r.node: r.component for r in found} == want
 
 
+def test_joined_copies_are_not_carried_on_in_shards(spark, monkeypatch):
+    """Copies that are joined to their hub are no rows of later joins by shard, however many shards they share."""
+    rows = edited_copies(random.Random(4), 300, 150, 4)
+    texts = spark.createDataFrame(rows, "id long, t string")
+    shards = spark.createDataFrame([(s, n) for s in range(20) for n in range(151) if n != s], "shard long, id long")
+    made = []
+
+    class Counted(simhash.Stored):
+        def __init__(self, df):
+            super().__init__(df)
+            made.extend([self.df.count()] * ("shard" in self.df.columns))
+
+    monkeypatch.setattr(simhash, "Stored", Counted)
+    found = simhash.linked_in_shards(shards, texts, 5, 0.8).collect()
+    assert {r.node for r in found} == set(range(151)) and {r.component for r in found} == {0}
+    assert 0 < sum(made) <= shards.count()
+
+
 def test_repeated_lines_make_no_copies(spark):
     """Texts that share only an often repeated line have the same fingerprints, and nothing else in common."""
     rng, rows = random.Random(9), []
