@@ -9,6 +9,7 @@ from palisade.operators import advisories as adv
 from palisade.operators import remediate as ops
 from palisade.operators.manifests import requirements
 from palisade.schemas import ADVISORY
+from palisade.session import cut_lineage
 
 c = F.col
 ENV = "upper(replace(rule_id, '-', '_'))"
@@ -143,11 +144,12 @@ def fix_audit_rows(t: Inputs):
 @query("""SELECT p_partkey::VARCHAR AS scan_id, 'a==1' || chr(10) || 'pkg_' || p_partkey || '>=' || p_size || '.0  # Fixes OSV-' || p_partkey || chr(10) || 'z' AS content FROM part WHERE p_partkey % 40 < p_size""")
 def cve_fix_chain(t: Inputs):
     """From the text of a manifest over its packages, advisories and findings to the text with the fixed version."""
-    files = t.sql("""SELECT CAST(p_partkey AS STRING) AS scan_id, '/r/requirements.txt' AS path,
+    files = t.busy.sql("""SELECT CAST(p_partkey AS STRING) AS scan_id, '/r/requirements.txt' AS path,
       'a==1\nPkg_' || p_partkey || '==' || p_partkey % 40 || '.5.0\nz' AS content FROM part""")
-    docs = t.sql("""SELECT '{"id":"OSV-' || p_partkey || '","affected":[{"package":{"ecosystem":"PyPI","name":"PKG-' || p_partkey
+    docs = t.busy.sql("""SELECT '{"id":"OSV-' || p_partkey || '","affected":[{"package":{"ecosystem":"PyPI","name":"PKG-' || p_partkey
       || '"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"},{"fixed":"' || p_size || '.0"}]}]}]}' AS d FROM part""")
-    advisories = docs.select(F.from_json("d", ADVISORY).alias("d")).select("d.*")
-    found = adv.cve_findings(requirements(files), adv.advisory_ranges(advisories), adv.advisory_flatten(advisories))
+    advisories = cut_lineage(docs.select(F.from_json("d", ADVISORY).alias("d")).select("d.*"))
+    ranges = cut_lineage(adv.advisory_ranges(advisories))  # stored, as the packages are: both are asked several times
+    found = adv.cve_findings(cut_lineage(requirements(files)), ranges, adv.advisory_flatten(advisories))
     found = found.withColumns({"finding_id": F.col("rule_id"), "cve_id": F.col("rule_id"), "is_fixed": F.lit(False)})
     return ops.apply_fixes(files, found, ["finding_id"])[0].select("scan_id", "content")

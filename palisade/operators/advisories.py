@@ -172,7 +172,8 @@ def advisory_hits(deps: DataFrame, ranges: DataFrame) -> DataFrame:
     """Distinct package versions that an advisory affects: ecosystem, _package, version, osv_id, match_kind.
 
     `_package` is the name as the ecosystem compares it. `match_kind` is exact or range; a version without an order
-    can only match an exact list.
+    can only match an exact list. Look-ups and ranges are asked several times: give tables that are stored (`cut_lineage`), or
+    manifests and documents are read again each time.
     """
     lookups = _keyed(deps).select(*VERSION).distinct()
     last = _optional(ranges, "last_affected").alias("last_affected")

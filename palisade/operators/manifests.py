@@ -132,13 +132,15 @@ def _starts_with_any(c: Column, heads: list[str]) -> Column:
 
 
 def _requirement_lines(files: DataFrame) -> DataFrame:
-    """Lines that say something: scan_id, path, line_no, line (no comments)."""
-    line = strip(F.col("_raw"))
+    """Lines that say something: scan_id, path, line_no, line (no comments).
+
+    Lines are cleaned before they are unfolded: what is computed behind would be computed again wherever it is named.
+    """
+    cleaned = F.transform(F.split("content", "\r\n|\n|\r"), lambda raw: strip(text_before(strip(raw), " #")))
     return (
-        files.select("scan_id", "path", F.posexplode(F.split("content", "\r\n|\n|\r")).alias("_i", "_raw"))
-        .select("scan_id", "path", (F.col("_i") + 1).alias("line_no"), line.alias("line"))
+        files.select("scan_id", "path", F.posexplode(cleaned).alias("_i", "line"))
         .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-        .withColumn("line", strip(text_before(F.col("line"), " #")))
+        .select("scan_id", "path", (F.col("_i") + 1).alias("line_no"), "line")
     )
 
 
@@ -148,15 +150,17 @@ def requirements(files: DataFrame) -> DataFrame:
         ~_starts_with_any(F.col("line"), INCLUDE_OPTIONS + SKIPPED_OPTIONS)
     )
     bare = strip(text_before(F.col("line"), ";"))
-    rows = rows.withColumn("spec", F.regexp_replace(bare, r"^([a-zA-Z0-9_.-]+)\[.*?\]", "$1"))
-    spec = F.col("spec")
-    name, version = F.when(F.lit(False), ""), F.when(F.lit(False), "")
-    for op in VERSION_OPERATORS:
-        name = name.when(spec.contains(op), text_before(spec, op))
-        version = version.when(spec.contains(op), strip(text_before(strip(text_after(spec, op)), ",")))
-    rows = rows.withColumns(
-        {"name": F.lower(strip(name.otherwise(spec))), "version": version.otherwise(NO_VERSION)}
-    ).filter("name <> ''")
+    spec = F.regexp_replace(bare, r"^([a-zA-Z0-9_.-]+)\[.*?\]", "$1")
+
+    def parts(spec: Column) -> Column:
+        name, version = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+        for op in VERSION_OPERATORS:
+            name = name.when(spec.contains(op), text_before(spec, op))
+            version = version.when(spec.contains(op), strip(text_before(strip(text_after(spec, op)), ",")))
+        return F.struct(F.lower(strip(name.otherwise(spec))).alias("name"), version.otherwise(NO_VERSION).alias("version"))
+
+    # unfolded, so that a line is taken apart once
+    rows = rows.select("scan_id", "path", F.inline(F.transform(F.array(spec), parts))).filter("name <> ''")
     file_name = F.lower(base_name(F.col("path")))
     return _dependency(
         rows,

@@ -266,9 +266,9 @@ def _package_places(fixes: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def planned_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> DataFrame:
-    """Fixes that can be applied: finding columns plus `path`, `line_number` of the line to change."""
-    todo = fixable(findings).select(
+def _asked_fixes(findings: DataFrame, order: list[str]) -> DataFrame:
+    """What fixes need of the findings that can have one."""
+    return fixable(findings).select(
         "scan_id", "finding_id", "rule_id", "category", "cve_id",
         F.col("file_path").alias("path"),
         F.coalesce("line_number", F.lit(0)).alias("given"),
@@ -276,6 +276,14 @@ def planned_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> Da
         _fixed_version(findings).alias("fixed_version"),
         F.struct(*order).alias("_order"),
     )
+
+
+def planned_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> DataFrame:
+    """Fixes that can be applied: finding columns plus `path`, `line_number` of the line to change."""
+    return _placed_fixes(files, _asked_fixes(findings, order))
+
+
+def _placed_fixes(files: DataFrame, todo: DataFrame) -> DataFrame:
     by_line = todo.filter("category <> 'cve' and given >= 1").withColumn("line_number", F.col("given"))
     by_package = todo.filter("category = 'cve' and package <> '' and fixed_version is not null").filter(_upgradable(F.col("path")))
     places = _package_places(by_package, files)
@@ -286,14 +294,15 @@ def apply_fixes(files: DataFrame, findings: DataFrame, order: list[str]) -> tupl
     """New versions of the files that change, and the ids of the findings applied.
 
     Line numbers refer to the file as it was. Of several fixes for one line the last by `order`
-    stands. The files in question are picked out of the corpus in one pass and written out; the fixes
+    stands. What fixes need of the findings is written out, so that findings are made once. The files in question are picked out of the corpus in one pass and written out; the fixes
     of a file, one for a line at most, meet it as one array, and only the lines they name are computed.
     """
-    in_question = fixable(findings).select("scan_id", F.col("file_path").alias("path")).distinct()
+    todo = cut_lineage(_asked_fixes(findings, order))
+    in_question = todo.select("scan_id", "path").distinct()
     touched = cut_lineage(
         files.select("scan_id", "path", "content").join(in_question, ["scan_id", "path"], "left_semi")
     )
-    fixes = planned_fixes(touched, findings, order)
+    fixes = _placed_fixes(touched, todo)
     place = ["scan_id", "path", "line_number"]
     last = W.partitionBy(*place).orderBy(F.col("_order").desc())
     per_file = (
