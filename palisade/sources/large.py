@@ -9,10 +9,11 @@ file. The lines themselves are not shuffled for that.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,6 +102,24 @@ def _ends(margin: int):
     return work
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by some tasks for each core, not by a task for each folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, 4 * spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _never_split(spark: SparkSession) -> int:
+    """Bytes up to which the reader gives a file as one split, whatever else is read and on however many cores."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
+
+
 def read_chunks(
     spark: SparkSession, root: str, scan_id: str | None = None, glob: str | None = None,
     above: int = MAX_BYTES, chunk_bytes: int = CHUNK_BYTES, margin: int = MARGIN,
@@ -116,12 +135,23 @@ def read_chunks(
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(root).filter(F.col("_metadata.file_size") > above).select(
-        F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_size").alias("size_bytes"),
-        F.make_valid_utf8("value").alias("line"),
+    with _few_listing_tasks(spark):
+        listed = reader.text(root)
+    size = F.col("_metadata.file_size")
+    whole = _never_split(spark)
+    unsplit = F.when(F.col("_metadata.file_block_length") == size, F.col("_metadata.file_block_start")).otherwise(
+        F.raise_error(F.lit("the size of splits was lowered after read_chunks")).cast("bigint")
     )
+
+    def lines_of(wanted: Column, block: Column) -> DataFrame:
+        return listed.filter(wanted).select(
+            F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"),
+            block.alias("block"),
+            size.alias("size_bytes"),
+            F.make_valid_utf8("value").alias("line"),
+        )
+
+    lines = lines_of(size > max(above, whole), F.col("_metadata.file_block_start"))
     ends = lines.mapInArrow(_ends(margin), ENDS)
     in_order = W.partitionBy("file").orderBy("block")
     near = max(margin, 1)  # so many splits have as many lines, if each has one
@@ -135,7 +165,12 @@ def read_chunks(
         F.slice(joined("head", in_order.rowsBetween(1, near)), 1, margin).alias("_trail"),
     )
     chunks = lines.mapInArrow(_chunks(chunk_bytes, margin), CHUNK)
-    rows = chunks.join(around, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    rows = chunks.join(around, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))).drop("_file", "_block")
+    # nothing is before or behind the one split of a small file: its lines are read once and its chunks are not moved
+    none = F.array().cast("array<string>")
+    alone = {"_above": F.lit(0).cast("bigint"), "_lead": none, "_trail": none}
+    small = lines_of((size > above) & (size <= whole), unsplit).mapInArrow(_chunks(chunk_bytes, margin), CHUNK).withColumns(alone)
+    rows = small.unionByName(rows)
     # a chunk near an end of its split has fewer lines there than the margin: the rest comes from the next splits
     lead = F.concat("_lead", "lead")
     lead = F.slice(lead, F.greatest(F.size(lead) - margin + 1, F.lit(1)), F.lit(margin))

@@ -81,3 +81,25 @@ def test_a_large_file_in_many_tasks(spark, tmp_path, config):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert most[0] < 250_000 and most[1] > 150
     assert sorted(r.line_number for r in found) == [8, 399_991]
+
+
+def test_files_of_one_split_are_not_moved(spark, tmp_path):
+    """Chunks of files that the reader never splits need no neighbours: they come without a join."""
+    put(tmp_path, "s/a.yml", "debug = on\n" * 100)
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    chunks = large.read_chunks(spark, str(tmp_path), above=0, chunk_bytes=300, margin=2)
+    assert spark.conf.get(name, None) == before
+    plan = chunks._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Union":
+        plan = plan.children().apply(0)  # before, a join was met here and no union
+    assert "Join" not in plan.children().apply(0).toString()
+    assert sum(r.n_lines for r in chunks.collect()) == 100
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        with pytest.raises(Exception, match="size of splits"):
+            chunks.select("*").collect()
+        chunks = large.read_chunks(spark, str(tmp_path), above=0, chunk_bytes=300, margin=2)
+        assert sum(r.n_lines for r in chunks.collect()) == 100
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
