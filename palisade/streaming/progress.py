@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from palisade import schemas
 from palisade.functions import count_bucket
+from palisade.operators.common import likely_among
 from palisade.operators.dashboard import hour_label, trend_sums
 from palisade.operators.findings import dedupe_key, scan_rollup
 from palisade.operators.housekeeping import cancel_transitions
@@ -161,10 +162,17 @@ def _batch_folder(path: str, batch_id: int) -> str:
 
 
 def finished_rollup(scans: DataFrame, findings: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Counters of the scans of a batch, from their own findings only."""
+    """Counters of the scans of a batch, from their own findings only.
+
+    Rows of other scans are mostly left out before the shuffle. The exact join behind it holds the ids of the batch and
+    does not sort the tables, so a task's memory follows the batch and not the stored findings.
+    """
 
     def of(done: DataFrame) -> DataFrame:
-        return scan_rollup(scans.join(done, "scan_id", "left_semi"), findings.join(done, "scan_id", "left_semi"))
+        ids = done.select("scan_id").distinct()
+        # not a left semi join, which the optimizer would move before the filter
+        of_batch = lambda rows: likely_among(rows, ids, ["scan_id"]).join(ids.hint("shuffle_hash"), "scan_id").select(*rows.columns)
+        return scan_rollup(of_batch(scans), of_batch(findings))
 
     return of
 
@@ -176,10 +184,13 @@ def alerts_stream(
     a batch (scan_id), such as `finished_rollup`: then no other scan's findings are counted."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = batch.filter("type = 'scan_complete'").select("scan_id").distinct()
-        table = scan_table if isinstance(scan_table, DataFrame) else scan_table(done)
-        rows = alert_rows(table.join(done, "scan_id", "left_semi"), base_url, min_serious)
-        rows.write.mode("overwrite").parquet(_batch_folder(path, batch_id))
+        done = batch.filter("type = 'scan_complete'").select("scan_id").distinct().persist()  # asked several times
+        try:
+            table = scan_table if isinstance(scan_table, DataFrame) else scan_table(done)
+            rows = alert_rows(table.join(done, "scan_id", "left_semi"), base_url, min_serious)
+            rows.write.mode("overwrite").parquet(_batch_folder(path, batch_id))
+        finally:
+            done.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -87,3 +87,19 @@ def test_replayed_batch_writes_the_same(spark, tmp_path):
         progress.cancel_stream(source, table, str(tmp_path / "out"), str(tmp_path / f"cp{n}")).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.scan_id, r.status, r.error) for r in got] == [("1", "failed", "Scan cancelled by user")]
+
+
+def test_rollup_of_a_batch_does_not_sort_the_tables(spark):
+    scans = spark.range(2000).selectExpr("CASE WHEN id = 7 THEN NULL ELSE CAST(id AS STRING) END AS scan_id", "'t' AS target")
+    found = spark.range(9000).selectExpr("CASE WHEN id % 10 = 3 THEN NULL ELSE CAST(id % 3000 AS STRING) END AS scan_id", "'high' AS severity")
+    done = spark.createDataFrame([("5",), ("5",), ("11",), (None,), ("2500",), ("13",)], "scan_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = progress.finished_rollup(scans, found)(done)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.scan_id, r.target, r.total_findings, r.high_count) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == [("11", "t", 3, 3), ("13", "t", 0, 0), ("5", "t", 3, 3)]
+    # stored tables meet the bounded filter and then the ids in a hash join; only counters are sorted
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("ShuffledHashJoin") == 2 and plan.count("SortMergeJoin") == 1
