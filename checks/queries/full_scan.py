@@ -12,7 +12,7 @@ from palisade.sources import rules as rule_source
 
 
 def _scan(t: Inputs) -> ScanResult:
-    manifests, docker = t.v_scan_manifests.drop("id"), t.v_scan_dockerfiles.drop("id")
+    manifests, docker = t.busy.v_scan_manifests.drop("id"), t.busy.v_scan_dockerfiles.drop("id")
     return run_scan(
         ScanInputs(
             scans=t.v_scan_types,

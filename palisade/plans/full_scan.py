@@ -80,7 +80,8 @@ def _scan_texts(inputs: ScanInputs) -> tuple[DataFrame, DataFrame, DataFrame]:
         files, inputs.rules, inputs.patterns, inputs.checks, only_config=True, routes=ROUTES,
         also={"manifest": F.when(wanted, F.col("content")), "is_manifest": wanted, "no_text": F.col("content").isNull()},
     )
-    kept = cut_lineage(matched.filter("size(_matches) > 0 or is_manifest or no_text"))
+    # filtered behind the write: before it, the test for matches would have all patterns run once more
+    kept = cut_lineage(matched).filter("size(_matches) > 0 or is_manifest or no_text")
     found = detect.findings_of(kept.select("scan_id", "path", "_matches"), entries)
     of_scans = kept.filter("is_manifest").select("scan_id", "path", F.col("manifest").alias("content"))
     unread = kept.filter("no_text and not is_manifest")

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.plans import full_scan
 from palisade.plans.full_scan import SCAN_TYPES, ScanInputs, run_scan
-from palisade.schemas import ADVISORY, CHECK, SECRET_PATTERN
+from palisade.schemas import ADVISORY, CHECK, RULE, SECRET_PATTERN
+from palisade.session import cut_lineage
 from palisade.sources import corpus, gitlog, rules
 
 TOKEN = 'token = "' + "0f" * 20 + '"\n'
@@ -88,3 +90,18 @@ def test_parts_may_be_missing(spark):
     assert [r.detector for r in only.raw.collect()] == [3] and only.dependencies.count() == 0
     with pytest.raises(ValueError, match="nothing to scan"):
         run_scan(ScanInputs(scans=scans))
+
+
+def test_patterns_run_once_per_text(spark, monkeypatch):
+    """No filter below the first write holds the patterns, which would have them run twice."""
+    written = []
+    monkeypatch.setattr(full_scan, "cut_lineage", lambda df: (written.append(df), cut_lineage(df))[1])
+    rule = [("R1", "n", "", "high", "c", "zz_pattern_of_the_test", ["*"], "", [], [])]
+    files = spark.createDataFrame([("s", "/a.yml", "zz_pattern_of_the_test"), ("s", "/b.yml", "no"), ("s", "/c.yml", None), ("s", "/requirements.txt", "a==1")], "scan_id string, path string, content string")
+    scans = spark.createDataFrame([("s", "full")], "scan_id string, scan_type string")
+    result = full_scan.run_scan(full_scan.ScanInputs(scans, files, spark.createDataFrame(rule, RULE)))
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "zz_pattern" in line]
+    assert [(r.file_path, r.rule_id) for r in result.raw.collect()] == [("/a.yml", "R1")]
+    assert [(r.path, r.name) for r in result.dependencies.collect()] == [("/requirements.txt", "a")]
+    assert [(r.place, r.reason) for r in result.refused.collect()] == [("/c.yml", "no text")]
