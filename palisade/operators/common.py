@@ -105,6 +105,33 @@ def likely_among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFr
     return marked.filter(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0).select(*rows.columns)
 
 
+# A key with more than this part of all rows, and more rows than that, is not left to one task.
+CROWDED_PART, CROWDED_ROWS = 64, 100_000
+
+
+def crowded_keys(rows: DataFrame, key: str) -> tuple[list, bool]:
+    """Keys that hold a great part of all rows (fewer than CROWDED_PART), and whether there are rows without a key.
+
+    One pass over the keys with a sketch of bounded size, without a shuffle of rows. The sketch errs by less than a
+    thousandth of all rows: that may change how rows are dealt, not what is made of them.
+    """
+    top = F.expr(f"approx_top_k(`{key}`, {CROWDED_PART}, 10000)").alias("top")
+    one = rows.agg(F.count(key).alias("n"), F.count_if(F.col(key).isNull()).alias("none"), top).first()
+    least = max(CROWDED_ROWS, one["n"] // CROWDED_PART)
+    return [x["item"] for x in one["top"] or [] if x["item"] is not None and x["count"] > least], one["none"] > 0
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows that have a key, dealt by it in one shuffle: groups, windows and joins by the key move nothing more.
+
+    `stack` makes the other columns anew, so that no filter and no choice of columns is pushed below the shuffle. It is
+    the same then for all that reads these rows, and Spark runs it once. Give only columns that are needed. A crowded
+    key is one task's work here: see `crowded_keys`.
+    """
+    others = [c for c in rows.columns if c != key]
+    return rows.filter(F.col(key).isNotNull()).repartition(key).select(key, F.stack(F.lit(1), *others).alias(*others))
+
+
 def source_lines(files: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
     """Lines around wanted places: scan_id, path, line_number, n_lines, lines[num, content].
 
