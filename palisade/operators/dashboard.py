@@ -212,23 +212,41 @@ def risk_points(records: bool = True) -> Column:
     return points
 
 
-def top_risks(findings: DataFrame, records: DataFrame, n: int = 5) -> DataFrame:
+def top_risks(findings: DataFrame, records: DataFrame, n: int = 5, in_place: bool = False) -> DataFrame:
     """The n findings with most points per scan: `points` and `place` added; ties go by finding_id.
 
-    Findings without a CVE get a join key of their own, so they do not all meet in one task.
+    Findings without a CVE get a join key of their own, so they do not all meet in one task. `in_place`: findings are
+    `dealt` by scan and stay there; only the pairs of scan and CVE go to the records and come back with them.
     """
-    key = F.coalesce(F.upper("cve_id"), F.concat(F.lit("#"), F.col("finding_id")))
     intel = records.select(F.col("cve_id").alias("_cve"), "known_exploited", "priority", "epss")
-    rated = (
-        findings.withColumn("_cve", key)
-        .join(intel, "_cve", "left")
-        .withColumn("points", risk_points())
-        .select(*findings.columns, "points")
-    )
+    if in_place:
+        joined = _with_records_in_place(findings, intel)
+    else:
+        key = F.coalesce(F.upper("cve_id"), F.concat(F.lit("#"), F.col("finding_id")))
+        joined = findings.withColumn("_cve", key).join(intel, "_cve", "left")
+    rated = joined.withColumn("points", risk_points()).select(*findings.columns, "points")
     best = W.partitionBy("scan_id").orderBy(F.col("points").desc(), "finding_id")
     return rated.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
 
 
+def _with_records_in_place(findings: DataFrame, intel: DataFrame) -> DataFrame:
+    """The left join of findings, `dealt` by scan, with the records of their CVE.
+
+    A join by scan and CVE would deal the findings again. Records are put before the findings of their scan and CVE
+    instead, and a running window hands them on.
+    """
+    cve = F.upper("cve_id").alias("_cve")
+    pairs = findings.select("scan_id", cve).filter(F.col("_cve").isNotNull()).distinct()
+    known = [c for c in intel.columns if c != "_cve"]
+    # a list, as a CVE may have several records
+    back = pairs.join(intel, "_cve").groupBy("scan_id", "_cve").agg(F.collect_list(F.struct(*known)).alias("_records"))
+    before = back.repartition("scan_id").withColumn("_is_finding", F.lit(False))
+    both = before.unionByName(findings.select("*", cve, F.lit(True).alias("_is_finding")), allowMissingColumns=True)
+    run = W.partitionBy("scan_id", "_cve").orderBy("_is_finding").rowsBetween(W.unboundedPreceding, 0)
+    handed = both.withColumn("_known", F.first("_records", ignorenulls=True).over(run)).filter("_is_finding")
+    return handed.select(*findings.columns, F.inline_outer("_known"))
+
+
 def activity_feed(scans: DataFrame, findings: DataFrame, audit: DataFrame) -> DataFrame:
     """One list of events, the newest first: scans, fixes, serious findings, audit rows."""
     columns = ["id", "action", "target", "timestamp", "status"]

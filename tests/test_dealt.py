@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.operators import common
+from palisade.operators import common, compliance, dashboard, intel, sbom
 from palisade.sources import exports
 
 SCANS = "scan_id string, target string, status string, scan_type string"
@@ -33,6 +33,25 @@ def scans(spark):
     return spark.createDataFrame([(i, f"/srv/{i}", "completed", "full") for i in names], SCANS)
 
 
+@pytest.fixture(scope="module")
+def feeds(spark):
+    """Some CVEs are listed twice."""
+    kev = [(f"CVE-2020-{i:04}", "p", "bad") for i in (1, 2, 2, 5)]
+    epss = [(f"CVE-2020-{i:04}", i / 13, i / 13) for i in (1, 3, 5, 5, 12)]
+    return (spark.createDataFrame(kev, "cve_id string, product string, short_description string"),
+            spark.createDataFrame(epss, "cve_id string, epss double, percentile double"))
+
+
+def payload(found, scans, feeds, known, in_place=False):
+    records = intel.scan_records(intel.cve_mentions(found), *feeds)
+    return exports.export_report_payload(
+        scans, found, dashboard.scan_risk(found), dashboard.executive_summary(scans, found), dashboard.top_risks(found, known, in_place=in_place),
+        compliance.compliance_score(compliance.scan_controls(found, scans)),
+        sbom.sbom_packages(found.filter("category = 'cve'").select("scan_id", F.col("rule_id").alias("name"), F.lit("1").alias("version"), F.lit("npm").alias("ecosystem"))),
+        records, *[in_place] * in_place,
+    )
+
+
 def lines_of(lines):
     now = re.compile(r'"(startTimeUtc|endTimeUtc)":"[^"]*"')
     return sorted(((r.scan_id or "", r.section, r.sort_key or "", now.sub("", r.line or "")) for r in lines.collect()))
@@ -67,8 +86,15 @@ def test_crowded_keys(spark, found, monkeypatch):
     assert common.crowded_keys(found.filter("false"), "scan_id") == ([], False)
 
 
-def test_findings_reach_the_task_of_their_scan_in_one_shuffle(spark, found, scans):
-    moved = shuffles(spark, exports.to_sarif(found.filter("scan_id is not null"), scans, ["finding_id"]))
+@pytest.mark.parametrize("of", ["sarif", "payload"])
+def test_findings_reach_the_task_of_their_scan_in_one_shuffle(spark, found, scans, feeds, of):
+    own = found.filter("scan_id is not null")
+    if of == "sarif":
+        lines = exports.to_sarif(own, scans, ["finding_id"])
+    else:
+        ((part, some, in_place),) = exports.scan_parts(own, scans)
+        lines = payload(part, some, feeds, intel.enrich_cves(intel.cve_mentions(part), *feeds), in_place)
+    moved = shuffles(spark, lines)
     for column in ("title", "evidence", "file_path", "finding_id"):
         assert len([x for x in moved if f"{column}#" in x]) == 1, column
 
@@ -86,3 +112,25 @@ def test_sarif_in_place_and_across_tasks(spark, found, scans, monkeypatch):
     assert len([x for x in in_place if x[1] == 3]) == n
     across = exports._sarif_items(found.filter("scan_id is not null"), order, "palisade/v1", False)
     assert lines_of(across) == [x for x in in_place if x[1] in (1, 3) and x[0]]
+
+
+def test_payload_in_place_and_across_tasks(spark, found, scans, feeds, monkeypatch):
+    known = intel.enrich_cves(intel.cve_mentions(found), *feeds)
+    across = lines_of(payload(found, scans, feeds, known))
+    for rows in (100_000, 100):
+        monkeypatch.setattr(common, "CROWDED_ROWS", rows)
+        parts = exports.scan_parts(found, scans)
+        assert [x[2] for x in parts] == [True, False]
+        got = [line for part, some, in_place in parts for line in lines_of(payload(part, some, feeds, known, in_place))]
+        assert sorted(got) == across
+    assert len([x for x in across if x[1] == 1]) == found.count()
+
+
+def test_top_risks_in_place(found, feeds):
+    rows = found.filter("scan_id is not null and finding_id <> 'same'").dropDuplicates(["finding_id"])
+    known = intel.enrich_cves(intel.cve_mentions(rows), *feeds)
+    assert known.count() > known.select("cve_id").distinct().count()
+    columns = ["scan_id", "finding_id", "evidence", "points", "place"]
+    got = dashboard.top_risks(common.dealt(rows, "scan_id"), known, in_place=True).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, dashboard.top_risks(rows, known).select(columns).collect()))
+    assert got.filter("points > 100").count() > 0
